@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.mining.config import ViewConfig
+from ledgerlens.session import cut_lineage, inline_table
 
 WORD_BITS = 62
 
@@ -101,16 +102,11 @@ class Cube:
     layout: Layout
     cells: DataFrame      # set_id, k*, s_<column>, n_<column>
     domain: DataFrame     # dim_id, code, label
-    base: DataFrame
 
     @property
     def config(self) -> ViewConfig:
         return self.layout.config
 
-    def unpersist(self) -> None:
-        for df in (self.cells, self.domain, self.base):
-            df.unpersist()
-
 
 def finest_grain(view: DataFrame, config: ViewConfig) -> DataFrame:
     """One row per combination of dimension values, with sums and counts of every column.
@@ -165,8 +161,9 @@ def pack(base: DataFrame, domain: DataFrame, layout: Layout) -> DataFrame:
 
 def build_cube(view: DataFrame, config: ViewConfig) -> Cube:
     """Aggregate every grouping set that a scope of depth <= max_subspace_depth needs."""
-    base = finest_grain(view, config).persist()
-    domain = value_domain(base, config).persist()
+    # each stage is a table in the shared folder: plans stay short and a lost executor costs one stage
+    base = cut_lineage(finest_grain(view, config), "base")
+    domain = cut_lineage(value_domain(base, config), "domain")
     # one row per dimension reaches the driver
     found = {r["dim_id"]: r["n"] for r in domain.groupBy("dim_id").agg(F.count("*").alias("n")).collect()}
     sizes = {d: found.get(i, 0) for i, d in enumerate(config.all_dims)}
@@ -187,7 +184,7 @@ def build_cube(view: DataFrame, config: ViewConfig) -> Cube:
         *sums,
     )
     cells = spread.groupBy("set_id", *layout.keys).agg(*[F.sum(c).alias(c) for c in sums])
-    return Cube(layout, _drop_null_codes(cells, layout).persist(), domain, base)
+    return Cube(layout, cut_lineage(_drop_null_codes(cells, layout), "cells"), domain)
 
 
 def _drop_null_codes(cells: DataFrame, layout: Layout) -> DataFrame:
@@ -196,7 +193,7 @@ def _drop_null_codes(cells: DataFrame, layout: Layout) -> DataFrame:
     rows = [
         (i, [tuple(layout.slots[d]) for d in sorted(dims)]) for dims, i in layout.grouping_sets.items()
     ]
-    slots = spark.createDataFrame(rows, "set_id int, slots array<struct<word:int,shift:int,bits:int>>")
+    slots = inline_table(spark, rows, "set_id int, slots array<struct<word:int,shift:int,bits:int>>")
     full = F.forall("slots", lambda s: layout.code_of(s["word"], s["shift"], s["bits"]) != 0)
     return cells.join(F.broadcast(slots), "set_id").filter(full).drop("slots")
 
@@ -217,7 +214,7 @@ def role_table(cube: Cube) -> DataFrame:
         "set_id int, role int, fset int, dim_id int, temporal boolean, word int, shift int, bits int, "
         + ", ".join(f"f{w} long" for w in range(layout.words))
     )
-    return spark.createDataFrame(rows, schema)
+    return inline_table(spark, rows, schema)
 
 
 def points(cube: Cube) -> DataFrame:
@@ -246,7 +243,7 @@ def points(cube: Cube) -> DataFrame:
         if (m.name, b) in config.excluded_pairs
     ]
     if excluded:
-        pairs = cube.cells.sparkSession.createDataFrame(excluded, "dim_id int, mid int")
+        pairs = inline_table(cube.cells.sparkSession, excluded, "dim_id int, mid int")
         long = long.join(F.broadcast(pairs), ["dim_id", "mid"], "left_anti")
     return long.join(domain_side(cube), ["dim_id", "code"]).filter(F.col("value").isNotNull())
 
@@ -263,7 +260,7 @@ def slice_shares(cube: Cube) -> DataFrame:
     """Share of each impact measure's grand total held by every slice (0 if the total is not positive)."""
     layout, config = cube.layout, cube.config
     spark = cube.cells.sparkSession
-    sets = spark.createDataFrame(
+    sets = inline_table(spark, 
         [(layout.grouping_sets[frozenset(f)], i) for i, f in enumerate(layout.filter_sets)],
         "set_id int, fset int",
     )

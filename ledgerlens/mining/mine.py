@@ -12,6 +12,7 @@ from ledgerlens.mining import cube as cubes
 from ledgerlens.mining import siblings
 from ledgerlens.mining.config import ViewConfig
 from ledgerlens.mining.patterns import scope_patterns
+from ledgerlens.session import cut_lineage
 
 STORE_SIZE = 5000
 
@@ -25,7 +26,7 @@ def finding_id(depth: int):
 
 @dataclass
 class Mining:
-    """Lazy stages of one mining run; `points` and `scopes` are kept for the later stages."""
+    """Stages of one mining run, each written once when first asked for."""
 
     view: DataFrame
     config: ViewConfig
@@ -36,16 +37,16 @@ class Mining:
 
     @cached_property
     def points(self) -> DataFrame:
-        return cubes.points(self.cube).persist()
+        return cut_lineage(cubes.points(self.cube), "points")
 
     @cached_property
     def shares(self) -> DataFrame:
-        return cubes.slice_shares(self.cube).persist()
+        return cut_lineage(cubes.slice_shares(self.cube), "shares")
 
     @cached_property
     def scopes(self) -> DataFrame:
         found = scope_patterns(self.points, self.cube.layout.keys, self.config)
-        return siblings.with_seed_and_support(self.cube, found, self.shares).persist()
+        return cut_lineage(siblings.with_seed_and_support(self.cube, found, self.shares), "scopes")
 
     @cached_property
     def members(self) -> DataFrame:
@@ -54,7 +55,7 @@ class Mining:
     @cached_property
     def all_findings(self) -> DataFrame:
         out = siblings.findings(self.cube, self.scopes, self.members, self.shares)
-        return out.withColumn("finding_id", finding_id(self.config.max_subspace_depth)).persist()
+        return cut_lineage(out.withColumn("finding_id", finding_id(self.config.max_subspace_depth)), "findings")
 
     @property
     def findings(self) -> DataFrame:
@@ -69,13 +70,6 @@ class Mining:
     def finding_members(self) -> DataFrame:
         return siblings.finding_members(self.cube, self.findings, self.members)
 
-    def release(self) -> None:
-        for stage in ("all_findings", "scopes", "shares", "points"):
-            if stage in self.__dict__:
-                self.__dict__[stage].unpersist()
-        if "cube" in self.__dict__:
-            self.cube.unpersist()
-
 
 def top_store(found: DataFrame, k: int = STORE_SIZE) -> DataFrame:
     """The k best findings; at the cut a score tie keeps the larger identity."""

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.mining.config import TEMPORAL_TYPES, ViewConfig
-from ledgerlens.mining.cube import Cube, domain_side, slice_shares
+from ledgerlens.mining.cube import Cube, domain_side
+from ledgerlens.session import inline_table
 
 EXCEPTION_KINDS = 3
 GAMMA = 0.5
@@ -63,8 +64,8 @@ def _extension_tables(cube: Cube) -> tuple[DataFrame, DataFrame]:
         f"f{w} long" for w in range(layout.words)
     )
     return (
-        spark.createDataFrame(role_rows, f"role int, group_role int, {tail}"),
-        spark.createDataFrame(set_rows, f"fset int, parent int, {tail}"),
+        inline_table(spark, role_rows, f"role int, group_role int, {tail}"),
+        inline_table(spark, set_rows, f"fset int, parent int, {tail}"),
     )
 
 
@@ -90,7 +91,7 @@ def memberships(cube: Cube, scopes: DataFrame) -> DataFrame:
         if len(config.measures_for(b)) >= config.min_hdp_size
     ]
     if measure_roles:
-        roles = spark.createDataFrame(measure_roles, "role int, size int")
+        roles = inline_table(spark, measure_roles, "role int, size int")
         parts.append(found.join(F.broadcast(roles), "role").select(
             F.lit("measure").alias("strategy"), F.col("role").alias("group_role"), *keys,
             F.lit(-1).alias("ext_id"), F.lit(-1).alias("group_mid"), "size",
@@ -102,7 +103,7 @@ def memberships(cube: Cube, scopes: DataFrame) -> DataFrame:
     }
     grain_rows = [(m, n) for m, n in grains.items() if n >= config.min_hdp_size]
     if grain_rows:
-        sizes = spark.createDataFrame(grain_rows, "mid int, size int")
+        sizes = inline_table(spark, grain_rows, "mid int, size int")
         parts.append(found.filter("temporal").join(F.broadcast(sizes), "mid").select(
             F.lit("breakdown").alias("strategy"), F.col("fset").alias("group_role"), *keys,
             F.lit(-1).alias("ext_id"), F.col("mid").alias("group_mid"), "size",
@@ -183,7 +184,7 @@ def group_impact(cube: Cube, groups: DataFrame, shares: DataFrame) -> DataFrame:
     own = shares.select(
         F.col("fset").alias("group_fset"), F.lit(-1).alias("ext_id"), *keys, *[F.col(f"i_{j}") for j in measures]
     )
-    role_sets = cube.cells.sparkSession.createDataFrame(
+    role_sets = inline_table(cube.cells.sparkSession, 
         [(i, fset) for i, (fset, _) in enumerate(layout.roles)], "group_role int, fset int"
     )
     located = groups.join(F.broadcast(role_sets), "group_role", "left").withColumn(
@@ -229,10 +230,10 @@ def decode(cube: Cube, scored: DataFrame) -> DataFrame:
     for i, filters in enumerate(layout.filter_sets):
         slots = [(layout.dim_id(d), *layout.slots[d]) for d in filters]
         sets.append((i, slots))
-    slots = spark.createDataFrame(
+    slots = inline_table(spark, 
         sets, "group_fset int, filters array<struct<dim_id:int,word:int,shift:int,bits:int>>"
     )
-    role_dims = spark.createDataFrame(
+    role_dims = inline_table(spark, 
         [(i, layout.dim_id(b)) for i, (_, b) in enumerate(layout.roles)], "group_role int, b_id int"
     )
     dim_name = F.array(*[F.lit(d) for d in dims])
@@ -292,13 +293,13 @@ def finding_members(cube: Cube, found: DataFrame, members: DataFrame) -> DataFra
         (b, i, config.measures[i].name) for b in config.all_dims for i in config.measures_for(b)
     ]
     by_measure = head.filter(F.col("strategy") == "measure").join(
-        F.broadcast(spark.createDataFrame(pairs, "breakdown string, member int, member_label string")), "breakdown")
+        F.broadcast(inline_table(spark, pairs, "breakdown string, member int, member_label string")), "breakdown")
     grains = [
         (m.name, layout.dim_id(t), t) for m in config.measures for t in config.temporal_dimensions
         if (m.name, t) not in config.excluded_pairs
     ]
     by_grain = head.filter(F.col("strategy") == "breakdown").join(
-        F.broadcast(spark.createDataFrame(grains, "measure string, member int, member_label string")), "measure")
+        F.broadcast(inline_table(spark, grains, "measure string, member int, member_label string")), "measure")
     every = by_value.unionByName(by_measure).unionByName(by_grain)
     held = members.select(*group, "member", "hits")
     joined = every.join(held, [*group, "member"], "left")

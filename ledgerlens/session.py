@@ -54,3 +54,26 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small driver-known table as a local relation, so joining it starts no job."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    struct = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(struct)
+
+    def plain(value, dtype):
+        if isinstance(value, list) and pa.types.is_list(dtype):
+            fields = [dtype.value_type.field(i).name for i in range(dtype.value_type.num_fields)] \
+                if pa.types.is_struct(dtype.value_type) else None
+            return [dict(zip(fields, v)) for v in value] if fields else value
+        return value
+
+    columns = [
+        pa.array([plain(r[i], arrow.field(i).type) for r in rows], type=arrow.field(i).type)
+        for i in range(len(arrow))
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema=struct)
