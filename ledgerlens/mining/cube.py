@@ -100,7 +100,7 @@ class Cube:
     """Aggregated cells plus the value domains that decode them."""
 
     layout: Layout
-    cells: DataFrame      # set_id, k*, s_<column>, n_<column>
+    cells: DataFrame      # set_id, k*, sum_of_<column>, rows_of_<column>
     domain: DataFrame     # dim_id, code, label
 
     @property
@@ -108,6 +108,10 @@ class Cube:
         return self.layout.config
 
 
+def aggregate_columns(config: ViewConfig) -> list[str]:
+    return [f"{kind}_of_{c}" for c in config.value_columns for kind in ("sum", "rows")]
+
+
 def finest_grain(view: DataFrame, config: ViewConfig) -> DataFrame:
     """One row per combination of dimension values, with sums and counts of every column.
 
@@ -117,7 +121,7 @@ def finest_grain(view: DataFrame, config: ViewConfig) -> DataFrame:
     aggs = []
     for c in config.value_columns:
         value = F.col(c).cast("double")
-        aggs += [F.sum(value).alias(f"s_{c}"), F.count(value).alias(f"n_{c}")]
+        aggs += [F.sum(value).alias(f"sum_of_{c}"), F.count(value).alias(f"rows_of_{c}")]
     dims = [F.col(d).cast("string").alias(d) for d in config.all_dims]
     return view.groupBy(*dims).agg(*aggs)
 
@@ -156,7 +160,7 @@ def pack(base: DataFrame, domain: DataFrame, layout: Layout) -> DataFrame:
             if layout.slots[dim][0] == w
         ]
         words.append(reduce(lambda a, b: a + b, parts).alias(f"w{w}"))
-    return packed.select(*words, *[c for c in base.columns if c[:2] in ("s_", "n_")])
+    return packed.select(*words, *aggregate_columns(config))
 
 
 def build_cube(view: DataFrame, config: ViewConfig) -> Cube:
@@ -177,7 +181,7 @@ def build_cube(view: DataFrame, config: ViewConfig) -> Cube:
         for dims, i in layout.grouping_sets.items()
     ])
     packed = pack(base, domain, layout)
-    sums = [c for c in packed.columns if c[:2] in ("s_", "n_")]
+    sums = aggregate_columns(config)
     spread = packed.withColumn("g", F.explode(sets)).select(
         F.col("g.set_id").alias("set_id"),
         *[F.col(f"w{w}").bitwiseAND(F.col(f"g.m{w}")).alias(f"k{w}") for w in range(layout.words)],
@@ -225,9 +229,9 @@ def points(cube: Cube) -> DataFrame:
     by_measure = F.array(*[
         F.struct(
             F.lit(i).alias("mid"),
-            (F.col(f"s_{m.source}") / F.nullif(F.col(f"n_{m.source}"), F.lit(0))
-             if m.agg == "avg" else F.coalesce(F.col(f"s_{m.source}"), F.lit(0.0))).alias("value"),
-            F.col(f"n_{m.source}").alias("n_rows"),
+            (F.col(f"sum_of_{m.source}") / F.nullif(F.col(f"rows_of_{m.source}"), F.lit(0))
+             if m.agg == "avg" else F.coalesce(F.col(f"sum_of_{m.source}"), F.lit(0.0))).alias("value"),
+            F.col(f"rows_of_{m.source}").alias("n_rows"),
         )
         for i, m in enumerate(config.measures)
     ])
@@ -266,10 +270,10 @@ def slice_shares(cube: Cube) -> DataFrame:
     )
     slices = cube.cells.join(F.broadcast(sets), "set_id")
     # the depth-0 slice is one row
-    whole = slices.filter(F.col("fset") == 0).select(*[f"s_{m}" for m in config.impact_measures]).first()
+    whole = slices.filter(F.col("fset") == 0).select(*[f"sum_of_{m}" for m in config.impact_measures]).first()
     totals = [(whole[j] or 0.0) if whole else 0.0 for j in range(len(config.impact_measures))]
     shares = [
-        (F.coalesce(F.col(f"s_{m}"), F.lit(0.0)) / F.lit(totals[j]) if totals[j] > 0 else F.lit(0.0)).alias(f"i_{j}")
+        (F.coalesce(F.col(f"sum_of_{m}"), F.lit(0.0)) / F.lit(totals[j]) if totals[j] > 0 else F.lit(0.0)).alias(f"i_{j}")
         for j, m in enumerate(config.impact_measures)
     ]
     out = slices.select("fset", *layout.keys, *shares)

@@ -178,6 +178,11 @@ def categorical_stats(points: DataFrame, scope: list[str], keep: list[str] = ())
     return ranked.groupBy(*scope).agg(*[F.first(k).alias(k) for k in keep], *aggs)
 
 
+def _p_order(p: Column) -> Column:
+    """Order of p-values that treats a difference in the last bits as a tie, won by the earlier split."""
+    return F.when(p <= 0, F.lit(-1e9)).otherwise(F.round(F.log10(F.when(p > 0, p)), 9))
+
+
 def temporal_stats(points: DataFrame, scope: list[str], keep: list[str] = ()) -> DataFrame:
     """Ordered-series statistics per scope."""
     whole = Window.partitionBy(*scope)
@@ -230,7 +235,7 @@ def temporal_stats(points: DataFrame, scope: list[str], keep: list[str] = ()) ->
         rho.alias("rho"),
         F.collect_list(F.when(F.abs(z) > OUTLIER_Z, far)).alias("far"),
         *[acf(k).alias(f"acf_{k}") for k in SEASON_LAGS],
-        F.min_by(F.struct("p", "label"), F.when(c("p") < CHANGE_P, F.struct("p", "i"))).alias("split"),
+        F.min_by(F.struct("p", "label"), F.when(c("p") < CHANGE_P, F.struct(_p_order(c("p")).alias("p"), "i"))).alias("split"),
         steps((c("step") > 0) & (c("i") <= c("i_max"))).alias("up_to_max"),
         steps((c("step") < 0) & (c("i") > c("i_max"))).alias("down_from_max"),
         steps((c("step") < 0) & (c("i") <= c("i_min"))).alias("down_to_min"),

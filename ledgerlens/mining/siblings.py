@@ -191,6 +191,8 @@ def group_impact(cube: Cube, groups: DataFrame, shares: DataFrame) -> DataFrame:
         "group_fset", F.when(F.col("strategy") == "breakdown", F.col("group_role")).otherwise(F.col("fset"))
     ).drop("fset")
     out = located.join(spread.unionByName(own), ["group_fset", "ext_id", *keys])
+    # equal shares may differ in the last bits of the sums; the first measure wins a tie
+    out = out.withColumns({f"i_{j}": F.round(f"i_{j}", 12) for j in measures})
     best = F.greatest(F.lit(0.0), *[F.col(f"i_{j}") for j in measures])
     name = F.coalesce(
         *[F.when((F.col(f"i_{j}") == best) & (best > 0), F.lit(m)) for j, m in enumerate(config.impact_measures)],
