@@ -1,6 +1,6 @@
 """Importing this package registers every query."""
 
 from ledgerlens.catalog.registry import EXPECTED_SQL, QUERIES
-from ledgerlens.catalog import mining_queries  # noqa: F401
+from ledgerlens.catalog import frame_queries, mining_queries, relational_queries  # noqa: F401
 
 __all__ = ["EXPECTED_SQL", "QUERIES"]
