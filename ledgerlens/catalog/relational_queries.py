@@ -225,14 +225,14 @@ def j01(t: Tables) -> DataFrame:
 @query("j02_left_rollups", """
 WITH a AS (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1),
      b AS (SELECT l_orderkey, max(l_tax) AS top_tax FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
-SELECT o_orderkey, a.lines, b.top_tax FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN b ON b.l_orderkey = o_orderkey""")
+SELECT o_orderkey, CAST(a.lines AS DOUBLE) AS lines, b.top_tax FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN b ON b.l_orderkey = o_orderkey""")
 def j02(t: Tables) -> DataFrame:
     lines = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
     returned = F.col("l_returnflag") == "R"
     # both child roll-ups share one aggregation over the same key
     return J.left_rollup(
         t.orders.select("o_orderkey"), lines, "o_orderkey",
-        F.count("*").alias("lines"), F.max(F.when(returned, F.col("l_tax"))).alias("top_tax"))
+        F.count("*").cast("double").alias("lines"), F.max(F.when(returned, F.col("l_tax"))).alias("top_tax"))
 
 
 @query("j03_constant_side_join", """
@@ -246,10 +246,10 @@ def j03(t: Tables) -> DataFrame:
 WITH a AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders FROM orders GROUP BY 1),
  b AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS lines FROM lineitem GROUP BY 1),
  c AS (SELECT strftime(ts, '%Y-%m') AS month, count(*) AS events FROM events GROUP BY 1)
-SELECT month, orders, lines, events FROM a FULL JOIN b USING (month) FULL JOIN c USING (month)""")
+SELECT month, CAST(orders AS DOUBLE) AS orders, CAST(lines AS DOUBLE) AS lines, CAST(events AS DOUBLE) AS events FROM a FULL JOIN b USING (month) FULL JOIN c USING (month)""")
 def j04(t: Tables) -> DataFrame:
     def per_month(df, date, name):
-        return df.groupBy(C.month_key(date).alias("month")).agg(F.count("*").alias(name))
+        return df.groupBy(C.month_key(date).alias("month")).agg(F.count("*").cast("double").alias(name))
 
     return per_month(t.orders, "o_orderdate", "orders").join(
         per_month(t.lineitem, "l_shipdate", "lines"), "month", "full").join(
@@ -507,12 +507,12 @@ def g02(t: Tables) -> DataFrame:
 
 
 @query("o01_sort_null_placement", """
-SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS position FROM documents LEFT JOIN labels USING (doc_id)
+SELECT doc_id, CAST(quality AS DOUBLE) AS quality, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS position FROM documents LEFT JOIN labels USING (doc_id)
 QUALIFY position <= 700""")
 def o01(t: Tables) -> DataFrame:
     from ledgerlens.operators.result_frames import sort_frame
 
-    rows = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    rows = t.documents.select("doc_id").join(t.labels.select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id", "left")
     top = sort_frame(rows, "quality", "desc", tie=["doc_id"]).limit(700)
     return top.withColumn("position", F.row_number().over(
         Window.orderBy(F.desc_nulls_first("quality"), "doc_id")).cast("long"))

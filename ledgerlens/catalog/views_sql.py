@@ -105,13 +105,14 @@ def event_view(t: Tables) -> DataFrame:
         "event_type", (F.col("user_id") % 7).cast("string").alias("user_group"),
         F.date_format("ts", "EEEE").alias("weekday"),
         F.date_format("ts", "yyyy-MM-dd").alias("day"),
-        F.col("value"), F.lit(1).alias("events"),
+        F.col("value"), F.lit(1).alias("events"), F.when(F.col("value") > 300, F.col("value")).otherwise(0.0).alias("spikes"),
     )
 
 
 EVENT_VIEW_SQL = """
 SELECT event_type, CAST(user_id % 7 AS VARCHAR) AS user_group, dayname(ts) AS weekday,
-       strftime(ts, '%Y-%m-%d') AS day, value, 1 AS events FROM events"""
+       strftime(ts, '%Y-%m-%d') AS day, value, 1 AS events,
+       CASE WHEN value > 300 THEN value ELSE 0.0 END AS spikes FROM events"""
 
 
 def event_config(depth: int = 1, **changes) -> ViewConfig:
@@ -119,7 +120,7 @@ def event_config(depth: int = 1, **changes) -> ViewConfig:
         name="events",
         dimensions=("event_type", "user_group", "weekday"),
         temporal_dimensions=("day",),
-        measures=(Measure("value"), Measure("events"), Measure("mean_value", "avg", "value")),
+        measures=(Measure("value"), Measure("events"), Measure("mean_value", "avg", "value"), Measure("spikes")),
         impact_measures=("value",),
         max_subspace_depth=depth,
     )

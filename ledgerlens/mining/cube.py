@@ -221,8 +221,11 @@ def role_table(cube: Cube) -> DataFrame:
     return inline_table(spark, rows, schema)
 
 
-def points(cube: Cube) -> DataFrame:
-    """Every distribution point: role, slice key, measure id, label code, label, value."""
+def points(cube: Cube, as_sums: bool = False) -> DataFrame:
+    """Every distribution point: role, slice key, measure id, label code, label, value.
+
+    With `as_sums` the averaged measures are read as sums of their column too.
+    """
     layout, config = cube.layout, cube.config
     read = cube.cells.join(F.broadcast(role_table(cube)), "set_id")
     code = layout.code_of(F.col("word"), F.col("shift"), F.col("bits"))
@@ -230,7 +233,7 @@ def points(cube: Cube) -> DataFrame:
         F.struct(
             F.lit(i).alias("mid"),
             (F.col(f"sum_of_{m.source}") / F.nullif(F.col(f"rows_of_{m.source}"), F.lit(0))
-             if m.agg == "avg" else F.coalesce(F.col(f"sum_of_{m.source}"), F.lit(0.0))).alias("value"),
+             if m.agg == "avg" and not as_sums else F.coalesce(F.col(f"sum_of_{m.source}"), F.lit(0.0))).alias("value"),
             F.col(f"rows_of_{m.source}").alias("n_rows"),
         )
         for i, m in enumerate(config.measures)

@@ -199,7 +199,7 @@ def return_lines(t: Tables) -> DataFrame:
 
 
 def equity_cube(t: Tables) -> DataFrame:
-    """Grain: nation x segment. Coverage, amount per head and representation index."""
+    """Grain: nation x segment. Coverage, amount and representation index."""
     people = customer_places(t)
     active = t.orders.groupBy(c("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("price"))
     cells = people.join(active, "c_custkey", "left").groupBy("n_name", "c_mktsegment").agg(
@@ -209,7 +209,7 @@ def equity_cube(t: Tables) -> DataFrame:
     share = C.safe_ratio("price", "t_p")
     return joined.select(
         "n_name", "c_mktsegment", "customers", "with_orders", F.round(c("with_orders") / c("customers"), 6).alias("coverage"),
-        F.round(c("price") / c("customers"), 3).alias("per_head"),
+        F.round("price", 2).alias("price"),
         F.round(share / C.safe_ratio("customers", "t_c"), 6).alias("representation"))
 
 
