@@ -7,6 +7,8 @@ from ledgerlens.catalog import (  # noqa: F401
     ranking_queries,
     relational_queries,
     source_queries,
+    template_queries,
+    text_queries,
     view_queries,
 )
 

@@ -77,3 +77,9 @@ def content_hash(df: DataFrame, order: list[str]) -> DataFrame:
     sums = df.select(row.alias("h")).agg(F.count("*").alias("row_count"), *pieces)
     return sums.select(
         "row_count", F.sha2(F.concat_ws(":", *[F.col(f"s{i}").cast("string") for i in range(4)]), 256).alias("content_hash"))
+
+
+def bounded_store(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:
+    """The k best rows, one per key. At the cut a score tie keeps the larger key; the output lists the smaller first."""
+    best = one_per_key(df, [key], [F.desc(score), F.desc(tie)])
+    return best.orderBy(F.desc(score), F.desc(key)).limit(k).orderBy(F.desc(score), F.asc(key))
