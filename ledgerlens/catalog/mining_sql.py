@@ -36,6 +36,12 @@ def _present(dims) -> str:
     return " AND ".join(f"{d} IS NOT NULL" for d in dims) or "TRUE"
 
 
+def settled(v: str) -> str:
+    """The value to 12 significant digits."""
+    scale = f"pow(10.0, 11 - floor(log10(abs({v}))))"
+    return f"CASE WHEN {v} = 0 THEN 0.0 ELSE round_even(({v}) * {scale}, 0) / {scale} END"
+
+
 def ctes(view_sql: str, cfg: ViewConfig) -> list[str]:
     """Common table expressions: v, slices, shares, pts, hits and findings."""
     cells, slices = [], []
@@ -60,11 +66,11 @@ def ctes(view_sql: str, cfg: ViewConfig) -> list[str]:
         if skip:
             keep += " AND breakdown NOT IN (" + ", ".join(f"'{b}'" for b in skip) + ")"
         values.append(
-            f"SELECT {F}, breakdown, temporal, label, '{m.name}' AS measure, {value} AS value, n_{m.source} AS n_rows "
+            f"SELECT {F}, breakdown, temporal, label, '{m.name}' AS measure, {settled(value)} AS value, n_{m.source} AS n_rows "
             f"FROM cells WHERE {keep}"
         )
     share = ", ".join(
-        f"CASE WHEN t.s_{m} > 0 THEN coalesce(s.s_{m}, 0.0) / t.s_{m} ELSE 0.0 END AS i_{j}"
+        f"CASE WHEN t.s_{m} > 0 THEN round(coalesce(s.s_{m}, 0.0) / t.s_{m}, 12) ELSE 0.0 END AS i_{j}"
         for j, m in enumerate(cfg.impact_measures)
     )
     best = ", ".join(f"i_{j}" for j in range(len(cfg.impact_measures)))

@@ -74,8 +74,8 @@ SELECT count(*) AS documents, count(*) FILTER (quality IS NULL) AS unlabelled, c
     "q21_persistence": ("Q21", {"k": 6}, f"""
 SELECT o_custkey, count(DISTINCT {FISCAL}) AS years, count(*) AS orders FROM orders GROUP BY 1 HAVING count(DISTINCT {FISCAL}) >= 6"""),
     "q22_quadrant": ("Q22", {}, f"""
-WITH n AS (SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS price FROM {PLACED} GROUP BY 1)
-SELECT n_name, orders, price FROM n WHERE price > (SELECT avg(price) FROM n) AND orders < (SELECT avg(orders) FROM n)"""),
+WITH n AS (SELECT n_name, c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS price FROM {PLACED} GROUP BY 1, 2)
+SELECT n_name, c_mktsegment, orders, price FROM n WHERE price > (SELECT avg(price) FROM n) AND orders < (SELECT avg(orders) FROM n)"""),
     "q23_code_universe": ("Q23", {}, """
 SELECT p_partkey, p_name, count(l_partkey) AS lines FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(l_partkey) < 20"""),
     "q24_receipts_payments_balance": ("Q24", {}, """
@@ -88,7 +88,7 @@ SELECT user_id, round(sum(CASE WHEN event_type IN ('purchase', 'signup') THEN va
 def _register(name: str, template: str, values: dict, sql: str) -> None:
     @query(name, sql)
     def run(t: Tables) -> DataFrame:
-        t.register()
+        t.register(TEMPLATES[template].tables)
         return TEMPLATES[template].run(t.spark, values)
 
 

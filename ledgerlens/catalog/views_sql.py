@@ -153,3 +153,44 @@ def document_config(depth: int = 1, **changes) -> ViewConfig:
     )
     settings.update(changes)
     return ViewConfig(**settings)
+
+
+def wide_view(t: Tables) -> DataFrame:
+    """One row per order line with fourteen dimensions, three time grains and eight measures."""
+    c = F.col
+    makers = t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).select(
+        "s_suppkey", c("n_name").alias("s_nation"))
+    joined = (
+        t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey"))
+        .join(t.customer, c("o_custkey") == c("c_custkey"))
+        .join(t.nation, c("c_nationkey") == c("n_nationkey"))
+        .join(t.region, c("n_regionkey") == c("r_regionkey"))
+        .join(t.part, c("l_partkey") == c("p_partkey"))
+        .join(makers, c("l_suppkey") == c("s_suppkey"))
+    )
+    return with_periods(joined, "o_orderdate").select(
+        "r_name", "n_name", "c_mktsegment", "o_orderpriority", "o_orderstatus", "l_returnflag", "l_linestatus",
+        "p_brand", "p_type", "s_nation", c("l_discount").cast("string").alias("discount_step"),
+        c("l_tax").cast("string").alias("tax_step"), F.date_format("l_shipdate", "E").alias("weekday"),
+        F.floor(c("l_quantity") / 10).cast("string").alias("quantity_band"), "month", "quarter", "year",
+        c("l_quantity").alias("quantity"), c("l_extendedprice").alias("price"),
+        (c("l_extendedprice") * (1 - c("l_discount"))).alias("revenue"), F.lit(1).alias("lines"),
+        c("l_discount").alias("discount"), c("p_retailprice").alias("retail"), c("o_totalprice").alias("order_total"),
+        c("c_acctbal").alias("balance"),
+    )
+
+
+def wide_config(depth: int = 2, **changes) -> ViewConfig:
+    settings = dict(
+        name="wide",
+        dimensions=("r_name", "n_name", "c_mktsegment", "o_orderpriority", "o_orderstatus", "l_returnflag", "l_linestatus",
+                    "p_brand", "p_type", "s_nation", "discount_step", "tax_step", "weekday", "quantity_band"),
+        temporal_dimensions=("month", "quarter", "year"),
+        measures=(Measure("quantity"), Measure("price"), Measure("revenue"), Measure("lines"),
+                  Measure("mean_discount", "avg", "discount"), Measure("mean_retail", "avg", "retail"),
+                  Measure("mean_total", "avg", "order_total"), Measure("mean_balance", "avg", "balance")),
+        impact_measures=("revenue", "lines"),
+        max_subspace_depth=depth,
+    )
+    settings.update(changes)
+    return ViewConfig(**settings)

@@ -1,9 +1,10 @@
 """The slice cube: every (filters, breakdown) cell of a view in one aggregation.
 
 Every dimension value gets a small integer code, and the codes of one row are packed into
-one or more longs. A cell of the cube is then `packed & mask`, so a row serves all its
-grouping sets by a bit operation per set, and the shuffle carries (set, long, sums) after
-the map-side combine instead of one wide string key per grouping set.
+one or more longs. A cell of the cube is then `packed & mask`, so a row serves a grouping set
+by one bit operation, and the shuffle carries (set, long, sums) after the map-side combine
+instead of one wide string key per grouping set. Rows are first aggregated to a few wide sets,
+and the many narrow sets are read from those cells.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ledgerlens.mining.config import ViewConfig
 from ledgerlens.session import cut_lineage, inline_table
 
 WORD_BITS = 62
+# a wide set may have at most one cell per this many rows, so aggregating it shrinks the rows
+CELLS_PER_ROW_SHARE = 16
 
 
 @dataclass(frozen=True)
@@ -173,22 +176,72 @@ def build_cube(view: DataFrame, config: ViewConfig) -> Cube:
     sizes = {d: found.get(i, 0) for i, d in enumerate(config.all_dims)}
     layout = Layout(config, sizes)
 
-    sets = F.array(*[
+    rows = base.count()
+    wide = cover(layout, rows // CELLS_PER_ROW_SHARE)
+    partial = _aggregate(pack(base, domain, layout), layout, {s: i for i, s in enumerate(wide)}, "wide_id")
+    cells = _narrow(partial, layout, wide)
+    return Cube(layout, cut_lineage(_drop_null_codes(cells, layout), "cells"), domain)
+
+
+def cover(layout: Layout, budget: int) -> dict[frozenset, list[frozenset]]:
+    """Wider sets of at most `budget` cells that contain the grouping sets: wide set -> sets taken from it.
+
+    Rows are aggregated once per wide set, and the grouping sets are then aggregated from the wide
+    sets' cells. The more rows there are, the wider the sets and the fewer passes a row takes part
+    in. A grouping set with more cells than the budget stands for itself.
+    """
+    size = {d: layout.sizes.get(d, 0) + 1 for d in layout.config.all_dims}
+
+    def cells(dims) -> int:
+        return reduce(lambda n, d: n * size[d], dims, 1)
+
+    left = sorted(layout.grouping_sets, key=lambda s: (-cells(s), sorted(s)))
+    out: dict[frozenset, list[frozenset]] = {}
+    while left:
+        wide = left[0]
+        while True:
+            fits = [d for d in layout.config.all_dims if d not in wide and cells(wide) * size[d] <= budget]
+            if not fits:
+                break
+            gain = {d: sum(s <= wide | {d} for s in left) for d in fits}
+            wide = wide | {max(fits, key=lambda d: (gain[d] / size[d], d))}
+        out[wide] = [s for s in left if s <= wide]
+        left = [s for s in left if not s <= wide]
+    return out
+
+
+def _set_masks(layout: Layout, sets: dict[frozenset, int]) -> list[Column]:
+    return [
         F.struct(
-            F.lit(i).alias("set_id"),
+            F.lit(i).alias("id"),
             *[F.lit(m).cast("long").alias(f"m{w}") for w, m in enumerate(layout.mask(dims))],
         )
-        for dims, i in layout.grouping_sets.items()
-    ])
-    packed = pack(base, domain, layout)
-    sums = aggregate_columns(config)
-    spread = packed.withColumn("g", F.explode(sets)).select(
-        F.col("g.set_id").alias("set_id"),
-        *[F.col(f"w{w}").bitwiseAND(F.col(f"g.m{w}")).alias(f"k{w}") for w in range(layout.words)],
+        for dims, i in sets.items()
+    ]
+
+
+def _aggregate(packed: DataFrame, layout: Layout, sets: dict[frozenset, int], name: str) -> DataFrame:
+    """Sums of every set over the packed rows, combined on the map side before the shuffle."""
+    sums = aggregate_columns(layout.config)
+    spread = packed.withColumn("g", F.explode(F.array(*_set_masks(layout, sets)))).select(
+        F.col("g.id").alias(name),
+        *[F.col(f"w{w}").bitwiseAND(F.col(f"g.m{w}")).alias(k) for w, k in enumerate(layout.keys)],
         *sums,
     )
-    cells = spread.groupBy("set_id", *layout.keys).agg(*[F.sum(c).alias(c) for c in sums])
-    return Cube(layout, cut_lineage(_drop_null_codes(cells, layout), "cells"), domain)
+    return spread.groupBy(name, *layout.keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _narrow(partial: DataFrame, layout: Layout, wide: dict[frozenset, list[frozenset]]) -> DataFrame:
+    """Aggregate each grouping set from the cells of its wide set."""
+    sums = aggregate_columns(layout.config)
+    rows = [
+        (i, layout.grouping_sets[s], *layout.mask(s)) for i, sets in enumerate(wide.values()) for s in sets
+    ]
+    schema = "wide_id int, set_id int, " + ", ".join(f"m{w} long" for w in range(layout.words))
+    taken = inline_table(partial.sparkSession, rows, schema)
+    spread = partial.join(F.broadcast(taken), "wide_id").select(
+        "set_id", *[F.col(k).bitwiseAND(F.col(f"m{w}")).alias(k) for w, k in enumerate(layout.keys)], *sums)
+    return spread.groupBy("set_id", *layout.keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def _drop_null_codes(cells: DataFrame, layout: Layout) -> DataFrame:
@@ -221,6 +274,12 @@ def role_table(cube: Cube) -> DataFrame:
     return inline_table(spark, rows, schema)
 
 
+def settled(value: Column, digits: int = 12) -> Column:
+    """The value to 12 significant digits, so the order in which doubles were added decides no tie."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(value))))
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.rint(value * scale) / scale)
+
+
 def points(cube: Cube, as_sums: bool = False) -> DataFrame:
     """Every distribution point: role, slice key, measure id, label code, label, value.
 
@@ -232,8 +291,9 @@ def points(cube: Cube, as_sums: bool = False) -> DataFrame:
     by_measure = F.array(*[
         F.struct(
             F.lit(i).alias("mid"),
-            (F.col(f"sum_of_{m.source}") / F.nullif(F.col(f"rows_of_{m.source}"), F.lit(0))
-             if m.agg == "avg" and not as_sums else F.coalesce(F.col(f"sum_of_{m.source}"), F.lit(0.0))).alias("value"),
+            settled(F.col(f"sum_of_{m.source}") / F.nullif(F.col(f"rows_of_{m.source}"), F.lit(0))
+                    if m.agg == "avg" and not as_sums
+                    else F.coalesce(F.col(f"sum_of_{m.source}"), F.lit(0.0))).alias("value"),
             F.col(f"rows_of_{m.source}").alias("n_rows"),
         )
         for i, m in enumerate(config.measures)
@@ -276,7 +336,8 @@ def slice_shares(cube: Cube) -> DataFrame:
     whole = slices.filter(F.col("fset") == 0).select(*[f"sum_of_{m}" for m in config.impact_measures]).first()
     totals = [(whole[j] or 0.0) if whole else 0.0 for j in range(len(config.impact_measures))]
     shares = [
-        (F.coalesce(F.col(f"sum_of_{m}"), F.lit(0.0)) / F.lit(totals[j]) if totals[j] > 0 else F.lit(0.0)).alias(f"i_{j}")
+        (F.round(F.coalesce(F.col(f"sum_of_{m}"), F.lit(0.0)) / F.lit(totals[j]), 12) if totals[j] > 0 else F.lit(0.0))
+        .alias(f"i_{j}")
         for j, m in enumerate(config.impact_measures)
     ]
     out = slices.select("fset", *layout.keys, *shares)

@@ -6,11 +6,14 @@ a given value is pushed to the scan like any written predicate.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.tables import TABLES
+
 MAX_TOP_N = 1000
 DEFAULT_TOP_N = 10
 
@@ -34,6 +37,10 @@ class Template:
     optional: tuple[str, ...] = ()
     defaults: tuple[tuple[str, Any], ...] = ()
 
+    @property
+    def tables(self) -> list[str]:
+        return [t for t in TABLES if re.search(rf"\b{t}\b", self.sql)]
+
     def bind(self, values: dict[str, Any]) -> dict[str, Any]:
         """One value per name: required ones must be there, optional ones become NULL."""
         known = set(self.required) | set(self.optional) | {k for k, _ in self.defaults}
@@ -149,10 +156,12 @@ SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHER
     Template("Q21", "Which customers ordered in at least k years?", f"""
 SELECT o_custkey, count(DISTINCT {FISCAL}) AS years, count(*) AS orders FROM orders GROUP BY o_custkey HAVING count(DISTINCT {FISCAL}) >= :k""",
              defaults=(("k", 5),)),
-    # high and low mean above and below the average of all nations; the thresholds are our own choice
-    Template("Q22", "Which nations have high spending but few orders?", f"""
-SELECT n_name, orders, price FROM (SELECT n_name, orders, price, avg(price) OVER () AS mp, avg(orders) OVER () AS mo FROM (
-  SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS price FROM {PLACED} GROUP BY n_name)) WHERE price > mp AND orders < mo"""),
+    # high and low mean above and below the average of all cells; the thresholds are our own choice
+    Template("Q22", "Which segments of which nations have high spending but few orders?", f"""
+SELECT n_name, c_mktsegment, orders, price FROM (
+  SELECT n_name, c_mktsegment, orders, price, avg(price) OVER () AS mp, avg(orders) OVER () AS mo FROM (
+    SELECT n_name, c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS price FROM {PLACED} GROUP BY n_name, c_mktsegment))
+WHERE price > mp AND orders < mo"""),
     Template("Q23", "Which parts have fewer than n lines?", """
 SELECT p_partkey, p_name, coalesce(lines, 0) AS lines FROM part LEFT JOIN (SELECT l_partkey, count(*) AS lines FROM lineitem GROUP BY l_partkey)
   ON l_partkey = p_partkey WHERE coalesce(lines, 0) < :n""", defaults=(("n", 20),)),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -10,8 +13,14 @@ TABLES = (
 )
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 class Tables:
-    """`Tables(spark, folder).orders` is a lazy scan of `folder/orders.parquet`."""
+    """`Tables(spark, folder).orders` is a lazy scan of `folder/orders.parquet`.
+
+    A table's schema is read from its footer once per session and declared on later scans.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -20,8 +29,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-    def register(self) -> None:
-        for name in TABLES:
+        path = f"{self.folder}/{name}.parquet"
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+    def register(self, names: Iterable[str] = TABLES) -> None:
+        for name in names:
             getattr(self, name).createOrReplaceTempView(name)
