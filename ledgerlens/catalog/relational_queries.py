@@ -133,10 +133,10 @@ def p12(t: Tables) -> DataFrame:
 
 
 @query("p13_safe_ratio", """
-SELECT c_custkey, round(c_acctbal / nullif(p_size - 10, 0), 6) AS ratio FROM customer LEFT JOIN part ON p_partkey = c_custkey""")
+SELECT c_custkey, round(c_acctbal / nullif(p_size - 10, 0), 8) AS ratio FROM customer LEFT JOIN part ON p_partkey = c_custkey""")
 def p13(t: Tables) -> DataFrame:
     joined = t.customer.join(t.part, F.col("p_partkey") == F.col("c_custkey"), "left")
-    return joined.select("c_custkey", F.round(C.safe_ratio("c_acctbal", (F.col("p_size") - 10).cast("double")), 6).alias("ratio"))
+    return joined.select("c_custkey", F.round(C.safe_ratio("c_acctbal", (F.col("p_size") - 10).cast("double")), 8).alias("ratio"))
 
 
 @query("p14_signed_difference", """
