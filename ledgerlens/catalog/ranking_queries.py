@@ -152,7 +152,15 @@ def r09(t: Tables) -> DataFrame:
     return out.withColumn("top_score", F.round("top_score", 6))
 
 
-@query("r10_dual_ranking")
+def _dual_sql(gamma: float) -> str:
+    rescored = (
+        f"cg AS (SELECT * EXCLUDE (score, rs), sg AS score, round(sg, 12) AS rs FROM (SELECT *, {_G.format(e=_ENT).replace('gamma', str(gamma))} * impact AS sg "
+        "FROM cand) WHERE sg > 0)")
+    body = ms.statement(cand_ctes("orders") + [rescored] + greedy_ctes("cg"), "SELECT id AS finding_id, CAST(view_rank AS INTEGER) AS view_rank FROM ranked")
+    return f"SELECT CAST({gamma} AS DOUBLE) AS gamma, * FROM ({body.replace('WITH ', 'WITH RECURSIVE ', 1)})"
+
+
+@query("r10_dual_ranking", _dual_sql(0.1) + " UNION ALL " + _dual_sql(0.5))
 def r10(t: Tables) -> DataFrame:
     scored = R.gamma_rescored(mining(t).findings, [0.1, 0.5], 0.5).filter("score > 0")
     return R.rank(scored, 1, group=F.col("gamma")).select(F.col("group").cast("double").alias("gamma"), "finding_id", "view_rank")

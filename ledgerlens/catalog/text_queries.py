@@ -159,14 +159,9 @@ def n09(t: Tables) -> DataFrame:
         "o_orderkey", F.date_format("d.deadline", "yyyy-MM-dd").alias("deadline"), "d.error")
 
 
-@query("n10_slot_vocabulary", """
-SELECT p_brand AS value, count(*) AS uses, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS position FROM part GROUP BY p_brand""")
+@query("n10_slot_vocabulary", "SELECT p_brand AS value, count(*) AS uses FROM part GROUP BY p_brand")
 def n10(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    counts = t.part.groupBy(F.col("p_brand").alias("value")).agg(F.count("*").alias("uses"))
-    # positions over distinct values only, which the group-by has already reduced
-    return counts.withColumn("position", F.row_number().over(Window.orderBy(F.desc("uses"), "value")).cast("long"))
+    return R.vocabulary(t.part, "p_brand")
 
 
 def _queries(t: Tables) -> list[tuple[str, list[float]]]:

@@ -22,6 +22,7 @@ from ledgerlens.session import cut_lineage, inline_table
 WORD_BITS = 62
 # a wide set may have at most one cell per this many rows, so aggregating it shrinks the rows
 CELLS_PER_ROW_SHARE = 16
+DOMAIN_BUCKETS = 256
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,11 @@ class Layout:
     config: ViewConfig
     sizes: dict[str, int]
 
+    @property
+    def ordered_codes(self) -> bool:
+        """Codes follow the label order while every domain is small enough to be sorted in one task."""
+        return max(self.sizes.values(), default=0) <= self.config.broadcast_domain_limit
+
     @cached_property
     def slots(self) -> dict[str, tuple[int, int, int]]:
         """dim -> (word, shift, bits); code 0 is kept for null."""
@@ -129,8 +135,8 @@ def finest_grain(view: DataFrame, config: ViewConfig) -> DataFrame:
     return view.groupBy(*dims).agg(*aggs)
 
 
-def value_domain(base: DataFrame, config: ViewConfig) -> DataFrame:
-    """Non-null values of each dimension, coded 1.. in label order."""
+def distinct_values(base: DataFrame, config: ViewConfig) -> DataFrame:
+    """Non-null values of each dimension."""
     pairs = base.select(
         F.explode(
             F.array(*[
@@ -139,11 +145,27 @@ def value_domain(base: DataFrame, config: ViewConfig) -> DataFrame:
             ])
         ).alias("p")
     ).select("p.*")
-    values = pairs.filter(F.col("label").isNotNull()).distinct()
+    return pairs.filter(F.col("label").isNotNull()).distinct()
+
+
+def coded_in_order(values: DataFrame) -> DataFrame:
+    """Codes 1.. in label order; one task sorts one dimension, so for domains of checked size."""
     by_label = Window.partitionBy("dim_id").orderBy("label")
     return values.withColumn("code", F.row_number().over(by_label))
 
 
+def coded_in_buckets(values: DataFrame) -> DataFrame:
+    """Dense codes for domains of any size, in no order: numbered within hash buckets, plus the bucket's offset."""
+    bucketed = values.withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(DOMAIN_BUCKETS)).cast("int"))
+    sizes = bucketed.groupBy("dim_id", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("dim_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("dim_id", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    within = Window.partitionBy("dim_id", "bucket").orderBy("label")
+    numbered = bucketed.withColumn("rn", F.row_number().over(within))
+    return numbered.join(F.broadcast(offsets), ["dim_id", "bucket"]).select(
+        "dim_id", "label", (F.col("skip") + F.col("rn")).cast("int").alias("code"))
+
+
 def pack(base: DataFrame, domain: DataFrame, layout: Layout) -> DataFrame:
     """Replace the dimension columns by the packed code words."""
     config = layout.config
@@ -170,11 +192,13 @@ def build_cube(view: DataFrame, config: ViewConfig) -> Cube:
     """Aggregate every grouping set that a scope of depth <= max_subspace_depth needs."""
     # each stage is a table in the shared folder: plans stay short and a lost executor costs one stage
     base = cut_lineage(finest_grain(view, config), "base")
-    domain = cut_lineage(value_domain(base, config), "domain")
+    values = cut_lineage(distinct_values(base, config), "values")
     # one row per dimension reaches the driver
-    found = {r["dim_id"]: r["n"] for r in domain.groupBy("dim_id").agg(F.count("*").alias("n")).collect()}
+    found = {r["dim_id"]: r["n"] for r in values.groupBy("dim_id").agg(F.count("*").alias("n")).collect()}
     sizes = {d: found.get(i, 0) for i, d in enumerate(config.all_dims)}
     layout = Layout(config, sizes)
+    coded = coded_in_order(values) if layout.ordered_codes else coded_in_buckets(values)
+    domain = cut_lineage(coded, "domain")
 
     rows = base.count()
     wide = cover(layout, rows // CELLS_PER_ROW_SHARE)

@@ -57,7 +57,7 @@ def value_stats(run: Mining, found: DataFrame) -> DataFrame:
     total = F.when(F.col("mid").isin(*sums), F.sum("value").over(whole))
     ranked = pts.withColumns({
         "total": total, "n_values": F.count("*").over(whole),
-        "position": F.row_number().over(whole.orderBy(F.desc("value"), "code")),
+        "position": F.row_number().over(whole.orderBy(F.desc("value"), "label")),
     }).withColumn("highlighted", F.array_contains(F.split("highlight", "\\|"), F.col("label")))
     shown = (F.col("position") <= TOP) | (F.col("position") > F.col("n_values") - BOTTOM) | F.col("highlighted")
     return ranked.filter(shown).select(
@@ -87,7 +87,7 @@ def intensity_companion(run: Mining, found: DataFrame, companions: dict[str, str
     out = None
     for total, mean in companions.items():
         pts = _beside(run, found.filter(F.col("measure") == total), mean).filter(~F.col("temporal"))
-        order = Window.partitionBy("finding_id").orderBy(F.desc("value"), "code")
+        order = Window.partitionBy("finding_id").orderBy(F.desc("value"), "label")
         part = pts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= TOP).select(
             "finding_id", "position", "label", F.lit(mean).alias("companion"), F.col("value").alias("mean_value"), "n_rows")
         out = part if out is None else out.unionByName(part)
@@ -107,16 +107,15 @@ def utilisation_companion(run: Mining, found: DataFrame, numerator: str, denomin
 
 def earmark_deviation(df: DataFrame, purpose: str, amount: str, purposes: list[str], slice_column: str | None = None) -> DataFrame:
     """Share of an earmarked amount that sits on its named purposes, and the residue by purpose."""
-    keys = [slice_column] if slice_column else []
-    by_purpose = df.groupBy(*keys, purpose).agg(F.sum(amount).alias("amount"))
-    whole = F.sum("amount").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1)))
+    keyed = df.withColumn("__slice", F.col(slice_column) if slice_column else F.lit(""))
     inside = F.col(purpose).isin(*purposes)
-    on_purpose = F.sum(F.when(inside, F.col("amount")).otherwise(0.0)).over(
-        Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1)))
-    return by_purpose.withColumns({"total": whole, "earmarked": on_purpose}).filter(
-        (F.col("total") > 0) & ~inside & (F.col("amount") > 0)).select(
-        *keys, F.col(purpose).alias("residue_purpose"), F.col("amount").alias("residue"),
-        (F.col("earmarked") / F.col("total") * 100).alias("earmarked_pct"))
+    by_purpose = keyed.groupBy("__slice", purpose).agg(F.sum(amount).alias("amount"))
+    totals = by_purpose.groupBy("__slice").agg(
+        F.sum("amount").alias("total"), F.sum(F.when(inside, F.col("amount")).otherwise(0.0)).alias("earmarked"))
+    residue = by_purpose.join(totals, "__slice").filter((F.col("total") > 0) & ~inside & (F.col("amount") > 0))
+    return residue.select(
+        *([F.col("__slice").alias(slice_column)] if slice_column else []), F.col(purpose).alias("residue_purpose"),
+        F.col("amount").alias("residue"), (F.col("earmarked") / F.col("total") * 100).alias("earmarked_pct"))
 
 
 def boundary_caveat(found: DataFrame, members: DataFrame, count_measures: list[str], year_dim: str,

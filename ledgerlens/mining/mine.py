@@ -45,7 +45,9 @@ class Mining:
 
     @cached_property
     def scopes(self) -> DataFrame:
-        found = scope_patterns(self.points, self.cube.layout.keys, self.config)
+        layout = self.cube.layout
+        order = "code" if layout.ordered_codes else "label"
+        found = scope_patterns(self.points, layout.keys, self.config, order)
         return cut_lineage(siblings.with_seed_and_support(self.cube, found, self.shares), "scopes")
 
     @cached_property

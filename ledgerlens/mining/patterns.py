@@ -153,12 +153,12 @@ def hits_column(tests: dict[str, Callable[[ViewConfig], Column]], config: ViewCo
     return F.filter(found, lambda h: h["highlight"].isNotNull())
 
 
-def categorical_stats(points: DataFrame, scope: list[str], keep: list[str] = ()) -> DataFrame:
+def categorical_stats(points: DataFrame, scope: list[str], keep: list[str] = (), order: str = "code") -> DataFrame:
     """Moments and three extremes at either end per scope, with the moments of the rest."""
     by_scope = Window.partitionBy(*scope)
     ranked = points.withColumns({
-        "hi": F.row_number().over(by_scope.orderBy(F.desc("value"), "code")),
-        "lo": F.row_number().over(by_scope.orderBy("value", "code")),
+        "hi": F.row_number().over(by_scope.orderBy(F.desc("value"), order)),
+        "lo": F.row_number().over(by_scope.orderBy("value", order)),
     })
 
     def at(rank: str, i: int, what: str) -> Column:
@@ -183,12 +183,12 @@ def _p_order(p: Column) -> Column:
     return F.when(p <= 0, F.lit(-1e9)).otherwise(F.round(F.log10(F.when(p > 0, p)), 9))
 
 
-def temporal_stats(points: DataFrame, scope: list[str], keep: list[str] = ()) -> DataFrame:
+def temporal_stats(points: DataFrame, scope: list[str], keep: list[str] = (), order: str = "code") -> DataFrame:
     """Ordered-series statistics per scope."""
     whole = Window.partitionBy(*scope)
-    ordered = whole.orderBy("code")
+    ordered = whole.orderBy(order)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    from_here = whole.orderBy(F.desc("code")).rowsBetween(Window.unboundedPreceding, 0)
+    from_here = whole.orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     c = F.col
     series = points.withColumns({
         "n": F.count("value").over(whole),
@@ -223,7 +223,7 @@ def temporal_stats(points: DataFrame, scope: list[str], keep: list[str] = ()) ->
 
     z = (c("value") - c("mean")) / F.nullif(c("sd"), F.lit(0.0))
     far = F.struct(
-        c("code"), F.concat("label", F.lit(":"), F.when(z > 0, "ABOVE").otherwise("BELOW")).alias("text")
+        c(order), F.concat("label", F.lit(":"), F.when(z > 0, "ABOVE").otherwise("BELOW")).alias("text")
     )
     rho = F.covar_pop("i", "rank") / F.nullif(F.stddev_pop("i") * F.stddev_pop("rank"), F.lit(0.0))
     stats = series.groupBy(*scope).agg(
@@ -273,13 +273,16 @@ def welch(series: DataFrame) -> DataFrame:
     return out.withColumn("p", F.when(c("flat_shift"), F.lit(0.0)).otherwise(p))
 
 
-def scope_patterns(points: DataFrame, keys: list[str], config: ViewConfig) -> DataFrame:
-    """One row per scope with the array of patterns that hold in it."""
+def scope_patterns(points: DataFrame, keys: list[str], config: ViewConfig, order: str = "code") -> DataFrame:
+    """One row per scope with the array of patterns that hold in it.
+
+    `order` is the column that carries the label order: the code, or the label where codes have no order.
+    """
     scope = ["role", *keys, "mid"]
     keep = ["fset", "dim_id", "temporal"]
     out = [*scope, *keep, "n", "nonzero"]
-    cat = categorical_stats(points.filter(~F.col("temporal")), scope, keep)
-    tem = temporal_stats(points.filter(F.col("temporal")), scope, keep)
+    cat = categorical_stats(points.filter(~F.col("temporal")), scope, keep, order)
+    tem = temporal_stats(points.filter(F.col("temporal")), scope, keep, order)
     return cat.select(*out, hits_column(CATEGORICAL, config).alias("hits")).unionByName(
         tem.select(*out, hits_column(TEMPORAL, config).alias("hits"))
     )

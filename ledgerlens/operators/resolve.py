@@ -18,6 +18,12 @@ SUGGESTION_REGISTRY_LIMIT = 20_000
 MAX_CANDIDATES = 12
 
 
+def vocabulary(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values, most frequent first."""
+    return df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
+        F.count("*").alias("uses")).orderBy(F.desc("uses"), "value")
+
+
 def similarity(a: Column, b: Column) -> Column:
     return (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))) * 100
 

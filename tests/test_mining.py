@@ -137,3 +137,10 @@ def test_thin_series_go_to_the_data_quality_list(spark):
     from ledgerlens.mining.enrich import support_profile
 
     assert [r["series_below_guard"] for r in support_profile(run).collect()] == [6]
+
+
+def test_bucket_codes_are_dense_and_unique(spark):
+    values = spark.createDataFrame([(d, f"v{i}") for d in (0, 1) for i in range(500 + d)], "dim_id int, label string")
+    for d, n in ((0, 500), (1, 501)):
+        codes = sorted(r["code"] for r in C.coded_in_buckets(values).filter(F.col("dim_id") == d).collect())
+        assert codes == list(range(1, n + 1))
