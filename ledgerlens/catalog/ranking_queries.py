@@ -14,6 +14,7 @@ from ledgerlens.mining import enrich as E
 from ledgerlens.mining import ranking as R
 from ledgerlens.mining.siblings import entropy_bound
 from ledgerlens.operators.aggregates import content_hash
+from ledgerlens.session import cut_lineage
 from ledgerlens.tables import Tables
 
 GAMMAS = [0.1, 0.3, 0.5, 0.7, 0.9]
@@ -181,8 +182,18 @@ def r12(t: Tables) -> DataFrame:
     return R.coverage({"orders": (t.orders, "o_custkey"), "events": (t.events, "user_id")})
 
 
+_POOLS: dict[tuple[str, str], DataFrame] = {}
+
+
 def pool(t: Tables) -> DataFrame:
-    """Ranked findings of all views with their global scores, in source terms."""
+    """Ranked findings of all views with their global scores, in source terms; written once per session."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _POOLS:
+        _POOLS[key] = cut_lineage(_pool(t), "pool")
+    return _POOLS[key]
+
+
+def _pool(t: Tables) -> DataFrame:
     parts = []
     for view in FEED_VIEWS:
         run = mining(t, view)

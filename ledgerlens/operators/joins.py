@@ -14,8 +14,8 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def decode(fact: DataFrame, codes: DataFrame, key: str, code: str, label: str) -> DataFrame:
-    """Left join of a code dictionary; `label` is null for unknown codes."""
-    side = codes.select(F.col(code).alias("__code"), F.col(label).alias(label)).dropDuplicates(["__code"])
+    """Left join of a code dictionary; `label` is null for unknown codes, the smallest where a code has several."""
+    side = codes.groupBy(F.col(code).alias("__code")).agg(F.min(label).alias(label))
     return fact.join(small(side), fact[key] == F.col("__code"), "left").drop("__code")
 
 

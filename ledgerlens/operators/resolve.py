@@ -76,7 +76,7 @@ def resolve(texts: DataFrame, column: str, registry: DataFrame, value: str, alia
     rest = asked.join(exact.select("asked"), "asked", "left_anti")
     found = exact.withColumn("score", F.lit(100.0))
     if aliases is not None:
-        named = aliases.select(collapsed_key("alias").alias("asked"), collapsed_key("canonical").alias("key")).dropDuplicates(["asked"])
+        named = aliases.groupBy(collapsed_key("alias").alias("asked")).agg(F.min(collapsed_key("canonical")).alias("key"))
         by_alias = rest.join(named, "asked").join(values, "key").select("asked", "value", F.lit("alias").alias("confidence"), F.lit(100.0).alias("score"))
         rest = rest.join(by_alias.select("asked"), "asked", "left_anti")
         found = found.unionByName(by_alias)

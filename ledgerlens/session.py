@@ -33,7 +33,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: spark.checkpoint.dir, or a fresh one in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
