@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import pii, sharding
+from ledgerlens.llm import pii, sharding, simhash
 
 LLM_QUERIES = {}
 LLM_SQL = {}
@@ -30,3 +30,9 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, folder, "documents")))
+
+
+@query
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"), shingle_words=4, radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
