@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import pii, sharding, simhash
+from ledgerlens.llm import decontaminate, pii, sharding, simhash, toxicity
 
 LLM_QUERIES = {}
 LLM_SQL = {}
@@ -36,3 +36,24 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle_words=4, radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def fold(spark_id: str, parts: int):
+    """The remainder by which rows are held out: crc32 of the id as text."""
+    return F.pmod(F.crc32(F.col(spark_id).cast("string").cast("binary")), F.lit(parts))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, labels, learn=fold("doc_id", 5) != 0)
+
+
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -114,8 +114,12 @@ def with_partner(nodes: DataFrame, radius: int) -> DataFrame:
     keys = nodes.select("node", "fp", _flips(low, flips).alias("key")).union(
         nodes.select("node", "fp", _flips(high.bitwiseOR(F.lit(1 << 40)), flips).alias("key")))
     by = W.partitionBy("key").orderBy("fp")
-    near = keys.withColumn("before", F.lag("fp").over(by)).withColumn("after", F.lead("fp").over(by))
-    return near.where("before is not null or after is not null").select("node", "fp").distinct()
+    near = keys.select("node", "fp", *[F.lag("fp", k).over(by).alias(f"before{k}") for k in (1, 2)],
+                       *[F.lead("fp", k).over(by).alias(f"after{k}") for k in (1, 2)])
+    # two that meet alone are measured here, which removes chance meetings; of three and more all go on
+    meets = [F.bit_count(F.col("fp").bitwiseXOR(F.col(c))) <= radius for c in ("before1", "after1")]
+    crowd = F.expr("before2 is not null or after2 is not null or (before1 is not null and after1 is not null)")
+    return near.where(F.coalesce(meets[0], F.lit(False)) | F.coalesce(meets[1], F.lit(False)) | crowd).select("node", "fp").distinct()
 
 
 def ball_links(nodes: DataFrame, radius: int, name: str, star: bool = False) -> DataFrame:
@@ -123,7 +127,8 @@ def ball_links(nodes: DataFrame, radius: int, name: str, star: bool = False) ->
     with `star`, also with the first one."""
     if radius % 2:
         raise ValueError("the radius must be even: variants that meet are then within it without a further check")
-    close = cut_lineage(with_partner(nodes, radius), f"{name}-close")
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    close = cut_lineage(with_partner(nodes, radius), f"{name}-close").repartition(spread, "node")
     variants = close.select("node", _flips(F.col("fp"), masks(64, radius // 2)).alias("variant"))
     by = W.partitionBy("variant").orderBy("node")
     met = variants.withColumn("b", F.lag("node").over(by))
