@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, pii, sharding, simhash, toxicity
+from ledgerlens.llm import decontaminate, pii, sharding, simhash, substring, toxicity
 
 LLM_QUERIES = {}
 LLM_SQL = {}
@@ -57,3 +57,9 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, folder, "documents"), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
