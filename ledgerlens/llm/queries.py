@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, pii, sharding, simhash, substring, toxicity
+from ledgerlens.llm import covertree, decontaminate, pii, sharding, simhash, substring, toxicity
 
 LLM_QUERIES = {}
 LLM_SQL = {}
@@ -63,3 +63,24 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, folder, "documents"), window=50)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, folder, "embeddings"), threshold=0.98)
+
+
+LLM_SQL["op7_embedding_dedup"] = """
+WITH RECURSIVE v AS MATERIALIZED (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), link AS MATERIALIZED (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE isfinite(list_cosine_similarity(a.e, b.e)) AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(x, y) AS (
+    SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x
+)
+SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.x = v.vec_id) AS n_links,
+       (SELECT min(r.y) FROM reach r WHERE r.x = v.vec_id) AS component_id,
+       v.vec_id = (SELECT min(r.y) FROM reach r WHERE r.x = v.vec_id) AS kept
+FROM v
+"""
