@@ -54,54 +54,58 @@ class Index:
     toxic: np.ndarray
     rows: list[dict[int, float]]
     k: int
-    postings: dict[int, tuple[np.ndarray, np.ndarray]] = field(init=False)
-    highest: dict[int, np.ndarray] = field(init=False)
+    #: postings of all terms one after the other, ordered by example within a term
+    at: np.ndarray = field(init=False)
+    weight: np.ndarray = field(init=False)
+    row_of: dict[int, int] = field(init=False)
+    #: where a term's postings of a block begin, and the largest weight among them
+    begin: np.ndarray = field(init=False)
+    highest: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        gathered: dict[int, list[tuple[int, float]]] = {}
-        for at, row in enumerate(self.rows):
-            for term, weight in row.items():
-                gathered.setdefault(term, []).append((at, weight))
+        flat = sorted((term, at, weight) for at, row in enumerate(self.rows) for term, weight in row.items())
+        self.row_of = {t: k for k, t in enumerate(dict.fromkeys(f[0] for f in flat))}
+        term = np.array([self.row_of[f[0]] for f in flat], np.int64)
+        self.at, self.weight = np.array([f[1] for f in flat], np.int64), np.array([f[2] for f in flat])
         blocks = -(-len(self.rows) // BLOCK)
-        self.postings, self.highest = {}, {}
-        for term, pairs in gathered.items():
-            at, weight = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-            top = np.zeros(blocks)
-            np.maximum.at(top, at // BLOCK, weight)
-            self.postings[term], self.highest[term] = (at, weight), top
+        cell = term * blocks + self.at // BLOCK
+        self.begin = np.searchsorted(cell, np.arange(len(self.row_of) * blocks + 1))
+        highest = np.zeros(len(self.row_of) * blocks)
+        np.maximum.at(highest, cell, self.weight)
+        self.highest = highest.reshape(len(self.row_of), blocks)
+
+    def _scored(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines with the examples of the given blocks; zero elsewhere."""
+        cells = (terms[:, None] * self.highest.shape[1] + blocks[None, :]).ravel()
+        start, size = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
+        ends = np.cumsum(size)
+        places = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
+        each = np.repeat(np.repeat(weights, len(blocks)), size)
+        return np.bincount(self.at[places], weights=each * self.weight[places], minlength=len(self.rows))
 
     def best(self, query: dict[int, float], leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples and of those that tie with the last, nearest first."""
-        known = [(t, w) for t, w in query.items() if t in self.postings]
+        known = [(self.row_of[t], w) for t, w in query.items() if t in self.row_of]
         if not known:
             return np.empty(0, np.int64), np.empty(0)
-        bound = sum(w * self.highest[t] for t, w in known)
+        terms, weights = np.array([t for t, _ in known]), np.array([w for _, w in known])
+        bound = weights @ self.highest[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        places, values, kth = [np.empty(0, np.int64)], [np.empty(0)], 0.0
-        step = 4
-        for b in range(0, len(order), step):
-            if bound[order[b]] < kth - 1e-9:
-                break
-            for block in order[b : b + step]:
-                got = np.zeros(BLOCK)
-                for t, w in known:
-                    at, weight = self.postings[t]
-                    lo, hi = np.searchsorted(at, (block * BLOCK, (block + 1) * BLOCK))
-                    got[at[lo:hi] - block * BLOCK] += w * weight[lo:hi]
-                hit = np.flatnonzero(got)
-                hit = hit[hit + block * BLOCK != leave_out]
-                places.append(hit + block * BLOCK)
-                values.append(got[hit])
-            every = np.concatenate(values)
-            if len(every) >= self.k:
-                kth = np.partition(every, -self.k)[-self.k]
-        at, cos = np.concatenate(places), np.round(np.concatenate(values), 9)
-        if len(cos) > self.k:
-            keep = cos >= np.partition(cos, -self.k)[-self.k]
-            at, cos = at[keep], cos[keep]
-        order = np.lexsort((at, -cos))
-        return at[order], cos[order]
+        cos, done, step, kth = np.zeros(len(self.rows)), 0, 4, 0.0
+        while done < len(order) and bound[order[done]] >= kth - 1e-9:
+            cos += self._scored(terms, weights, order[done : done + step])
+            done, step = done + step, step * 2
+            if leave_out >= 0:
+                cos[leave_out] = 0
+            if len(cos) >= self.k:
+                kth = np.partition(cos, -self.k)[-self.k]
+        cos = np.round(cos, 9)
+        at = np.flatnonzero(cos)
+        if len(at) > self.k:
+            at = at[cos[at] >= np.partition(cos, -self.k)[-self.k]]
+        at = at[np.lexsort((at, -cos[at]))]
+        return at, cos[at]
 
     def vote(self, query: dict[int, float], prior: float, leave_out: int = -1) -> tuple[float, list[int]]:
         """Share of toxic among the neighbours, nearer ones counting more, and the ids of the nearest."""
