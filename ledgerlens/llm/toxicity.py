@@ -179,14 +179,19 @@ class Counts:
     """Text -> counts of the vocabulary's features."""
 
     def __init__(self, terms: dict[str, int]):
-        self.cache = Cache(lambda w: tuple(terms[f] for f in word_features(w) if f in terms))
+        heads = {t[: PREFIXES[0]] for t in terms}  # every feature of a word begins as the word does
+
+        def known(chunk: str) -> tuple[int, ...]:
+            words = (chunk,) if chunk.isalnum() else TOKEN.findall(chunk)
+            return tuple(terms[f] for w in words if w[: PREFIXES[0]] in heads for f in word_features(w) if f in terms)
+
+        self.cache = Cache(known)
 
     def __call__(self, text: str | None) -> dict[int, int]:
         found: Counter = Counter()
-        cache = self.cache
-        for hit in filter(None, map(cache.__getitem__, tokens(text))):
+        for hit in filter(None, map(self.cache.__getitem__, (text or "").lower().split())):
             found.update(hit)
-        cache.trim()
+        self.cache.trim()
         return found
 
 
@@ -212,9 +217,10 @@ def labelled_sample(labels: DataFrame, learn: Column, sample_rows: int, id_col:
     return usable.where(F.pmod(F.xxhash64("example"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 12_000, vocabulary: int = 2_000, k: int = 25,
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 12_000, vocabulary: int = 2_000, k: int = 25, least_share: float = 0.5,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """`learn` is a condition over `labels` that picks the rows labels may be learnt from."""
+    """`learn` is a condition over `labels` that picks the rows labels may be learnt from. A feature must be toxic in more
+    than `least_share` of the examples that have it."""
     sample = labelled_sample(labels, learn, sample_rows, id_col, label_col)
     text = F.col(text_col).cast("string").alias("text")
     # the sample is bounded by sample_rows
@@ -231,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 12
     # few of all tested features pass by luck
     least = 1.6 * math.log(max(2, counted.count()))
     chosen = counted.withColumn("gain", 2 * (log(F.col("n1"), rate) + log(F.col("n0"), 1 - rate))).where(
-        (F.col("n1") > n * rate) & (F.col("gain") > least)).orderBy(F.desc("gain"), "feature").limit(vocabulary)
+        (F.col("n1") > n * max(rate, least_share)) & (F.col("gain") > least)).orderBy(F.desc("gain"), "feature").limit(vocabulary)
     terms = {r.feature: i for i, r in enumerate(chosen.select("feature").collect())}
 
     df = docs.select(text).mapInArrow(_document_frequencies(terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
