@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import covertree, decontaminate, pii, sharding, simhash, substring, toxicity
+from ledgerlens.llm import covertree, decontaminate, language, pii, sharding, simhash, substring, toxicity
 
 LLM_QUERIES = {}
 LLM_SQL = {}
@@ -84,3 +84,11 @@ SELECT v.vec_id, (SELECT count(*) FROM link l WHERE l.x = v.vec_id) AS n_links,
        v.vec_id = (SELECT min(r.y) FROM reach r WHERE r.x = v.vec_id) AS kept
 FROM v
 """
+
+
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    found = language.predict(docs, language.fit(docs, learn=~held_out & F.col("doc_id").isNotNull()))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
