@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import covertree, decontaminate, language, pii, sharding, simhash, substring, toxicity
+from ledgerlens.llm import covertree, decontaminate, language, packing, pagecut, pii, sharding, simhash, substring, toxicity
 
 LLM_QUERIES = {}
 LLM_SQL = {}
@@ -92,3 +92,14 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     found = language.predict(docs, language.fit(docs, learn=~held_out & F.col("doc_id").isNotNull()))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
+@query
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = pagecut.extract(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
