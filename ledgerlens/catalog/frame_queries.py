@@ -27,7 +27,7 @@ def nation_orders(t: Tables) -> DataFrame:
 
 def nation_frame(t: Tables, limit: int | None = None) -> R.ResultFrame:
     rows = nation_orders(t)
-    shown = rows if limit is None else R.top_n(rows, "price", limit, tie=["n_name"])
+    shown = rows if limit is None else R.top_n(R.ResultFrame(rows, ROLES), "price", limit, tie=["n_name"])
     base = t.orders.withColumn("one", F.lit(1))
     return R.ResultFrame(shown, ROLES, limit=limit, uncut=rows, base=base,
                          ratios={"mean_price": R.Ratio("o_totalprice", "one")})
@@ -50,7 +50,7 @@ def f01(t: Tables) -> DataFrame:
 SELECT 'max' AS operation, max(price) AS value, arg_max(n_name, price) AS label FROM n
 UNION ALL SELECT 'min', min(price), arg_min(n_name, price) FROM n""")
 def f02(t: Tables) -> DataFrame:
-    f = nation_frame(t)
+    f = nation_frame(t, limit=5)
     return R.extreme(f, "price", True, "n_name", "n_name").withColumn("operation", F.lit("max")).unionByName(
         R.extreme(f, "price", False, "n_name", "n_name").withColumn("operation", F.lit("min")))
 
@@ -62,27 +62,27 @@ def f03(t: Tables) -> DataFrame:
 
 @query("f04_median", f"WITH {NATION_SQL} SELECT median(price) AS value FROM n")
 def f04(t: Tables) -> DataFrame:
-    return R.median(nation_frame(t), "price")
+    return R.median(nation_frame(t, limit=5), "price")
 
 
 @query("f05_stdev", f"WITH {NATION_SQL} SELECT round(stddev_samp(price), 3) AS value FROM n")
 def f05(t: Tables) -> DataFrame:
-    return R.stdev(nation_frame(t), "price").select(F.round("value", 3).alias("value"))
+    return R.stdev(nation_frame(t, limit=5), "price").select(F.round("value", 3).alias("value"))
 
 
 @query("f06_percentile", f"WITH {NATION_SQL} SELECT round(quantile_cont(price, 0.9), 4) AS value FROM n")
 def f06(t: Tables) -> DataFrame:
-    return R.percentile(nation_frame(t), "price", 90).select(F.round("value", 4).alias("value"))
+    return R.percentile(nation_frame(t, limit=5), "price", 90).select(F.round("value", 4).alias("value"))
 
 
 @query("f07_range", f"""WITH {NATION_SQL} SELECT round(max(price) - min(price), 2) AS value, arg_max(n_name, price) AS high_label,
   arg_min(n_name, price) AS low_label FROM n""")
 def f07(t: Tables) -> DataFrame:
-    return R.value_range(nation_frame(t), "price", "n_name").withColumn("value", F.round("value", 2))
+    return R.value_range(nation_frame(t, limit=5), "price", "n_name").withColumn("value", F.round("value", 2))
 
 
 @query("f08_mode", """WITH c AS (SELECT trim(CAST(p_size AS VARCHAR)) AS value, count(*) AS n FROM part GROUP BY 1)
-SELECT value, n FROM c WHERE n = (SELECT max(n) FROM c) AND n > 1 ORDER BY value LIMIT 3""")
+SELECT value, n FROM c WHERE n = (SELECT max(n) FROM c) AND n > 1 ORDER BY value""")
 def f08(t: Tables) -> DataFrame:
     return R.mode(R.ResultFrame(t.part.select("p_size"), {"p_size": "dimension"}), "p_size")
 
@@ -95,28 +95,30 @@ def f09(t: Tables) -> DataFrame:
 @query("f10_share_of_total", f"""WITH {NATION_SQL}
 SELECT n_name, price, round(price / (SELECT sum(price) FROM n) * 100, 2) AS price_pct FROM n""")
 def f10(t: Tables) -> DataFrame:
-    return R.share_of_total(nation_orders(t).select("n_name", "price"), "price")
+    return R.share_of_total(nation_frame(t, limit=5), "price").select("n_name", "price", "price_pct")
 
 
 @query("f11_percent_change", f"""WITH {YEAR_SQL}
 SELECT arg_min(price, year) AS first_value, arg_max(price, year) AS last_value, min(year) AS first_period, max(year) AS last_period,
   round((arg_max(price, year) - arg_min(price, year)) / abs(arg_min(price, year)) * 100, 6) AS pct_change FROM y""")
 def f11(t: Tables) -> DataFrame:
-    return R.percent_change(yearly_orders(t), "year", "price").withColumn("pct_change", F.round("pct_change", 6))
+    years = yearly_orders(t)
+    cut = R.ResultFrame(years.orderBy(F.desc("price")).limit(2), {"year": "temporal", "price": "additive_value"}, limit=2, uncut=years)
+    return R.percent_change(cut, "year", "price").withColumn("pct_change", F.round("pct_change", 6))
 
 
 @query("f12_sort", f"WITH {NATION_SQL} SELECT n_name, orders FROM n ORDER BY orders DESC NULLS FIRST, n_name")
 def f12(t: Tables) -> DataFrame:
-    return R.sort_frame(nation_orders(t).select("n_name", "orders"), "orders", tie=["n_name"])
+    return R.sort_frame(nation_frame(t), "orders", tie=["n_name"]).select("n_name", "orders")
 
 
 @query("f13_top_and_bottom_n", f"""WITH {NATION_SQL}
 SELECT * FROM (SELECT 'top' AS side, n_name, price FROM n ORDER BY price DESC, n_name LIMIT 5)
 UNION ALL SELECT * FROM (SELECT 'bottom', n_name, price FROM n ORDER BY price, n_name LIMIT 3)""")
 def f13(t: Tables) -> DataFrame:
-    rows = nation_orders(t).select("n_name", "price")
-    return R.top_n(rows, "price", tie=["n_name"]).withColumn("side", F.lit("top")).unionByName(
-        R.bottom_n(rows, "price", 3, tie=["n_name"]).withColumn("side", F.lit("bottom")))
+    cut = nation_frame(t, limit=5)
+    return R.top_n(cut, "price", tie=["n_name"]).withColumn("side", F.lit("top")).unionByName(
+        R.bottom_n(cut, "price", 3, tie=["n_name"]).withColumn("side", F.lit("bottom"))).select("side", "n_name", "price")
 
 
 @query("f14_filter_rows", """
@@ -127,7 +129,7 @@ def f14(t: Tables) -> DataFrame:
     tests = [("numeric", "p_retailprice", ">=", "1,200"), ("equals", "p_type", "=", " Promo "), ("contains", "p_name", "contains", "RING")]
     out = None
     for name, column, op, value in tests:
-        part = R.filter_rows(t.part, column, op, value).groupBy("p_brand").agg(F.count("*").alias("parts")).withColumn(
+        part = R.filter_rows(R.ResultFrame(t.part, {}), column, op, value).groupBy("p_brand").agg(F.count("*").alias("parts")).withColumn(
             "test", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

@@ -165,9 +165,9 @@ def finding_periods(found: DataFrame, members: DataFrame, depth: int) -> DataFra
 
 def event_citations(periods: DataFrame, events: DataFrame, grace: int = 3) -> DataFrame:
     """One row per event and kind of overlap; being inside the window wins over just after it."""
-    matched = period_matches(periods, events.select("event", "event_first", "event_last", "start_month", "end_month"), grace)
-    return matched.groupBy("event", "start_month", "end_month", "what").agg(
-        F.min("relation").alias("relation"), F.count_distinct("finding_id").alias("findings"))
+    matched = period_matches(periods, events.select("event", "event_first", "event_last", "start_month", "end_month", "note"), grace)
+    return matched.groupBy("event", "start_month", "end_month", "note", "what").agg(
+        F.when(F.bool_or(F.col("relation") == "inside"), "inside").otherwise(F.min("relation")).alias("relation"), F.count_distinct("finding_id").alias("findings"))
 
 
 def data_quality_list(run: Mining) -> DataFrame:

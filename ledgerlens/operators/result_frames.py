@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.session import cut_lineage
+
 ADDITIVE = ("additive_count", "additive_value")
 ROLES = ("dimension", "temporal", "identifier", *ADDITIVE, "ratio", "snapshot_stock", "unclassified")
-MAX_MODES = 3
-MAX_PEERS = 3
-RECOMPUTE_LIMIT = 1000
 
 
 class Refused(ValueError):
@@ -118,8 +117,9 @@ def stock_total(frame: ResultFrame, column: str) -> DataFrame:
 
 
 def extreme(frame: ResultFrame, column: str, largest: bool, label: str, tie: str) -> DataFrame:
-    """The largest or smallest value with the label of the first row that holds it."""
-    df = frame.df.withColumn("__v", measure(frame, frame.df, column)).filter("__v IS NOT NULL")
+    """The largest or smallest value of the whole population with the label of the first row that holds it."""
+    rows = frame.population()
+    df = rows.withColumn("__v", measure(frame, rows, column)).filter("__v IS NOT NULL")
     order = F.struct(-F.col("__v") if largest else F.col("__v"), F.col(tie))
     return df.agg(
         (F.max("__v") if largest else F.min("__v")).alias("value"), F.min_by(label, order).alias("label"))
@@ -129,9 +129,34 @@ def count_rows(frame: ResultFrame) -> DataFrame:
     return frame.df.agg(F.count("*").alias("value"))
 
 
+def quantile(df: DataFrame, value: Column, share: float) -> DataFrame:
+    """Exact interpolated quantile as `value`, without holding the values in one task.
+
+    Values are range-partitioned and sorted; counts per partition say where the two wanted ranks are, and only those rows
+    leave their partition.
+    """
+    plain = df.select(value.alias("v")).filter("v IS NOT NULL")
+    ordered = ranked_position(plain.orderBy("v"))
+    n = plain.agg(F.count("*").alias("n"))
+    at = (F.col("n") - 1) * F.lit(share) + 1
+    near = ordered.crossJoin(F.broadcast(n)).filter(F.abs(F.col("position") - at) < 1)
+    weight = 1 - F.abs(F.col("position") - at)
+    return near.agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("value"))
+
+
+def ranked_position(ordered: DataFrame) -> DataFrame:
+    """`ordered` (a sorted frame) with each row's position, from 1, by counting rows per range partition."""
+    marked = cut_lineage(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "ranked")
+    sizes = marked.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    offsets = sizes.select("__part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return marked.join(F.broadcast(offsets), "__part").withColumn(
+        "position", F.col("__row") - F.col("first") + F.col("offset") + 1).drop("__part", "__row", "first", "offset")
+
+
 def median(frame: ResultFrame, column: str) -> DataFrame:
     df = frame.population()
-    return df.agg(F.median(measure(frame, df, column)).alias("value"))
+    return quantile(df, measure(frame, df, column), 0.5)
 
 
 def stdev(frame: ResultFrame, column: str) -> DataFrame:
@@ -145,11 +170,12 @@ def percentile(frame: ResultFrame, column: str, p: float) -> DataFrame:
     if not 0 <= p <= 100:
         raise Refused("a percentile lies between 0 and 100")
     df = frame.population()
-    return df.agg(F.percentile(measure(frame, df, column), F.lit(p / 100.0)).alias("value"))
+    return quantile(df, measure(frame, df, column), p / 100.0)
 
 
 def value_range(frame: ResultFrame, column: str, label: str) -> DataFrame:
-    df = frame.df.withColumn("__v", measure(frame, frame.df, column)).filter("__v IS NOT NULL")
+    rows = frame.population()
+    df = rows.withColumn("__v", measure(frame, rows, column)).filter("__v IS NOT NULL")
     return df.agg(
         (F.max("__v") - F.min("__v")).alias("value"),
         F.min_by(label, F.struct(-F.col("__v"), F.col(label))).alias("high_label"),
@@ -157,13 +183,12 @@ def value_range(frame: ResultFrame, column: str, label: str) -> DataFrame:
 
 
 def mode(frame: ResultFrame, column: str) -> DataFrame:
-    """The most frequent trimmed values, sorted, at most three shown; none when every value is unique."""
+    """The most frequent trimmed values, all that tie, sorted; none when every value is unique."""
     df = frame.population()
     text = F.trim(F.col(column).cast("string"))
     counts = df.select(text.alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("top"))
-    return counts.join(F.broadcast(top), counts["n"] == top["top"]).filter("n > 1").select("value", "n").orderBy(
-        "value").limit(MAX_MODES)
+    return counts.join(F.broadcast(top), counts["n"] == top["top"]).filter("n > 1").select("value", "n").orderBy("value")
 
 
 def count_distinct(frame: ResultFrame, column: str) -> DataFrame:
@@ -171,41 +196,73 @@ def count_distinct(frame: ResultFrame, column: str) -> DataFrame:
     return df.agg(F.count_distinct(F.trim(F.col(column).cast("string"))).alias("value"))
 
 
-def share_of_total(df: DataFrame, column: str, label: tuple[str, object] | None = None, decimals: int = 2) -> DataFrame:
-    """Adds `<column>_pct`; a zero total has no shares. One label can be picked after the shares are known."""
-    whole = df.agg(F.sum(column)).first()[0]
+def share_of_total(frame: ResultFrame, column: str, label: tuple[str, object] | None = None, decimals: int = 2) -> DataFrame:
+    """Adds `<column>_pct` of the whole population's total; a zero total has no shares, an unknown label no answer."""
+    if frame.roles.get(column) not in ADDITIVE:
+        raise Refused(f"{column} does not add up, so it has no shares")
+    df = frame.population()
+    value = measure(frame, df, column)
+    whole = df.agg(F.sum(value)).first()[0]
     if not whole:
         raise Refused("the total is zero, so shares are not defined")
-    out = df.withColumn(f"{column}_pct", F.round(F.col(column) / F.lit(float(whole)) * 100, decimals))
-    return out if label is None else out.filter(F.col(label[0]) == label[1])
-
-
-def percent_change(df: DataFrame, period: str, column: str, tie: str | None = None) -> DataFrame:
-    """First to last non-null value by period in percent of the first; a zero start is refused (null)."""
-    known = df.filter(F.col(column).isNotNull())
+    out = df.withColumn(f"{column}_pct", F.round(value / F.lit(float(whole)) * 100, decimals))
+    if label is None:
+        return out
+    one = out.filter(F.col(label[0]) == label[1])
+    if one.isEmpty():
+        raise Refused(f"no row with {label[0]} = {label[1]!r}")
+    return one
+
+
+def percent_change(frame: ResultFrame, period: str, column: str) -> DataFrame:
+    """First to last non-null value by period in percent of the first; without two periods or from zero it is refused."""
+    if frame.roles.get(period) != "temporal":
+        raise Refused(f"{period} is no time column")
+    df = frame.population()
+    known = df.withColumn("__v", measure(frame, df, column)).filter("__v IS NOT NULL")
     ends = known.agg(
         F.min_by(column, period).alias("first_value"), F.max_by(column, period).alias("last_value"),
         F.min(period).alias("first_period"), F.max(period).alias("last_period"))
-    return ends.withColumn(
-        "pct_change", (F.col("last_value") - F.col("first_value")) / F.nullif(F.abs("first_value"), F.lit(0.0)) * 100)
+    row = ends.first()
+    if row.first_period is None or row.first_period == row.last_period:
+        raise Refused("a change needs two periods")
+    if not row.first_value:
+        raise Refused("the change from zero in percent is not defined")
+    return ends.withColumn("pct_change", (F.col("last_value") - F.col("first_value")) / F.abs("first_value") * 100)
+
+
+def _known(frame: ResultFrame, column: str) -> None:
+    if column not in frame.df.columns:
+        raise Refused(f"no column {column!r}")
 
 
-def sort_frame(df: DataFrame, column: str, direction: str = "desc", tie: list[str] = ()) -> DataFrame:
-    """Missing values come last ascending and first descending."""
+def sort_frame(frame: ResultFrame, column: str, direction: str = "desc", tie: list[str] = ()) -> DataFrame:
+    """The shown rows in order; missing values come last ascending and first descending."""
+    _known(frame, column)
     first = F.asc_nulls_last(column) if direction == "asc" else F.desc_nulls_first(column)
-    return df.orderBy(first, *tie)
+    return frame.df.orderBy(first, *tie)
+
+
+def _ends(frame: ResultFrame, column: str, n: int, order: Column, tie: list[str]) -> DataFrame:
+    _known(frame, column)
+    df = frame.population()
+    return df.filter(F.col(column).isNotNull()).orderBy(order, *tie).limit(max(1, n))
 
 
-def top_n(df: DataFrame, column: str, n: int = 5, tie: list[str] = ()) -> DataFrame:
-    return df.filter(F.col(column).isNotNull()).orderBy(F.desc(column), *tie).limit(max(1, n))
+def top_n(frame: ResultFrame, column: str, n: int = 5, tie: list[str] = ()) -> DataFrame:
+    """The n largest of the whole population."""
+    return _ends(frame, column, n, F.desc(column), tie)
 
 
-def bottom_n(df: DataFrame, column: str, n: int = 5, tie: list[str] = ()) -> DataFrame:
-    return df.filter(F.col(column).isNotNull()).orderBy(F.asc(column), *tie).limit(max(1, n))
+def bottom_n(frame: ResultFrame, column: str, n: int = 5, tie: list[str] = ()) -> DataFrame:
+    """The n smallest of the whole population."""
+    return _ends(frame, column, n, F.asc(column), tie)
 
 
-def filter_rows(df: DataFrame, column: str, op: str, value) -> DataFrame:
-    """Numeric comparison, or case-insensitive trimmed text equality and containment."""
+def filter_rows(frame: ResultFrame, column: str, op: str, value) -> DataFrame:
+    """Numeric comparison, or case-insensitive trimmed text equality and containment, over the shown rows."""
+    _known(frame, column)
+    df = frame.df
     if op in (">", ">=", "<", "<="):
         left, right = numeric(column), float(str(value).replace(",", ""))
         test = {">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}[op]
@@ -221,11 +278,11 @@ def filter_rows(df: DataFrame, column: str, op: str, value) -> DataFrame:
 
 
 def compare(frame: ResultFrame, slot: str, own: object, peers: list) -> DataFrame:
-    """Re-run the query for up to three other values of one parameter and stack the results."""
+    """Re-run the query for other values of one parameter and stack the results."""
     if frame.requery is None:
         raise Refused("this result cannot be run again")
-    if not 1 <= len(peers) <= MAX_PEERS:
-        raise Refused(f"compare with one to {MAX_PEERS} others")
+    if not peers:
+        raise Refused("compare with at least one other")
     name = f"compared_{slot}"
     out = frame.df.withColumn(name, F.lit(own))
     for peer in peers:
@@ -234,8 +291,10 @@ def compare(frame: ResultFrame, slot: str, own: object, peers: list) -> DataFram
 
 
 def compare_delta(compared: DataFrame, slot: str, own: object, column: str) -> DataFrame:
-    """Difference of each compared single row from the row first asked for."""
+    """Difference of each compared single row from the row first asked for; results of several rows have none."""
     name = f"compared_{slot}"
-    base = compared.filter(F.col(name) == own).select(F.col(column).alias("__own")).limit(1)
-    start = base.first()
-    return compared.withColumn(f"{column}_delta", F.col(column) - F.lit(start[0] if start else None))
+    rows = compared.groupBy(name).count().collect()  # one row for each compared value
+    if any(r["count"] != 1 for r in rows) or own not in {r[name] for r in rows}:
+        raise Refused("differences are defined for results of a single row")
+    base = compared.filter(F.col(name) == own).select(F.col(column).alias("__own"))
+    return compared.crossJoin(F.broadcast(base)).withColumn(f"{column}_delta", F.col(column) - F.col("__own")).drop("__own")

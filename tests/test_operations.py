@@ -57,25 +57,55 @@ def test_mode_and_distinct(spark):
 
 
 def test_shares_change_and_order(frame, spark):
-    assert {r["hospital"]: r["cases_pct"] for r in R.share_of_total(frame.df, "cases").collect()}["B"] == 50.0
-    with pytest.raises(R.Refused):
-        R.share_of_total(frame.df.withColumn("zero", F.lit(0)), "zero")
-    series = spark.createDataFrame([(2019, None), (2020, -50.0), (2021, 25.0)], "y int, v double")
+    assert {r["hospital"]: r["cases_pct"] for r in R.share_of_total(frame, "cases").collect()}["B"] == 50.0
+    assert R.share_of_total(frame, "cases", ("hospital", "B")).count() == 1
+    zero = R.ResultFrame(frame.df.withColumn("zero", F.lit(0)), {**ROLES, "zero": "additive_count"})
+    for refused in (lambda: R.share_of_total(zero, "zero"), lambda: R.share_of_total(frame, "cases", ("hospital", "Z")),
+                    lambda: R.share_of_total(frame, "rate"), lambda: R.sort_frame(frame, "nowhere")):
+        with pytest.raises(R.Refused):
+            refused()
+    roles = {"y": "temporal", "v": "additive_value"}
+    series = R.ResultFrame(spark.createDataFrame([(2019, None), (2020, -50.0), (2021, 25.0)], "y int, v double"), roles)
     assert R.percent_change(series, "y", "v").first()["pct_change"] == 150
-    zero = spark.createDataFrame([(1, 0.0), (2, 5.0)], "y int, v double")
-    assert R.percent_change(zero, "y", "v").first()["pct_change"] is None
-    assert [r["hospital"] for r in R.sort_frame(frame.df, "claimed", "desc").collect()][0] == "C"
-    assert [r["hospital"] for r in R.sort_frame(frame.df, "claimed", "asc").collect()][-1] == "C"
-    assert R.top_n(frame.df, "claimed", 0).count() == 1 and R.bottom_n(frame.df, "claimed").count() == 2
+    for rows in ([(1, 0.0), (2, 5.0)], [(1, 5.0)], []):
+        with pytest.raises(R.Refused):
+            R.percent_change(R.ResultFrame(spark.createDataFrame(rows, "y int, v double"), roles), "y", "v")
+    assert [r["hospital"] for r in R.sort_frame(frame, "claimed", "desc").collect()][0] == "C"
+    assert [r["hospital"] for r in R.sort_frame(frame, "claimed", "asc").collect()][-1] == "C"
+    assert R.top_n(frame, "claimed", 0).count() == 1 and R.bottom_n(frame, "claimed").count() == 2
 
 
 def test_filters_and_coercion(frame, spark):
-    text = spark.createDataFrame([("₹1,200",), ("90",), ("junk",), (None,)], "v string")
+    text = R.ResultFrame(spark.createDataFrame([("₹1,200",), ("90",), ("junk",), (None,)], "v string"), {})
     assert R.filter_rows(text, "v", ">", "1,000").count() == 1
-    assert sorted(x for (x,) in text.select(R.numeric("v")).collect() if x is not None) == [90.0, 1200.0]
-    assert R.filter_rows(frame.df, "hospital", "=", " a ").count() == 1
+    assert sorted(x for (x,) in text.df.select(R.numeric("v")).collect() if x is not None) == [90.0, 1200.0]
+    assert R.filter_rows(frame, "hospital", "=", " a ").count() == 1
     with pytest.raises(R.Refused):
-        R.filter_rows(frame.df, "hospital", "~", "a")
+        R.filter_rows(frame, "hospital", "~", "a")
+
+
+def test_population_operations_see_past_the_cut(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", 9.0)], "k string, v double")
+    roles = {"k": "dimension", "v": "additive_value"}
+    cut = R.ResultFrame(rows.orderBy(F.desc("v")).limit(2), roles, limit=2, uncut=rows)
+    assert R.extreme(cut, "v", False, "k", "k").first()["value"] == 1 and one(R.value_range(cut, "v", "k")) == 8
+    assert [r.k for r in R.bottom_n(cut, "v", 1).collect()] == ["a"] and R.share_of_total(cut, "v").count() == 3
+    blind = R.ResultFrame(cut.df, roles, limit=2)
+    for refused in (lambda: R.extreme(blind, "v", True, "k", "k"), lambda: R.value_range(blind, "v", "k"), lambda: R.top_n(blind, "v"),
+                    lambda: R.bottom_n(blind, "v"), lambda: R.share_of_total(blind, "v"), lambda: R.median(blind, "v")):
+        with pytest.raises(R.Refused):
+            refused()
+
+
+def test_quantiles_of_many_partitions(spark):
+    import statistics
+
+    values = [((k * 7919) % 1000) / 3 for k in range(777)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(9)
+    frame = R.ResultFrame(df, {"v": "additive_value"})
+    assert one(R.median(frame, "v")) == pytest.approx(statistics.median(values))
+    assert one(R.percentile(frame, "v", 0)) == min(values) and one(R.percentile(frame, "v", 100)) == max(values)
+    assert one(R.median(R.ResultFrame(df.filter("v < 0"), {"v": "additive_value"}), "v")) is None
 
 
 def test_truncation_guard(frame):
@@ -91,14 +121,16 @@ def test_compare_limits(frame):
         R.compare(frame, "hospital", "A", ["B"])
     again = R.ResultFrame(frame.df, ROLES, requery=lambda slot, v: frame.df)
     with pytest.raises(R.Refused):
-        R.compare(again, "hospital", "A", list("BCDE"))
-    assert R.compare(again, "hospital", "A", ["B", "C"]).count() == 9
+        R.compare(again, "hospital", "A", [])
+    assert R.compare(again, "hospital", "A", list("BCDE")).count() == 15
+    with pytest.raises(R.Refused):
+        R.compare_delta(R.compare(again, "hospital", "A", ["B"]), "hospital", "A", "cases")
 
 
 def test_template_binding(spark, tables):
     q4, q6, q11 = TEMPLATES["Q04"], TEMPLATES["Q06"], TEMPLATES["Q11"]
     assert q4.bind({}) == {"region": None, "top_n": 10}
-    assert q4.bind({"top_n": 99999})["top_n"] == 1000 and q4.bind({"top_n": 0})["top_n"] == 1
+    assert q4.bind({"top_n": 99999})["top_n"] == 99999 and q4.bind({"top_n": 0})["top_n"] == 1
     with pytest.raises(Unbound):
         q6.bind({})
     with pytest.raises(Unbound):
