@@ -261,9 +261,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     shards = few.repartition("anchor").sortWithinPartitions("anchor", "doc", "seg").mapInArrow(
         _shard_rows(window), "anchor long, seg long, lows array<long>")
     windows = cut_lineage(many.mapInArrow(_window_rows(window), "anchor long, seg long, doc long, at int, h1 long, h2 long"), "repeat-windows")
-    lows = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"))
-    hashed = windows.join(lows, ["h1", "h2"]).groupBy("anchor", "seg").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "low"))), lambda x: x["low"]).alias("lows"))
+    lows = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    earlier = windows.join(lows, (windows["h1"] == lows["h1"]) & (windows["h2"] == lows["h2"]) & (windows["doc"] > lows["low"])).groupBy(
+        "anchor", "seg").agg(F.map_from_entries(F.collect_list(F.struct("at", "low"))).alias("low_at"))
+    # a window without an earlier source has its own segment's first document as the smallest
+    each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.coalesce(F.try_element_at("low_at", k), F.col("doc")))
+    hashed = wanted.where(F.col("segs") > SHARD_SEGMENTS).join(earlier, ["anchor", "seg"], "left").select(
+        "anchor", "seg", each.alias("lows"))
     known = alone.unionByName(shards.unionByName(hashed).withColumn("low", F.lit(None).cast("long")))
     known = cut_lineage(known, "repeat-known")
 
