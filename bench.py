@@ -42,7 +42,7 @@ def main() -> None:
 
     def mine(view, config):
         run = Mining(view, config)
-        drain(top_store(run.findings))
+        drain(top_store(run.findings, 5000))
         return run
 
     def with_rate(name, run):

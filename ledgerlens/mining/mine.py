@@ -14,8 +14,6 @@ from ledgerlens.mining.config import ViewConfig
 from ledgerlens.mining.patterns import scope_patterns
 from ledgerlens.session import cut_lineage
 
-STORE_SIZE = 5000
-
 
 def finding_id(depth: int):
     """Identity of a finding from what defines its sibling set."""
@@ -73,6 +71,6 @@ class Mining:
         return siblings.finding_members(self.cube, self.findings, self.members)
 
 
-def top_store(found: DataFrame, k: int = STORE_SIZE) -> DataFrame:
+def top_store(found: DataFrame, k: int) -> DataFrame:
     """The k best findings; at the cut a score tie keeps the larger identity."""
     return found.dropDuplicates(["finding_id"]).orderBy(F.desc("score"), F.desc("finding_id")).limit(k)

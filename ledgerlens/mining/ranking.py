@@ -1,23 +1,21 @@
 """Ranking of findings for diversity, gamma sweeps, and the feed pooled across views.
 
-Findings of one view are cut to the best `PREFILTER` before the greedy step, so the pandas
-group that picks the top k never holds more than that many rows.
+The greedy picks are rounds over a distributed frame: a round takes the best row of every view by one combined aggregation;
+the k picks so far travel as a small array to the next round, which prices every row against them. No row is cut and no group
+is gathered.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens.mining.siblings import VARIES, conciseness
+from ledgerlens.session import cut_lineage, inline_table
 
-PREFILTER = 5000
 TOP_K = 15
 FEED_K = 50
-POOL_CAP = 2000
+SALTS = 64
 RANK_DECAY = 0.85
 TWINS = ("OUTSTANDING_1", "ATTRIBUTION")
 # weights of the overlap ratio per extending strategy
@@ -68,44 +66,67 @@ def merge_twins(found: DataFrame, members: DataFrame, depth: int) -> DataFrame:
     return others.unionByName(kept.drop("__rn", "__types", "commonness_digest"))
 
 
-def prefilter(found: DataFrame, cap: int = PREFILTER) -> DataFrame:
-    """The best `cap` findings of each view."""
+def prefilter(found: DataFrame, k: int) -> DataFrame:
+    """The best k findings of each view; salted first, so that no task sorts a whole view."""
+    salt = F.pmod(F.xxhash64("finding_id"), F.lit(SALTS))
+    part = Window.partitionBy("view", "__salt").orderBy(*_best_first())
+    some = found.withColumn("__salt", salt).withColumn("__rn", F.row_number().over(part)).filter(F.col("__rn") <= k)
     w = Window.partitionBy("view").orderBy(*_best_first())
-    return found.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= cap).drop("__rn")
+    return some.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn", "__salt")
 
 
-def overlap_ratio(a: str, b: str) -> Column:
-    """Overlap of two findings given as struct columns with strategy, pattern_type, extending_dimension,
-    measure, breakdown and filters."""
-    def same(field: str) -> Column:
-        return F.col(f"{a}.{field}") == F.col(f"{b}.{field}")
+def _of(row: str | Column, name: str) -> Column:
+    return F.col(f"{row}.{name}") if isinstance(row, str) else row[name]
+
 
-    fa, fb = F.col(f"{a}.filters"), F.col(f"{b}.filters")
-    shared = F.size(F.array_intersect(fa, fb))
-    coefficient = (
+def _slice_overlap(fa: Column, fb: Column) -> Column:
+    """Shared filters in proportion to the smaller slice; two unfiltered slices are the same."""
+    return (
         F.when((F.size(fa) == 0) & (F.size(fb) == 0), 1.0)
         .when((F.size(fa) == 0) | (F.size(fb) == 0), 0.0)
-        .otherwise(shared / F.least(F.size(fa), F.size(fb))))
-    content = same("measure") | same("breakdown") | (shared > 0)
+        .otherwise(F.size(F.array_intersect(fa, fb)) / F.least(F.size(fa), F.size(fb))))
+
+
+def overlap_ratio(a: str | Column, b: str | Column) -> Column:
+    """Overlap of two findings given as structs with strategy, pattern_type, extending_dimension,
+    measure, breakdown and filters."""
+    def same(name: str) -> Column:
+        return _of(a, name) == _of(b, name)
+
+    fa, fb = _of(a, "filters"), _of(b, "filters")
+    coefficient = _slice_overlap(fa, fb)
+    content = same("measure") | same("breakdown") | F.arrays_overlap(fa, fb)
     ratio = None
     for strategy, w in WEIGHTS.items():
         value = (
             w["slice"] * coefficient + w["extending"] * same("extending_dimension").cast("int")
             + w["measure"] * same("measure").cast("int") + w["breakdown"] * same("breakdown").cast("int"))
-        hit = F.col(f"{a}.strategy") == strategy
+        hit = _of(a, "strategy") == strategy
         ratio = F.when(hit, value) if ratio is None else ratio.when(hit, value)
     return F.when(same("strategy") & same("pattern_type") & content, ratio).otherwise(0.0)
 
 
+def content_keys(measure: str, breakdown: str, filters: Column) -> Column:
+    """One key for each thing whose sharing lets two findings overlap."""
+    return F.array_distinct(F.concat(
+        F.array(F.concat(F.lit("measure "), F.col(measure)), F.concat(F.lit("breakdown "), F.col(breakdown))),
+        F.transform(filters, lambda x: F.concat(F.lit("filter "), x))))
+
+
 def pair_overlaps(selected: DataFrame, depth: int) -> DataFrame:
-    """Overlap of each pair of a short selected list; pairs that cannot overlap are never formed."""
+    """Overlap of each pair of findings that overlap; pairs meet on what they share, so others are never formed."""
     one = selected.select("view", "strategy", "pattern_type", "finding_id", "score", F.struct(
         "strategy", "pattern_type", "extending_dimension", "measure", "breakdown",
-        filter_array(depth).alias("filters")).alias("f"))
-    keys = ["view", "strategy", "pattern_type"]
+        filter_array(depth).alias("filters")).alias("f"), F.explode(content_keys("measure", "breakdown", filter_array(depth))).alias("shared"))
+    keys = ["view", "strategy", "pattern_type", "shared"]
     left = one.select(*keys, F.col("finding_id").alias("id_a"), F.col("score").alias("score_a"), F.col("f").alias("a"))
     right = one.select(*keys, F.col("finding_id").alias("id_b"), F.col("score").alias("score_b"), F.col("f").alias("b"))
-    pairs = left.join(right, keys).filter(F.col("id_a") < F.col("id_b")).withColumn("ratio", overlap_ratio("a", "b"))
+    first = F.array_min(F.array_intersect(*[
+        F.concat(F.array(F.concat(F.lit("measure "), _of(x, "measure")), F.concat(F.lit("breakdown "), _of(x, "breakdown"))),
+                 F.transform(_of(x, "filters"), lambda v: F.concat(F.lit("filter "), v))) for x in ("a", "b")]))
+    # a pair that shares several things is kept where it meets on the first of them
+    pairs = left.join(right, keys).filter((F.col("id_a") < F.col("id_b")) & (F.col("shared") == first)).withColumn(
+        "ratio", overlap_ratio("a", "b"))
     return pairs.filter("ratio > 0").select(
         "view", "id_a", "id_b", "ratio", (F.least("score_a", "score_b") * F.col("ratio")).alias("redundancy"))
 
@@ -118,80 +139,49 @@ def total_use(selected: DataFrame, depth: int) -> DataFrame:
         "view", "selected", (F.col("score_sum") - F.coalesce("lost", F.lit(0.0))).alias("total_use"))
 
 
-def _codes(df: pd.DataFrame, columns: list[str]) -> dict[str, np.ndarray]:
-    return {c: pd.factorize(df[c])[0] for c in columns}
-
-
-def _shared_filters(filters: list[np.ndarray], pick: int) -> np.ndarray:
-    mine = set(filters[pick])
-    return np.array([len(mine.intersection(f)) for f in filters])
-
-
-def _ratio_to(df: pd.DataFrame, codes: dict[str, np.ndarray], filters: list, sizes: np.ndarray, pick: int) -> np.ndarray:
-    """Overlap ratio of every row to the picked row."""
-    same = {c: codes[c] == codes[c][pick] for c in codes}
-    shared = _shared_filters(filters, pick)
-    least = np.minimum(sizes, sizes[pick])
-    part = np.where((sizes == 0) & (sizes[pick] == 0), 1.0, np.where(least == 0, 0.0, shared / np.maximum(least, 1)))
-    content = same["measure"] | same["breakdown"] | (shared > 0)
-    strategies = df["strategy"].to_numpy()
-    out = np.zeros(len(df))
-    for strategy, w in WEIGHTS.items():
-        value = (w["slice"] * part + w["extending"] * same["extending_dimension"] + w["measure"] * same["measure"]
-                 + w["breakdown"] * same["breakdown"])
-        out = np.where(strategies == strategy, value, out)
-    return np.where(same["strategy"] & same["pattern_type"] & content, out, 0.0)
-
-
-def greedy_ranks(df: pd.DataFrame, k: int) -> list[int]:
-    """Row positions in pick order: best score first, then the largest score less overlap with all picks."""
-    codes = _codes(df, ["strategy", "pattern_type", "extending_dimension", "measure", "breakdown"])
-    filters = [np.asarray(f) for f in df["filters"]]
-    sizes = np.array([len(f) for f in filters])
-    scores = df["score"].to_numpy(dtype=float)
-    gain, open_rows, picks = scores.copy(), np.ones(len(df), bool), []
-    while open_rows.any() and len(picks) < k:
-        # ties within the last bits go to the earlier row
-        best = int(np.argmax(np.where(open_rows, np.round(gain, 12), -np.inf)))
-        if picks and round(gain[best], 12) <= 0:
-            break
-        picks.append(best)
-        open_rows[best] = False
-        gain = gain - np.minimum(scores, scores[best]) * _ratio_to(df, codes, filters, sizes, best)
-    return picks
-
-
-RANKED = T.StructType([
-    T.StructField("view", T.StringType()), T.StructField("group", T.StringType()),
-    T.StructField("finding_id", T.StringType()), T.StructField("view_rank", T.IntegerType()),
-])
+SLIM = ("strategy", "pattern_type", "extending_dimension", "measure", "breakdown")
+PICKED = ("view string, group string, finding_id string, score double, gain double, view_rank int, filters array<string>, "
+          + ", ".join(f"{c} string" for c in SLIM))
 
 
 def rank(found: DataFrame, depth: int, k: int = TOP_K, group: Column | None = None) -> DataFrame:
-    """The k most useful findings of each view (and `group`, for sweeps) with their rank."""
-    group = F.lit("") if group is None else group.cast("string")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__s=pdf["score"].round(12)).sort_values(
-            ["__s", "finding_id"], ascending=[False, True], ignore_index=True)
-        order = greedy_ranks(pdf, k)
-        top = pdf.iloc[order]
-        return pd.DataFrame({
-            "view": top["view"].to_numpy(), "group": top["group"].to_numpy(), "finding_id": top["finding_id"].to_numpy(),
-            "view_rank": np.arange(1, len(order) + 1, dtype=np.int32)})
+    """The k most useful findings of each view (and `group`, for sweeps): best score first, then the largest score less its
+    overlap with all picks, while that is positive. Ties go to the higher score, then the smaller id.
 
-    slim = found.select(
-        "view", group.alias("group"), "finding_id", "strategy", "pattern_type", "extending_dimension", "measure",
-        "breakdown", "score", filter_array(depth).alias("filters"))
-    w = Window.partitionBy("view", "group").orderBy(*_best_first())
-    bounded = slim.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= PREFILTER).drop("__rn")
-    return bounded.groupBy("view", "group").applyInPandas(pick, RANKED)
+    Columns: view, group, finding_id, view_rank and the gain each finding had when it was picked.
+    """
+    spark = found.sparkSession
+    group = F.lit("") if group is None else group.cast("string")
+    slim = cut_lineage(found.select(
+        "view", group.alias("group"), "finding_id", "score", filter_array(depth).alias("filters"), *SLIM), "rank-rows")
+    picks: list[tuple] = []
+    row = F.struct("filters", *SLIM)
+    for place in range(1, k + 1):
+        gain = F.col("score")
+        rows = slim
+        if picks:
+            so_far = inline_table(spark, picks, PICKED).groupBy("view", "group").agg(F.collect_list(F.struct(
+                "finding_id", "score", "filters", *SLIM)).alias("picks"))  # at most k for each view and group
+            rows = slim.join(F.broadcast(so_far), ["view", "group"]).filter(
+                ~F.exists("picks", lambda p: p["finding_id"] == F.col("finding_id")))
+            gain = gain - F.aggregate("picks", F.lit(0.0), lambda acc, p: acc + F.least(F.col("score"), p["score"]) * overlap_ratio(row, p))
+        priced = rows.withColumn("gain", gain)
+        best = priced.groupBy("view", "group").agg(F.min_by(
+            F.struct("finding_id", "score", "gain", "filters", *SLIM),
+            F.struct(-F.round("gain", 12), -F.round("score", 12), "finding_id")).alias("b"))
+        new = [r for r in best.collect() if place == 1 or round(r.b.gain, 12) > 0]  # one row for each view and group
+        if not new:
+            break
+        picks += [(r["view"], r["group"], r.b.finding_id, r.b.score, r.b.gain, place, list(r.b.filters), *[r.b[c] for c in SLIM]) for r in new]
+    return inline_table(spark, picks, PICKED).select("view", "group", "finding_id", "view_rank", "gain")
 
 
-def merge_prefilter_rank(found: DataFrame, members: DataFrame, depth: int, k: int = TOP_K) -> DataFrame:
-    """Twin merge, then prefilter, then greedy rank: the findings in rank order of their view."""
-    merged = prefilter(merge_twins(found, members, depth))
-    return merged.join(rank(merged, depth, k).drop("group"), ["view", "finding_id"])
+def merge_prefilter_rank(found: DataFrame, members: DataFrame, depth: int, k: int = TOP_K, best: int | None = None) -> DataFrame:
+    """Twin merge, then the prefilter if `best` is given, then greedy rank: the findings in rank order of their view."""
+    merged = merge_twins(found, members, depth)
+    if best is not None:
+        merged = prefilter(merged, best)
+    return merged.join(F.broadcast(rank(merged, depth, k).drop("group", "gain")), ["view", "finding_id"])  # k for each view
 
 
 def gamma_rescored(found: DataFrame, gammas: list[float], tau: float) -> DataFrame:
@@ -204,9 +194,12 @@ def gamma_rescored(found: DataFrame, gammas: list[float], tau: float) -> DataFra
 
 
 def gamma_sensitivity(found: DataFrame, depth: int, tau: float, gammas: list[float], baseline: float, k: int = TOP_K) -> DataFrame:
-    """Per gamma: universal and actionable findings in the top k, the best score, and who entered or left against the baseline."""
+    """Per gamma: universal and actionable findings in the top k, the best score, total use, and who entered or left against the baseline."""
     scored = gamma_rescored(found, gammas, tau).filter("score > 0")
     ranks = rank(scored, depth, k, F.col("gamma")).withColumn("gamma", F.col("group").cast("double")).drop("group")
+    # a finding's gain when picked is its score less its overlap with all earlier picks, so gains add up to the total use
+    use = ranks.groupBy("view", "gamma").agg(F.sum("gain").alias("total_use"))
+    ranks = ranks.drop("gain")
     chosen = scored.join(ranks, ["view", "finding_id", "gamma"])
     exceptions = F.col("n_highlight_change") + F.col("n_type_change") + F.col("n_no_pattern")
     base = ranks.filter(F.col("gamma") == baseline).select("view", "finding_id", F.lit(True).alias("in_base"))
@@ -215,7 +208,7 @@ def gamma_sensitivity(found: DataFrame, depth: int, tau: float, gammas: list[flo
         F.count_if(exceptions == 0).alias("universal"), F.count_if(exceptions > 0).alias("actionable"),
         F.max("score").alias("top_score"), F.count_if(F.col("in_base").isNull()).alias("entered"),
         F.count("in_base").alias("__kept"),
-    ).join(base_size, "view").withColumn("exited", F.col("base_size") - F.col("__kept")).drop("__kept", "base_size")
+    ).join(use, ["view", "gamma"]).join(base_size, "view").withColumn("exited", F.col("base_size") - F.col("__kept")).drop("__kept", "base_size")
 
 
 # ---- the feed across views -------------------------------------------------------------------
@@ -264,103 +257,71 @@ def lineage_dedup(pool: DataFrame) -> DataFrame:
     return pool.withColumn("lineage_key", key).withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
-def cross_view_overlap(a: str, b: str) -> Column:
+def cross_view_overlap(a: str | Column, b: str | Column) -> Column:
     """Overlap of two pooled findings in source terms, with the content gate."""
-    def same(field: str) -> Column:
-        return (F.col(f"{a}.{field}") == F.col(f"{b}.{field}")).cast("int")
-
-    fa, fb = F.col(f"{a}.c_filters"), F.col(f"{b}.c_filters")
-    shared = F.size(F.array_intersect(fa, fb))
-    coefficient = (
-        F.when((F.size(fa) == 0) & (F.size(fb) == 0), 1.0).when((F.size(fa) == 0) | (F.size(fb) == 0), 0.0)
-        .otherwise(shared / F.least(F.size(fa), F.size(fb))))
+    def same(name: str) -> Column:
+        return (_of(a, name) == _of(b, name)).cast("int")
+
+    fa, fb = _of(a, "c_filters"), _of(b, "c_filters")
     w = WEIGHTS["subspace"]
-    gate = (F.col(f"{a}.pattern_type") == F.col(f"{b}.pattern_type")) & (
-        (same("c_measure") + same("c_breakdown") > 0) | (shared > 0))
-    return F.when(gate, w["slice"] * coefficient + w["extending"] * same("c_extending")
+    gate = (_of(a, "pattern_type") == _of(b, "pattern_type")) & (
+        (same("c_measure") + same("c_breakdown") > 0) | F.arrays_overlap(fa, fb))
+    return F.when(gate, w["slice"] * _slice_overlap(fa, fb) + w["extending"] * same("c_extending")
                   + w["measure"] * same("c_measure") + w["breakdown"] * same("c_breakdown")).otherwise(0.0)
 
 
-FEED = T.StructType([
-    T.StructField("view", T.StringType()), T.StructField("finding_id", T.StringType()),
-    T.StructField("feed_rank", T.IntegerType()), T.StructField("seed", T.BooleanType()),
-    T.StructField("worst_overlap", T.DoubleType()), T.StructField("gain", T.DoubleType()),
-])
-
-
-def _feed_ratio(df: pd.DataFrame, within: dict, source: dict, filters: list, c_filters: list, pick: int) -> np.ndarray:
-    """Within a view the view's own overlap, across views the overlap in source terms."""
-    sizes, c_sizes = np.array([len(f) for f in filters]), np.array([len(f) for f in c_filters])
-    inside = _ratio_to(df, within, filters, sizes, pick)
-    same = {c: source[c] == source[c][pick] for c in source}
-    shared = _shared_filters(c_filters, pick)
-    least = np.minimum(c_sizes, c_sizes[pick])
-    part = np.where((c_sizes == 0) & (c_sizes[pick] == 0), 1.0, np.where(least == 0, 0.0, shared / np.maximum(least, 1)))
-    w = WEIGHTS["subspace"]
-    outside = (w["slice"] * part + w["extending"] * same["c_extending"] + w["measure"] * same["c_measure"]
-               + w["breakdown"] * same["c_breakdown"])
-    gate = same["pattern_type"] & (same["c_measure"] | same["c_breakdown"] | (shared > 0))
-    own_view = df["view"].to_numpy() == df["view"].iloc[pick]
-    return np.where(own_view, inside, np.where(gate, outside, 0.0))
-
-
-def mmr_order(df: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Seeds (each view's best rank), then the largest score less its worst overlap with the selection."""
-    within = _codes(df, ["strategy", "pattern_type", "extending_dimension", "measure", "breakdown"])
-    source = _codes(df, ["pattern_type", "c_extending", "c_measure", "c_breakdown"])
-    filters, c_filters = [np.asarray(f) for f in df["filters"]], [np.asarray(f) for f in df["c_filters"]]
-    scores = df["global_score"].to_numpy(dtype=float)
-    worst, open_rows = np.zeros(len(df)), np.ones(len(df), bool)
-    rank_of, seed = np.zeros(len(df), int), np.zeros(len(df), bool)
-
-    def take(i: int, position: int) -> None:
-        rank_of[i], open_rows[i] = position, False
-        np.maximum(worst, np.minimum(scores, scores[i]) * _feed_ratio(df, within, source, filters, c_filters, i), out=worst)
-
-    seeds = df.sort_values("view_rank", kind="stable").groupby("view", sort=True).head(1).index
-    seeds = sorted(seeds, key=lambda i: -scores[i])
-    final_worst, final_gain = np.zeros(len(df)), np.zeros(len(df))
-    for position, i in enumerate(seeds, 1):
-        seed[i], final_gain[i] = True, scores[i]
-        take(i, position)
-    count = len(seeds)
-    while count < k and open_rows.any():
-        gain = scores - np.minimum(scores, worst)
-        best = int(np.argmax(np.where(open_rows, np.round(gain, 12), -np.inf)))
-        if round(gain[best], 12) <= 0:
-            break
-        final_worst[best], final_gain[best] = worst[best], gain[best]
-        count += 1
-        take(best, count)
-    left = rank_of == 0
-    final_worst[left] = worst[left]
-    final_gain[left] = (scores - np.minimum(scores, worst))[left]
-    return df.assign(feed_rank=rank_of.astype(np.int32), seed=seed, worst_overlap=final_worst, gain=final_gain)
+POOLED = (*SLIM, "c_measure", "c_breakdown", "c_extending")
+FEED = ("view string, finding_id string, feed_rank int, seed boolean, worst_overlap double, gain double, global_score double, "
+        "filters array<string>, c_filters array<string>, " + ", ".join(f"{c} string" for c in POOLED))
 
 
 def select_feed(pool: DataFrame, depth: int, k: int = FEED_K) -> DataFrame:
-    """The pooled feed; findings left out have feed_rank 0 and the numbers behind that.
+    """The pooled feed: each view's best rank as a seed, then the largest score less its worst overlap with the selection.
 
-    The pool is at most the views' top lists, cut to POOL_CAP, so one group holds it.
+    Findings left out have feed_rank 0 and the numbers behind that. Nothing is cut before or after the seeds.
     """
-    slim = pool.select(
-        "view", "finding_id", "view_rank", "strategy", "pattern_type", "extending_dimension", "measure", "breakdown",
-        "c_measure", "c_breakdown", "c_extending", "c_filters", "global_score", filter_array(depth).alias("filters"),
-    ).orderBy(F.desc(F.round("global_score", 12)), "view", "view_rank").limit(POOL_CAP)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__s=pdf["global_score"].round(12)).sort_values(
-            ["__s", "view", "view_rank"], ascending=[False, True, True], ignore_index=True)
-        return mmr_order(pdf, k)[["view", "finding_id", "feed_rank", "seed", "worst_overlap", "gain"]]
-
-    picked = slim.withColumn("pool", F.lit(1)).groupBy("pool").applyInPandas(run, FEED)
-    return pool.join(picked, ["view", "finding_id"])
+    spark = pool.sparkSession
+    fields = ("finding_id", "global_score", "filters", "c_filters", *POOLED)
+    slim = cut_lineage(pool.select(
+        "view", "view_rank", "finding_id", "global_score", filter_array(depth).alias("filters"), "c_filters", *POOLED), "feed-rows")
+    row = F.struct("view", "filters", "c_filters", *POOLED)
+    picks: list[tuple] = []
+
+    def take(r, seed: bool, worst: float, gain: float) -> None:
+        picks.append((r.view, r.finding_id, len(picks) + 1, seed, worst, gain, r.global_score, list(r.filters), list(r.c_filters),
+                      *[r[c] for c in POOLED]))
+
+    def priced(rows: DataFrame) -> DataFrame:
+        """Rows with their worst overlap with the picks so far, and what is left of their score."""
+        chosen = inline_table(spark, picks, FEED).agg(F.collect_list(F.struct("view", *fields)).alias("picks"))  # at most k and the seeds
+        overlap = lambda p: F.when(F.col("view") == p["view"], overlap_ratio(row, p)).otherwise(cross_view_overlap(row, p))
+        worst = F.aggregate("picks", F.lit(0.0), lambda acc, p: F.greatest(acc, F.least(F.col("global_score"), p["global_score"]) * overlap(p)))
+        return rows.crossJoin(F.broadcast(chosen)).withColumn("worst_overlap", worst).withColumn(
+            "gain", F.col("global_score") - F.least("global_score", "worst_overlap"))
+
+    seeds = slim.groupBy("view").agg(F.min_by(F.struct("view", *fields), F.struct("view_rank", -F.round("global_score", 12))).alias("s"))
+    for r in sorted(seeds.collect(), key=lambda r: (-round(r.s.global_score, 12), r.s.view)):  # one row for each view
+        take(r.s, True, 0.0, r.s.global_score)
+    order = F.struct(-F.round("gain", 12), -F.round("global_score", 12), "view", "view_rank")
+    while picks and len(picks) < k:
+        open_rows = priced(slim).filter(~F.exists("picks", lambda p: (p["view"] == F.col("view")) & (p["finding_id"] == F.col("finding_id"))))
+        best = open_rows.agg(F.min_by(F.struct("view", "worst_overlap", "gain", *fields), order).alias("b")).first().b
+        if best is None or round(best.gain, 12) <= 0:
+            break
+        take(best, False, best.worst_overlap, best.gain)
+    chosen = inline_table(spark, picks, FEED).select(
+        "view", "finding_id", "feed_rank", "seed", F.col("worst_overlap").alias("own_worst"), F.col("gain").alias("own_gain"))
+    left = priced(slim).select("view", "finding_id", "worst_overlap", "gain").join(
+        F.broadcast(chosen), ["view", "finding_id"], "left").select(  # at most k and the seeds
+        "view", "finding_id", F.coalesce("feed_rank", F.lit(0)).alias("feed_rank"), F.coalesce("seed", F.lit(False)).alias("seed"),
+        F.coalesce("own_worst", "worst_overlap").alias("worst_overlap"), F.coalesce("own_gain", "gain").alias("gain"))
+    return pool.join(left, ["view", "finding_id"])
 
 
 def rejected(feed: DataFrame, n: int = 15) -> DataFrame:
     """The best findings left out, with their worst overlap and remaining gain."""
-    return feed.filter("feed_rank = 0").orderBy(F.desc("global_score"), "view", "view_rank").limit(n).select(
-        "view", "view_rank", F.round("global_score", 6).alias("global_score"),
+    return feed.filter("feed_rank = 0").orderBy(F.desc(F.round("global_score", 12)), "view", "view_rank").limit(n).select(
+        "view", "view_rank", "sentence", F.round("global_score", 6).alias("global_score"),
         F.round("worst_overlap", 6).alias("worst_overlap"), F.round("gain", 6).alias("marginal_gain"))
 
 
@@ -395,51 +356,71 @@ def canonical_keys(found: DataFrame, members: DataFrame, depth: int) -> DataFram
         F.col("hdp_size").cast("string"), "common", "odd").alias("canonical_key"))
 
 
-def sentence(signed_measures: tuple[str, ...] = ()) -> Column:
-    """One plain sentence per finding from its commonest highlight."""
-    c = F.col
-    part = F.split("highlight", "\\|")
-    names = F.transform(part, lambda x: F.substring_index(x, ":", 1))
+def pattern_text(kind: Column, highlight: Column, measure: Column, breakdown: Column, signed_measures: tuple[str, ...] = ()) -> Column:
+    """What one pattern says, in words of our own."""
+    part = F.split(highlight, "\\|")
+    named = F.array_join(F.transform(part, lambda x: F.concat(
+        F.substring_index(x, ":", 1), F.lit(" ("), F.lower(F.substring_index(x, ":", -1)), F.lit(")"))), ", ")
+    signed = measure.isin(*signed_measures) if signed_measures else F.lit(False)
+
+    def say(*words) -> Column:
+        return F.concat(*[F.lit(w) if isinstance(w, str) else w for w in words])
+
     text = {
-        "OUTSTANDING_1": F.concat(c("highlight"), F.lit(" has the highest "), c("measure"), F.lit(" among "), c("breakdown"), F.lit(" values")),
-        "OUTSTANDING_LAST": F.concat(c("highlight"), F.lit(" has the lowest "), c("measure"), F.lit(" among "), c("breakdown"), F.lit(" values")),
-        "TOP_TWO": F.concat(F.concat_ws(" and ", part), F.lit(" lead in "), c("measure"), F.lit(" among "), c("breakdown"), F.lit(" values")),
-        "LAST_TWO": F.concat(F.concat_ws(" and ", part), F.lit(" are lowest in "), c("measure"), F.lit(" among "), c("breakdown"), F.lit(" values")),
-        "EVENNESS": F.when(c("measure").isin(*signed_measures) if signed_measures else F.lit(False), F.concat(
-            c("measure"), F.lit(" is spread over all "), c("breakdown"), F.lit(" values, no single one accounts for it"))).otherwise(
-            F.concat(c("measure"), F.lit(" is evenly distributed across "), c("breakdown"), F.lit(" values"))),
-        "ATTRIBUTION": F.concat(c("highlight"), F.lit(" accounts for the majority of "), c("measure"), F.lit(" among "), c("breakdown"), F.lit(" values")),
-        "TREND": F.concat(c("measure"), F.lit(" is "), F.lower("highlight"), F.lit(" over "), c("breakdown")),
-        "OUTLIER": F.concat(c("measure"), F.when(F.size(part) == 1, F.lit(" has an outlier at ")).otherwise(F.lit(" has outliers at ")),
-                            F.concat_ws(", ", names), F.lit(" in "), c("breakdown")),
-        "SEASONALITY": F.concat(c("measure"), F.lit(" shows a seasonal pattern ("), c("highlight"), F.lit(") over "), c("breakdown")),
-        "CHANGE_POINT": F.concat(c("measure"), F.lit(" has a significant shift at "), c("highlight"), F.lit(" in "), c("breakdown")),
-        "UNIMODALITY": F.concat(c("measure"), F.lit(" forms a "), F.lower(F.get(part, F.lit(0))), F.lit(" at "), F.get(part, F.lit(1)),
-                                F.lit(" over "), c("breakdown")),
+        "OUTSTANDING_1": say(measure, " is by far highest for ", highlight, " when split by ", breakdown),
+        "OUTSTANDING_LAST": say(measure, " is by far lowest for ", highlight, " when split by ", breakdown),
+        "TOP_TWO": say(measure, " is highest for the two of ", F.array_join(part, ", "), " when split by ", breakdown),
+        "LAST_TWO": say(measure, " is lowest for the two of ", F.array_join(part, ", "), " when split by ", breakdown),
+        "EVENNESS": F.when(signed, say("no ", breakdown, " dominates ", measure, ", whose parts may cancel")).otherwise(
+            say(measure, " differs little by ", breakdown)),
+        "ATTRIBUTION": say("more than half of ", measure, " belongs to ", highlight, " when split by ", breakdown),
+        "TREND": say(measure, " keeps ", F.lower(highlight), " along ", breakdown),
+        "OUTLIER": say(measure, " is unusual along ", breakdown, " at ", named),
+        "SEASONALITY": say(measure, " repeats along ", breakdown, " with ", highlight),
+        "CHANGE_POINT": say(measure, " moves to another level along ", breakdown, " from ", highlight, " on"),
+        "UNIMODALITY": say(measure, " has a single ", F.lower(F.get(part, F.lit(0))), " along ", breakdown, " at ", F.get(part, F.lit(1))),
     }
     body = None
-    for kind, value in text.items():
-        body = F.when(c("pattern_type") == kind, value) if body is None else body.when(c("pattern_type") == kind, value)
-    counted = F.concat(F.lit(" ("), c("common_count").cast("string"), F.lit("/"), c("hdp_size").cast("string"), F.lit(")"))
+    for name, value in text.items():
+        body = F.when(kind == name, value) if body is None else body.when(kind == name, value)
+    return body
+
+
+def sentence(signed_measures: tuple[str, ...] = ()) -> Column:
+    """One plain sentence per finding from its commonest highlight."""
+    c = F.col
+    counted = F.concat(F.lit(" ("), c("common_count").cast("string"), F.lit(" of "), c("hdp_size").cast("string"), F.lit("): "))
     prefix = (
-        F.when(c("common_share") >= 1.0, F.concat(F.lit("Across all "), c("extending_dimension"), F.lit(" values")))
-        .when(c("common_share") >= 0.9, F.concat(F.lit("Across nearly all "), c("extending_dimension"), F.lit(" values"), counted))
-        .otherwise(F.concat(F.lit("Across most "), c("extending_dimension"), F.lit(" values"), counted)))
-    return F.concat(prefix, F.lit(", "), body)
+        F.when(c("common_share") >= 1.0, F.concat(F.lit("For every "), c("extending_dimension"), F.lit(": ")))
+        .when(c("common_share") >= 0.9, F.concat(F.lit("For nearly every "), c("extending_dimension"), counted))
+        .otherwise(F.concat(F.lit("For most of "), c("extending_dimension"), counted)))
+    return F.concat(prefix, pattern_text(c("pattern_type"), c("highlight"), c("measure"), c("breakdown"), signed_measures))
 
 
 def with_sentences(found: DataFrame, members: DataFrame, signed_measures: tuple[str, ...] = (), shown: int = 3) -> DataFrame:
-    """Findings with their sentence and up to three named exceptions."""
-    w = Window.partitionBy("finding_id").orderBy("member_label")
-    odd = members.filter(F.col("category") != "COMMON").withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= shown)
+    """Findings with their sentence and the first `shown` named exceptions.
+
+    An exception with another highlight says its own pattern; exceptions to evenness are about the spread only.
+    """
+    heads = found.select("finding_id", "pattern_type", "measure", "breakdown")
+    odd = members.filter(F.col("category") != "COMMON").select("finding_id", "member_label", "category", F.col("highlight").alias("own")).join(
+        heads, "finding_id")
+    even = F.col("pattern_type") == "EVENNESS"
+    own = pattern_text(F.col("pattern_type"), F.col("own"), F.col("measure"), F.col("breakdown"), signed_measures)
     why = (
-        F.when(F.col("category") == "HIGHLIGHT_CHANGE", F.col("highlight"))
-        .when(F.col("category") == "TYPE_CHANGE", "different pattern").otherwise("no clear pattern"))
-    named = F.struct("__rn", F.concat("member_label", F.lit(" ("), why, F.lit(")")).alias("text"))
-    listed = odd.groupBy("finding_id").agg(
-        F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(named)), lambda x: x["text"])).alias("__odd"))
+        F.when((F.col("category") == "HIGHLIGHT_CHANGE") & own.isNotNull(), own)
+        .when(F.col("category") == "TYPE_CHANGE", F.when(even, "spread in another way").otherwise("another pattern"))
+        .otherwise(F.when(even, "uneven").otherwise("no pattern")))
+    named = F.concat("member_label", F.lit(" ("), why, F.lit(")"))
+    salted = Window.partitionBy("finding_id", F.pmod(F.xxhash64("member_label"), F.lit(SALTS))).orderBy("member_label")
+    some = odd.select("finding_id", "member_label", named.alias("text")).withColumn("__rn", F.row_number().over(salted)).filter(F.col("__rn") <= shown)
+    # at most `shown` for each salt are left of a finding
+    listed = some.groupBy("finding_id").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(
+        F.struct("member_label", "text"))), 1, shown), lambda x: x["text"]), "; ").alias("__odd"))
     exceptions = F.col("n_highlight_change") + F.col("n_type_change") + F.col("n_no_pattern")
-    more = F.when(exceptions > shown, F.concat(F.lit(" and "), (exceptions - shown).cast("string"), F.lit(" others"))).otherwise(F.lit(""))
-    tail = F.when(F.col("__odd").isNotNull(), F.concat(F.lit(". Exceptions: "), F.col("__odd"), more)).otherwise(F.lit(""))
+    more = F.when(exceptions > shown, F.concat(F.lit(" and "), (exceptions - shown).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    label = F.when(even, "Not even in").when(exceptions == 1, "Exception").otherwise("Exceptions")
+    note = F.when(even, "; this is about the spread, not the level").otherwise("")
+    tail = F.when(F.col("__odd").isNotNull(), F.concat(F.lit(". "), label, F.lit(": "), F.col("__odd"), more, note)).otherwise(F.lit(""))
     return found.join(listed, "finding_id", "left").withColumn(
         "sentence", F.concat(sentence(signed_measures), tail)).drop("__odd")

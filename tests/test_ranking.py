@@ -130,5 +130,6 @@ def test_sentences_name_their_exceptions(run):
     rows = R.with_sentences(run.findings, run.finding_members).collect()
     for r in rows:
         odd = r["n_highlight_change"] + r["n_type_change"] + r["n_no_pattern"]
-        assert r["sentence"].startswith("Across ") and (". Exceptions: " in r["sentence"]) == (odd > 0)
-        assert ("others" in r["sentence"]) == (odd > 3)
+        label = ". Not even in: " if r["pattern_type"] == "EVENNESS" else ". Exception: " if odd == 1 else ". Exceptions: "
+        assert r["sentence"].startswith("For ") and (label in r["sentence"]) == (odd > 0)
+        assert (" more" in r["sentence"].replace("more than half", "")) == (odd > 3)
