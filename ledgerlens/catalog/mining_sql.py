@@ -78,9 +78,9 @@ def ctes(view_sql: str, cfg: ViewConfig) -> list[str]:
         f"SELECT '{d}' AS dim, count(DISTINCT {d}) AS n FROM v" for d in cfg.all_dims
     )
     return [
-        f"v AS ({view_sql})",
+        f"v AS MATERIALIZED ({view_sql})",
         f"sizes AS ({sizes})",
-        "slices AS (" + " UNION ALL ".join(slices) + ")",
+        "slices AS MATERIALIZED (" + " UNION ALL ".join(slices) + ")",
         f"shares AS (SELECT *, greatest(0.0, {best}) AS max_share FROM (SELECT s.f1d, s.f1v, s.f2d, s.f2v, {share} "
         "FROM slices s, (SELECT * FROM slices WHERE f1d = '') t))",
         "cells AS (" + " UNION ALL ".join(cells) + ")",
@@ -273,5 +273,28 @@ def finding_ctes(cfg: ViewConfig) -> list[str]:
     ]
 
 
+def member_ctes(cfg: ViewConfig) -> list[str]:
+    """full: every sibling of every finding in cand with its category and own highlight."""
+    key = "strategy, g1d, g1v, g2d, g2v, ext, gb, gm"
+    none = "CAST(NULL AS VARCHAR)"
+    dom = [f"SELECT DISTINCT 'subspace' AS strategy, '{d}' AS dim, {none} AS b, {none} AS m, CAST({d} AS VARCHAR) AS member FROM v WHERE {d} IS NOT NULL"
+           for d in cfg.dimensions]
+    dom += [f"SELECT 'measure', 'measure', '{b}', {none}, '{cfg.measures[i].name}'" for b in cfg.all_dims for i in cfg.measures_for(b)]
+    dom += [f"SELECT 'breakdown', 'temporal_grain', {none}, '{m.name}', '{t}'" for m in cfg.measures for t in cfg.temporal_dimensions
+            if (m.name, t) not in cfg.excluded_pairs]
+    same = " AND ".join(f"x.{k} = c.{k}" for k in key.split(", "))
+    return [
+        "dom AS (" + " UNION ALL ".join(dom) + ")",
+        f"com AS (SELECT {key}, type, highlight FROM byhl WHERE cnt / size > {cfg.tau})",
+        f"""own AS (SELECT c.id, x.member, x.highlight, EXISTS (SELECT 1 FROM com k WHERE {same.replace('x.', 'k.')} AND k.type = c.type AND k.highlight = x.highlight) AS common
+            FROM cand c JOIN mem x ON {same} AND x.type = c.type)""",
+        f"other AS (SELECT DISTINCT c.id, x.member FROM cand c JOIN mem x ON {same})",
+        """full_members AS (SELECT c.*, d.member, o.highlight AS own_highlight, CASE WHEN o.common THEN 'COMMON' WHEN o.id IS NOT NULL THEN 'HIGHLIGHT_CHANGE'
+              WHEN t.id IS NOT NULL THEN 'TYPE_CHANGE' ELSE 'NO_PATTERN' END AS category
+            FROM cand c JOIN dom d ON d.strategy = c.strategy AND d.dim = c.ext AND (d.b IS NULL OR d.b = c.gb) AND (d.m IS NULL OR d.m = c.gm)
+            LEFT JOIN own o ON o.id = c.id AND o.member = d.member LEFT JOIN other t ON t.id = c.id AND t.member = d.member)""",
+    ]
+
+
 def statement(parts: list[str], select: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select

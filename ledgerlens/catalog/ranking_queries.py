@@ -83,7 +83,18 @@ def greedy_sql(select: str, view: str, merged: bool) -> str:
     return ms.statement(cand_ctes(view) + extra, select).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("m29_canonical_identity")
+def _digest_sql(text: str, when: str) -> str:
+    pieces = ", ".join(f"coalesce(sum(('0x' || substr(sha256({text}), {1 + 15 * i}, 15))::BIGINT) FILTER ({when}), 0)" for i in range(4))
+    return f"concat_ws(':', count(*) FILTER ({when}), {pieces})"
+
+
+_MEMBERS = ms.member_ctes(_VIEWS["orders"][1](1))
+
+
+@query("m29_canonical_identity", sql(f"""SELECT id AS finding_id, concat_ws('||', strategy, ext, type, gb, gm, CASE WHEN g1d = '' THEN '' ELSE g1d || '=' || g1v END,
+  CAST(size AS VARCHAR), {_digest_sql("concat_ws('~', own_highlight, member)", "category = 'COMMON'")},
+  {_digest_sql("concat_ws('~', member, category, coalesce(own_highlight, ''))", "category <> 'COMMON'")}) AS canonical_key
+FROM full_members GROUP BY id, strategy, ext, type, gb, gm, g1d, g1v, size""", extra=_MEMBERS))
 def m29(t: Tables) -> DataFrame:
     run = mining(t)
     return R.canonical_keys(run.findings, run.finding_members, 1)
@@ -360,7 +371,15 @@ def r19(t: Tables) -> DataFrame:
     return mining(t).findings.select("finding_id", R.sentence().alias("sentence"))
 
 
-@query("r19_sentences_with_exceptions")
+@query("r19_sentences_with_exceptions", sql(f"""SELECT c.id AS finding_id, {SENTENCE_SQL} || CASE WHEN o.texts IS NULL THEN '' ELSE '. ' ||
+  CASE WHEN type = 'EVENNESS' THEN 'Not even in' WHEN o.n = 1 THEN 'Exception' ELSE 'Exceptions' END || ': ' || o.texts ||
+  CASE WHEN o.n > 3 THEN ' and ' || (o.n - 3) || ' more' ELSE '' END ||
+  CASE WHEN type = 'EVENNESS' THEN '; this is about the spread, not the level' ELSE '' END END AS sentence
+FROM cand c LEFT JOIN (SELECT id, max(n) AS n, string_agg(text, '; ' ORDER BY member) AS texts FROM (
+  SELECT id, member, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY member) AS rn, member || ' (' || CASE category
+    WHEN 'HIGHLIGHT_CHANGE' THEN {body_sql('own_highlight')} WHEN 'TYPE_CHANGE' THEN CASE WHEN type = 'EVENNESS' THEN 'spread in another way' ELSE 'another pattern' END
+    ELSE CASE WHEN type = 'EVENNESS' THEN 'uneven' ELSE 'no pattern' END END || ')' AS text
+  FROM full_members WHERE category <> 'COMMON') WHERE rn <= 3 GROUP BY id) o ON o.id = c.id""", extra=_MEMBERS))
 def r19_exceptions(t: Tables) -> DataFrame:
     run = mining(t)
     return R.with_sentences(run.findings, run.finding_members).select("finding_id", "sentence")
@@ -445,7 +464,23 @@ def e07(t: Tables) -> DataFrame:
     return E.boundary_caveat(found, run.finding_members, ["orders"], "year", ["1995", "1996"], ["1999", "2000"], compared)
 
 
-@query("e08_event_citations")
+_MONTHS = """CASE WHEN regexp_matches(label, '^\\d{4}-\\d{2}$') THEN left(label, 4)::INT * 12 + right(label, 2)::INT - 1
+  WHEN regexp_matches(label, '^\\d{4}-Q[1-4]$') THEN left(label, 4)::INT * 12 + (right(label, 1)::INT - 1) * 3
+  WHEN regexp_matches(label, '^\\d{4}-\\d{4}$') AND right(label, 4)::INT = left(label, 4)::INT + 1 THEN left(label, 4)::INT * 12 + 3 END"""
+_LENGTH = "CASE WHEN length(label) = 7 AND label NOT LIKE '%Q%' THEN 0 WHEN label LIKE '%Q%' THEN 2 ELSE 11 END"
+
+
+@query("e08_event_citations", sql(f"""
+SELECT 'end of the record' AS event, m AS start_month, m AS end_month, '' AS note, what,
+  CASE WHEN bool_or(first <= e AND last >= e) THEN 'inside' ELSE 'in the months just after' END AS relation, count(DISTINCT id) AS findings
+FROM (SELECT *, {_MONTHS} AS first, {_MONTHS} + {_LENGTH} AS last FROM (
+    SELECT id, 'the shift this finding reports' AS what, string_split(unnest(string_split(highlight, '|')), ':')[1] AS label FROM cand
+      WHERE type IN ('CHANGE_POINT', 'OUTLIER', 'UNIMODALITY')
+    UNION SELECT id, 'an exception in this finding', string_split(unnest(string_split(own_highlight, '|')), ':')[1] FROM full_members
+      WHERE type IN ('CHANGE_POINT', 'OUTLIER', 'UNIMODALITY') AND category = 'HIGHLIGHT_CHANGE'
+    UNION SELECT id, 'the period this finding is restricted to', g1v FROM cand WHERE g1d <> ''))
+  , (SELECT max(month) AS m, left(max(month), 4)::INT * 12 + right(max(month), 2)::INT - 1 AS e FROM v)
+WHERE (first <= e AND last >= e) OR (first > e AND first <= e + 3) GROUP BY m, what""", extra=_MEMBERS))
 def e08(t: Tables) -> DataFrame:
     run = mining(t)
     periods = E.finding_periods(run.findings, run.finding_members, 1)

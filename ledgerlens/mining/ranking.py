@@ -39,12 +39,17 @@ def _best_first() -> list[Column]:
     return [F.desc(F.round("score", 12)), F.col("finding_id")]
 
 
+def _digest(text: Column, when: Column) -> Column:
+    """Order-free digest of the rows of a group that meet a condition: their number and sums of hash pieces."""
+    h = F.sha2(text, 256)
+    pieces = [F.sum(F.when(when, F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))) for i in range(4)]
+    return F.concat_ws(":", F.count_if(when).cast("string"), *[F.coalesce(p, F.lit(0)).cast("decimal(38,0)").cast("string") for p in pieces])
+
+
 def member_digest(members: DataFrame) -> DataFrame:
-    """Order-free digest of each finding's common (highlight, member) pairs, as sums of hash pieces."""
-    pair = F.sha2(F.concat_ws("~", "highlight", "member_label"), 256)
-    pieces = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
-    return members.filter(F.col("category") == "COMMON").withColumn("h", pair).groupBy("finding_id").agg(
-        F.concat_ws(":", F.count("*").cast("string"), *pieces).alias("commonness_digest"))
+    """Digest of each finding's common (highlight, member) pairs."""
+    common = members.filter(F.col("category") == "COMMON")
+    return common.groupBy("finding_id").agg(_digest(F.concat_ws("~", "highlight", "member_label"), F.lit(True)).alias("commonness_digest"))
 
 
 def merge_twins(found: DataFrame, members: DataFrame, depth: int) -> DataFrame:
@@ -344,13 +349,12 @@ def finding_diff(now: DataFrame, before: DataFrame, now_members: DataFrame, befo
 
 
 def canonical_keys(found: DataFrame, members: DataFrame, depth: int) -> DataFrame:
-    """Text identity of each finding from its sorted content."""
+    """Identity of each finding from its content: its defining fields and digests of its members, of bounded length."""
     filters = F.concat_ws(";", F.array_sort(filter_array(depth)))
-    common = F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("category") == "COMMON", F.concat_ws(
-        "~", "highlight", "member_label")))))
-    odd = F.concat_ws("|", F.array_sort(F.collect_list(F.when(F.col("category") != "COMMON", F.concat_ws(
-        "~", "member_label", "category", F.coalesce("highlight", F.lit("")))))))
-    parts = members.groupBy("finding_id").agg(common.alias("common"), odd.alias("odd"))
+    common = F.col("category") == "COMMON"
+    parts = members.groupBy("finding_id").agg(
+        _digest(F.concat_ws("~", "highlight", "member_label"), common).alias("common"),
+        _digest(F.concat_ws("~", "member_label", "category", F.coalesce("highlight", F.lit(""))), ~common).alias("odd"))
     return found.join(parts, "finding_id").select("finding_id", F.concat_ws(
         "||", "strategy", "extending_dimension", "pattern_type", "breakdown", "measure", filters,
         F.col("hdp_size").cast("string"), "common", "odd").alias("canonical_key"))
