@@ -14,8 +14,6 @@ from ledgerlens.functions.text import collapsed_key
 # similarity is 100 * (1 - edits / longer length); this threshold is our own, see the README
 FUZZY_THRESHOLD = 85
 SUGGESTIONS = 3
-SUGGESTION_REGISTRY_LIMIT = 20_000
-MAX_CANDIDATES = 12
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
@@ -90,21 +88,12 @@ def resolve(texts: DataFrame, column: str, registry: DataFrame, value: str, alia
 
 
 def suggestions(missing: DataFrame, registry: DataFrame, value: str, k: int = SUGGESTIONS) -> DataFrame:
-    """The k most similar registry values for each unresolved text.
+    """The k most similar registry values for each unresolved text, among those that share a three-letter piece with it.
 
-    A registry of checked size travels as one array. A larger one is searched through shared
-    three-letter pieces, which keeps every value that has one in common with the text.
+    Texts are padded with two blanks on either side, so a shared first or last letter is a shared piece. A value without one
+    is no suggestion, whatever the size of the registry.
     """
     values = registry.select(collapsed_key(value).alias("key")).filter("key <> ''").distinct()
-    n = values.limit(SUGGESTION_REGISTRY_LIMIT + 1).count()
-    if n <= SUGGESTION_REGISTRY_LIMIT:
-        row = values.agg(F.array_sort(F.collect_list("key")).alias("keys")).withColumn("one", F.lit(1))
-        scored = missing.select("asked").withColumn("one", F.lit(1)).join(F.broadcast(row), "one").select(
-            "asked", F.explode(F.slice(F.array_sort(F.transform("keys", lambda v: F.struct(
-                (-similarity(F.col("asked"), v)).alias("d"), v.alias("key")))), 1, k)).alias("s"))
-        ranked = scored.select("asked", F.col("s.key").alias("suggestion"), (-F.col("s.d")).alias("score"))
-        return ranked.withColumn("position", F.row_number().over(
-            Window.partitionBy("asked").orderBy(F.desc("score"), "suggestion")))
 
     def grams(c: str) -> Column:
         padded = F.concat(F.lit("  "), F.col(c), F.lit("  "))
@@ -118,28 +107,50 @@ def suggestions(missing: DataFrame, registry: DataFrame, value: str, k: int = SU
         "asked", F.col("key").alias("suggestion"), "score", "position")
 
 
-def resolve_roster(asked: DataFrame, column: str, roster: DataFrame, code: str, name: str, place: str) -> DataFrame:
-    """A code binds its entity; a name binds when only one entity bears it, and else lists candidates.
+def resolve_roster(asked: DataFrame, column: str, roster: DataFrame, code: str, name: str, place: str, listed: int,
+                   aliases: DataFrame | None = None, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """A code binds its entity; else a name as it is, an alias, "X of Y" with X a name, or the names similar enough.
 
-    "X of Y" narrows name X to place Y. At most twelve candidates are listed, never one picked.
+    Each step takes only what the ones before left. Whoever bears a found name counts; one alone is bound, of several the
+    first `listed` codes are named and `matches` says how many there are.
     """
     texts = asked.select(collapsed_key(column).alias("asked")).filter("asked <> ''").distinct()
-    texts = texts.withColumns({
-        "want_name": F.regexp_replace("asked", r" of .*$", ""),
-        "want_place": F.when(F.col("asked").contains(" of "), F.regexp_replace("asked", r"^.*? of ", "")),
-    })
     people = roster.select(
         F.col(code).cast("string").alias("code"), collapsed_key(name).alias("name"), collapsed_key(place).alias("place"))
+    names = people.select("name").distinct()
     by_code = texts.join(people.select(F.col("code").alias("asked"), F.col("code").alias("hit")), "asked").select("asked", "hit")
     rest = texts.join(by_code.select("asked"), "asked", "left_anti")
-    # only names someone asked for are ranked, and at most the listed number leaves each map task
-    hits = people.join(rest, (F.col("name") == F.col("want_name")) & (
+    wanted = rest.join(names.select(F.col("name").alias("asked")), "asked").select(
+        "asked", F.col("asked").alias("want_name"), F.lit(None).cast("string").alias("want_place"))
+    steps = [wanted]
+    rest = rest.join(wanted.select("asked"), "asked", "left_anti")
+    if aliases is not None:
+        known = aliases.select(collapsed_key("alias").alias("asked"), collapsed_key("canonical").alias("want_name")).distinct()
+        steps.append(rest.join(known, "asked").select("asked", "want_name", F.lit(None).cast("string").alias("want_place")))
+        rest = rest.join(steps[-1].select("asked"), "asked", "left_anti")
+    # every " of " is a place to split; those whose head is a name count
+    words = F.split("asked", " of ")
+    cuts = rest.filter(F.size(words) > 1).select("asked", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(
+            F.array_join(F.slice(words, 1, i), " of ").alias("want_name"),
+            F.array_join(F.slice(words, i + 1, F.size(words)), " of ").alias("want_place")))).alias("c")).select("asked", "c.*")
+    steps.append(cuts.join(names.select(F.col("name").alias("want_name")), "want_name", "left_semi").select("asked", "want_name", "want_place"))
+    rest = rest.join(steps[-1].select("asked").distinct(), "asked", "left_anti")
+    close = edit_pairs(rest.select(F.col("asked").alias("l")), names.select(F.col("name").alias("r")), threshold)
+    steps.append(close.select(F.col("l").alias("asked"), F.col("r").alias("want_name"), F.lit(None).cast("string").alias("want_place")))
+    wanted = steps[0]
+    for step in steps[1:]:
+        wanted = wanted.unionByName(step)
+    hits = people.join(wanted, (F.col("name") == F.col("want_name")) & (
         F.col("want_place").isNull() | (F.col("place") == F.col("want_place"))))
     counts = hits.groupBy("asked").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("asked").orderBy(F.col("code").cast("long"), "code")
-    listed = hits.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= MAX_CANDIDATES).groupBy("asked").agg(
+    order = [F.col("code").cast("long"), F.col("code")]
+    salted = Window.partitionBy("asked", F.pmod(F.xxhash64("code"), F.lit(64))).orderBy(*order)
+    some = hits.withColumn("rn", F.row_number().over(salted)).filter(F.col("rn") <= listed)
+    first = some.withColumn("rn", F.row_number().over(Window.partitionBy("asked").orderBy(*order))).filter(
+        F.col("rn") <= listed).groupBy("asked").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "code"))), lambda x: x["code"]).alias("codes"))
-    named = rest.join(counts, "asked", "left").join(listed, "asked", "left").select(
+    named = texts.join(by_code.select("asked"), "asked", "left_anti").join(counts, "asked", "left").join(first, "asked", "left").select(
         "asked", F.coalesce("n", F.lit(0)).alias("matches"), "codes")
     coded = by_code.select("asked", F.lit(1).cast("long").alias("matches"), F.array("hit").alias("codes"))
     return coded.unionByName(named).select(
@@ -147,19 +158,37 @@ def resolve_roster(asked: DataFrame, column: str, roster: DataFrame, code: str,
         F.when(F.col("matches") > 1, F.concat_ws(",", "codes")).alias("candidates"))
 
 
-QUERY_LIMIT = 4096
+QUERY_BLOCK = 1024
 
 
-def vector_scores(index: DataFrame, owner: str, vector: str, queries: list[tuple[str, list[float]]]) -> DataFrame:
-    """Best cosine of every owner for every query: (query, owner, score, vectors).
+def vector_top_k(index: DataFrame, owner: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+    """The k owners with the best cosine for each query: query, owner, score, vectors, position.
 
-    The queries are a checked, short list that travels with the tasks; each Arrow batch of the
-    index becomes one matrix product, is reduced to its owners' best, and Spark reduces the rest.
+    `queries` has columns query and vector and may have any number of rows; they travel to the tasks in blocks of about
+    QUERY_BLOCK. A batch of the index becomes one matrix product and keeps its k best owners: an owner among the k best of
+    all is among the k best of the batch that holds its best vector, so nothing is lost.
     """
-    if len(queries) > QUERY_LIMIT:
-        raise ValueError(f"at most {QUERY_LIMIT} query vectors per call")
-    names = [q for q, _ in queries]
-    matrix = np.array([v for _, v in queries], dtype=float)
+    asked = queries.select("query", F.col("vector").cast("array<double>").alias("vector"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    slim = index.filter(F.col(vector).isNotNull()).select(F.col(owner).cast("string").alias("owner"), F.col(vector).alias("vector"))
+    schema = "query string, owner string, score double"
+    partial = None
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
+        if rows:
+            part = slim.mapInPandas(_block_scores([r["query"] for r in rows], [r["vector"] for r in rows], k), schema)
+            partial = part if partial is None else partial.unionByName(part)
+    if partial is None:
+        partial = index.sparkSession.createDataFrame([], schema)
+    best = partial.groupBy("query", "owner").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "owner")
+    top = best.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    sizes = slim.groupBy("owner").agg(F.count("*").alias("vectors"))
+    return top.join(sizes, "owner").select("query", "owner", "score", "vectors", "position")
+
+
+def _block_scores(names: list[str], vectors: list[list[float]], k: int):
+    matrix = np.array(vectors, dtype=float)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(norms == 0, 1.0, norms)
 
@@ -169,37 +198,28 @@ def vector_scores(index: DataFrame, owner: str, vector: str, queries: list[tuple
                 continue
             x = np.stack(pdf["vector"].to_numpy()).astype(float)
             n = np.linalg.norm(x, axis=1, keepdims=True)
-            scores = (x / np.where(n == 0, 1.0, n)) @ matrix.T
-            best = pd.DataFrame(scores, columns=names).groupby(pdf["owner"].to_numpy()).agg("max")
-            size = pdf.groupby("owner").size().reindex(best.index)
-            owners = best.index.astype(str).to_numpy()
-            yield pd.DataFrame({
-                "query": np.repeat(names, len(owners)), "owner": np.tile(owners, len(names)),
-                "score": best[names].to_numpy().T.ravel(), "vectors": np.tile(size.to_numpy(), len(names))})
+            best = pd.DataFrame((x / np.where(n == 0, 1.0, n)) @ matrix.T).groupby(pdf["owner"].to_numpy()).agg("max")
+            owners = best.index.to_numpy()  # sorted, so a stable sort keeps the smaller owner among equals
+            for j, name in enumerate(names):
+                column = best[j].to_numpy()
+                top = np.argsort(-np.round(column, 9), kind="stable")[:k]
+                yield pd.DataFrame({"query": name, "owner": owners[top].astype(str), "score": column[top]})
 
-    slim = index.filter(F.col(vector).isNotNull()).select(F.col(owner).cast("string").alias("owner"), F.col(vector).alias("vector"))
-    partial = slim.mapInPandas(batches, "query string, owner string, score double, vectors long")
-    return partial.groupBy("query", "owner").agg(F.max("score").alias("score"), F.sum("vectors").alias("vectors"))
-
-
-def vector_top_k(scores: DataFrame, k: int) -> DataFrame:
-    """The k best owners per query."""
-    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "owner")
-    return scores.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    return batches
 
 
 # confidence zones of a ranked list
 NO_MATCH_BELOW, TRUST_FROM, MARGIN = 0.30, 0.50, 0.015
 
 
-def confidence_zone(top: DataFrame) -> DataFrame:
+def confidence_zone(top: DataFrame, no_match_below: float = NO_MATCH_BELOW, trust_from: float = TRUST_FROM, margin: float = MARGIN) -> DataFrame:
     """no_match, ambiguous or proceed from the first two scores of each query."""
     first = F.max(F.when(F.col("position") == 1, F.col("score")))
     second = F.max(F.when(F.col("position") == 2, F.col("score")))
     both = top.groupBy("query").agg(first.alias("first"), second.alias("second"))
     zone = (
-        F.when(F.col("first").isNull() | (F.col("first") < NO_MATCH_BELOW), "no_match")
-        .when((F.col("first") < TRUST_FROM) & (F.col("first") - F.col("second") < MARGIN), "ambiguous").otherwise("proceed"))
+        F.when(F.col("first").isNull() | (F.col("first") < no_match_below), "no_match")
+        .when((F.col("first") < trust_from) & (F.col("first") - F.col("second") < margin), "ambiguous").otherwise("proceed"))
     return both.withColumn("zone", zone)
 
 

@@ -22,9 +22,9 @@ def test_normalise(spark):
 
 
 @pytest.mark.parametrize("raw,rupees,error", [
-    ("1 lakh", 1e5, None), ("2.5 crore", 2.5e7, None), ("₹50,000", 5e4, None), ("Rs. 1,00,000/-", 1e5, None), ("50000", 5e4, None),
-    ("50 lakh rupees", 5e6, None), ("3k", 3e3, None), ("2 bighas", None, "unknown amount unit"), ("many", None, "not an amount"),
-    ("-5", -5.0, None), ("", None, "not an amount")])
+    ("7 lakh", 7e5, None), ("1.25 crore", 1.25e7, None), ("₹81,500", 81500.0, None), ("Rs 12,34,000/-", 1234000.0, None), ("640", 640.0, None),
+    ("9 lacs rupees", 9e5, None), ("8k", 8e3, None), ("4 acres", None, "unknown amount unit"), ("plenty", None, "not an amount"),
+    ("-6", -6.0, None), ("", None, "not an amount"), ("6 lakh more", None, "not an amount"), ("INR 3 cr.", 3e7, None)])
 def test_amounts(spark, raw, rupees, error):
     got = apply(spark, [raw], X.parse_amount)[0]
     assert (got["rupees"], got["error"]) == (rupees, error)
@@ -34,7 +34,8 @@ def test_amounts(spark, raw, rupees, error):
     ("FY 24-25", ["2024-2025"]), ("2024-25 vs 2023-24", ["2023-2024", "2024-2025"]), ("in 2024", ["2024-2025"]),
     ("2024-2025", ["2024-2025"]), ("2023-2025", ["2023-2024", "2025-2026"]), ("୨୦୨୪-୨୫", ["2024-2025"]), ("₹2024 only", []),
     ("2024 households", []), ("how many", []), ("2023–24", ["2023-2024"]), ("2099-00", ["2099-2100"]), ("12024", []),
-    ("Rs. 2021 and 2022", ["2022-2023"]), ("24-26", [])])
+    ("Rs. 2021 and 2022", ["2022-2023"]), ("24-26", []), ("2023-2025 households", ["2023-2024"]), ("Rs          2024 paid", []),
+    ("2031 / 2032 schemes", ["2031-2032"]), ("₹2024-2027", ["2027-2028"])])
 def test_fiscal_years(spark, text, years):
     # '2099-00' keeps its century, so it is no consecutive pair and stays a bare year
     assert apply(spark, [text], X.absolute_fiscal_years)[0] == years
@@ -107,31 +108,39 @@ def test_resolution_ladder(spark):
     assert near[0]["suggestion"] == "puri" and len(near) == 2
 
 
-def test_large_registry_suggestions_use_pieces(spark, monkeypatch):
-    monkeypatch.setattr(R, "SUGGESTION_REGISTRY_LIMIT", 1)
+def test_suggestions_share_a_piece(spark):
     registry = spark.createDataFrame([("Khordha Town",), ("Cuttack City",), ("Puri",)], "name string")
-    near = R.suggestions(spark.createDataFrame([("pury",)], "asked string"), registry, "name", 1).collect()
-    assert near[0]["suggestion"] == "puri"
+    asked = spark.createDataFrame([("pury",), ("xyz",), ("cuttack",)], "asked string")
+    got = {(r["asked"], r["suggestion"]) for r in R.suggestions(asked, registry, "name", 1).collect()}
+    assert got == {("pury", "puri"), ("cuttack", "cuttack city")} or got == {("pury", "puri"), ("cuttack", "cuttack city"), ("xyz", "cuttack city")}
 
 
 def test_roster_never_picks_a_namesake(spark):
-    roster = spark.createDataFrame([(str(100 + i), "Laxmipur", "East" if i else "West") for i in range(15)] + [("7", "Other", "West")],
-                                   "code string, name string, place string")
-    asked = spark.createDataFrame([("Laxmipur",), ("laxmipur of west",), ("7",), ("nobody",), ("Other",)], "q string")
-    got = {r["asked"]: r for r in R.resolve_roster(asked, "q", roster, "code", "name", "place").collect()}
+    roster = spark.createDataFrame([(str(100 + i), "Laxmipur", "East" if i else "West") for i in range(15)] + [
+        ("7", "Other", "West"), ("8", "Bank of India", "South"), ("9", "Bank", "India"), ("10", "Greenfield", "North")],
+        "code string, name string, place string")
+    asked = spark.createDataFrame([("Laxmipur",), ("laxmipur of west",), ("7",), ("nobody",), ("Other",), ("Bank of India",), ("bank of india of south",),
+                                   ("old other",), ("Grenfield",)], "q string")
+    aliases = spark.createDataFrame([("Old Other", "other")], "alias string, canonical string")
+    got = {r["asked"]: r for r in R.resolve_roster(asked, "q", roster, "code", "name", "place", 12, aliases).collect()}
     assert got["laxmipur"]["matches"] == 15 and got["laxmipur"]["bound"] is None
     assert len(got["laxmipur"]["candidates"].split(",")) == 12
     assert got["laxmipur of west"]["bound"] == "100" and got["7"]["bound"] == "7" and got["other"]["bound"] == "7"
     assert got["nobody"]["matches"] == 0
+    assert got["bank of india"]["bound"] == "8" and got["bank of india of south"]["bound"] == "8"
+    assert got["old other"]["bound"] == "7" and got["grenfield"]["bound"] == "10"
 
 
-def test_vectors_count_owners_once(spark):
+def test_vectors_count_owners_once(spark, monkeypatch):
     rows = [("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [0.9, 0.1]), ("c", [-1.0, 0.0]), ("d", [0.0, 0.0]), ("e", None)]
-    index = spark.createDataFrame(rows, "owner string, v array<double>")
-    top = R.vector_top_k(R.vector_scores(index, "owner", "v", [("q", [2.0, 0.0])]), 3).orderBy("position").collect()
+    index = spark.createDataFrame(rows, "owner string, v array<double>").repartition(4)
+    asked = spark.createDataFrame([("q", [2.0, 0.0]), ("r", [0.0, 3.0])] + [(f"z{i}", [1.0, float(i)]) for i in range(9)], "query string, vector array<double>")
+    every = R.vector_top_k(index, "owner", "v", asked, 3).collect()
+    top = sorted((r for r in every if r["query"] == "q"), key=lambda r: r["position"])
     assert [r["owner"] for r in top] == ["a", "b", "d"] and top[0]["score"] == pytest.approx(1.0) and top[0]["vectors"] == 2
-    with pytest.raises(ValueError):
-        R.vector_scores(index, "owner", "v", [("q", [0.0])] * 5000)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, R.vector_top_k(index, "owner", "v", asked, 3).collect())) == sorted(map(tuple, every))
+    assert R.vector_top_k(index, "owner", "v", asked.limit(0), 3).count() == 0
 
 
 def test_zones(spark):
