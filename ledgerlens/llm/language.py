@@ -42,8 +42,8 @@ UNKNOWN = "und"
 SWITCH_PENALTY = 6.0
 #: Share of a language's words that a script needs for the language to be a candidate in it.
 SCRIPT_SHARE = 0.001
-HELD_WORDS = 1_500_000
-CACHE_WORDS = 300_000
+HELD_WORDS = 600_000
+CACHE_WORDS = 200_000
 PREDICTION = "lang_pred string, score double, spans array<struct<lang:string,first_word:int,n_words:int>>"
 
 
