@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ledgerlens.catalog.views_sql import (
 )
 from ledgerlens.mining.config import CATEGORICAL_TYPES, TEMPORAL_TYPES
 from ledgerlens.mining.mine import Mining
+from ledgerlens.mining.patterns import requested_verdict, scope_patterns
 from ledgerlens.mining.readable import readable_hits, readable_points, readable_shares, scope_list, subspaces
 from ledgerlens.tables import Tables
 
@@ -193,18 +195,51 @@ def m17(t: Tables) -> DataFrame:
         F.count("*").alias("scopes"), F.count_if("temporal").alias("temporal_scopes"))
 
 
-@query("m18_detect_other_pattern", sql("""
-SELECT f1d AS filter1_dim, f1v AS filter1_value, breakdown, measure,
-       CASE WHEN bool_or(type = 'EVENNESS') THEN 'EVENNESS' WHEN count(type) > 0 THEN 'OTHER_PATTERN' ELSE 'NO_PATTERN' END AS verdict
-FROM (SELECT DISTINCT f1d, f1v, breakdown, measure FROM pts WHERE NOT temporal)
-LEFT JOIN (SELECT f1d, f1v, breakdown, measure, type FROM hits) USING (f1d, f1v, breakdown, measure)
-GROUP BY f1d, f1v, breakdown, measure""", stage="hits"))
+_ALL_TYPES = CATEGORICAL_TYPES + TEMPORAL_TYPES
+_KIND = "CASE WHEN requested IN (" + ", ".join(f"'{x}'" for x in TEMPORAL_TYPES) + ") THEN temporal ELSE NOT temporal END"
+
+
+@query("m18_detect_other_pattern", sql(f"""
+SELECT requested, breakdown, measure, verdict, count(*) AS scopes FROM (
+  SELECT requested, f1d, f1v, breakdown, measure, CASE WHEN bool_or(type = requested) THEN requested WHEN count(type) > 0 THEN 'OTHER_PATTERN' ELSE 'NO_PATTERN' END AS verdict
+  FROM (SELECT DISTINCT f1d, f1v, breakdown, measure, temporal FROM pts)
+  JOIN (SELECT unnest({list(_ALL_TYPES)!r}) AS requested) ON {_KIND}
+  LEFT JOIN (SELECT f1d, f1v, breakdown, measure, type FROM hits) USING (f1d, f1v, breakdown, measure)
+  GROUP BY requested, f1d, f1v, breakdown, measure) GROUP BY ALL""", stage="hits"))
 def m18(t: Tables) -> DataFrame:
     run = mining(t)
-    found = F.exists("hits", lambda h: h["type"] == "EVENNESS")
-    verdict = F.when(found, "EVENNESS").when(F.size("hits") > 0, "OTHER_PATTERN").otherwise("NO_PATTERN")
-    return readable_hits(run.cube, run.scopes.filter(~F.col("temporal")), explode=False).select(
-        "filter1_dim", "filter1_value", "breakdown", "measure", verdict.alias("verdict"))
+    scopes = readable_hits(run.cube, run.scopes, explode=False)
+    asked = F.array(*[F.struct(F.lit(x).alias("requested"), F.lit(x in TEMPORAL_TYPES).alias("timed"), requested_verdict(x).alias("verdict"))
+                      for x in _ALL_TYPES])
+    judged = scopes.withColumn("a", F.explode(asked)).filter(F.col("a.timed") == F.col("temporal"))
+    return judged.groupBy("a.requested", "breakdown", "measure", "a.verdict").agg(F.count("*").alias("scopes"))
+
+
+@query("x01_own_pattern_test", sql("""
+SELECT f1d AS filter1_dim, f1v AS filter1_value, breakdown, measure, 'WIDE' AS pattern, max(label) FILTER (lo = 1) || '<' || max(label) FILTER (hi = 1) AS highlight FROM (
+  SELECT *, row_number() OVER (PARTITION BY f1d, f1v, breakdown, measure ORDER BY value DESC, label) AS hi,
+    row_number() OVER (PARTITION BY f1d, f1v, breakdown, measure ORDER BY value, label) AS lo FROM pts WHERE NOT temporal)
+GROUP BY f1d, f1v, breakdown, measure HAVING count(*) >= 3 AND max(value) > 1.2 * min(value) AND min(value) > 0
+UNION ALL
+SELECT f1d, f1v, breakdown, measure, 'LATE_PEAK', max(label) FROM (SELECT *, max(label) OVER (PARTITION BY f1d, f1v, breakdown, measure) AS last,
+    max(value) OVER (PARTITION BY f1d, f1v, breakdown, measure) AS top FROM pts WHERE temporal)
+GROUP BY f1d, f1v, breakdown, measure HAVING bool_or(label = last AND value = top)""", stage="cube"))
+def x01(t: Tables) -> DataFrame:
+    """Two tests of a user's own: one over the statistics of a scope, one as a pandas UDF over its series."""
+    run = mining(t)
+
+    @F.pandas_udf("string")
+    def late_peak(labels: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([k[-1] if v[-1] == max(v) else None for k, v in zip(labels, values)], dtype=object)
+
+    wide = lambda config: F.when((F.col("n") >= 3) & (F.col("v1") > 1.2 * F.col("b1")) & (F.col("b1") > 0), F.concat("low1", F.lit("<"), "top1"))
+    layout = run.cube.layout
+    found = scope_patterns(run.points, layout.keys, run.config, "code" if layout.ordered_codes else "label", extra_tests={
+        "categorical": {"WIDE": wide}, "series": {"LATE_PEAK": lambda config: late_peak("labels", "values")}})
+    own = found.withColumn("hits", F.filter("hits", lambda h: h["type"].isin("WIDE", "LATE_PEAK"))).filter(F.size("hits") > 0)
+    rows = readable_hits(run.cube, own, explode=False)
+    return rows.withColumn("h", F.explode("hits")).select(
+        "filter1_dim", "filter1_value", "breakdown", "measure", F.col("h.type").alias("pattern"), F.col("h.highlight").alias("highlight"))
 
 
 @query("m19_subspace_siblings", sql("""

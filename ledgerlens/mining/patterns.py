@@ -1,8 +1,8 @@
 """Eleven pattern tests on distributions, as column expressions over per-scope statistics.
 
-A categorical scope needs its extremes and the moments of what remains without them; a
-temporal scope needs ordered-window quantities. Both come from one shuffle of the points
-by scope: the windows and the final aggregation share that partitioning.
+A categorical scope needs its extremes and the moments of what remains without them, which
+combine on the map side. A temporal scope, as long as its time axis, needs ordered-window
+quantities: the windows and the final aggregation share one shuffle of its points.
 """
 
 from __future__ import annotations
@@ -154,28 +154,40 @@ def hits_column(tests: dict[str, Callable[[ViewConfig], Column]], config: ViewCo
 
 
 def categorical_stats(points: DataFrame, scope: list[str], keep: list[str] = (), order: str = "code") -> DataFrame:
-    """Moments and three extremes at either end per scope, with the moments of the rest."""
-    by_scope = Window.partitionBy(*scope)
-    ranked = points.withColumns({
-        "hi": F.row_number().over(by_scope.orderBy(F.desc("value"), order)),
-        "lo": F.row_number().over(by_scope.orderBy("value", order)),
-    })
-
-    def at(rank: str, i: int, what: str) -> Column:
-        return F.max(F.when(F.col(rank) == i, F.col(what)))
+    """Moments and three extremes at either end per scope, with the moments of the rest.
 
-    aggs = [
+    Moments are one map-side combined aggregation. The extremes come from rank limits of three, which Spark applies in every
+    map task, so no task sorts or holds a scope. The moments of the rest follow by taking the extremes out of the whole.
+    """
+    c = F.col
+    base = points.groupBy(*scope).agg(
+        *[F.first(k).alias(k) for k in keep],
         F.count("value").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("sd"), F.sum((F.col("value") != 0).cast("int")).alias("nonzero"),
-    ]
-    for i in (1, 2, 3):
-        aggs += [at("hi", i, "value").alias(f"v{i}"), at("lo", i, "value").alias(f"b{i}")]
-    for i in (1, 2):
-        aggs += [at("hi", i, "label").alias(f"top{i}"), at("lo", i, "label").alias(f"low{i}")]
-        for side, rank in (("top", "hi"), ("low", "lo")):
-            rest = F.when(F.col(rank) > i, F.col("value"))
-            aggs += [F.avg(rest).alias(f"mean_not_{side}{i}"), F.stddev_samp(rest).alias(f"sd_not_{side}{i}")]
-    return ranked.groupBy(*scope).agg(*[F.first(k).alias(k) for k in keep], *aggs)
+        F.stddev_samp("value").alias("sd"), F.sum((c("value") != 0).cast("int")).alias("nonzero"), F.var_pop("value").alias("spread"))
+
+    def ends(side: str, by: Column) -> DataFrame:
+        ranked = points.select(*scope, "value", "label", order).withColumn(
+            "rank", F.row_number().over(Window.partitionBy(*scope).orderBy(by, order)))
+        return ranked.filter("rank <= 3").select(*scope, "value", "label", "rank", F.lit(side).alias("side"))
+
+    def at(side: str, i: int, what: str) -> Column:
+        return F.max(F.when((c("side") == side) & (c("rank") == i), c(what)))
+
+    extremes = ends("hi", F.desc("value")).unionByName(ends("lo", F.asc("value"))).groupBy(*scope).agg(
+        *[at("hi", i, "value").alias(f"v{i}") for i in (1, 2, 3)], *[at("lo", i, "value").alias(f"b{i}") for i in (1, 2, 3)],
+        *[at("hi", i, "label").alias(f"top{i}") for i in (1, 2)], *[at("lo", i, "label").alias(f"low{i}") for i in (1, 2)])
+    stats = base.join(extremes, scope)
+    for side, value in (("top", "v"), ("low", "b")):
+        mean, squares = c("mean"), c("spread") * c("n")
+        for i in (1, 2):
+            left = F.nullif(c("n") - i, F.lit(0))
+            without = (mean * (c("n") - i + 1) - c(f"{value}{i}")) / left
+            squares = squares - (c(f"{value}{i}") - mean) * (c(f"{value}{i}") - without)
+            mean = without
+            # rounding can leave nothing of a small rest beside a huge extreme; the rest is then small, not constant
+            rest = F.greatest(squares, F.lit(1e-15) * c("spread") * c("n"))
+            stats = stats.withColumns({f"mean_not_{side}{i}": mean, f"sd_not_{side}{i}": F.sqrt(rest / F.nullif(c("n") - i - 1, F.lit(0)))})
+    return stats.drop("spread")
 
 
 def _p_order(p: Column) -> Column:
@@ -273,16 +285,35 @@ def welch(series: DataFrame) -> DataFrame:
     return out.withColumn("p", F.when(c("flat_shift"), F.lit(0.0)).otherwise(p))
 
 
-def scope_patterns(points: DataFrame, keys: list[str], config: ViewConfig, order: str = "code") -> DataFrame:
+def scope_patterns(points: DataFrame, keys: list[str], config: ViewConfig, order: str = "code",
+                   extra_tests: dict[str, dict[str, Callable[[ViewConfig], Column]]] | None = None) -> DataFrame:
     """One row per scope with the array of patterns that hold in it.
 
-    `order` is the column that carries the label order: the code, or the label where codes have no order.
+    `order` is the column that carries the label order: the code, or the label where codes have no order. `extra_tests` adds
+    tests of the user's own under "categorical", "temporal" or "series": a test is a name and a function that gives a column
+    with the highlight, or null where the pattern does not hold. The first two see the statistics of `categorical_stats` and
+    `temporal_stats`; a "series" test sees `labels` and `values`, the ordered arrays of a temporal scope, and may be a pandas UDF.
     """
+    extra = extra_tests or {}
     scope = ["role", *keys, "mid"]
     keep = ["fset", "dim_id", "temporal"]
     out = [*scope, *keep, "n", "nonzero"]
+    over_time = points.filter(F.col("temporal"))
     cat = categorical_stats(points.filter(~F.col("temporal")), scope, keep, order)
-    tem = temporal_stats(points.filter(F.col("temporal")), scope, keep, order)
-    return cat.select(*out, hits_column(CATEGORICAL, config).alias("hits")).unionByName(
-        tem.select(*out, hits_column(TEMPORAL, config).alias("hits"))
+    tem = temporal_stats(over_time, scope, keep, order)
+    hits = hits_column({**TEMPORAL, **extra.get("temporal", {})}, config)
+    if extra.get("series"):
+        series = over_time.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct(order, "label", "value"))).alias("s"))
+        lists = series.select(*scope, F.transform("s", lambda x: x["label"]).alias("labels"), F.transform("s", lambda x: x["value"]).alias("values"))
+        own = lists.select(*scope, hits_column(extra["series"], config).alias("own_hits"))
+        tem = tem.join(own, scope)
+        hits = F.concat(hits, "own_hits")
+    return cat.select(*out, hits_column({**CATEGORICAL, **extra.get("categorical", {})}, config).alias("hits")).unionByName(
+        tem.select(*out, hits.alias("hits"))
     )
+
+
+def requested_verdict(requested: str) -> Column:
+    """For a scope with its hits: the requested pattern, another one, or none."""
+    return F.when(F.exists("hits", lambda h: h["type"] == requested), requested).when(
+        F.size("hits") > 0, "OTHER_PATTERN").otherwise("NO_PATTERN")
