@@ -131,25 +131,10 @@ def ball_links(nodes: DataFrame, radius: int, name: str, star: bool = False) ->
     close = cut_lineage(with_partner(nodes, radius), f"{name}-close").repartition(spread, "node")
     variants = close.select("node", _flips(F.col("fp"), masks(64, radius // 2)).alias("variant"))
     by = W.partitionBy("variant").orderBy("node")
-    met = variants.withColumn("b", F.lag("node").over(by))
-    links = met.where("b is not null").select(F.col("node").alias("a"), "b")
-    if star:
-        first = variants.groupBy("variant").agg(F.min("node").alias("b"))
-        links = links.union(variants.join(first, "variant").where("node <> b").select(F.col("node").alias("a"), "b"))
-    return links.distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (smallest id reachable by links of at most `radius` bits) of every row."""
-    rows = cut_lineage(fingerprints(docs, shingle_words, id_col, text_col), "simhash-rows")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    links = ball_links(distinct.select(F.col("fp").alias("node"), "fp"), radius, "simhash")
-    joined = components(links, "simhash-components").withColumnRenamed("node", "fp")
-    groups = cut_lineage(distinct.join(joined, "fp", "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")), "simhash-groups")
-    smallest = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = groups.join(smallest, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    ends = [F.lag("node").over(by).alias("before")] + ([F.first("node").over(by).alias("first")] if star else [])
+    met = variants.select("node", *ends)
+    links = met.select(F.col("node").alias("a"), F.explode(F.array(*met.columns[1:])).alias("b"))
+    return links.where("b is not null and a <> b").distinct()
 
 
 # ------------------------------------------------------------------------------------ keeping one document of a group
