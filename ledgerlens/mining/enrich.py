@@ -12,7 +12,6 @@ from ledgerlens.mining.readable import name_scope
 from ledgerlens.mining.siblings import VARIES
 from ledgerlens.operators.joins import period_matches
 
-TOP, BOTTOM = 5, 2
 # pattern types whose highlight is a date
 DATED_TYPES = ("CHANGE_POINT", "OUTLIER", "UNIMODALITY")
 
@@ -45,8 +44,8 @@ def finding_points(run: Mining, found: DataFrame) -> DataFrame:
     return run.points.join(single, ["role", *keys, "mid"])
 
 
-def value_stats(run: Mining, found: DataFrame) -> DataFrame:
-    """Ranked values of each finding's distribution: the top five, bottom two and highlighted ones.
+def value_stats(run: Mining, found: DataFrame, top: int = 5, bottom: int = 2) -> DataFrame:
+    """Ranked values of each finding's distribution: the first `top`, the last `bottom` and the highlighted ones.
 
     `total` and `share_pct` exist only for summed measures, where the parts add up to the whole;
     `n_rows` is the number of rows behind each value.
@@ -59,7 +58,7 @@ def value_stats(run: Mining, found: DataFrame) -> DataFrame:
         "total": total, "n_values": F.count("*").over(whole),
         "position": F.row_number().over(whole.orderBy(F.desc("value"), "label")),
     }).withColumn("highlighted", F.array_contains(F.split("highlight", "\\|"), F.col("label")))
-    shown = (F.col("position") <= TOP) | (F.col("position") > F.col("n_values") - BOTTOM) | F.col("highlighted")
+    shown = (F.col("position") <= top) | (F.col("position") > F.col("n_values") - bottom) | F.col("highlighted")
     return ranked.filter(shown).select(
         "finding_id", "position", "label", "value", "n_values", "total",
         F.when(F.col("total") > 0, F.col("value") / F.col("total") * 100).alias("share_pct"), "n_rows", "highlighted")
@@ -82,13 +81,13 @@ def volume_share(run: Mining, found: DataFrame, volume: str) -> DataFrame:
         "finding_id", "label", F.col("value").alias("volume"), (F.col("value") / F.col("__t") * 100).alias("volume_share_pct"))
 
 
-def intensity_companion(run: Mining, found: DataFrame, companions: dict[str, str]) -> DataFrame:
-    """For totals that have an averaged alias: the five highest averages and the rows behind each."""
+def intensity_companion(run: Mining, found: DataFrame, companions: dict[str, str], top: int = 5) -> DataFrame:
+    """For totals that have an averaged alias: the `top` highest averages and the rows behind each."""
     out = None
     for total, mean in companions.items():
         pts = _beside(run, found.filter(F.col("measure") == total), mean).filter(~F.col("temporal"))
         order = Window.partitionBy("finding_id").orderBy(F.desc("value"), "label")
-        part = pts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= TOP).select(
+        part = pts.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= top).select(
             "finding_id", "position", "label", F.lit(mean).alias("companion"), F.col("value").alias("mean_value"), "n_rows")
         out = part if out is None else out.unionByName(part)
     return out

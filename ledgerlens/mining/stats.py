@@ -43,7 +43,9 @@ def t_two_sided(t, df):
     return out
 
 
-def _beta_fraction(a, b, x, rounds=200, eps=1e-15):
+def _beta_fraction(a, b, x, eps=1e-15):
+    # the fraction settles within a number of rounds that grows with the root of its parameters
+    rounds = 200 + int(20 * np.sqrt(np.max(np.maximum(a, b), initial=1.0)))
     tiny = 1e-300
 
     def away(v):

@@ -153,7 +153,7 @@ def materialise_dashboard(spark: SparkSession, jobs: dict[str, Callable[[], Data
             rows.write.mode("append").parquet(path)
             note = (name, None, None, "FRESH", None, time.time() - start)
         except Exception as exc:
-            note = (name, None, None, "ERROR", str(exc)[:500], time.time() - start)
+            note = (name, None, None, "ERROR", str(exc), time.time() - start)
         spark.createDataFrame([note], schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 

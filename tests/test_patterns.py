@@ -101,3 +101,11 @@ def test_t_tail_by_quadrature(t, df):
         return float(((y[1:] + y[:-1]) / 2 * np.diff(x)).sum())
 
     assert t_two_sided(np.array([t]), np.array([df]))[0] == pytest.approx(area(start) / area(0.0), rel=1e-3, abs=1e-12)
+
+
+@pytest.mark.parametrize("t, df, p", [
+    (12.706, 1, 0.05), (4.303, 2, 0.05), (2.228, 10, 0.05), (3.169, 10, 0.01), (2.042, 30, 0.05), (2.750, 30, 0.01), (1.960, 1e7, 0.05), (2.576, 1e7, 0.01)])
+def test_two_sided_t_against_printed_tables(t, df, p):
+    from ledgerlens.mining.stats import t_two_sided
+
+    assert t_two_sided(np.array([t]), np.array([float(df)]))[0] == pytest.approx(p, rel=2e-3)
