@@ -51,20 +51,26 @@ class CoverTree:
         n = len(points)
         apart = distances(points, points)
         np.fill_diagonal(apart, 0)
-        nets, radius, centres = [np.zeros(1, np.int64)], 1.0, [0]
+        nets, radius, centres, near = [np.zeros(1, np.int64)], 1.0, [0], apart[0]
         while radius > eps / 4 and len(centres) < n:
-            near = apart[centres].min(axis=0)
             open_ = np.flatnonzero(near > radius)
             while len(open_):
-                c = open_[0]
-                centres.append(int(c))
-                open_ = open_[apart[c, open_] > radius]
+                c = int(open_[0])
+                centres.append(c)
+                near = np.minimum(near, apart[c])
+                open_ = open_[near[open_] > radius]
             nets.append(np.array(centres))
             radius /= 2
-        nets.append(np.arange(n))
         parents = [np.zeros(1, np.int64)]
-        for upper, lower in zip(nets, nets[1:]):
-            parents.append(apart[np.ix_(lower, upper)].argmin(axis=1))
+        for upper, lower in zip(nets, nets[1:]):  # the upper net comes first in the lower one, and is its own parent
+            new = lower[len(upper) :]
+            parents.append(np.concatenate([np.arange(len(upper)), apart[np.ix_(new, upper)].argmin(axis=1)]))
+        place = np.full(n, -1)
+        place[nets[-1]] = np.arange(len(nets[-1]))
+        rest = np.flatnonzero(place < 0)
+        place[rest] = apart[np.ix_(rest, nets[-1])].argmin(axis=1)
+        nets.append(np.arange(n))
+        parents.append(place)
         covers, owner = [np.zeros(n)], np.arange(n)
         for net, parent in zip(nets[-2::-1], parents[:0:-1]):
             owner = parent[owner]
@@ -91,6 +97,13 @@ def close_pairs(a: CoverTree, b: CoverTree, eps: float) -> tuple[np.ndarray, np.
         rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
         if not len(rows):
             return rows, rows
+        i, j = np.nonzero(alive)
+        if len(i) * 8 < len(rows) * len(cols):  # few pairs are left: measure those alone
+            far = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.points[ca[i]], b.points[cb[j]]), 0))
+            here = np.zeros_like(alive)
+            here[i, j] = far <= ra[i] + rb[j] + eps + SLACK
+            alive = here
+            continue
         far = distances(a.points[ca[rows]], b.points[cb[cols]])
         here = np.zeros_like(alive)
         here[np.ix_(rows, cols)] = alive[np.ix_(rows, cols)] & (far <= ra[rows][:, None] + rb[cols][None, :] + eps + SLACK)
