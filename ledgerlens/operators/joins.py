@@ -24,6 +24,16 @@ def left_rollup(base: DataFrame, detail: DataFrame, key: str, *aggs: Column) ->
     return base.join(detail.groupBy(key).agg(*aggs), key, "left")
 
 
+def spine(entities: DataFrame, observed: DataFrame) -> DataFrame:
+    """Every entity with every observed value: the grid itself is the wanted result, so its size is the output's.
+
+    The observed values stay a distributed frame and travel to the tasks whole only when their count is small.
+    """
+    values = observed.distinct()
+    few = values.limit(10_001).count() <= 10_000
+    return entities.crossJoin(F.broadcast(values) if few else values)
+
+
 def grid(entities: DataFrame, column: str, values: list) -> DataFrame:
     """Every entity with every value of a short, driver-known axis (a calendar, the observed years)."""
     return entities.withColumn(column, F.explode(F.array(*[F.lit(v) for v in values])))

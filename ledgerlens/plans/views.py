@@ -89,8 +89,7 @@ def supplier_year(t: Tables) -> DataFrame:
     """Grain: supplier x observed year."""
     yearly = t.lineitem.groupBy("l_suppkey", F.year("l_shipdate").cast("long").alias("year")).agg(
         F.count("*").alias("lines"), F.sum("l_extendedprice").alias("price"), F.sum("l_quantity").alias("quantity"))
-    years = sorted(r[0] for r in t.lineitem.select(F.year("l_shipdate").cast("long")).distinct().collect())
-    spine = J.grid(t.supplier.select("s_suppkey", "s_nationkey"), "year", years)
+    spine = J.spine(t.supplier.select("s_suppkey", "s_nationkey"), yearly.select("year"))
     filled = spine.join(yearly, (c("s_suppkey") == c("l_suppkey")) & (spine["year"] == yearly["year"]), "left").select(
         "s_suppkey", "s_nationkey", spine["year"], "lines", "price", "quantity").fillna(0, ["lines", "price", "quantity"])
     return filled.select(
@@ -237,8 +236,8 @@ def nation_type_mix(t: Tables) -> DataFrame:
     located = t.supplier.join(places(t), c("s_nationkey") == c("n_nationkey")).select("s_suppkey", "n_name")
     cells = t.lineitem.join(t.part.select("p_partkey", "p_type"), c("l_partkey") == c("p_partkey")).join(
         located, c("l_suppkey") == c("s_suppkey")).groupBy("n_name", "p_type").agg(F.sum("l_extendedprice").alias("price"))
-    types = sorted(r[0] for r in t.part.select("p_type").filter("p_type IS NOT NULL").distinct().collect())
-    filled = J.zero_filled(J.grid(t.nation.select("n_name"), "p_type", types), cells, ["n_name", "p_type"], ["price"])
+    types = t.part.select("p_type").filter("p_type IS NOT NULL")
+    filled = J.zero_filled(J.spine(t.nation.select("n_name"), types), cells, ["n_name", "p_type"], ["price"])
     return A.share_within(filled, ["n_name"], "price", "share").select(
         "n_name", "p_type", F.round("price", 2).alias("price"), F.round("share", 6).alias("share"))
 
