@@ -106,13 +106,18 @@ def _flips(value: Column, flips: list[int]) -> Column:
     return F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: value.bitwiseXOR(m)))
 
 
-def with_partner(nodes: DataFrame, radius: int) -> DataFrame:
-    """The rows of `nodes` (node, fp) one of whose halves comes close enough to that of another node."""
+def half_keys(nodes: DataFrame, radius: int) -> DataFrame:
+    """node, fp, key: the variants of both halves of each fingerprint."""
     flips = masks(32, (radius // 2 + 1) // 2)
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", 32)
-    keys = nodes.select("node", "fp", _flips(low, flips).alias("key")).union(
+    return nodes.select("node", "fp", _flips(low, flips).alias("key")).union(
         nodes.select("node", "fp", _flips(high.bitwiseOR(F.lit(1 << 40)), flips).alias("key")))
+
+
+def with_partner(nodes: DataFrame, radius: int) -> DataFrame:
+    """The rows of `nodes` (node, fp) one of whose halves comes close enough to that of another node."""
+    keys = half_keys(nodes, radius)
     by = W.partitionBy("key").orderBy("fp")
     near = keys.select("node", "fp", *[F.lag("fp", k).over(by).alias(f"before{k}") for k in (1, 2)],
                        *[F.lead("fp", k).over(by).alias(f"after{k}") for k in (1, 2)])
@@ -122,19 +127,49 @@ def with_partner(nodes: DataFrame, radius: int) -> DataFrame:
     return near.where(F.coalesce(meets[0], F.lit(False)) | F.coalesce(meets[1], F.lit(False)) | crowd).select("node", "fp").distinct()
 
 
-def ball_links(nodes: DataFrame, radius: int, name: str, star: bool = False) -> DataFrame:
-    """Links a, b between nodes (node, fp) that meet on a variant: each with the one before it in the variant's order and,
-    with `star`, also with the first one."""
+def close_nodes(nodes: DataFrame, radius: int, name: str) -> DataFrame:
+    """The nodes that can have a partner, dealt out over all tasks."""
     if radius % 2:
         raise ValueError("the radius must be even: variants that meet are then within it without a further check")
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    close = cut_lineage(with_partner(nodes, radius), f"{name}-close").repartition(spread, "node")
+    return cut_lineage(with_partner(nodes, radius), f"{name}-close").repartition(spread, "node")
+
+
+def ball_links(nodes: DataFrame, radius: int, name: str) -> DataFrame:
+    """Links a, b between nodes (node, fp) that meet on a variant: each with the one before it in the variant's order."""
+    close = close_nodes(nodes, radius, name)
     variants = close.select("node", _flips(F.col("fp"), masks(64, radius // 2)).alias("variant"))
+    met = variants.select(F.col("node").alias("a"), F.lag("node").over(W.partitionBy("variant").orderBy("node")).alias("b"))
+    return met.where("b is not null and a <> b").distinct()
+
+
+def first_links(close: DataFrame, radius: int) -> DataFrame:
+    """Links between each node and the first one it meets on a variant of a half, where both are within the radius."""
+    by = W.partitionBy("key").orderBy("node")
+    met = half_keys(close, radius).select(F.col("node").alias("a"), "fp", F.first("node").over(by).alias("b"), F.first("fp").over(by).alias("first_fp"))
+    within = F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= radius
+    return met.where((F.col("a") != F.col("b")) & within).select("a", "b").distinct()
+
+
+def chain_links(close: DataFrame, radius: int) -> DataFrame:
+    """Links between neighbours on a variant that are not in one `group` yet; a link inside a group would change nothing."""
+    variants = close.select("node", "group", _flips(F.col("fp"), masks(64, radius // 2)).alias("variant"))
     by = W.partitionBy("variant").orderBy("node")
-    ends = [F.lag("node").over(by).alias("before")] + ([F.first("node").over(by).alias("first")] if star else [])
-    met = variants.select("node", *ends)
-    links = met.select(F.col("node").alias("a"), F.explode(F.array(*met.columns[1:])).alias("b"))
-    return links.where("b is not null and a <> b").distinct()
+    met = variants.select(F.col("node").alias("a"), "group", F.lag("node").over(by).alias("b"), F.lag("group").over(by).alias("other"))
+    return met.where("group <> other").select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id (smallest id reachable by links of at most `radius` bits) of every row."""
+    rows = cut_lineage(fingerprints(docs, shingle_words, id_col, text_col), "simhash-rows")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    links = ball_links(distinct.select(F.col("fp").alias("node"), "fp"), radius, "simhash")
+    joined = components(links, "simhash-components").withColumnRenamed("node", "fp")
+    groups = cut_lineage(distinct.join(joined, "fp", "left").select(
+        "fp", "first_id", F.coalesce("component", "fp").alias("component")), "simhash-groups")
+    smallest = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_fp = groups.join(smallest, "component").select("fp", "component_id")
+    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 # ------------------------------------------------------------------------------------ keeping one document of a group
@@ -184,8 +219,8 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float
 
     Equal texts are one node. Candidates meet in balls around two fingerprints over the distinct words of a text, which
     change less under an edit than fingerprints over shingles do; a candidate pair is linked when its sets of
-    `shingle_words`-word shingles have a Jaccard similarity of at least `similarity`. In a variant each node is compared
-    with the one before it and with the first. Null texts count as empty; all columns of `docs` are kept as they are.
+    `shingle_words`-word shingles have a Jaccard similarity of at least `similarity`. Each node is compared with
+    the first one it meets on a half, then on a full variant with the one before it where the two are not in one group yet. Null texts count as empty; all columns of `docs` are kept as they are.
     """
     spark = docs.sparkSession
     key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
@@ -194,19 +229,24 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float
         F.first("fp1").alias("fp1"), F.first("fp2").alias("fp2"))
     node = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
     texts_ = cut_lineage(marks.select("key", node.alias("node"), "fp1", "fp2"), "near-texts")
-    links = None
-    for fp in ("fp1", "fp2"):
-        found = ball_links(texts_.select("node", F.col(fp).alias("fp")), radius, f"near-{fp}", star=True)
-        links = found if links is None else links.union(found)
-    pairs = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    close = [close_nodes(texts_.select("node", F.col(fp).alias("fp")), radius, f"near-{fp}") for fp in ("fp1", "fp2")]
+    ends = close[0].select("node").union(close[1].select("node")).distinct()
     wanted = texts_.join(ends, "node", "left_semi").select("key", "node")
     chosen = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text")).join(wanted, "key")
     one = chosen.groupBy("node").agg(F.first("text").alias("text"))
     sets = cut_lineage(one.select("node", "text").mapInArrow(_shingle_sets(shingle_words), "node long, shingles array<long>"), "near-shingles")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    linked = pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+
+    def verified(found: list[DataFrame]) -> DataFrame:
+        pairs = found[0].union(found[1]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = cut_lineage(pairs, "near-pairs")
+        return pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+
+    firsts = cut_lineage(verified([first_links(c, radius) for c in close]), "near-firsts")
+    groups = components(firsts, "near-groups")
+    labelled = [c.join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("group")) for c in close]
+    linked = firsts.union(verified([chain_links(c, radius) for c in labelled]))
     joined = components(linked, "near-components")
 
     counted = docs.select(key.alias("key"), F.col(id_col).alias("id")).groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
