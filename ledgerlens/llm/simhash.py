@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ from ledgerlens.session import cut_lineage
 SEED = 42
 #: Shingle hashes a worker holds before it reduces them to fingerprints.
 HELD_HASHES = 1_000_000
+#: Shingles whose counts the driver holds to put frequent ones last.
+COMMON_SHINGLES = 1 << 18
+#: Slack of bounds that only choose candidates, against the rounding of doubles.
+ROUNDING = 1e-6
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -143,22 +148,6 @@ def ball_links(nodes: DataFrame, radius: int, name: str) -> DataFrame:
     return met.where("b is not null and a <> b").distinct()
 
 
-def first_links(close: DataFrame, radius: int) -> DataFrame:
-    """Links between each node and the first one it meets on a variant of a half, where both are within the radius."""
-    by = W.partitionBy("key").orderBy("node")
-    met = half_keys(close, radius).select(F.col("node").alias("a"), "fp", F.first("node").over(by).alias("b"), F.first("fp").over(by).alias("first_fp"))
-    within = F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= radius
-    return met.where((F.col("a") != F.col("b")) & within).select("a", "b").distinct()
-
-
-def chain_links(close: DataFrame, radius: int) -> DataFrame:
-    """Links between neighbours on a variant that are not in one `group` yet; a link inside a group would change nothing."""
-    variants = close.select("node", "group", _flips(F.col("fp"), masks(64, radius // 2)).alias("variant"))
-    by = W.partitionBy("variant").orderBy("node")
-    met = variants.select(F.col("node").alias("a"), "group", F.lag("node").over(by).alias("b"), F.lag("group").over(by).alias("other"))
-    return met.where("group <> other").select("a", "b").distinct()
-
-
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (smallest id reachable by links of at most `radius` bits) of every row."""
     rows = cut_lineage(fingerprints(docs, shingle_words, id_col, text_col), "simhash-rows")
@@ -174,38 +163,74 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id
 
 # ------------------------------------------------------------------------------------ keeping one document of a group
 
-def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key and two fingerprints over the distinct words of a text, the second over other bits of the words' hashes."""
-    from ledgerlens.llm.common import mix
-
-    cache = Cache(word_hash)
-    for part, values in texts(batches):
-        first, second = [], []
-        for value in values:
-            words = set(WORD_BYTES.findall((value or b"").translate(LOWER_ASCII)))
-            h = np.fromiter(map(cache.__getitem__, words), np.int64, len(words)).view(np.uint64)
-            first.append(mix(h))
-            second.append(mix(h ^ np.uint64(0x5851F42D4C957F2D)))
-        cache.trim()
-        yield pa.record_batch([part.column(0), pa.array(majority(first).view(np.int64), pa.int64()),
-                               pa.array(majority(second).view(np.int64), pa.int64())], ["key", "fp1", "fp2"])
+def _set_of(value: bytes | None, n: int, cache: Cache) -> np.ndarray:
+    """The distinct hashes of the runs of `n` words of a text, of the whole text if it is shorter; sorted."""
+    words = WORD_BYTES.findall((value or b"").translate(LOWER_ASCII))
+    if not words:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(cache.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    return np.unique(gram_hashes(h, min(n, len(words))))
 
 
 def _shingle_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Cache(word_hash)
         for part, values in texts(batches, rows=128):
-            sets = []
-            for value in values:
-                words = WORD_BYTES.findall((value or b"").translate(LOWER_ASCII))
-                h = np.fromiter(map(cache.__getitem__, words), np.int64, len(words)).view(np.uint64)
-                sets.append(np.unique(gram_hashes(h, min(n, len(words)))).view(np.int64) if words else np.empty(0, np.int64))
+            sets = [_set_of(value, n, cache).view(np.int64) for value in values]
             cache.trim()
             yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     return run
 
 
+def _repeats(n: int):
+    """shingle and count, for the shingles that come in several of the texts held at once."""
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        many = counts > 1
+        return pa.record_batch([pa.array(values[many].view(np.int64)), pa.array(counts[many])], ["shingle", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, held, size = Cache(word_hash), [], 0
+        for _, values in texts(batches):
+            for value in values:
+                held.append(_set_of(value, n, cache))
+                size += len(held[-1])
+                if size > HELD_HASHES:
+                    yield counted(held)
+                    held, size = [], 0
+            cache.trim()
+        if held:
+            yield counted(held)
+
+    return run
+
+
+def _prefixes(n: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """node, size of its set, and the first shingles of the set in the common order (rarest first) with their places."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Cache(word_hash)
+        for part, values in texts(batches, rows=128):
+            keys, sizes, nodes = [], [], part.column(0).to_numpy()
+            for value in values:
+                h = _set_of(value, n, cache)
+                sizes.append(len(h))
+                if len(common) and len(h):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
+                # sets without shingles are equal: they meet on one key
+                keys.append(h[: len(h) - ceil(similarity * len(h) - ROUNDING) + 1] if len(h) else np.zeros(1, np.uint64))
+            cache.trim()
+            lengths = [len(k) for k in keys]
+            place = [np.arange(k) for k in lengths]
+            yield pa.record_batch([
+                pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(nodes, lengths)),
+                pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(np.concatenate(place).astype(np.int32))],
+                ["key", "node", "size", "place"])
+
+    return run
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays of distinct values; two empty ones are equal."""
     shared = F.size(F.array_intersect(a, b))
@@ -213,45 +238,88 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(every == 0, 1.0).otherwise(shared / every)
 
 
-def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 4,
+def meetings(narrow: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """key, node, size, place, weight: the shingles on which two or more nodes (node, text) of `narrow` can meet.
+
+    Sets are put in one order of all shingles. Of two sets with a Jaccard similarity of at least `similarity` the first
+    common shingle lies in both within the first size - ceil(similarity * size) + 1, so no pair is lost whatever the order
+    is. Frequent shingles come last, as far as counts over parts of the table show them: that only saves meetings.
+    `weight` is smaller the more meetings a node has.
+    """
+    heavy = narrow.mapInArrow(_repeats(shingle_words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = heavy.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).toArrow()
+    common = top["shingle"].to_numpy().view(np.uint64)
+    by_value = np.argsort(common)
+    run = _prefixes(shingle_words, similarity, common[by_value], top["n"].to_numpy()[by_value])
+    every = cut_lineage(narrow.mapInArrow(run, "key long, node long, size int, place int"), "near-prefixes")
+    shared = every.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    met = cut_lineage(every.join(shared.select("key", "n"), "key").distinct(), "near-meetings")
+    weights = met.groupBy("node").agg((-F.sum("n")).alias("weight"))
+    return met.drop("n").join(weights, "node")
+
+
+def similar_groups(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """node, component of the nodes linked by pairs whose `sets` (node, shingles) are at least `similarity` alike.
+
+    A few nodes of each key, those with most meetings first, are compared with all others on the key that are in another
+    group, then leave it; keys that have one group left are done. Links join groups before the next round, which takes
+    more nodes of a key at once. It ends when no key is left: then each meeting of two groups has been measured.
+    """
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    links, groups, at_once = None, None, 1
+    while True:
+        if groups is None:
+            grouped = met.withColumn("group", F.col("node"))
+        else:
+            grouped = met.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+        several = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+        open_ = cut_lineage(grouped.join(several.select("key"), "key", "left_semi"), "near-open")
+        if open_.isEmpty():
+            break
+        rank = F.row_number().over(W.partitionBy("key").orderBy("weight", "node"))
+        hubs = cut_lineage(open_.withColumn("rank", rank).where(F.col("rank") <= at_once).drop("rank"), "near-hubs")
+        hub = hubs.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("node", "size", "place", "weight", "group")])
+        both = F.col("size") + F.col("hub_size")
+        after = F.least(F.col("size") - F.col("place"), F.col("hub_size") - F.col("hub_place"))  # can be shared from here on
+        able = (F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size") - ROUNDING) & (
+            after >= similarity / (1 + similarity) * both - ROUNDING)
+        later = F.struct("weight", "node") > F.struct("hub_weight", "hub_node")
+        pairs = cut_lineage(open_.join(hub, "key").where((F.col("group") != F.col("hub_group")) & later & able).select(
+            F.col("node").alias("a"), F.col("hub_node").alias("b")).distinct(), "near-pairs")
+        alike = pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity)
+        found = cut_lineage(alike.select("a", "b"), "near-links")
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            groups = cut_lineage(components(links, "near-components"), "near-groups")
+        last = hubs.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("last"))
+        met = open_.drop("group").join(last, "key").where(F.struct("weight", "node") > F.col("last")).drop("last")
+        at_once *= 4
+    return groups if groups is not None else met.select("node", F.col("node").alias("component")).limit(0)
+
+
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without near-duplicates: of each group the row with the smallest id stays (a missing id comes last).
 
-    Equal texts are one node. Candidates meet in balls around two fingerprints over the distinct words of a text, which
-    change less under an edit than fingerprints over shingles do; a candidate pair is linked when its sets of
-    `shingle_words`-word shingles have a Jaccard similarity of at least `similarity`. Each node is compared with
-    the first one it meets on a half, then on a full variant with the one before it where the two are not in one group yet. Null texts count as empty; all columns of `docs` are kept as they are.
+    Equal texts are one node. Two nodes are linked when their sets of `shingle_words`-word shingles have a Jaccard
+    similarity of at least `similarity`, and a group is a component of all such links: `meetings` loses no pair, and
+    `similar_groups` leaves none out but those inside a group. Null texts count as empty; all columns of `docs` are kept
+    as they are.
     """
-    spark = docs.sparkSession
     key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
-    narrow = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"))
-    marks = narrow.mapInArrow(_word_sets, "key string, fp1 long, fp2 long").groupBy("key").agg(
-        F.first("fp1").alias("fp1"), F.first("fp2").alias("fp2"))
     node = F.conv(F.substring("key", 1, 15), 16, 10).cast("long")
-    texts_ = cut_lineage(marks.select("key", node.alias("node"), "fp1", "fp2"), "near-texts")
-    close = [close_nodes(texts_.select("node", F.col(fp).alias("fp")), radius, f"near-{fp}") for fp in ("fp1", "fp2")]
-    ends = close[0].select("node").union(close[1].select("node")).distinct()
-    wanted = texts_.join(ends, "node", "left_semi").select("key", "node")
-    chosen = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text")).join(wanted, "key")
+    keyed = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("text"))
+    narrow = keyed.select(node.alias("node"), "text")
+    met = cut_lineage(meetings(narrow, shingle_words, similarity), "near-met")
+    chosen = narrow.join(met.select("node").distinct(), "node")
     one = chosen.groupBy("node").agg(F.first("text").alias("text"))
-    sets = cut_lineage(one.select("node", "text").mapInArrow(_shingle_sets(shingle_words), "node long, shingles array<long>"), "near-shingles")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-
-    def verified(found: list[DataFrame]) -> DataFrame:
-        pairs = found[0].union(found[1]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = cut_lineage(pairs, "near-pairs")
-        return pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
-
-    firsts = cut_lineage(verified([first_links(c, radius) for c in close]), "near-firsts")
-    groups = components(firsts, "near-groups")
-    labelled = [c.join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("group")) for c in close]
-    linked = firsts.union(verified([chain_links(c, radius) for c in labelled]))
-    joined = components(linked, "near-components")
+    sets = cut_lineage(one.mapInArrow(_shingle_sets(shingle_words), "node long, shingles array<long>"), "near-shingles")
+    joined = similar_groups(met, sets, similarity)
 
     counted = docs.select(key.alias("key"), F.col(id_col).alias("id")).groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n")).alias("best"))
-    grouped = best.join(texts_.select("key", "node"), "key").join(joined, "node", "left").withColumn(
+    grouped = best.withColumn("node", node).join(joined, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     stay = cut_lineage(grouped.groupBy("component").agg(F.min(F.struct("best", "key")).alias("x")).select(
         F.col("x.key").alias("key"), F.col("x.best.id").alias("id"), F.col("x.best.n").alias("n")), "near-stay")
