@@ -6,7 +6,8 @@ one block whole, so looking up the blocks finds every item within the radius. Th
 shingles (Dice, equal-sized windows) then decides. A window that shares no shingle has similarity 0, so leaving it out loses
 nothing; a shared shingle also says where in the document the item would start.
 
-A shingle weighs ln(1 + items / items that have it), so phrases common to many items count little.
+A shingle weighs ln(1 + items / items that have it), so phrases common to many items count little. Both are counted over the
+whole benchmark, so blocks change no result; each block gets the counts of all shingles that several items have.
 
 Items are broadcast in blocks of at most `block_items`; a larger benchmark takes more passes over the documents.
 
@@ -47,15 +48,19 @@ class Items:
     shingle_words: int
     radius: int
     similarity: float
+    #: Items of the whole benchmark that have a shingle, for those that several have, and items in all; None: this block is all.
+    having: dict[int, int] | None = None
+    total: int | None = None
     weight: dict[int, float] = field(init=False)
     places: dict[int, dict[int, list[tuple[int, int]]]] = field(init=False)
 
     def __post_init__(self):
         self.sizes = [min(self.shingle_words, len(w)) for w in self.words]
         self.bags = [Counter(gram_hashes(w, n).tolist()) for w, n in zip(self.words, self.sizes)]
-        having = Counter(g for bag in self.bags for g in bag)
-        self.weight = {g: math.log(1 + len(self.bags) / n) for g, n in having.items()}
-        self.unknown = math.log(1 + len(self.bags))
+        having = Counter(g for bag in self.bags for g in bag) if self.having is None else self.having
+        total = len(self.bags) if self.total is None else self.total
+        self.weight = {g: math.log(1 + total / n) for g, n in having.items()}
+        self.unknown = math.log(1 + total)  # also the weight of what one item has
         self.places, self.tables = {}, {}
         for i, (w, n) in enumerate(zip(self.words, self.sizes)):
             where = self.places.setdefault(n, {})
@@ -111,15 +116,31 @@ class Items:
         return found
 
 
+def _item_shingles(shingle_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Cache(word_hash)
+        for _, values in texts(batches):
+            words = [h for value in values if len(h := word_hashes(value, cache))]
+            sets = [np.unique(gram_hashes(h, min(shingle_words, len(h)))).view(np.int64) for h in words]
+            cache.trim()
+            yield pa.record_batch([pa.array(sets, pa.list_(pa.int64()))], ["shingles"])
+
+    return run
+
+
 def item_blocks(benchmark: DataFrame, shingle_words: int, radius: int, similarity: float, block_items: int, id_col: str, text_col: str):
     """The benchmark as `Items` of at most about `block_items` items each, one after the other."""
     plain = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     blocks = max(1, -(-plain.count() // block_items))
+    sets = plain.select("text").mapInArrow(_item_shingles(shingle_words), "shingles array<long>")
+    counts = sets.select(F.explode("shingles").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").toArrow()
+    having = dict(zip(counts["g"].to_numpy().view(np.uint64).tolist(), counts["n"].to_pylist()))
+    total = sets.count()
     for b in range(blocks):
         rows = plain.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()  # about block_items rows
         cache = Cache(word_hash)
         pairs = [(r.id, h) for r in rows if len(h := word_hashes(bytes(r.text) if r.text is not None else None, cache))]
-        yield Items([p[0] for p in pairs], [p[1] for p in pairs], shingle_words, radius, similarity)
+        yield Items([p[0] for p in pairs], [p[1] for p in pairs], shingle_words, radius, similarity, having, total)
 
 
 def _leak_rows(shared):

@@ -110,3 +110,20 @@ def test_leaks_equal_brute_force(spark):
     assert kept.columns == frame.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {d for d, _ in want}
     assert decontaminate.leaks(frame.limit(0), bench).count() == decontaminate.leaks(frame, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block_items", [20_000, 7, 1])
+def test_leaks_do_not_depend_on_blocks(spark, block_items):
+    rng = random.Random(8)
+    shared = " ".join(f"s{k}" for k in range(12))
+    items = [(k, shared + " " + " ".join(f"w{rng.randrange(400)}" for _ in range(20))) for k in range(25)]
+    docs = []
+    for k in range(80):
+        words = items[rng.randrange(25)][1].split()
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = "x"
+        docs.append((k, " ".join(words)))
+    want = brute_leaks(docs, items, 5, 0.8)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(frame, bench, block_items=block_items).collect()}
+    assert len(want) > 20 and got == pytest.approx(want)
