@@ -5,7 +5,7 @@ are dealt by hash into groups of about `group_tokens` tokens and each group is p
 piece goes into the open bin that leaves least room; where none fits, a bin is opened, of the length whose cost for each
 token it can still hope to hold is lowest. At the end every bin shrinks to the smallest permitted length that holds it.
 
-A group is bounded whatever the input, so no task grows with it; the price is at most a few half-full bins for each group,
+A group is bounded whatever the input (equal rows are dealt by a number each row gets when the pieces are written), so no task grows with it; the price is at most a few half-full bins for each group,
 which shrinking makes cheaper.
 
 Defined cases: null and empty texts are one end mark; equal lengths are packed by id, then piece; repeated rows are packed
@@ -65,14 +65,15 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, cost: Callabl
 
 
 def pieces(docs: DataFrame, longest: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, n_tokens, mark (spreads rows without an id)."""
+    """doc_id, piece, start, n_tokens, mark (orders rows without an id), row (spreads equal rows)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     tokens = (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 1).cast("long")
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"), F.crc32(text.cast("binary")).alias("mark"))
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"), F.crc32(text.cast("binary")).alias("mark"),
+                        F.monotonically_increasing_id().alias("row"))
     cut_at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / longest).cast("long")))
     start = F.col("piece") * longest
     return sized.withColumn("piece", cut_at).select(
-        "doc_id", "mark", F.col("piece").cast("int").alias("piece"), start.alias("start"),
+        "doc_id", "mark", "row", F.col("piece").cast("int").alias("piece"), start.alias("start"),
         F.least(F.lit(longest).cast("long"), F.col("tokens") - start).alias("n_tokens"))
 
 
@@ -82,7 +83,7 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, group_tokens: int
     parts = cut_lineage(pieces(docs, lengths[-1], id_col, text_col), "pack-pieces")
     total = parts.agg(F.sum("n_tokens")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    group: Column = F.pmod(F.xxhash64("doc_id", "mark", "piece"), F.lit(groups))
+    group: Column = F.pmod(F.xxhash64("doc_id", "mark", "piece", "row"), F.lit(groups))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "doc_id", "piece", "mark"], ascending=[False, True, True, True], kind="stable")

@@ -101,3 +101,9 @@ def test_best_fit_takes_the_tightest_bin():
     bins, offsets, final = packing.best_fit([6, 5, 4, 3], (4, 8, 10), cost=lambda c: c)
     assert bins == [0, 1, 2, 1] and offsets == [0, 0, 0, 5] and final == [8, 8, 4]
     assert packing.best_fit([], (4, 8)) == ([], [], [])
+
+
+def test_equal_rows_are_spread_over_groups(spark):
+    docs = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'' as text")
+    got = packing.pack(docs, group_tokens=1000).selectExpr("bin_id >> 32 as g").groupBy("g").count().collect()
+    assert len(got) == 20 and max(r["count"] for r in got) < 2000 and sum(r["count"] for r in got) == 20_000
