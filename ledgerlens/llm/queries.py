@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import covertree, decontaminate, language, packing, pagecut, pii, sharding, simhash, substring, toxicity
+from ledgerlens.llm import (
+    centroids, covertree, decontaminate, language, packing, pagecut, pii, quality_rules, sharding, simhash, substring, toxicity,
+)
 
 LLM_QUERIES = {}
 LLM_SQL = {}
@@ -103,3 +105,51 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    rules = quality_rules.learn(docs, table(spark, folder, "labels"), learn_from=~held_out)
+    judged = quality_rules.judge(docs.select("doc_id", "text"), rules)
+    return judged.select("doc_id", "judged.*", held_out.alias("held_out"))
+
+
+@query
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.report(*centroids.cluster(table(spark, folder, "embeddings"), clusters=16, rounds=3, components=64))
+
+
+def _lloyd_sql(clusters: int, rounds: int) -> str:
+    """Each round is a join of vector and centroid components; sums of integers, so no order of addition matters."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), comp AS MATERIALIZED (
+    SELECT vec_id, j, floor(64 * e[j])::BIGINT AS x FROM kept, range(1, 65) AS r(j)
+), first AS (
+    SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept
+), cent0 AS MATERIALIZED (
+    SELECT c, j, x AS v FROM first JOIN comp USING (vec_id) WHERE c < {clusters}
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f""", near{k} AS MATERIALIZED (
+    SELECT vec_id, min(d) AS distance, arg_min(c, (d, c)) AS c
+    FROM (SELECT vec_id, c, sum((x - v) * (x - v))::BIGINT AS d FROM comp JOIN cent{k} USING (j) GROUP BY ALL) GROUP BY vec_id
+)""")
+        if k < rounds:
+            steps.append(f""", mean{k} AS (
+    SELECT c, j, sum(x) AS s, count(*) AS n FROM comp JOIN near{k} USING (vec_id) GROUP BY ALL
+), cent{k + 1} AS MATERIALIZED (
+    SELECT c, j, coalesce((s - ((s % n) + n) % n) // n, v)::BIGINT AS v FROM cent{k} LEFT JOIN mean{k} USING (c, j)
+)""")
+    return "".join(steps) + f"""
+SELECT n.vec_id, n.c::INT AS cluster, n.distance, (sum(n.distance) OVER (PARTITION BY n.c))::BIGINT AS cluster_inertia,
+       (sum(n.distance) OVER ())::BIGINT AS inertia, h.centroid_sha256
+FROM near{rounds} n JOIN (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM cent{rounds} GROUP BY c) h USING (c)
+"""
+
+
+LLM_SQL["op13_centroids"] = _lloyd_sql(16, 3)
