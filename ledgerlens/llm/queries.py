@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    centroids, covertree, decontaminate, language, packing, pagecut, pii, quality_rules, sharding, simhash, substring, toxicity,
+    centroids, covertree, decontaminate, language, packing, pagecut, pii, quality_rules, repair, sharding, simhash, substring, toxicity,
 )
 
 LLM_QUERIES = {}
@@ -107,6 +107,88 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.report(repair.repair(repair.damaged(table(spark, folder, "conversations"))))
+
+
+def _repair_sql() -> str:
+    """A table of best paths by role state, one row for each turn; a path is its cost in six digits and its letters."""
+    def add(path: str, cost: str, letters: str) -> str:
+        return f"CASE WHEN {path} IS NOT NULL THEN printf('%06d', substr({path}, 1, 6)::INT + {cost}) || substr({path}, 7) || '{letters}' END"
+
+    before = {0: ["d.s0"], 1: ["d.s1"],
+              2: ["d.s2", add("d.s2", "4", "II"), *[add(f"d.s{k}", "2", "I") for k in (0, 1, 3)]],
+              3: ["d.s3", add("d.s2", "2", "I"), *[add(f"d.s{k}", "4", "II") for k in (0, 1, 3)]]}
+
+    def step(state: int) -> str:
+        options = [add(f"({p})", "3", "D") for p in before[state]]
+        came = {1: [0], 2: [0, 1, 3], 3: [2]}.get(state, [])
+        role = " sua"[state]
+        for p in (p for k in came for p in before[k]):
+            options.append(f"CASE WHEN NOT gone AND initial = '{role}' THEN {add(f'({p})', 'cut', 'K')} END")
+            if role != "s":
+                options.append(f"CASE WHEN NOT gone THEN {add(f'({p})', '2 + cut', 'R')} END")
+        return f"least({', '.join(options)})"
+
+    return f"""
+WITH RECURSIVE bits(i, k, c) AS (
+    SELECT i, 0, i FROM range(256) AS r(i)
+    UNION ALL SELECT i, k + 1, xor(c >> 1, 3988292384 * (c & 1)) FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8), base AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations
+), coded AS (
+    SELECT base.*, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda i: ascii(substr(name, i, 1))::BIGINT)),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault FROM base, crc
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM coded, range(2) AS r(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn,
+           rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM damaged
+), faulty AS (
+    SELECT *, CASE WHEN said = '' THEN 'blank'
+                   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+                   WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) || left(role, 1) AS pair FROM placed
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id
+), turns AS MATERIALIZED (
+    SELECT conv_id, rn, role, text, left(role, 1) AS initial, fault IN ('blank', 'duplicate') AS gone, (fault = 'truncated')::INT AS cut FROM faulty
+), dp AS (
+    SELECT conv_id, n, 0::BIGINT AS rn, '000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM facts
+    UNION ALL SELECT d.conv_id, d.n, t.rn, {step(0)}, {step(1)}, {step(2)}, {step(3)}
+    FROM dp d JOIN turns t ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.rn = d.rn + 1
+), best AS MATERIALIZED (
+    SELECT conv_id, least(s0, {add('s1', '4', 'II')}, {add('s2', '2', 'I')}, s3) AS path FROM dp WHERE rn = n
+), walk AS (
+    SELECT conv_id, path, 7 AS k, 0::BIGINT AS rn, '' AS last, []::VARCHAR[] AS lines FROM best
+    UNION ALL SELECT w.conv_id, path, k + 1, w.rn + (substr(path, k, 1) <> 'I')::INT,
+        CASE WHEN substr(path, k, 1) = 'D' THEN last WHEN substr(path, k, 1) = 'K' THEN initial WHEN last = 'u' THEN 'a' ELSE 'u' END,
+        CASE WHEN substr(path, k, 1) = 'D' THEN lines
+             WHEN substr(path, k, 1) = 'K' THEN list_append(lines, role || ':' || text)
+             ELSE list_append(lines, CASE WHEN last = 'u' THEN 'assistant:' ELSE 'user:' END || CASE WHEN substr(path, k, 1) = 'R' THEN text ELSE '' END) END
+    FROM walk w LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.rn = w.rn + 1 WHERE k <= length(path)
+), repaired AS (
+    SELECT conv_id, substr(path, 1, 6)::BIGINT AS cost, substr(path, 7) AS audit,
+           sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM walk WHERE k = length(path) + 1
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+LLM_SQL["op11_turn_repair"] = _repair_sql()
+
+
 @query
 def op12_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
