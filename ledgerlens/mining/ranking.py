@@ -1,21 +1,33 @@
 """Ranking of findings for diversity, gamma sweeps, and the feed pooled across views.
 
-The greedy picks are rounds over a distributed frame: a round takes the best row of every view by one combined aggregation;
-the k picks so far travel as a small array to the next round, which prices every row against them. No row is cut and no group
-is gathered.
+Greedy picks need few rows: a gain only falls while picks are added, so the gain a row had at any earlier time bounds it. A
+job prices every row against the picks so far and hands over the FETCHED rows of largest gain of each view; picks are made
+among those for as long as the best of them is before every row left behind, and only then the next job runs. The result is
+that of pricing all rows before each pick, mostly from one job, and what meets on the driver is bounded whatever the number
+of findings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Context, Decimal
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.mining.siblings import VARIES, conciseness
+from ledgerlens.operators.scan import scan
 from ledgerlens.session import cut_lineage, inline_table
 
 TOP_K = 15
 FEED_K = 50
 SALTS = 64
+#: Rows of each view that one job hands to the greedy picks.
+FETCHED = 256
+#: Findings of one key in a block of pairs.
+PAIR_BLOCK = 512
 RANK_DECAY = 0.85
 TWINS = ("OUTSTANDING_1", "ATTRIBUTION")
 # weights of the overlap ratio per extending strategy
@@ -71,15 +83,20 @@ def merge_twins(found: DataFrame, members: DataFrame, depth: int) -> DataFrame:
     return others.unionByName(kept.drop("__rn", "__types", "commonness_digest"))
 
 
-def prefilter(found: DataFrame, k: int) -> DataFrame:
-    """The best k findings of each view; salted first, so that no task sorts a whole view."""
+def _first_of(rows: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each group; salted first, so that no task sorts a whole group."""
     salt = F.pmod(F.xxhash64("finding_id"), F.lit(SALTS))
-    part = Window.partitionBy("view", "__salt").orderBy(*_best_first())
-    some = found.withColumn("__salt", salt).withColumn("__rn", F.row_number().over(part)).filter(F.col("__rn") <= k)
-    w = Window.partitionBy("view").orderBy(*_best_first())
+    part = Window.partitionBy(*groups, "__salt").orderBy(*order)
+    some = rows.withColumn("__salt", salt).withColumn("__rn", F.row_number().over(part)).filter(F.col("__rn") <= k)
+    w = Window.partitionBy(*groups).orderBy(*order)
     return some.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn", "__salt")
 
 
+def prefilter(found: DataFrame, k: int) -> DataFrame:
+    """The best k findings of each view."""
+    return _first_of(found, ["view"], _best_first(), k)
+
+
 def _of(row: str | Column, name: str) -> Column:
     return F.col(f"{row}.{name}") if isinstance(row, str) else row[name]
 
@@ -118,28 +135,82 @@ def content_keys(measure: str, breakdown: str, filters: Column) -> Column:
         F.transform(filters, lambda x: F.concat(F.lit("filter "), x))))
 
 
-def pair_overlaps(selected: DataFrame, depth: int) -> DataFrame:
-    """Overlap of each pair of findings that overlap; pairs meet on what they share, so others are never formed."""
+def pair_overlaps(selected: DataFrame, depth: int, block: int = PAIR_BLOCK) -> DataFrame:
+    """Overlap of each pair of findings that overlap; pairs meet on what they share, so others are never formed.
+
+    The findings of a key are dealt into blocks of about `block`, and a pair of blocks is a join key of its own: a measure that
+    nearly all findings have is spread over as many tasks as it has pairs of blocks.
+    """
+    keys = ["view", "strategy", "pattern_type", "shared"]
     one = selected.select("view", "strategy", "pattern_type", "finding_id", "score", F.struct(
         "strategy", "pattern_type", "extending_dimension", "measure", "breakdown",
         filter_array(depth).alias("filters")).alias("f"), F.explode(content_keys("measure", "breakdown", filter_array(depth))).alias("shared"))
-    keys = ["view", "strategy", "pattern_type", "shared"]
-    left = one.select(*keys, F.col("finding_id").alias("id_a"), F.col("score").alias("score_a"), F.col("f").alias("a"))
-    right = one.select(*keys, F.col("finding_id").alias("id_b"), F.col("score").alias("score_b"), F.col("f").alias("b"))
+    sizes = one.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    one = one.join(sizes, keys).withColumn("at", F.pmod(F.xxhash64("finding_id"), F.col("blocks")).cast("int"))
+    left = one.select(*keys, F.col("at").alias("block_a"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("block_b"),
+                      F.col("finding_id").alias("id_a"), F.col("score").alias("score_a"), F.col("f").alias("a"))
+    right = one.select(*keys, F.explode(F.sequence(F.lit(0), "at")).alias("block_a"), F.col("at").alias("block_b"),
+                       F.col("finding_id").alias("id_b"), F.col("score").alias("score_b"), F.col("f").alias("b"))
     first = F.array_min(F.array_intersect(*[
         F.concat(F.array(F.concat(F.lit("measure "), _of(x, "measure")), F.concat(F.lit("breakdown "), _of(x, "breakdown"))),
                  F.transform(_of(x, "filters"), lambda v: F.concat(F.lit("filter "), v))) for x in ("a", "b")]))
+    once = (F.col("block_a") < F.col("block_b")) | (F.col("id_a") < F.col("id_b"))
     # a pair that shares several things is kept where it meets on the first of them
-    pairs = left.join(right, keys).filter((F.col("id_a") < F.col("id_b")) & (F.col("shared") == first)).withColumn(
+    pairs = left.join(right, [*keys, "block_a", "block_b"]).filter(once & (F.col("shared") == first)).withColumn(
         "ratio", overlap_ratio("a", "b"))
     return pairs.filter("ratio > 0").select(
-        "view", "id_a", "id_b", "ratio", (F.least("score_a", "score_b") * F.col("ratio")).alias("redundancy"))
+        "view", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "ratio",
+        (F.least("score_a", "score_b") * F.col("ratio")).alias("redundancy"))
+
+
+def _overlap_terms(filters: Column, depth: int) -> Column:
+    """The overlap of two findings as a sum over the keys they share: array of (key, weight) of one finding.
+
+    Sharing a measure or a breakdown, or both, are keys; a shared slice is a key for each non-empty set of its filters, signed
+    so that each pair with a common filter counts once; `1 / min(p, q)` of the slice overlap is 1 less `1/t - 1/(t+1)` for each
+    t below both sizes. `filters` is the ordered slice.
+    """
+    m, b, e = F.col("measure"), F.col("breakdown"), F.col("extending_dimension")
+    arms = []
+
+    def term(strategy: str, weight: float, name: str, *parts, when: Column = F.lit(True)) -> None:
+        if weight:
+            values = [p.alias(f"p{i}") for i, p in enumerate(parts)]
+            key = F.to_json(F.struct(F.lit(strategy).alias("s"), F.lit(name).alias("t"), *values))
+            arms.append(F.when((F.col("strategy") == strategy) & when, F.struct(key.alias("key"), F.lit(float(weight)).alias("weight"))))
+
+    for strategy, w in WEIGHTS.items():
+        term(strategy, w["measure"], "m", m)
+        term(strategy, w["breakdown"], "b", b)
+        for sign, name, parts in ((1, "m", (m,)), (1, "b", (b,)), (-1, "mb", (m, b))):
+            term(strategy, sign * w["extending"], f"e{name}", e, *parts)
+            term(strategy, sign * w["slice"], f"bare {name}", *parts, when=F.size(filters) == 0)
+        for size in range(1, depth + 1):
+            for places in combinations(range(depth), size):
+                some, there = F.array(*[F.get(filters, i) for i in places]), F.size(filters) > max(places)
+                odd = w["extending"] * (-1) ** (size + 1)
+                for sign, name, parts in ((1, "", ()), (-1, "m", (m,)), (-1, "b", (b,)), (1, "mb", (m, b))):
+                    term(strategy, sign * odd, f"e{name} slice {size}", e, some, *parts, when=there)
+        for i in range(depth):
+            there, one = F.size(filters) > i, F.get(filters, i)
+            term(strategy, w["slice"], "filter", one, when=there)
+            for t in range(1, depth):
+                term(strategy, -w["slice"] * (1 / t - 1 / (t + 1)), f"filter over {t}", one, when=there & (F.size(filters) > t))
+    return F.array_compact(F.array(*arms))
 
 
 def total_use(selected: DataFrame, depth: int) -> DataFrame:
-    """Sum of scores minus the overlap of all pairs, per view."""
+    """Sum of scores minus the overlap of all pairs, per view, without forming a pair.
+
+    For findings that share a key, by falling score, the smaller score of a pair is that of the later one: the sum over pairs
+    is that of score times the number of findings before.
+    """
     scores = selected.groupBy("view").agg(F.sum("score").alias("score_sum"), F.count("*").alias("selected"))
-    lost = pair_overlaps(selected, depth).groupBy("view").agg(F.sum("redundancy").alias("lost"))
+    terms = selected.select("view", *SLIM, "finding_id", "score", F.array_sort(filter_array(depth)).alias("in_order")).select(
+        "view", "pattern_type", "finding_id", "score", F.explode(_overlap_terms(F.col("in_order"), depth)).alias("t")).select(
+        "view", "pattern_type", "finding_id", "score", "t.key", "t.weight")
+    ranked = scan(terms, ["view", "pattern_type", "key"], [F.desc("score"), F.col("finding_id")])
+    lost = ranked.groupBy("view").agg(F.sum(F.col("weight") * F.col("score") * (F.col("position") - 1)).alias("lost"))
     return scores.join(lost, "view", "left").select(
         "view", "selected", (F.col("score_sum") - F.coalesce("lost", F.lit(0.0))).alias("total_use"))
 
@@ -149,7 +220,74 @@ PICKED = ("view string, group string, finding_id string, score double, gain doub
           + ", ".join(f"{c} string" for c in SLIM))
 
 
-def rank(found: DataFrame, depth: int, k: int = TOP_K, group: Column | None = None) -> DataFrame:
+def slice_overlap_of(fa: list[str], fb: list[str]) -> float:
+    """`_slice_overlap` of two collected slices."""
+    if not fa or not fb:
+        return float(not fa and not fb)
+    return len(set(fa) & set(fb)) / min(len(fa), len(fb))
+
+
+def overlap_of(a: Row, b: Row) -> float:
+    """`overlap_ratio` of two collected findings."""
+    m, k, e = (float(a[c] == b[c]) for c in ("measure", "breakdown", "extending_dimension"))
+    if a["strategy"] != b["strategy"] or a["pattern_type"] != b["pattern_type"] or not (m or k or set(a["filters"]) & set(b["filters"])):
+        return 0.0
+    w = WEIGHTS[a["strategy"]]
+    return w["slice"] * slice_overlap_of(a["filters"], b["filters"]) + w["extending"] * e + w["measure"] * m + w["breakdown"] * k
+
+
+def settled(value: float) -> float:
+    """A double to twelve places, rounded as Spark's `round` does."""
+    return float(Decimal(repr(value)).quantize(Decimal("1e-12"), ROUND_HALF_UP, Context(prec=400)))
+
+
+@dataclass
+class Candidate:
+    """A fetched row, its score and what of it the picks so far have already said."""
+
+    row: Row
+    score: float
+    lost: float
+    tie: tuple
+
+    @property
+    def gain(self) -> float:
+        return self.score - self.lost
+
+    @property
+    def key(self) -> tuple:
+        return -settled(self.gain), -settled(self.score), *self.tie
+
+
+def greedy_picks(fetch: Callable[[set], dict], take: Callable, again: Callable[[Candidate, object], None], full: Callable, size: int) -> None:
+    """Pick the row of largest gain of each group until a group is full or no gain is left.
+
+    `fetch(ended)` prices all rows of the other groups and gives each group's first `size` candidates by key, in order; with no
+    such group it gives nothing. A key never gets smaller, so a fetched row whose key is not after the last fetched one is
+    before every row left behind; otherwise all rows are priced again. Each fetch brings the row of least key, so each one yields a pick or ends a group.
+    """
+    ended: set = set()
+    while fetched := fetch(ended):
+        for group, rows in fetched.items():
+            complete, bound = len(rows) < size, rows[-1].key
+            while True:
+                best = min(rows, key=lambda c: c.key, default=None)
+                if best is None or not complete and best.key > bound:
+                    if complete:
+                        ended.add(group)
+                    break
+                if not take(group, best):
+                    ended.add(group)
+                    break
+                rows.remove(best)
+                for c in rows:
+                    again(c, best)
+                if full(group):
+                    ended.add(group)
+                    break
+
+
+def rank(found: DataFrame, depth: int, k: int = TOP_K, group: Column | None = None, fetched: int = FETCHED) -> DataFrame:
     """The k most useful findings of each view (and `group`, for sweeps): best score first, then the largest score less its
     overlap with all picks, while that is positive. Ties go to the higher score, then the smaller id.
 
@@ -159,26 +297,43 @@ def rank(found: DataFrame, depth: int, k: int = TOP_K, group: Column | None = No
     group = F.lit("") if group is None else group.cast("string")
     slim = cut_lineage(found.select(
         "view", group.alias("group"), "finding_id", "score", filter_array(depth).alias("filters"), *SLIM), "rank-rows")
-    picks: list[tuple] = []
+    picks: dict[tuple, list[tuple[Row, float]]] = {}
     row = F.struct("filters", *SLIM)
-    for place in range(1, k + 1):
-        gain = F.col("score")
-        rows = slim
+
+    def flat(groups) -> list[tuple]:
+        return [(*g, r.finding_id, r.score, gain, n, list(r.filters), *[r[c] for c in SLIM])
+                for g in groups for n, (r, gain) in enumerate(picks[g], 1)]
+
+    def fetch(ended: set) -> dict[tuple, list[Candidate]]:
+        lost, rows = F.lit(0.0), slim
         if picks:
-            so_far = inline_table(spark, picks, PICKED).groupBy("view", "group").agg(F.collect_list(F.struct(
-                "finding_id", "score", "filters", *SLIM)).alias("picks"))  # at most k for each view and group
-            rows = slim.join(F.broadcast(so_far), ["view", "group"]).filter(
+            if len(ended) == len(picks):
+                return {}
+            so_far = inline_table(spark, flat(picks.keys() - ended), PICKED).groupBy("view", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct(
+                "view_rank", F.struct("finding_id", "score", "filters", *SLIM).alias("p")))), lambda x: x["p"]).alias("picks"))
+            rows = slim.join(F.broadcast(so_far), ["view", "group"]).filter(  # at most k picks for each view and group
                 ~F.exists("picks", lambda p: p["finding_id"] == F.col("finding_id")))
-            gain = gain - F.aggregate("picks", F.lit(0.0), lambda acc, p: acc + F.least(F.col("score"), p["score"]) * overlap_ratio(row, p))
-        priced = rows.withColumn("gain", gain)
-        best = priced.groupBy("view", "group").agg(F.min_by(
-            F.struct("finding_id", "score", "gain", "filters", *SLIM),
-            F.struct(-F.round("gain", 12), -F.round("score", 12), "finding_id")).alias("b"))
-        new = [r for r in best.collect() if place == 1 or round(r.b.gain, 12) > 0]  # one row for each view and group
-        if not new:
-            break
-        picks += [(r["view"], r["group"], r.b.finding_id, r.b.score, r.b.gain, place, list(r.b.filters), *[r.b[c] for c in SLIM]) for r in new]
-    return inline_table(spark, picks, PICKED).select("view", "group", "finding_id", "view_rank", "gain")
+            lost = F.aggregate("picks", F.lit(0.0), lambda acc, p: acc + F.least(F.col("score"), p["score"]) * overlap_ratio(row, p))
+        order = [F.desc(F.round(F.col("score") - F.col("lost"), 12)), *_best_first()]
+        lists = {}
+        for r in _first_of(rows.withColumn("lost", lost).drop("picks"), ["view", "group"], order, fetched).collect():
+            lists.setdefault((r["view"], r["group"]), []).append(Candidate(r, r["score"], r["lost"], (r["finding_id"],)))
+        for mine in lists.values():
+            mine.sort(key=lambda c: c.key)
+        return lists
+
+    def take(g, best: Candidate) -> bool:
+        mine = picks.setdefault(g, [])
+        if mine and settled(best.gain) <= 0:
+            return False
+        mine.append((best.row, best.gain))
+        return True
+
+    def again(c: Candidate, best: Candidate) -> None:
+        c.lost += min(c.score, best.score) * overlap_of(c.row, best.row)
+
+    greedy_picks(fetch, take, again, lambda g: len(picks[g]) >= k, fetched)
+    return inline_table(spark, flat(picks), PICKED).select("view", "group", "finding_id", "view_rank", "gain")
 
 
 def merge_prefilter_rank(found: DataFrame, members: DataFrame, depth: int, k: int = TOP_K, best: int | None = None) -> DataFrame:
@@ -280,7 +435,16 @@ FEED = ("view string, finding_id string, feed_rank int, seed boolean, worst_over
         "filters array<string>, c_filters array<string>, " + ", ".join(f"{c} string" for c in POOLED))
 
 
-def select_feed(pool: DataFrame, depth: int, k: int = FEED_K) -> DataFrame:
+def cross_view_overlap_of(a: Row, b: Row) -> float:
+    """`cross_view_overlap` of two collected findings."""
+    m, k, e = (float(a[c] == b[c]) for c in ("c_measure", "c_breakdown", "c_extending"))
+    if a["pattern_type"] != b["pattern_type"] or not (m or k or set(a["c_filters"]) & set(b["c_filters"])):
+        return 0.0
+    w = WEIGHTS["subspace"]
+    return w["slice"] * slice_overlap_of(a["c_filters"], b["c_filters"]) + w["extending"] * e + w["measure"] * m + w["breakdown"] * k
+
+
+def select_feed(pool: DataFrame, depth: int, k: int = FEED_K, fetched: int = FETCHED) -> DataFrame:
     """The pooled feed: each view's best rank as a seed, then the largest score less its worst overlap with the selection.
 
     Findings left out have feed_rank 0 and the numbers behind that. Nothing is cut before or after the seeds.
@@ -292,7 +456,7 @@ def select_feed(pool: DataFrame, depth: int, k: int = FEED_K) -> DataFrame:
     row = F.struct("view", "filters", "c_filters", *POOLED)
     picks: list[tuple] = []
 
-    def take(r, seed: bool, worst: float, gain: float) -> None:
+    def add(r, seed: bool, worst: float, gain: float) -> None:
         picks.append((r.view, r.finding_id, len(picks) + 1, seed, worst, gain, r.global_score, list(r.filters), list(r.c_filters),
                       *[r[c] for c in POOLED]))
 
@@ -306,14 +470,28 @@ def select_feed(pool: DataFrame, depth: int, k: int = FEED_K) -> DataFrame:
 
     seeds = slim.groupBy("view").agg(F.min_by(F.struct("view", *fields), F.struct("view_rank", -F.round("global_score", 12))).alias("s"))
     for r in sorted(seeds.collect(), key=lambda r: (-round(r.s.global_score, 12), r.s.view)):  # one row for each view
-        take(r.s, True, 0.0, r.s.global_score)
-    order = F.struct(-F.round("gain", 12), -F.round("global_score", 12), "view", "view_rank")
-    while picks and len(picks) < k:
+        add(r.s, True, 0.0, r.s.global_score)
+
+    def fetch(ended: set) -> dict[str, list[Candidate]]:
+        if not picks or len(picks) >= k or ended:
+            return {}
         open_rows = priced(slim).filter(~F.exists("picks", lambda p: (p["view"] == F.col("view")) & (p["finding_id"] == F.col("finding_id"))))
-        best = open_rows.agg(F.min_by(F.struct("view", "worst_overlap", "gain", *fields), order).alias("b")).first().b
-        if best is None or round(best.gain, 12) <= 0:
-            break
-        take(best, False, best.worst_overlap, best.gain)
+        order = [F.desc(F.round("gain", 12)), F.desc(F.round("global_score", 12)), F.col("view"), F.col("view_rank")]
+        rows = _first_of(open_rows.drop("picks").withColumn("all", F.lit("feed")), ["all"], order, fetched).collect()
+        found = [Candidate(r, r.global_score, min(r.global_score, r.worst_overlap), (r.view, r.view_rank)) for r in rows]
+        return {"feed": sorted(found, key=lambda c: c.key)} if found else {}
+
+    def take(_, best: Candidate) -> bool:
+        if settled(best.gain) <= 0:
+            return False
+        add(best.row, False, best.lost, best.gain)
+        return True
+
+    def again(c: Candidate, best: Candidate) -> None:
+        overlap = overlap_of if c.row.view == best.row.view else cross_view_overlap_of
+        c.lost = min(c.score, max(c.lost, min(c.score, best.score) * overlap(c.row, best.row)))
+
+    greedy_picks(fetch, take, again, lambda _: len(picks) >= k, fetched)
     chosen = inline_table(spark, picks, FEED).select(
         "view", "finding_id", "feed_rank", "seed", F.col("worst_overlap").alias("own_worst"), F.col("gain").alias("own_gain"))
     left = priced(slim).select("view", "finding_id", "worst_overlap", "gain").join(

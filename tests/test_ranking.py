@@ -49,6 +49,60 @@ def test_greedy_rank(run):
     assert got == greedy(rows, 12) and len(got) > 3
 
 
+@pytest.mark.parametrize("fetched", [1, 2, 5])
+def test_picks_do_not_depend_on_the_rows_fetched(run, monkeypatch, fetched):
+    """Few rows a job mean more jobs and the same picks, gains to the bit; so do several groups that end apart."""
+    jobs = []
+    first_of = R._first_of
+    monkeypatch.setattr(R, "_first_of", lambda *a: jobs.append(1) or first_of(*a))
+    group = F.col("pattern_type")
+    few = R.rank(run.findings, 2, 12, group, fetched=fetched)
+    assert len(jobs) > 1
+    assert sorted(few.collect()) == sorted(R.rank(run.findings, 2, 12, group, fetched=10_000).collect())
+    rows = [r.asDict() for r in run.findings.collect()]
+    for kind in {r["pattern_type"] for r in rows}:
+        got = [r["finding_id"] for r in few.where(F.col("group") == kind).orderBy("view_rank").collect()]
+        assert got == greedy([r for r in rows if r["pattern_type"] == kind], 12)
+
+
+def test_no_findings(run):
+    none = run.findings.limit(0)
+    assert R.rank(none, 2).count() == 0 and R.pair_overlaps(none, 2).count() == 0 and R.total_use(none, 2).count() == 0
+
+
+def test_overlap_of_collected_rows(run):
+    rows = run.findings.select("finding_id", R.filter_array(2).alias("filters"), *R.SLIM).orderBy("finding_id").limit(150)
+    a, b = rows.alias("a"), rows.alias("b")
+    both = a.crossJoin(b).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b"))
+    for r in both.withColumn("ratio", R.overlap_ratio("a", "b")).collect():
+        assert R.overlap_of(r["a"], r["b"]) == r["ratio"]
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_pairs_in_blocks(run, block):
+    rows = [r.asDict() for r in run.findings.collect()]
+    got = {(r["id_a"], r["id_b"]): (r["ratio"], r["redundancy"]) for r in R.pair_overlaps(run.findings, 2, block).collect()}
+    assert R.pair_overlaps(run.findings, 2, block).count() == len(got)
+    want = {}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1:]:
+            if v := ratio(x, y):
+                want[tuple(sorted((x["finding_id"], y["finding_id"])))] = v, min(x["score"], y["score"]) * v
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_total_use_forms_no_pair(run):
+    plan = R.total_use(run.findings, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "finding_id" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_total_use_of_all(run):
+    rows = [r.asDict() for r in run.findings.collect()]
+    plain = sum(r["score"] for r in rows) - sum(min(a["score"], b["score"]) * ratio(a, b) for i, a in enumerate(rows) for b in rows[i + 1:])
+    assert R.total_use(run.findings, 2).first()["total_use"] == pytest.approx(plain, rel=1e-9)
+
+
 def test_total_use(run):
     top = R.prefilter(run.findings, 25)
     rows = [r.asDict() for r in top.collect()]
@@ -110,6 +164,7 @@ def test_feed(tables):
         if not rest or max(gains) <= 0:
             break
         picked.append(rest[gains.index(max(gains))])
+    assert sorted(R.select_feed(entries, 1, 12, fetched=2).collect()) == sorted(got.values())
     order = sorted((r for r in got.values() if r["feed_rank"] > 0), key=lambda r: r["feed_rank"])
     assert [r["finding_id"] for r in order] == [r["finding_id"] for r in picked]
     assert {r["finding_id"] for r in order if r["seed"]} == {r["finding_id"] for r in seeds}
