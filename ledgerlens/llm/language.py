@@ -5,10 +5,13 @@ narrows the languages to those that are written in it. A Viterbi pass with a fix
 words, so foreign words inside a sentence keep the sentence's language and foreign passages get their own span. The
 document's language is the one with most letters.
 
-The model is learned from about `sample_rows` rows picked by hash and holds at most `most_groups` letter groups; both bounds
-are parameters. Prediction covers whole texts. The pass runs for many documents at once, one word of each per step; its
+The model is learned from about `sample_rows` rows picked by hash (a parameter) and holds all letter groups of those, hashed
+into `width` places, which takes four bytes for each place and language. Prediction covers whole texts. The pass runs for many documents at once, one word of each per step; its
 memory follows HELD_WORDS, or one document's words where that is more.
 
+A word is a run of letters and the marks that go with them (Unicode categories L and M) with a letter in it; digits, numerals
+such as one half and signs are none.
+
 Defined cases: a null text, a text without letters and a model without languages give `und` with score 0 and no span; ties go
 to the language that comes first in the alphabet; repeated rows are judged each; an empty table gives an empty result. Only
 the text column enters a prediction; language values that are null are not learned.
@@ -16,21 +19,23 @@ the text column enters a prediction; language values that are null are not learn
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import texts
 from ledgerlens.session import cut_lineage
 
-LETTERS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
+WIDTH = 1 << 20
 #: fixed values: first and last code points of scripts; anything else is written in "other"
 SCRIPTS = (
     ("latin", 0x0041, 0x024F), ("greek", 0x0370, 0x03FF), ("cyrillic", 0x0400, 0x052F), ("armenian", 0x0530, 0x058F),
@@ -47,6 +52,10 @@ CACHE_WORDS = 200_000
 PREDICTION = "lang_pred string, score double, spans array<struct<lang:string,first_word:int,n_words:int>>"
 
 
+def words_of(text: str | None) -> list[str]:
+    return WORDS.findall((text or "").lower())
+
+
 def script(word: str) -> str:
     code = ord(word[0])
     return next((name for name, a, b in SCRIPTS if a <= code <= b), "other")
@@ -58,11 +67,15 @@ def letter_groups(word: str) -> list[str]:
     return [padded[k : k + 3] for k in range(len(padded) - 2)] + [padded]
 
 
+def place(group: str, width: int) -> int:
+    """Row of a letter group, the same here and in SQL."""
+    return crc32(group.encode()) % width
+
+
 @dataclass
 class Model:
     languages: list[str]
-    groups: dict[str, int]
-    scores: np.ndarray  #: log-probability by group and language; the last row is for groups not known
+    scores: np.ndarray  #: log-probability by place of a letter group and language
     scripts: dict[str, np.ndarray]  #: which languages are candidates in a script
 
 
@@ -92,8 +105,8 @@ class WordScores:
     def settle(self) -> np.ndarray:
         if self.new:
             m = self.model
-            last = len(m.groups)
-            found = [[m.groups.get(g, last) for g in letter_groups(w)] for w in self.new]
+            width = len(m.scores)
+            found = [[place(g, width) for g in letter_groups(w)] for w in self.new]
             sizes = np.array([len(f) for f in found])
             flat = m.scores[np.concatenate([np.array(f) for f in found])]
             rows = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / 2  # groups overlap
@@ -111,10 +124,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     starts, ends = starts[order], lengths[order]
     steps = int(ends[0]) if len(ends) else 0
     active = np.searchsorted(-ends, -np.arange(steps), side="left")  # documents that have a word at each step
-    came = np.empty(scores.shape, np.int8)  # best predecessor of each language at each word
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    kind = np.min_scalar_type(-max(scores.shape[1], 1))  # holds any language's number
+    came = np.empty(scores.shape, kind)  # best predecessor of each language at each word
+    own = np.arange(scores.shape[1], dtype=kind)
     value = scores[starts[: active[0]]] if steps else scores
-    final = np.zeros(len(ends), np.int8)
+    final = np.zeros(len(ends), kind)
     for t in range(steps):
         n = active[t]
         if t:
@@ -125,11 +139,11 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
             jump = value[np.arange(n), best] - penalty
             stay = value >= jump[:, None]
             at = starts[:n] + t
-            came[at] = np.where(stay, own, best[:, None].astype(np.int8))
+            came[at] = np.where(stay, own, best[:, None].astype(kind))
             value = np.where(stay, value, jump[:, None]) + scores[at]
     if steps:
         final[: len(value)] = value.argmax(axis=1)
-    out = np.empty(len(scores), np.int8)
+    out = np.empty(len(scores), kind)
     state = final.copy()
     for t in range(steps - 1, -1, -1):
         n = active[t]
@@ -145,7 +159,7 @@ def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     scripts: Counter = Counter()
     for part, values in texts(batches):
         for text, lang in zip(values, part.column("lang").to_pylist()):
-            words = Counter(LETTERS.findall((text or "").lower()))
+            words = Counter(words_of(text))
             own = counts.setdefault(lang, Counter())
             for word, n in words.items():
                 scripts[lang, script(word)] += n
@@ -158,7 +172,7 @@ def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                               ["lang", "item", "n", "is_script"])
 
 
-def fit(docs: DataFrame, learn: Column, sample_rows: int = 20_000, most_groups: int = 100_000, text_col: str = "text",
+def fit(docs: DataFrame, learn: Column, sample_rows: int = 20_000, width: int = WIDTH, text_col: str = "text",
         lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """`learn` is a condition over `docs` that picks the rows to learn from."""
     usable = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -168,19 +182,18 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = 20_000, most_groups:
     counted = cut_lineage(sample.mapInArrow(_group_counts, "lang string, item string, n long, is_script boolean").groupBy(
         "lang", "item", "is_script").agg(F.sum("n").alias("n")), "language-groups")
     groups = counted.where("not is_script")
-    top = groups.groupBy("item").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "item").limit(most_groups).select("item")
+    seen = groups.agg(F.count_distinct("item")).first()[0]
     totals = {r.lang: r.total for r in groups.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     languages = sorted(totals)
-    rows = groups.join(F.broadcast(top), "item").groupBy("item").agg(F.collect_list(F.struct("lang", "n")).alias("by")).collect()  # most_groups rows
-    at = {lang: k for k, lang in enumerate(languages)}
-    n = np.zeros((len(rows) + 1, len(languages)))
-    index = {}
-    for k, r in enumerate(rows):
-        index[r.item] = k
-        for x in r.by:
-            n[k, at[x.lang]] = x.n
-    total = np.array([totals[x] for x in languages], float)
-    scores = np.log((n + 0.5) / (total + 0.5 * (len(rows) + 1))) if languages else n
+    # at most width rows for each language
+    at = F.pmod(F.crc32(F.col("item").cast("binary")), F.lit(width)).cast("int")
+    rows = groups.groupBy("lang", at.alias("place")).agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros((width, len(languages)), np.float32)
+    if languages:
+        number = {lang: k for k, lang in enumerate(languages)}
+        n[rows["place"].to_numpy(), [number[x] for x in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
+    total = np.array([totals[x] for x in languages], np.float32)
+    scores = np.log((n + np.float32(0.5)) / (total + np.float32(0.5 * (seen + 1)))) if languages else n
     scripts: dict[str, np.ndarray] = {}
     words = {}
     for r in counted.where("is_script").collect():
@@ -189,7 +202,7 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = 20_000, most_groups:
         mine = np.array([words.get((x, name), 0) / sum(v for (y, _), v in words.items() if y == x) >= SCRIPT_SHARE for x in languages])
         if mine.any():
             scripts[name] = mine
-    return Model(languages, index, scores, scripts)
+    return Model(languages, scores, scripts)
 
 
 def _predicted(shared, penalty: float):
@@ -223,7 +236,7 @@ def _predicted(shared, penalty: float):
         for part in parts:
             done, held, size = [], [], 0
             for text in part:
-                held.append(LETTERS.findall((text or "").lower()))
+                held.append(words_of(text))
                 size += len(held[-1])
                 if size > HELD_WORDS:
                     done += judged(own, words, held)

@@ -6,7 +6,9 @@ Neighbouring blocks, more so the deeper the element they share, are tied by smoo
 maximum flow, separates content from boilerplate at least total cost. Blocks whose own score outweighs all their ties are
 settled first, which leaves the cut the same and the flow small.
 
-The pages have no labels to learn from, so the classifier's weights are fixed, stated in WEIGHTS.
+The pages have no labels to learn from, so the classifier's weights are fixed, stated in WEIGHTS. Two rules keep a class name
+from deciding about a page's main part: a name that tells of a state (`has-ads`, `content-with-sidebar`, `no-comments`) says
+nothing bad, and the class names around a page's only `main` or `article` element say nothing bad about what is in it.
 
 Defined cases: a null or empty page has empty text; markup may be unclosed or broken; head, script, style and comments never
 count; character references are decoded; white space inside a block, line breaks included, becomes one space; blocks come in
@@ -25,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Anything up to the end of a tag; a quote opens a value only after an equals sign.
+ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<raw>script|style|svg|textarea)\b" + ATTRS + r">.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>" + ATTRS + r")>"
     r"|<[/!?a-z][^>]*(?:>|\Z)",
     re.S | re.I)
 ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -60,64 +64,123 @@ WEIGHTS = {
         comments reply replies respond discussion disqus footer foot masthead topbar toolbar form search copyright legal disclaimer tags""".split()},
     "word:header": -7.0,
 }
+#: Parts of a class name that make it tell of a state of the page or of what is beside the element.
+STATES = frozenset("with without has no not enabled disabled factor".split())
 ADJACENT, SHARED = 0.4, 1.6
+MAIN = frozenset(("main", "article"))
 
 
-def element(name: str, attrs: str) -> tuple[str, float]:
-    """Name and the weight that the element gives to all blocks inside it."""
-    score = WEIGHTS.get(f"tag:{name}", 0.0)
+def element(name: str, attrs: str) -> tuple[float, float, float]:
+    """Weights that an element gives to all blocks inside it: good, bad by what it is, bad by its class names."""
     if name in ("html", "body"):
-        return name, 0.0
-    good, bad = max(score, 0.0), min(score, 0.0)
+        return 0.0, 0.0, 0.0
+    score = WEIGHTS.get(f"tag:{name}", 0.0)
+    good, bad, named = max(score, 0.0), min(score, 0.0), 0.0
     for m in ATTR.finditer(attrs) if attrs else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            found = [WEIGHTS.get(f"word:{w}", 0.0) for w in NAME_PART.findall(value)]
-        elif key == "role":
-            found = [WEIGHTS.get(f"role:{value.strip()}", 0.0)]
+            for token in value.split():
+                parts = NAME_PART.findall(token)
+                found = [WEIGHTS.get(f"word:{w}", 0.0) for w in parts]
+                good = max(good, *found, 0.0)
+                if STATES.isdisjoint(parts):
+                    named = min(named, *found, 0.0)
+            continue
+        if key == "role":
+            found = WEIGHTS.get(f"role:{value.strip()}", 0.0)
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            found = [WEIGHTS["hidden"]]
+            found = WEIGHTS["hidden"]
         else:
             continue
-        good, bad = max(good, *found, 0.0), min(bad, *found, 0.0)
-    return name, bad if bad < -3 else good + bad
+        good, bad = max(good, found, 0.0), min(bad, found, 0.0)
+    return good, bad, named
+
+
+class Elements:
+    """All elements of a page in order: parent, name and weights."""
+
+    def __init__(self):
+        self.parent, self.names, self.weights = [-1], [""], [(0.0, 0.0, 0.0)]
+
+    def add(self, parent: int, name: str, attrs: str) -> int:
+        self.parent.append(parent)
+        self.names.append(name)
+        self.weights.append(element(name, attrs))
+        return len(self.names) - 1
+
+    def scores(self) -> list[float]:
+        """What the open elements of each element say together: the best good and the worst bad, parents first."""
+        around = self._around_main()
+        good, bad = [0.0] * len(self.names), [0.0] * len(self.names)
+        for k in range(1, len(self.names)):
+            g, by_kind, named = self.weights[k]
+            worst = min(by_kind, 0.0 if k in around else named)
+            own = worst if worst < -3 else g + worst
+            up = self.parent[k]
+            good[k], bad[k] = max(good[up], own), min(bad[up], own)
+        return [g + b for g, b in zip(good, bad)]
+
+    def _around_main(self) -> set[int]:
+        """Elements around the only main element, or else the only article, that is not marked bad itself."""
+        for name in ("main", "article"):
+            found = [k for k, n in enumerate(self.names) if n == name and min(self.weights[k][1:]) > -3]
+            if len(found) == 1:
+                out, k = set(), self.parent[found[0]]
+                while k > 0:
+                    out.add(k)
+                    k = self.parent[k]
+                return out
+            if found and name == "main":
+                break
+        return set()
 
 
 class Block:
-    __slots__ = ("text", "path", "score")
+    __slots__ = ("text", "inside", "depth", "shared", "score")
+
+    def __init__(self, text: str, inside: int, depth: int, shared: int, score: float):
+        self.text, self.inside, self.depth, self.shared, self.score = text, inside, depth, shared, score
+
 
-    def __init__(self, text, path, score):
-        self.text, self.path, self.score = text, path, score
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks in page order with the numbers of their open elements and their scores."""
+def blocks(page: str) -> tuple[list[Block], Elements]:
+    """Text blocks in page order with their innermost element, their depth, how many open elements they share with the block
+    before, and their scores."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = []  # name, weight, number
-    number, pieces, linked, at = 0, [], 0, 0
+    tree, stack = Elements(), []  # open elements as (name, number)
+    open_names: dict[str, int] = {}
+    pieces, linked, at, low = [], 0, 0, 0
 
     def close():
-        nonlocal pieces, linked
+        nonlocal pieces, linked, low
         text = " ".join("".join(pieces).split()) if pieces else ""
-        if text and not any(name in ("head", "title") for name, _, _ in stack):
-            good = max([w for _, w, _ in stack if w > 0], default=0.0)
-            bad = min([w for _, w, _ in stack if w < 0], default=0.0)
-            score = WEIGHTS["bias"] + good + bad + WEIGHTS["per 100 characters, up to 3"] * min(len(text) / 100, 3)
+        if text and not open_names.get("head") and not open_names.get("title"):
+            score = WEIGHTS["bias"] + WEIGHTS["per 100 characters, up to 3"] * min(len(text) / 100, 3)
             score += WEIGHTS["link share"] * min(1.0, linked / len(text))
             score += WEIGHTS["sentence end"] * (text[-1] in ".!?…。\"'”»")
-            names = {name for name, _, _ in stack}
-            score += WEIGHTS["paragraph"] * ("p" in names) + WEIGHTS["item"] * ("li" in names)
-            score += WEIGHTS["heading"] * bool(names & {"h1", "h2", "h3", "h4", "h5", "h6"})
-            out.append(Block(text, tuple(n for _, _, n in stack), score))
+            score += WEIGHTS["paragraph"] * bool(open_names.get("p")) + WEIGHTS["item"] * bool(open_names.get("li"))
+            score += WEIGHTS["heading"] * any(open_names.get(h) for h in HEADINGS)
+            out.append(Block(text, stack[-1][1] if stack else 0, len(stack), min(low, len(stack)), score))
+            low = len(stack)
         pieces, linked = [], 0
 
     def take(raw):
         nonlocal linked
         text = htmllib.unescape(raw) if "&" in raw else raw
         pieces.append(text)
-        if any(name == "a" for name, _, _ in stack):
+        if open_names.get("a"):
             linked += len(text.strip())
 
+    def shut(k):
+        """Close all elements from place k of the stack on."""
+        nonlocal low
+        for name, _ in stack[k:]:
+            open_names[name] -= 1
+        del stack[k:]
+        low = min(low, k)
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             take(page[at : m.start()])
@@ -130,44 +193,47 @@ def blocks(page: str) -> list[Block]:
         elif name == "br":
             pieces.append(" ")
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_names.get(name) else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    shut(k)
                     break
                 if name not in BREAKS and stack[k][0] in BREAKS:
                     break  # an inline end tag closes nothing beyond its block
             continue
         if name in VOID:
             continue
-        if name in CLOSES_P and any(x[0] == "p" for x in stack):
-            k = max(k for k, x in enumerate(stack) if x[0] == "p")
-            if not any(x[0] in ("table", "button", "object") for x in stack[k:]):
-                del stack[k:]
-        for k in range(len(stack) - 1, -1, -1) if name in SELF_CLOSING else ():
+        if name in CLOSES_P and open_names.get("p"):
+            k = len(stack) - 1
+            while stack[k][0] not in ("p", "table", "button", "object"):
+                k -= 1
+            if stack[k][0] == "p":
+                shut(k)
+        for k in range(len(stack) - 1, -1, -1) if any(open_names.get(x) for x in SELF_CLOSING.get(name, ())) else ():
             if stack[k][0] in SCOPES[name]:
                 break
             if stack[k][0] in SELF_CLOSING[name]:
-                del stack[k:]
+                shut(k)
                 break
-        if name in ("body",) and any(x[0] == "head" for x in stack):
-            del stack[next(k for k, x in enumerate(stack) if x[0] == "head") :]
-        number += 1
-        stack.append((*element(name, m["attrs"]), number))
+        if name == "body" and open_names.get("head"):
+            shut(next(k for k, x in enumerate(stack) if x[0] == "head"))
+        stack.append((name, tree.add(stack[-1][1] if stack else 0, name, m["attrs"])))
+        open_names[name] = open_names.get(name, 0) + 1
     if at < len(page):
         take(page[at:])
     close()
-    return out
+    around = tree.scores()
+    for b in out:
+        b.score += around[b.inside]
+    return out, tree
 
 
-def ties(found: list[Block]) -> list[tuple[int, int, float]]:
+def ties(found: list[Block], tree: Elements) -> list[tuple[int, int, float]]:
     """Smoothness edges: each block with the next one, and with the next one under the same parent."""
     out, last = [], {}
     for k, block in enumerate(found):
-        parent = block.path[:-1]
+        parent = tree.parent[block.inside]
         if k:
-            before = found[k - 1].path
-            shared = next((d for d, (a, b) in enumerate(zip(before, block.path)) if a != b), min(len(before), len(block.path)))
-            out.append((k - 1, k, ADJACENT + SHARED * shared / max(len(before), len(block.path), 1)))
+            out.append((k - 1, k, ADJACENT + SHARED * block.shared / max(found[k - 1].depth, block.depth, 1)))
             if parent in last and last[parent] != k - 1:
                 out.append((last[parent], k, SHARED / 2))
         last[parent] = k
@@ -201,38 +267,52 @@ def cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
 
 
 def _source_side(nodes: list[int], score: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Nodes the source still reaches when no flow can be added (breadth-first augmenting paths)."""
+    """Nodes the source still reaches when no flow can be added (blocking flows over shortest paths)."""
     room: dict[int, dict[int, float]] = {x: dict(near[x]) for x in nodes}
     source, sink = -1, -2
     room[source], room[sink] = {}, {}
     for x in nodes:
         if score[x] > 0:
-            room[source][x] = score[x]
+            room[source][x], room[x][source] = score[x], 0.0
         elif score[x] < 0:
-            room[x][sink] = -score[x]
+            room[x][sink], room[sink][x] = -score[x], 0.0
+    least = 1e-12
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             x = queue.popleft()
             for y, w in room[x].items():
-                if w > 1e-12 and y not in came:
-                    came[y] = x
+                if w > least and y not in level:
+                    level[y] = level[x] + 1
                     queue.append(y)
-        if sink not in came:
-            return set(came) - {source}
-        path, y = [], sink
-        while y != source:
-            path.append((came[y], y))
-            y = came[y]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] = room[b].get(a, 0.0) + flow
+        if sink not in level:
+            return set(level) - {source}
+        edges, at, path = {x: list(room[x]) for x in level}, dict.fromkeys(level, 0), [source]
+        while path:
+            x = path[-1]
+            if x == sink:
+                steps = list(zip(path, path[1:]))
+                flow = min(room[a][b] for a, b in steps)
+                for a, b in steps:
+                    room[a][b] -= flow
+                    room[b][a] += flow
+                del path[next(k for k, (a, b) in enumerate(steps) if room[a][b] <= least) + 1 :]
+                continue
+            while at[x] < len(edges[x]):
+                y = edges[x][at[x]]
+                if room[x][y] > least and level.get(y) == level[x] + 1:
+                    path.append(y)
+                    break
+                at[x] += 1
+            else:
+                path.pop()
+                if path:
+                    at[path[-1]] += 1
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    keep = cut([b.score for b in found], ties(found))
+    found, tree = blocks(page or "")
+    keep = cut([b.score for b in found], ties(found, tree))
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

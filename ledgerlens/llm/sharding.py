@@ -95,8 +95,10 @@ def rebalance(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
 
 
 def store_map(slot_map: DataFrame, folder: str) -> DataFrame:
-    """Append a version to the stored map and return that version as stored."""
-    slot_map.write.mode("append").partitionBy("version").parquet(folder)
+    """Store one version of the map and return it as stored; a version that is there already is refused."""
+    slot_map = cut_lineage(slot_map, "shard-map")
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.drop("version").coalesce(1).write.mode("error").parquet(f"{folder}/version={version}")
     return latest_map(slot_map.sparkSession, folder)
 
 
@@ -106,15 +108,44 @@ def latest_map(spark: SparkSession, folder: str) -> DataFrame:
     return stored.join(F.broadcast(newest), F.col("version") == F.col("newest")).select("version", "vslot", "shard")
 
 
+def stored_versions(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder holds a map."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def current_map(sizes: DataFrame, shards: int, folder: str, tolerance: float = 0.01) -> DataFrame:
+    """The map to use for these slot sizes: the stored one, edited if that is needed, or a first one.
+
+    An edit is a new version. It is made when the number of shards is another one, or when it makes the largest shard smaller by
+    more than `tolerance` of the mean; otherwise slots stay where they are.
+    """
+    spark = sizes.sparkSession
+    if not stored_versions(spark, folder):
+        return store_map(first_map(sizes, shards), folder)
+    current = cut_lineage(latest_map(spark, folder), "shard-current")
+    edited = cut_lineage(rebalance(current, sizes, shards), "shard-edited")
+
+    def load(slot_map: DataFrame):
+        by_shard = slot_map.join(sizes, "vslot").groupBy("shard").agg(F.sum("bytes").alias("bytes"))
+        return by_shard.agg(F.max("bytes").alias("most"), F.sum("bytes").alias("all"), (F.max("shard") + 1).alias("shards")).first()
+
+    old, new = load(current), load(edited)
+    if old["shards"] == shards and old["most"] - new["most"] <= tolerance * old["all"] / shards:
+        return current
+    return store_map(edited, folder)
+
+
 def assign(docs: DataFrame, shards: int = 16, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, vslot, map_version, shard and the record's place in its shard, gapless from 0.
 
-    `folder` holds the versioned map (a fresh one below the shared folder by default).
+    `folder` holds the versioned map (a fresh one below the shared folder by default); a map that is there is used and, where
+    the new sizes ask for it, edited.
     """
     spark = docs.sparkSession
     records = cut_lineage(record_sizes(docs, id_col, text_col), "shard-sizes")
     sizes = cut_lineage(slot_bytes(records), "shard-slots")
-    slot_map = store_map(first_map(sizes, shards), folder or scratch_path(spark, "shard-map"))
+    slot_map = current_map(sizes, shards, folder or scratch_path(spark, "shard-map"))
     before = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
     placed = slot_map.join(sizes, "vslot").select(
         "vslot", "version", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

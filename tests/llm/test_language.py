@@ -36,7 +36,7 @@ def test_held_out_accuracy_and_mixed_text(spark):
     one, two = [next(r.text for r in rows if r.lang == x and 300 < len(r.text) < 3000 and r.score == 1) for x in ("de", "es")]
     both = language.predict(spark.createDataFrame([(1, f"{one} {two}")], "doc_id long, text string"), model).first()
     assert [s.lang for s in both.spans] == ["de", "es"]
-    assert sum(s.n_words for s in both.spans) == len(language.LETTERS.findall(f"{one} {two}"))
+    assert sum(s.n_words for s in both.spans) == len(language.words_of(f"{one} {two}"))
 
 
 def test_defined_cases(spark):
@@ -47,3 +47,18 @@ def test_defined_cases(spark):
     none = language.fit(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in language.predict(docs, none).collect()} == {"und"}
     assert language.predict(docs.limit(0), none).count() == 0
+
+
+def test_numerals_are_no_letters_and_marks_stay_in_words(spark):
+    assert language.words_of("½ ² ① 3x नमस्ते กำลัง é\u0301a _b_") == ["x", "नमस्ते", "กำลัง", "é\u0301a", "b"]
+    docs = spark.createDataFrame([(1, "alpha beta", "en"), (2, "½ ² ①", None), (3, "①", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, language.fit(docs, F.lit(True))).collect()}
+    assert got == {1: ("en", 1.0), 2: ("und", 0.0), 3: ("und", 0.0)}
+
+
+def test_more_languages_than_a_byte_counts(spark):
+    """140 languages with an alphabet of their own letters each; every one is told apart."""
+    words = {f"l{k:03}": " ".join(chr(0x4E00 + 40 * k + (i * j) % 40) * 3 for i in range(1, 12) for j in (1, 3)) for k in range(140)}
+    docs = spark.createDataFrame([(k, text, lang) for k, (lang, text) in enumerate(words.items())], "doc_id long, text string, lang string")
+    found = language.predict(docs, language.fit(docs, F.lit(True), width=1 << 16)).collect()
+    assert [r.lang_pred for r in sorted(found, key=lambda r: r.doc_id)] == list(words)

@@ -117,3 +117,48 @@ def test_rebalance_moves_only_what_must(spark, tmp_path):
     assert max(loads) <= 1.05 * sum(loads) / 5 and a is None or a
     moved = sum(weight[v] for v in b if b[v] != old[v])
     assert moved <= 0.3 * sum(loads)
+
+
+def test_assign_uses_and_edits_the_stored_map(spark, tmp_path):
+    folder = str(tmp_path / "stored")
+    docs = spark.createDataFrame([(i, "w" * (i % 50), 1, "x") for i in range(400)], SCHEMA)
+    first = {r.doc_id: (r.shard, r.slot, r.map_version) for r in sharding.assign(docs, 4, folder).collect()}
+    again = sharding.assign(docs, 4, folder).collect()
+    assert len(again) == 400 and {r.doc_id: (r.shard, r.slot, r.map_version) for r in again} == first
+    grown = sharding.assign(docs, 5, folder).collect()
+    assert {r.map_version for r in grown} == {2} and {r.shard for r in grown} == set(range(5)) and len(grown) == 400
+    moved = sum(r.size for r in grown if first[r.doc_id][0] != r.shard)
+    assert 0.2 <= moved / sum(r.size for r in grown) < 0.25  # one shard in five is new
+    # the other rows stay where they are when one shard outgrows the rest
+    heavy = {r.doc_id for r in grown if r.shard == 0}
+    more = docs.withColumn("text", F.when(F.col("doc_id").isin(list(heavy)), F.repeat(F.lit("x"), 200)).otherwise(F.col("text")))
+    edited = sharding.assign(more, 5, folder).collect()
+    assert {r.map_version for r in edited} == {3} and len(edited) == 400
+    before = {r.doc_id: r.shard for r in grown}
+    assert sum(r.size for r in edited if before[r.doc_id] != r.shard and before[r.doc_id] != 0) < 0.1 * sum(r.size for r in edited)
+    by_shard = [sum(r.size for r in edited if r.shard == s) for s in range(5)]
+    assert max(by_shard) - min(by_shard) < 0.2 * max(by_shard)
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        sharding.store_map(sharding.latest_map(spark, folder), folder)
+
+
+def test_assign_equals_a_plain_map(spark):
+    """Slots largest first to the least loaded shard, and places in slot order, told by plain Python from the same sizes."""
+    docs = spark.createDataFrame([(i, "é" * (i % 37), 1, "x") for i in range(300)] + [(7, None, 1, "y")] * 2, SCHEMA)
+    rows = sharding.record_sizes(docs).collect()
+    for r in rows:
+        text = "" if r.size == 1 else "é" * (r.doc_id % 37)
+        assert (r.size, r.text_crc32) == (len(text.encode()) + 1, zlib.crc32(text.encode()))
+    size = [0] * sharding.VIRTUAL_SLOTS
+    for r in rows:
+        size[r.vslot] += r.size
+    loads, shard = [0] * 4, {}
+    for v in sorted(range(len(size)), key=lambda v: (-size[v], v)):
+        shard[v] = loads.index(min(loads))
+        loads[shard[v]] += size[v]
+    want = []
+    for s in range(4):
+        mine = sorted((r for r in rows if shard[r.vslot] == s), key=lambda r: (r.vslot, r.doc_id, r.text_crc32, r.size))
+        want += [(r.doc_id, r.size, s, k) for k, r in enumerate(mine)]
+    got = [(r.doc_id, r.size, r.shard, r.slot) for r in sharding.assign(docs, 4).collect()]
+    assert sorted(got) == sorted(want)
