@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.catalog.registry import query
 from ledgerlens.operators import result_frames as R
+from ledgerlens.operators.scan import scan
 from ledgerlens.tables import Tables
 
 NATION_SQL = """n AS (SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS price,
@@ -121,6 +122,37 @@ def f13(t: Tables) -> DataFrame:
         R.bottom_n(cut, "price", 3, tie=["n_name"]).withColumn("side", F.lit("bottom"))).select("side", "n_name", "price")
 
 
+#: Counts and prices as a spreadsheet shows them: text with thousands separators, and now and then a dash.
+TEXT_SQL = NATION_SQL + """, tx AS (SELECT n_name, CASE WHEN n_name LIKE '%7' THEN '-' ELSE format('{:,}', orders) END AS orders_text,
+  CASE WHEN n_name LIKE '%9' THEN NULL ELSE '₹' || format('{:,}', CAST(floor(price) AS BIGINT)) END AS price_text, orders, price FROM n)"""
+
+
+def text_frame(t: Tables) -> R.ResultFrame:
+    rows = nation_orders(t).select(
+        "n_name", F.when(F.col("n_name").like("%7"), "-").otherwise(F.format_number("orders", 0)).alias("orders_text"),
+        F.when(~F.col("n_name").like("%9"), F.concat(F.lit("₹"), F.format_number(F.floor("price"), 0))).alias("price_text"))
+    return R.ResultFrame(rows, {"n_name": "dimension", "orders_text": "additive_count", "price_text": "additive_value"})
+
+
+@query("f12_sort_numbers_in_text", f"""WITH {TEXT_SQL} SELECT n_name, orders_text, row_number() OVER (ORDER BY
+  CASE WHEN orders_text <> '-' THEN orders END DESC NULLS FIRST, n_name) AS position FROM tx""")
+def f12_text(t: Tables) -> DataFrame:
+    frame = text_frame(t)
+    value = R.measure(frame, frame.df, "orders_text")
+    placed = scan(R.sort_frame(frame, "orders_text", tie=["n_name"]).select("n_name", "orders_text"), [],
+                  [value.desc_nulls_first(), F.col("n_name")])
+    return placed.select("n_name", "orders_text", "position")
+
+
+@query("f13_ends_of_numbers_in_text", f"""WITH {TEXT_SQL}
+SELECT * FROM (SELECT 'top' AS side, n_name, price_text FROM tx WHERE price_text IS NOT NULL ORDER BY floor(price) DESC, n_name LIMIT 7)
+UNION ALL SELECT * FROM (SELECT 'bottom', n_name, price_text FROM tx WHERE price_text IS NOT NULL ORDER BY floor(price), n_name LIMIT 6)""")
+def f13_text(t: Tables) -> DataFrame:
+    frame = text_frame(t)
+    return R.top_n(frame, "price_text", 7, tie=["n_name"]).select(F.lit("top").alias("side"), "n_name", "price_text").unionByName(
+        R.bottom_n(frame, "price_text", 6, tie=["n_name"]).select(F.lit("bottom").alias("side"), "n_name", "price_text"))
+
+
 @query("f14_filter_rows", """
 SELECT 'numeric' AS test, p_brand, count(*) AS parts FROM part WHERE p_retailprice >= 1200 GROUP BY p_brand
 UNION ALL SELECT 'equals', p_brand, count(*) FROM part WHERE lower(trim(p_type)) = 'promo' GROUP BY p_brand

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from ledgerlens.catalog import mining_sql as ms
 from ledgerlens.catalog.registry import query
 from ledgerlens.catalog.views_sql import (
-    DOCUMENT_VIEW_SQL, EVENT_VIEW_SQL, LINE_VIEW_SQL, ORDER_VIEW_SQL, document_config, document_view, event_config,
-    event_view, line_config, line_view,
-    order_config, order_view,
+    DOCUMENT_VIEW_SQL, EVENT_VIEW_SQL, HALF_VIEW_SQL, LINE_VIEW_SQL, ORDER_VIEW_SQL, document_config, document_view, event_config,
+    event_view, half_config, half_view, line_config, line_view, order_config, order_view, seed_config,
 )
 from ledgerlens.mining.config import CATEGORICAL_TYPES, TEMPORAL_TYPES
 from ledgerlens.mining.mine import Mining
 from ledgerlens.mining.patterns import requested_verdict, scope_patterns
 from ledgerlens.mining.readable import readable_hits, readable_points, readable_shares, scope_list, subspaces
+from ledgerlens.operators.scan import quantiles
 from ledgerlens.tables import Tables
 
 _RUNS: dict[tuple, Mining] = {}
@@ -25,6 +25,8 @@ _VIEWS = {
     "lines": (line_view, line_config, LINE_VIEW_SQL),
     "events": (event_view, event_config, EVENT_VIEW_SQL),
     "documents": (document_view, document_config, DOCUMENT_VIEW_SQL),
+    "halves": (half_view, half_config, HALF_VIEW_SQL),
+    "few_seeds": (half_view, seed_config, HALF_VIEW_SQL),
 }
 
 
@@ -45,6 +47,8 @@ def sql(select: str, view: str = "orders", depth: int = 1, stage: str = "finding
     _, config, text = _VIEWS[view]
     cfg = config(depth)
     parts = ms.ctes(text, cfg)
+    if stage == "shares":
+        parts = [p for p in parts if p.split(" ", 1)[0] in ("v", "slices", "shares")]
     if stage in ("hits", "findings"):
         parts += ms.hit_ctes(cfg)
     if stage == "findings":
@@ -89,13 +93,12 @@ def slice_cube_depth2(t: Tables) -> DataFrame:
 
 
 @query("a10_pair_grain_groupby", sql("""
-SELECT f1d AS sibling_dim, f1v AS sibling, label, round(CASE WHEN measure LIKE 'mean%' THEN value * n_rows ELSE value END, 2) AS total FROM pts
-WHERE f1d = 'c_mktsegment' AND f2d = '' AND breakdown = 'o_orderpriority' AND measure = 'price'""", stage="cube"))
+SELECT f1d AS sibling_dim, f1v AS sibling, breakdown, measure, label, round(CASE WHEN measure LIKE 'mean%' THEN value * n_rows ELSE value END, 2) AS total
+FROM pts WHERE f1d <> ''""", stage="cube"))
 def pair_grain(t: Tables) -> DataFrame:
     run = mining(t)
-    return readable_points(run.cube, run.points).filter(
-        (F.col("filter1_dim") == "c_mktsegment") & (F.col("breakdown") == "o_orderpriority") & (F.col("measure") == "price")
-    ).select(F.col("filter1_dim").alias("sibling_dim"), F.col("filter1_value").alias("sibling"), "label", "total")
+    return readable_points(run.cube, run.points).filter("filter1_dim <> ''").select(
+        F.col("filter1_dim").alias("sibling_dim"), F.col("filter1_value").alias("sibling"), "breakdown", "measure", "label", "total")
 
 
 def _subspace_sql(depth: int) -> str:
@@ -141,12 +144,12 @@ def _shares(t: Tables) -> DataFrame:
     return readable_shares(run.cube, run.shares)
 
 
-@query("m03_subspace_impact", sql(_SHARE, depth=2, stage="cube"))
+@query("m03_subspace_impact", sql(_SHARE, depth=2, stage="shares"))
 def m03(t: Tables) -> DataFrame:
     return _shares(t)
 
 
-@query("m04_impact_prune", sql(_SHARE + " WHERE max_share >= 0.01", depth=2, stage="cube"))
+@query("m04_impact_prune", sql(_SHARE + " WHERE max_share >= 0.01", depth=2, stage="shares"))
 def m04(t: Tables) -> DataFrame:
     run = mining(t, depth=2)
     return readable_shares(run.cube, run.shares.filter(F.col("max_share") >= run.config.min_impact))
@@ -265,8 +268,16 @@ def _register_strategy(name: str, where: str, cond) -> None:
 
 
 _register_strategy("m20_measure_and_grain_siblings", "strategy <> 'subspace'", "strategy <> 'subspace'")
-_register_strategy("m21_minimum_sibling_size", "size >= 3 AND strategy = 'subspace'", "hdp_size >= 3 AND strategy = 'subspace'")
-_register_strategy("m24_seed_rule", "g1d <> ''", "filter1_dim IS NOT NULL")
+
+
+def _register_view(name: str, view: str) -> None:
+    @query(name, sql(FINDING_SQL + " WHERE NOT low_support", view))
+    def run(t: Tables) -> DataFrame:
+        return finding_columns(mining(t, view).findings)
+
+
+_register_view("m21_minimum_sibling_size", "halves")  # a dimension of two values, which extends no set
+_register_view("m24_seed_rule", "few_seeds")  # most slices hold too little to lead to a set
 
 
 @query("m22_commonness_and_exceptions", sql("""
@@ -274,13 +285,13 @@ SELECT strategy, type AS pattern_type, count(*) AS findings, CAST(sum(n_common)
        CAST(sum(n_hc) AS BIGINT) AS highlight_changes, CAST(sum(n_tc) AS BIGINT) AS type_changes,
        CAST(sum(n_np) AS BIGINT) AS no_patterns FROM finds WHERE NOT low_support GROUP BY ALL"""))
 def m22(t: Tables) -> DataFrame:
-    run = mining(t)
-    tally = run.finding_members.join(run.findings.select("finding_id", "strategy", "pattern_type"), "finding_id")
-    return tally.groupBy("strategy", "pattern_type").agg(
-        F.count_distinct("finding_id").alias("findings"), F.count_if(F.col("category") == "COMMON").alias("common_members"),
-        F.count_if(F.col("category") == "HIGHLIGHT_CHANGE").alias("highlight_changes"),
-        F.count_if(F.col("category") == "TYPE_CHANGE").alias("type_changes"),
-        F.count_if(F.col("category") == "NO_PATTERN").alias("no_patterns"))
+    # siblings are counted while sets are grouped; those without a pattern are the rest of the domain and are never listed
+    def total(c: str):
+        return F.sum(F.col(c).cast("long"))
+
+    return mining(t).findings.groupBy("strategy", "pattern_type").agg(
+        F.count("*").alias("findings"), total("n_common").alias("common_members"), total("n_highlight_change").alias("highlight_changes"),
+        total("n_type_change").alias("type_changes"), total("n_no_pattern").alias("no_patterns"))
 
 
 @query("m23_sibling_set_dedup", sql("""
@@ -337,6 +348,8 @@ def m28(t: Tables) -> DataFrame:
 SELECT type AS pattern_type, count(*) AS findings, round(max(score), 6) AS best_score,
        round(quantile_cont(score, 0.5), 6) AS median_score FROM finds WHERE NOT low_support GROUP BY type"""))
 def m30(t: Tables) -> DataFrame:
-    return mining(t).findings.groupBy("pattern_type").agg(
-        F.count("*").alias("findings"), F.round(F.max("score"), 6).alias("best_score"),
-        F.round(F.percentile("score", F.lit(0.5)), 6).alias("median_score"))
+    found = mining(t).findings
+    best = found.groupBy("pattern_type").agg(F.round(F.max("score"), 6).alias("best_score"))
+    middle = quantiles(found, ["pattern_type"], F.col("score"), 0.5)
+    return middle.join(best, "pattern_type").select(
+        "pattern_type", F.col("n").alias("findings"), "best_score", F.round("value", 6).alias("median_score"))

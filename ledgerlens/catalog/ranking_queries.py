@@ -93,11 +93,12 @@ _MEMBERS = ms.member_ctes(_VIEWS["orders"][1](1))
 
 @query("m29_canonical_identity", sql(f"""SELECT id AS finding_id, concat_ws('||', strategy, ext, type, gb, gm, CASE WHEN g1d = '' THEN '' ELSE g1d || '=' || g1v END,
   CAST(size AS VARCHAR), {_digest_sql("concat_ws('~', own_highlight, member)", "category = 'COMMON'")},
-  {_digest_sql("concat_ws('~', member, category, coalesce(own_highlight, ''))", "category <> 'COMMON'")}) AS canonical_key
+  {_digest_sql("concat_ws('~', own_highlight, member)", "category IN ('COMMON', 'HIGHLIGHT_CHANGE')")},
+  {_digest_sql("member", "category <> 'NO_PATTERN'")}) AS canonical_key
 FROM full_members GROUP BY id, strategy, ext, type, gb, gm, g1d, g1v, size""", extra=_MEMBERS))
 def m29(t: Tables) -> DataFrame:
     run = mining(t)
-    return R.canonical_keys(run.findings, run.finding_members, 1)
+    return R.canonical_keys(run.findings, run.member_digests, 1)
 
 
 @query("r01_twin_merge", sql("""SELECT id AS finding_id, type AS pattern_type, round(score, 6) AS score,
@@ -105,7 +106,7 @@ def m29(t: Tables) -> DataFrame:
 FROM merged""", "documents", [TWIN, MERGED]))
 def r01(t: Tables) -> DataFrame:
     run = mining(t, "documents")
-    return R.merge_twins(run.findings, run.finding_members, 1).select(
+    return R.merge_twins(run.findings, run.member_digests, 1).select(
         "finding_id", "pattern_type", F.round("score", 6).alias("score"), F.concat_ws(",", "merged_twins").alias("merged_twins"))
 
 
@@ -143,7 +144,7 @@ def r06(t: Tables) -> DataFrame:
 FROM ranked r JOIN merged USING (id)""", "documents", True))
 def r07(t: Tables) -> DataFrame:
     run = mining(t, "documents")
-    return R.merge_prefilter_rank(run.findings, run.finding_members, 1).select(
+    return R.merge_prefilter_rank(run.findings, run.member_digests, 1).select(
         "finding_id", "view_rank", F.round("score", 6).alias("score"))
 
 
@@ -221,7 +222,7 @@ def _pool(t: Tables) -> DataFrame:
     parts = []
     for view in FEED_VIEWS:
         run = mining(t, view)
-        ranked = R.merge_prefilter_rank(run.findings, run.finding_members, 1)
+        ranked = R.merge_prefilter_rank(run.findings, run.member_digests, 1)
         parts.append(ranked.withColumn("sentence", R.sentence()).select(
             "view", "finding_id", "sentence", "strategy", "extending_dimension", "pattern_type", "breakdown", "measure", "filter1_dim",
             "filter1_value", "highlight", "score", "view_rank"))
@@ -320,14 +321,10 @@ def _cross_sql() -> str:
 
 @query("r14_cross_view_overlap", _cross_sql())
 def r14(t: Tables) -> DataFrame:
-    def side(view: str, name: str) -> DataFrame:
-        found = R.in_source_terms(mining(t, view).findings, LINEAGE, 1)
-        fields = ("pattern_type", "c_measure", "c_breakdown", "c_extending", "c_filters")
-        return found.select(F.col("finding_id").alias(f"id_{name}"), "pattern_type", F.struct(*fields).alias(name),
-                            F.explode(R.content_keys("c_measure", "c_breakdown", F.col("c_filters"))).alias("shared"))
+    def side(view: str) -> DataFrame:
+        return R.in_source_terms(mining(t, view).findings, LINEAGE, 1)
 
-    pairs = side("orders", "a").join(side("events", "b"), ["pattern_type", "shared"]).drop("shared").dropDuplicates(["id_a", "id_b"])
-    return pairs.withColumn("ratio", F.round(R.cross_view_overlap("a", "b"), 6)).filter("ratio > 0").select("id_a", "id_b", "ratio")
+    return R.cross_view_pairs(side("orders"), side("events")).select("id_a", "id_b", F.round("ratio", 6).alias("ratio"))
 
 
 @query("r15_seeded_feed_selection", _feed_sql("""SELECT CAST(feed_rank AS INTEGER) AS feed_rank, f.id IN (SELECT id FROM seeds) AS seed, view, f.id AS finding_id,
@@ -363,7 +360,7 @@ UNION ALL SELECT 'exited', id FROM cand WHERE rs < 0.3 AND strategy = 'subspace'
 def r18(t: Tables) -> DataFrame:
     run = mining(t)
     now, before = run.findings.filter(F.round("score", 12) >= 0.3), run.findings.filter("strategy = 'subspace'")
-    return R.finding_diff(now, before, run.finding_members, run.finding_members)
+    return R.finding_diff(now, before, run.member_digests, run.member_digests)
 
 
 @query("r19_sentences", sql(f"SELECT id AS finding_id, {SENTENCE_SQL} AS sentence FROM cand"))
@@ -455,13 +452,14 @@ def e06(t: Tables) -> DataFrame:
 
 
 @query("e07_boundary_caveat", sql("""SELECT id AS finding_id,
-  (gm = 'orders' OR gm = '(varies)') AND (gb = 'year' OR strategy = 'breakdown') AND (gm <> '(varies)' OR gb <> 'o_orderstatus') AS reporting_caveat FROM cand
-WHERE strategy <> 'measure' OR gb <> 'year'"""))
+  (gm = 'orders' OR gm = '(varies)') AND (gb = 'year' OR strategy = 'breakdown') AND (gm <> '(varies)' OR gb <> 'o_orderstatus')
+    AND NOT (strategy = 'measure' AND gb = 'year') AS reporting_caveat FROM cand"""))
 def e07(t: Tables) -> DataFrame:
     run = mining(t)
-    found = run.findings.filter("strategy <> 'measure' OR breakdown <> 'year'")
-    compared = E.finding_points(run, found.filter("breakdown = 'year'")).select("finding_id", "label")
-    return E.boundary_caveat(found, run.finding_members, ["orders"], "year", ["1995", "1996"], ["1999", "2000"], compared)
+    before, after = ["1995", "1996"], ["1999", "2000"]
+    compared = E.finding_points(run, run.findings.filter("breakdown = 'year'")).select("finding_id", "label")
+    named = run.named_members(["orders", "year", *before, *after])
+    return E.boundary_caveat(run.findings, named, ["orders"], "year", before, after, compared)
 
 
 _MONTHS = """CASE WHEN regexp_matches(label, '^\\d{4}-\\d{2}$') THEN left(label, 4)::INT * 12 + right(label, 2)::INT - 1
@@ -483,7 +481,7 @@ FROM (SELECT *, {_MONTHS} AS first, {_MONTHS} + {_LENGTH} AS last FROM (
 WHERE (first <= e AND last >= e) OR (first > e AND first <= e + 3) GROUP BY m, what""", extra=_MEMBERS))
 def e08(t: Tables) -> DataFrame:
     run = mining(t)
-    periods = E.finding_periods(run.findings, run.finding_members, 1)
+    periods = E.finding_periods(run.findings, run.own_members, 1)
     bounds = t.orders.agg(F.date_format(F.max("o_orderdate"), "yyyy-MM").alias("end_month"))
     from ledgerlens.sources.readers import usable_events
 

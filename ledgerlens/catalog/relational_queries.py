@@ -9,6 +9,7 @@ from ledgerlens.catalog.registry import query
 from ledgerlens.functions import columns as C
 from ledgerlens.operators import aggregates as A
 from ledgerlens.operators import joins as J
+from ledgerlens.operators.scan import scan
 from ledgerlens.tables import Tables
 
 TYPE_NAMES = {"ECONOMY": "Economy line", "LARGE": "Large line", "PROMO": "Promotion"}
@@ -508,10 +509,8 @@ def g02(t: Tables) -> DataFrame:
 SELECT doc_id, CAST(quality AS DOUBLE) AS quality, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS position
 FROM documents LEFT JOIN labels USING (doc_id)""")
 def o01(t: Tables) -> DataFrame:
-    from ledgerlens.operators.result_frames import ResultFrame, ranked_position, sort_frame
-
     rows = t.documents.select("doc_id").join(t.labels.select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id", "left")
-    return ranked_position(sort_frame(ResultFrame(rows, {"doc_id": "identifier"}), "quality", "desc", tie=["doc_id"]))
+    return scan(rows, [], [F.desc_nulls_first("quality"), F.col("doc_id")]).drop("group_rows")
 
 
 @query("o02_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")

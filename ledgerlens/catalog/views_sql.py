@@ -59,6 +59,25 @@ def order_config(depth: int = 1, **changes) -> ViewConfig:
     return ViewConfig(**settings)
 
 
+HALF_VIEW_SQL = f"SELECT *, CASE WHEN right(month, 2) <= '06' THEN 'first half' ELSE 'second half' END AS half FROM ({ORDER_VIEW_SQL})"
+
+
+def half_view(t: Tables) -> DataFrame:
+    """The order view with a dimension of two values."""
+    half = F.when(F.substring("month", 6, 2) <= "06", "first half").otherwise("second half")
+    return order_view(t).withColumn("half", half)
+
+
+def half_config(depth: int = 1) -> ViewConfig:
+    return order_config(depth, name="halves", dimensions=("r_name", "half", "o_orderpriority"), temporal_dimensions=("quarter", "year"),
+                        measures=(Measure("price"), Measure("orders"), Measure("mean_price", "avg", "price")), excluded_pairs=())
+
+
+def seed_config(depth: int = 1) -> ViewConfig:
+    return order_config(depth, name="few_seeds", dimensions=("r_name", "n_name", "o_orderpriority"), temporal_dimensions=("quarter", "year"),
+                        measures=(Measure("price"), Measure("orders"), Measure("mean_price", "avg", "price")), excluded_pairs=(), min_impact=0.2)
+
+
 def line_view(t: Tables) -> DataFrame:
     """One row per order line with order, customer, place and part."""
     joined = (

@@ -11,6 +11,7 @@ from ledgerlens.mining.mine import Mining
 from ledgerlens.mining.readable import name_scope
 from ledgerlens.mining.siblings import VARIES
 from ledgerlens.operators.joins import period_matches
+from ledgerlens.operators.scan import scan
 
 # pattern types whose highlight is a date
 DATED_TYPES = ("CHANGE_POINT", "OUTLIER", "UNIMODALITY")
@@ -48,19 +49,16 @@ def value_stats(run: Mining, found: DataFrame, top: int = 5, bottom: int = 2) ->
     """Ranked values of each finding's distribution: the first `top`, the last `bottom` and the highlighted ones.
 
     `total` and `share_pct` exist only for summed measures, where the parts add up to the whole;
-    `n_rows` is the number of rows behind each value.
+    `n_rows` is the number of rows behind each value. A distribution of any length is ranked in blocks.
     """
     sums = [i for i, m in enumerate(run.config.measures) if m.agg == "sum"]
-    pts = finding_points(run, found)
-    whole = Window.partitionBy("finding_id")
-    total = F.when(F.col("mid").isin(*sums), F.sum("value").over(whole))
-    ranked = pts.withColumns({
-        "total": total, "n_values": F.count("*").over(whole),
-        "position": F.row_number().over(whole.orderBy(F.desc("value"), "label")),
-    }).withColumn("highlighted", F.array_contains(F.split("highlight", "\\|"), F.col("label")))
-    shown = (F.col("position") <= top) | (F.col("position") > F.col("n_values") - bottom) | F.col("highlighted")
+    pts = finding_points(run, found).select("finding_id", "mid", "label", "value", "n_rows", "highlight")
+    ranked = scan(pts, ["finding_id"], [F.desc("value"), F.col("label")], {"value": F.col("value")}).withColumns({
+        "total": F.when(F.col("mid").isin(*sums), F.col("total_value")),
+        "highlighted": F.array_contains(F.split("highlight", "\\|"), F.col("label"))})
+    shown = (F.col("position") <= top) | (F.col("position") > F.col("group_rows") - bottom) | F.col("highlighted")
     return ranked.filter(shown).select(
-        "finding_id", "position", "label", "value", "n_values", "total",
+        "finding_id", F.col("position").cast("int").alias("position"), "label", "value", F.col("group_rows").alias("n_values"), "total",
         F.when(F.col("total") > 0, F.col("value") / F.col("total") * 100).alias("share_pct"), "n_rows", "highlighted")
 
 
@@ -76,8 +74,8 @@ def _beside(run: Mining, found: DataFrame, measure: str) -> DataFrame:
 def volume_share(run: Mining, found: DataFrame, volume: str) -> DataFrame:
     """Each group's share of the volume measure, for categorical findings about something else."""
     pts = _beside(run, found, volume).filter(~F.col("temporal") & (F.col("measure") != volume))
-    whole = F.sum("value").over(Window.partitionBy("finding_id"))
-    return pts.withColumn("__t", whole).filter("__t > 0").select(
+    whole = pts.groupBy("finding_id").agg(F.sum("value").alias("__t"))
+    return pts.join(whole, "finding_id").filter("__t > 0").select(
         "finding_id", "label", F.col("value").alias("volume"), (F.col("value") / F.col("__t") * 100).alias("volume_share_pct"))
 
 
@@ -121,6 +119,7 @@ def boundary_caveat(found: DataFrame, members: DataFrame, count_measures: list[s
                     before: list[str], after: list[str], compared: DataFrame) -> DataFrame:
     """Findings that compare a count measure across a break in how years were reported.
 
+    `members(finding_id, member_label)` are siblings, of which only those with one of the labels given here matter;
     `compared(finding_id, label)` are the labels of a finding's own breakdown.
     """
     labels = members.groupBy("finding_id").agg(

@@ -68,8 +68,23 @@ class Mining:
 
     @cached_property
     def finding_members(self) -> DataFrame:
+        """Every sibling of every finding, for listings."""
         return siblings.finding_members(self.cube, self.findings, self.members)
 
+    @cached_property
+    def own_members(self) -> DataFrame:
+        """Siblings that hold a finding's own pattern."""
+        return siblings.own_members(self.cube, self.findings, self.members)
+
+    @cached_property
+    def member_digests(self) -> DataFrame:
+        """What each finding's siblings are, as digests."""
+        return cut_lineage(siblings.member_digests(self.cube, self.findings, self.members), "member-digests")
+
+    def named_members(self, labels: list[str]) -> DataFrame:
+        """The siblings of findings that have one of a few labels."""
+        return siblings.set_members(self.cube, self.findings, labels)
+
 
 def top_store(found: DataFrame, k: int) -> DataFrame:
     """The k best findings; at the cut a score tie keeps the larger identity."""

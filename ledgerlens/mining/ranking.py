@@ -51,26 +51,15 @@ def _best_first() -> list[Column]:
     return [F.desc(F.round("score", 12)), F.col("finding_id")]
 
 
-def _digest(text: Column, when: Column) -> Column:
-    """Order-free digest of the rows of a group that meet a condition: their number and sums of hash pieces."""
-    h = F.sha2(text, 256)
-    pieces = [F.sum(F.when(when, F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))) for i in range(4)]
-    return F.concat_ws(":", F.count_if(when).cast("string"), *[F.coalesce(p, F.lit(0)).cast("decimal(38,0)").cast("string") for p in pieces])
+def merge_twins(found: DataFrame, digests: DataFrame, depth: int) -> DataFrame:
+    """One finding of each OUTSTANDING_1 / ATTRIBUTION pair that says the same; the better score stays.
 
-
-def member_digest(members: DataFrame) -> DataFrame:
-    """Digest of each finding's common (highlight, member) pairs."""
-    common = members.filter(F.col("category") == "COMMON")
-    return common.groupBy("finding_id").agg(_digest(F.concat_ws("~", "highlight", "member_label"), F.lit(True)).alias("commonness_digest"))
-
-
-def merge_twins(found: DataFrame, members: DataFrame, depth: int) -> DataFrame:
-    """One finding of each OUTSTANDING_1 / ATTRIBUTION pair that says the same; the better score stays."""
+    `digests` are those of a run's `member_digests`, here and below.
+    """
     twin = F.col("pattern_type").isin(*TWINS)
-    digests = member_digest(members.join(found.filter(twin).select("finding_id"), "finding_id", "left_semi"))
     filters = [f"filter{i}_{p}" for i in range(1, depth + 1) for p in ("dim", "value")]
     key = ["view", "strategy", "extending_dimension", "breakdown", "measure", *filters, "commonness_digest"]
-    twins = found.filter(twin).join(digests, "finding_id")
+    twins = found.filter(twin).join(digests.select("finding_id", F.col("common").alias("commonness_digest")), "finding_id")
     # null filter columns group together, so each absent filter is part of the key as it is
     w = Window.partitionBy(*key)
     ranked = twins.withColumns({
@@ -173,11 +162,12 @@ def _overlap_terms(filters: Column, depth: int) -> Column:
     m, b, e = F.col("measure"), F.col("breakdown"), F.col("extending_dimension")
     arms = []
 
-    def term(strategy: str, weight: float, name: str, *parts, when: Column = F.lit(True)) -> None:
+    def term(strategy: str, weight: float, name: str, *parts, when: Column | None = None) -> None:
         if weight:
             values = [p.alias(f"p{i}") for i, p in enumerate(parts)]
             key = F.to_json(F.struct(F.lit(strategy).alias("s"), F.lit(name).alias("t"), *values))
-            arms.append(F.when((F.col("strategy") == strategy) & when, F.struct(key.alias("key"), F.lit(float(weight)).alias("weight"))))
+            here = F.col("strategy") == strategy
+            arms.append(F.when(here if when is None else here & when, F.struct(key.alias("key"), F.lit(float(weight)).alias("weight"))))
 
     for strategy, w in WEIGHTS.items():
         term(strategy, w["measure"], "m", m)
@@ -336,9 +326,9 @@ def rank(found: DataFrame, depth: int, k: int = TOP_K, group: Column | None = No
     return inline_table(spark, flat(picks), PICKED).select("view", "group", "finding_id", "view_rank", "gain")
 
 
-def merge_prefilter_rank(found: DataFrame, members: DataFrame, depth: int, k: int = TOP_K, best: int | None = None) -> DataFrame:
+def merge_prefilter_rank(found: DataFrame, digests: DataFrame, depth: int, k: int = TOP_K, best: int | None = None) -> DataFrame:
     """Twin merge, then the prefilter if `best` is given, then greedy rank: the findings in rank order of their view."""
-    merged = merge_twins(found, members, depth)
+    merged = merge_twins(found, digests, depth)
     if best is not None:
         merged = prefilter(merged, best)
     return merged.join(F.broadcast(rank(merged, depth, k).drop("group", "gain")), ["view", "finding_id"])  # k for each view
@@ -430,6 +420,35 @@ def cross_view_overlap(a: str | Column, b: str | Column) -> Column:
                   + w["measure"] * same("c_measure") + w["breakdown"] * same("c_breakdown")).otherwise(0.0)
 
 
+def cross_view_pairs(left: DataFrame, right: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """Overlap of each pair of findings of two views, in source terms, that share something; met in blocks as `pair_overlaps`."""
+    fields = ("pattern_type", "c_measure", "c_breakdown", "c_extending", "c_filters")
+    keys = ["pattern_type", "shared"]
+
+    def side(found: DataFrame, name: str) -> DataFrame:
+        return found.select("finding_id", "pattern_type", F.struct(*fields).alias(name),
+                            F.explode(content_keys("c_measure", "c_breakdown", F.col("c_filters"))).alias("shared"))
+
+    def sizes(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(f"of_{name}"))
+
+    a, b = side(left, "a"), side(right, "b")
+    both = sizes(a, "a").join(sizes(b, "b"), keys)
+
+    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        return rows.join(both, keys).select(
+            *keys, F.pmod(F.xxhash64("finding_id"), F.col(f"of_{mine}")).cast("int").alias(f"block_{mine}"),
+            F.explode(F.sequence(F.lit(0), F.col(f"of_{other}") - 1)).alias(f"block_{other}"), F.col("finding_id").alias(f"id_{mine}"), mine)
+
+    def things(x: str) -> Column:
+        return F.concat(F.array(F.concat(F.lit("measure "), _of(x, "c_measure")), F.concat(F.lit("breakdown "), _of(x, "c_breakdown"))),
+                        F.transform(_of(x, "c_filters"), lambda v: F.concat(F.lit("filter "), v)))
+
+    met = dealt(a, "a", "b").join(dealt(b, "b", "a"), [*keys, "block_a", "block_b"]).filter(
+        F.col("shared") == F.array_min(F.array_intersect(things("a"), things("b"))))
+    return met.withColumn("ratio", cross_view_overlap("a", "b")).filter("ratio > 0").select("id_a", "id_b", "ratio")
+
+
 POOLED = (*SLIM, "c_measure", "c_breakdown", "c_extending")
 FEED = ("view string, finding_id string, feed_rank int, seed boolean, worst_overlap double, gain double, global_score double, "
         "filters array<string>, c_filters array<string>, " + ", ".join(f"{c} string" for c in POOLED))
@@ -515,27 +534,22 @@ def set_identity(hashes: DataFrame) -> DataFrame:
     return hashes.agg(F.substring(F.sha2(F.concat_ws("", lines), 256), 1, 16).alias("set_id"), F.count("*").alias("files"))
 
 
-def finding_diff(now: DataFrame, before: DataFrame, now_members: DataFrame, before_members: DataFrame) -> DataFrame:
+def finding_diff(now: DataFrame, before: DataFrame, now_digests: DataFrame, before_digests: DataFrame) -> DataFrame:
     """Findings only in one of two runs, by what they say and not by their score."""
-    def signed(found: DataFrame, members: DataFrame) -> DataFrame:
-        return found.join(member_digest(members), "finding_id").select("finding_id", F.concat_ws(
-            "~", "finding_id", "commonness_digest").alias("signature"))
+    def signed(found: DataFrame, digests: DataFrame) -> DataFrame:
+        return found.join(digests, "finding_id").select("finding_id", F.concat_ws("~", "finding_id", "common").alias("signature"))
 
-    a, b = signed(now, now_members), signed(before, before_members)
+    a, b = signed(now, now_digests), signed(before, before_digests)
     return a.join(b, "signature", "left_anti").select(F.lit("entered").alias("change"), "finding_id").unionByName(
         b.join(a, "signature", "left_anti").select(F.lit("exited").alias("change"), "finding_id"))
 
 
-def canonical_keys(found: DataFrame, members: DataFrame, depth: int) -> DataFrame:
+def canonical_keys(found: DataFrame, digests: DataFrame, depth: int) -> DataFrame:
     """Identity of each finding from its content: its defining fields and digests of its members, of bounded length."""
     filters = F.concat_ws(";", F.array_sort(filter_array(depth)))
-    common = F.col("category") == "COMMON"
-    parts = members.groupBy("finding_id").agg(
-        _digest(F.concat_ws("~", "highlight", "member_label"), common).alias("common"),
-        _digest(F.concat_ws("~", "member_label", "category", F.coalesce("highlight", F.lit(""))), ~common).alias("odd"))
-    return found.join(parts, "finding_id").select("finding_id", F.concat_ws(
+    return found.join(digests, "finding_id").select("finding_id", F.concat_ws(
         "||", "strategy", "extending_dimension", "pattern_type", "breakdown", "measure", filters,
-        F.col("hdp_size").cast("string"), "common", "odd").alias("canonical_key"))
+        F.col("hdp_size").cast("string"), "common", "own", "held").alias("canonical_key"))
 
 
 def pattern_text(kind: Column, highlight: Column, measure: Column, breakdown: Column, signed_measures: tuple[str, ...] = ()) -> Column:

@@ -278,40 +278,94 @@ def decode(cube: Cube, scored: DataFrame) -> DataFrame:
     )
 
 
-def finding_members(cube: Cube, found: DataFrame, members: DataFrame) -> DataFrame:
-    """One row per (finding, sibling): COMMON, HIGHLIGHT_CHANGE, TYPE_CHANGE or NO_PATTERN.
+def digest(text: Column, when: Column | None = None) -> Column:
+    """Order-free digest of the rows of a group that meet a condition: their number and sums of hash pieces."""
+    when = F.lit(True) if when is None else when
+    h = F.sha2(text, 256)
+    pieces = [F.sum(F.when(when, F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)"))) for i in range(4)]
+    return F.concat_ws(":", F.count_if(when).cast("string"), *[F.coalesce(p, F.lit(0)).cast("decimal(38,0)").cast("string") for p in pieces])
+
+
+def _labelled(cube: Cube, rows: DataFrame) -> DataFrame:
+    """Members (strategy, ext_id, member) with the label of their code."""
+    measures = F.array(*[F.lit(m.name) for m in cube.config.measures])
+    dims = F.array(*[F.lit(d) for d in cube.config.all_dims])
+    values = domain_side(cube).select(F.col("dim_id").alias("ext_id"), F.col("code").alias("member"), F.col("label").alias("value"))
+    label = (
+        F.when(F.col("strategy") == "subspace", F.col("value")).when(F.col("strategy") == "measure", F.get(measures, F.col("member").cast("int")))
+        .otherwise(F.get(dims, F.col("member").cast("int"))))
+    return rows.join(values, ["ext_id", "member"], "left").withColumn("member_label", label).drop("value")
+
+
+def _category(own: Column) -> Column:
+    shared = F.array_contains(F.transform("commonness", lambda c: c["highlight"]), own)
+    return F.when(own.isNotNull() & shared, "COMMON").when(own.isNotNull(), "HIGHLIGHT_CHANGE")
 
-    Siblings with no row in the data are members too, so the list starts from the domain.
+
+def own_members(cube: Cube, found: DataFrame, members: DataFrame) -> DataFrame:
+    """One row per finding and sibling that holds its pattern: COMMON or HIGHLIGHT_CHANGE, reached from the patterns found."""
+    group = [*GROUP, *cube.layout.keys]
+    head = found.select(*group, "pattern_type", "commonness", "finding_id")
+    hits = members.withColumn("h", F.explode("hits")).select(
+        *group, "member", F.col("h.type").alias("pattern_type"), F.col("h.highlight").alias("own"))
+    return _labelled(cube, hits.join(head, [*group, "pattern_type"])).select(
+        "finding_id", "member_label", _category(F.col("own")).alias("category"), F.col("own").alias("highlight"))
+
+
+def member_digests(cube: Cube, found: DataFrame, members: DataFrame) -> DataFrame:
+    """finding_id and three digests that say which siblings are in which category, without listing a sibling set.
+
+    `common`: siblings with a common highlight; `own`: those that hold the pattern at all; `held`: those that hold any pattern.
+    HIGHLIGHT_CHANGE is own less common and TYPE_CHANGE is held less own; NO_PATTERN is the rest of the set. `held` belongs to
+    a sibling set, so it is made once for all its findings.
     """
+    group = [*GROUP, *cube.layout.keys]
+    said = F.concat_ws("~", "highlight", "member_label")
+    own = own_members(cube, found, members).groupBy("finding_id").agg(
+        digest(said, F.col("category") == "COMMON").alias("common"), digest(said).alias("own"))
+    sets = members.select(*group, "member").join(found.select(*group).distinct(), group, "left_semi")
+    held = _labelled(cube, sets).groupBy(*group).agg(digest(F.col("member_label")).alias("held"))
+    return found.select(*group, "finding_id").join(held, group).select("finding_id", "held").join(own, "finding_id")
+
+
+def set_members(cube: Cube, found: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """Every sibling of every finding, with or without rows in the data; or only those with one of a few labels."""
     layout, config = cube.layout, cube.config
-    keys = layout.keys
-    group = [*GROUP, *keys]
     spark = cube.cells.sparkSession
+    group = [*GROUP, *layout.keys]
     head = found.select(*group, "pattern_type", "commonness", "finding_id", "breakdown", "measure")
+
+    def wanted(side: DataFrame) -> DataFrame:
+        return side if labels is None else side.filter(F.col("member_label").isin(*labels))
+
     by_value = head.filter(F.col("strategy") == "subspace").join(
-        domain_side(cube).select(F.col("dim_id").alias("ext_id"), F.col("code").alias("member"),
-                                 F.col("label").alias("member_label")), "ext_id")
+        wanted(domain_side(cube).select(F.col("dim_id").alias("ext_id"), F.col("code").alias("member"),
+                                        F.col("label").alias("member_label"))), "ext_id")
     pairs = [
         (b, i, config.measures[i].name) for b in config.all_dims for i in config.measures_for(b)
     ]
     by_measure = head.filter(F.col("strategy") == "measure").join(
-        F.broadcast(inline_table(spark, pairs, "breakdown string, member int, member_label string")), "breakdown")
+        F.broadcast(wanted(inline_table(spark, pairs, "breakdown string, member int, member_label string"))), "breakdown")
     grains = [
         (m.name, layout.dim_id(t), t) for m in config.measures for t in config.temporal_dimensions
         if (m.name, t) not in config.excluded_pairs
     ]
     by_grain = head.filter(F.col("strategy") == "breakdown").join(
-        F.broadcast(inline_table(spark, grains, "measure string, member int, member_label string")), "measure")
-    every = by_value.unionByName(by_measure).unionByName(by_grain)
+        F.broadcast(wanted(inline_table(spark, grains, "measure string, member int, member_label string"))), "measure")
+    return by_value.unionByName(by_measure).unionByName(by_grain)
+
+
+def finding_members(cube: Cube, found: DataFrame, members: DataFrame) -> DataFrame:
+    """One row per (finding, sibling): COMMON, HIGHLIGHT_CHANGE, TYPE_CHANGE or NO_PATTERN.
+
+    Siblings with no row in the data are members too, so the list starts from the domain. For listings only: it has as many rows
+    as the sets have siblings.
+    """
+    group = [*GROUP, *cube.layout.keys]
     held = members.select(*group, "member", "hits")
-    joined = every.join(held, [*group, "member"], "left")
+    joined = set_members(cube, found).join(held, [*group, "member"], "left")
     own = F.get(F.filter("hits", lambda h: h["type"] == F.col("pattern_type")), F.lit(0))["highlight"]
-    shared = F.array_contains(F.transform("commonness", lambda c: c["highlight"]), F.col("own"))
-    category = (
-        F.when(F.col("own").isNotNull() & shared, "COMMON")
-        .when(F.col("own").isNotNull(), "HIGHLIGHT_CHANGE")
-        .when(F.size("hits") > 0, "TYPE_CHANGE").otherwise("NO_PATTERN")
-    )
+    category = F.coalesce(_category(F.col("own")), F.when(F.size("hits") > 0, "TYPE_CHANGE").otherwise("NO_PATTERN"))
     return joined.withColumn("own", own).select(
         "finding_id", "member_label", category.alias("category"), F.col("own").alias("highlight"),
     )

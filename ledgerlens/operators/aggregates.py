@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.scan import scan
+
 
 def sum_of(c: str, name: str | None = None) -> Column:
     return F.sum(c).alias(name or f"sum_{c}")
@@ -55,8 +57,8 @@ def one_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(value).over(w))
+    """The sum of `value` up to and including a row; a key of any size is summed up in blocks."""
+    return scan(df, keys, [F.col(order)], {"value": F.col(value)}).select(*df.columns, F.col("running_value").alias(name))
 
 
 def first_last_change(df: DataFrame, keys: list[str], period: str, value: str) -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
 
-from ledgerlens.session import cut_lineage
+from ledgerlens.operators.scan import quantiles
 
 ADDITIVE = ("additive_count", "additive_value")
 ROLES = ("dimension", "temporal", "identifier", *ADDITIVE, "ratio", "snapshot_stock", "unclassified")
@@ -63,10 +64,10 @@ def numeric(c: str) -> Column:
 
 
 def measure(frame: ResultFrame, df: DataFrame, column: str) -> Column:
-    kind = dict(df.dtypes)[column]
-    if kind == "boolean":
-        return F.lit(None).cast("double")
-    return numeric(column) if kind == "string" else F.col(column).cast("double")
+    kind = df.schema[column].dataType
+    if isinstance(kind, NumericType):
+        return F.col(column).cast("double")
+    return numeric(column) if isinstance(kind, StringType) else F.lit(None).cast("double")
 
 
 def _additive(frame: ResultFrame, column: str, what: str) -> None:
@@ -130,28 +131,9 @@ def count_rows(frame: ResultFrame) -> DataFrame:
 
 
 def quantile(df: DataFrame, value: Column, share: float) -> DataFrame:
-    """Exact interpolated quantile as `value`, without holding the values in one task.
-
-    Values are range-partitioned and sorted; counts per partition say where the two wanted ranks are, and only those rows
-    leave their partition.
-    """
-    plain = df.select(value.alias("v")).filter("v IS NOT NULL")
-    ordered = ranked_position(plain.orderBy("v"))
-    n = plain.agg(F.count("*").alias("n"))
-    at = (F.col("n") - 1) * F.lit(share) + 1
-    near = ordered.crossJoin(F.broadcast(n)).filter(F.abs(F.col("position") - at) < 1)
-    weight = 1 - F.abs(F.col("position") - at)
-    return near.agg((F.sum(F.col("v") * weight) / F.sum(weight)).alias("value"))
-
-
-def ranked_position(ordered: DataFrame) -> DataFrame:
-    """`ordered` (a sorted frame) with each row's position, from 1, by counting rows per range partition."""
-    marked = cut_lineage(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "ranked")
-    sizes = marked.groupBy("__part").agg(F.count("*").alias("n"), F.min("__row").alias("first"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    offsets = sizes.select("__part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return marked.join(F.broadcast(offsets), "__part").withColumn(
-        "position", F.col("__row") - F.col("first") + F.col("offset") + 1).drop("__part", "__row", "first", "offset")
+    """Exact interpolated quantile as `value`; one row, null without values."""
+    found = quantiles(df, [], value, share).select("value")
+    return found.agg(F.max("value").alias("value"))  # of one row or none
 
 
 def median(frame: ResultFrame, column: str) -> DataFrame:
@@ -237,26 +219,31 @@ def _known(frame: ResultFrame, column: str) -> None:
 
 
 def sort_frame(frame: ResultFrame, column: str, direction: str = "desc", tie: list[str] = ()) -> DataFrame:
-    """The shown rows in order; missing values come last ascending and first descending."""
+    """The shown rows by number, numbers in text too; values that are none come last ascending and first descending."""
     _known(frame, column)
-    first = F.asc_nulls_last(column) if direction == "asc" else F.desc_nulls_first(column)
-    return frame.df.orderBy(first, *tie)
+    value = measure(frame, frame.df, column)
+    return frame.df.orderBy(value.asc_nulls_last() if direction == "asc" else value.desc_nulls_first(), *tie)
 
 
-def _ends(frame: ResultFrame, column: str, n: int, order: Column, tie: list[str]) -> DataFrame:
+def _ends(frame: ResultFrame, column: str, n: int, largest: bool, tie: list[str]) -> DataFrame:
+    """The first n rows by number of the whole population; rows without one don't count, and a column without any is refused."""
     _known(frame, column)
     df = frame.population()
-    return df.filter(F.col(column).isNotNull()).orderBy(order, *tie).limit(max(1, n))
+    value = measure(frame, df, column)
+    ranked = df.filter(value.isNotNull()).orderBy(value.desc() if largest else value.asc(), *tie).limit(max(1, n))
+    if ranked.isEmpty():
+        raise Refused(f"{column} has no numeric values to rank")
+    return ranked
 
 
 def top_n(frame: ResultFrame, column: str, n: int = 5, tie: list[str] = ()) -> DataFrame:
     """The n largest of the whole population."""
-    return _ends(frame, column, n, F.desc(column), tie)
+    return _ends(frame, column, n, True, tie)
 
 
 def bottom_n(frame: ResultFrame, column: str, n: int = 5, tie: list[str] = ()) -> DataFrame:
     """The n smallest of the whole population."""
-    return _ends(frame, column, n, F.asc(column), tie)
+    return _ends(frame, column, n, False, tie)
 
 
 def filter_rows(frame: ResultFrame, column: str, op: str, value) -> DataFrame:

@@ -36,3 +36,36 @@ def scan(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
         .otherwise(F.col(f"__before_{n}") + F.col(f"__sum_{n}")).alias(f"running_{n}") for n in sums]
     return within.join(starts, ["__key", "__block"]).select(
         *rows.columns, (F.col("__start") + F.col("__at")).alias("position"), "group_rows", *running, *[f"total_{n}" for n in sums])
+
+
+#: Sketch size of `quantiles`: a wanted rank is known to one part in this many rows before it is looked up.
+ACCURACY = 2_000
+
+
+def quantiles(df: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
+    """Exact interpolated quantile of each group as `value`, with its number of values as `n`.
+
+    A sketch of bounded size brackets the two wanted ranks; a second pass counts the values below the bracket and, by value,
+    those inside it, combined before they are shuffled; only these counts are put in order. No values are sorted or gathered.
+    """
+    known = df.select(*keys, value.cast("double").alias("v")).filter("v IS NOT NULL")
+    margin = 2.0 / ACCURACY
+    ends = known.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(
+        "v", [max(0.0, share - margin), min(1.0, share + margin)], ACCURACY).alias("ends"), F.min("v").alias("least"), F.max("v").alias("most"))
+    few = F.col("n") <= 2 * ACCURACY  # the margin is less than two rows there
+    low = F.when(few | F.lit(share <= margin), F.col("least")).otherwise(F.get("ends", F.lit(0)))
+    high = F.when(few | F.lit(share >= 1 - margin), F.col("most")).otherwise(F.get("ends", F.lit(1)))
+    bracket = ends.select(F.struct(*keys, F.lit(0).alias("one")).alias("k"), "n", low.alias("low"), high.alias("high"))
+    # struct keys compare nulls as equal; one row for each group
+    inside = known.withColumn("k", F.struct(*keys, F.lit(0).alias("one"))).join(bracket, "k").filter(F.col("v") <= F.col("high"))
+    counted = inside.groupBy("k", "n", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("times"))
+    ranked = scan(counted, ["k"], [F.asc_nulls_first("v")], {"times": F.col("times")}).filter("v IS NOT NULL")
+    at = (F.col("n") - 1) * F.lit(float(share)) + 1
+    first, last = F.col("running_times") - F.col("times") + 1, F.col("running_times")
+
+    def here(rank: Column) -> Column:
+        return F.max(F.when((rank >= first) & (rank <= last), F.col("v")))
+
+    found = ranked.groupBy("k", "n").agg(here(F.floor(at)).alias("a"), here(F.ceil(at)).alias("b"))
+    part = at - F.floor(at)
+    return found.select(*[F.col(f"k.{c}").alias(c) for c in keys], "n", (F.col("a") + (F.col("b") - F.col("a")) * part).alias("value"))

@@ -144,3 +144,43 @@ def test_bucket_codes_are_dense_and_unique(spark):
     for d, n in ((0, 500), (1, 501)):
         codes = sorted(r["code"] for r in C.coded_in_buckets(values).filter(F.col("dim_id") == d).collect())
         assert codes == list(range(1, n + 1))
+
+
+def test_digests_say_what_the_list_says(spark):
+    """Two findings have equal digests exactly where the listed siblings are equal, and nothing is listed to make them."""
+    run = Mining(to_spark(spark, tiny()), config(2))
+    listed = {}
+    for r in run.finding_members.collect():
+        sets = listed.setdefault(r["finding_id"], {"common": set(), "own": set(), "held": set()})
+        if r["category"] == "COMMON":
+            sets["common"].add((r["highlight"], r["member_label"]))
+        if r["category"] in ("COMMON", "HIGHLIGHT_CHANGE"):
+            sets["own"].add((r["highlight"], r["member_label"]))
+        if r["category"] != "NO_PATTERN":
+            sets["held"].add(r["member_label"])
+    digests = {r["finding_id"]: r for r in run.member_digests.collect()}
+    assert digests.keys() == listed.keys()
+    for part in ("common", "own", "held"):
+        by_set, by_digest = {}, {}
+        for k, sets in listed.items():
+            by_set.setdefault(frozenset(sets[part]), set()).add(k)
+            by_digest.setdefault(digests[k][part], set()).add(k)
+            assert digests[k][part].split(":")[0] == str(len(sets[part]))
+        assert set(map(frozenset, by_set.values())) == set(map(frozenset, by_digest.values()))
+    own = {(r["finding_id"], r["member_label"], r["category"], r["highlight"]) for r in run.own_members.collect()}
+    assert own == {tuple(r) for r in run.finding_members.where("highlight IS NOT NULL").select(
+        "finding_id", "member_label", "category", "highlight").collect()}
+    named = {(r["finding_id"], r["member_label"]) for r in run.named_members(["red", "value", "half", "nobody"]).collect()}
+    assert named == {(r["finding_id"], r["member_label"]) for r in run.finding_members.where("member_label IN ('red', 'value', 'half')").collect()}
+
+
+def test_small_and_unseeded_sets_stay_out(spark):
+    """A dimension of two values extends nothing, and a set that no seed leads to is no finding; without the rules both are."""
+    df = to_spark(spark, tiny())
+    small = Mining(df, config(1, temporal_dimensions=("month",), dimensions=("shop", "kind", "size", "half"))).findings
+    assert small.where("extending_dimension = 'half'").count() == 0 and small.where("extending_dimension = 'kind'").count() > 0
+    allowed = Mining(df, config(1, temporal_dimensions=("month",), dimensions=("shop", "kind", "size", "half"), min_hdp_size=2)).findings
+    assert allowed.where("extending_dimension = 'half'").count() > 0
+    few = {r["finding_id"] for r in Mining(df, config(2, min_impact=0.45)).findings.select("finding_id").collect()}
+    many = {r["finding_id"] for r in Mining(df, config(2, min_impact=0.0)).findings.select("finding_id").collect()}
+    assert few < many

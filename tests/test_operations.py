@@ -142,3 +142,24 @@ def test_template_binding(spark, tables):
     # an unset filter folds away, a set one reaches the scan
     plan = lambda v: TEMPLATES["Q02"].run(spark, v)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(n_name,NATION_1)" in plan({"nation": "NATION_1"}) and "EqualTo(n_name" not in plan({})
+
+
+def test_numbers_in_text_are_ordered_by_value(spark):
+    rows = [("a", "9"), ("b", "1,000"), ("c", "₹100"), ("d", "none"), ("e", None), ("f", "-3.5")]
+    frame = R.ResultFrame(spark.createDataFrame(rows, "name string, amount string"), {"amount": "additive_value"})
+    names = lambda df: [r["name"] for r in df.collect()]
+    assert names(R.top_n(frame, "amount", 2)) == ["b", "c"] and names(R.bottom_n(frame, "amount", 2)) == ["f", "a"]
+    assert names(R.top_n(frame, "amount", 99)) == ["b", "c", "a", "f"]
+    assert names(R.sort_frame(frame, "amount", "asc", tie=["name"])) == ["f", "a", "c", "b", "d", "e"]
+    assert names(R.sort_frame(frame, "amount", "desc", tie=["name"])) == ["d", "e", "b", "c", "a", "f"]
+    for column in ("name", "day"):
+        dated = R.ResultFrame(frame.df.withColumn("day", F.to_date(F.lit("2020-01-01"))), {})
+        with pytest.raises(R.Refused):
+            R.top_n(dated, column)
+    with pytest.raises(R.Refused):
+        R.bottom_n(frame, "nowhere")
+
+
+def test_whole_numbers_and_dates_as_measures(spark):
+    frame = R.ResultFrame(spark.createDataFrame([(1, True), (7, None)], "v int, flag boolean"), {"v": "additive_value"})
+    assert R.total(frame, "v").first()[0] == 8 and R.sort_frame(frame, "flag", tie=["v"]).count() == 2

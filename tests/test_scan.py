@@ -1,11 +1,12 @@
 """Positions and running sums over groups of any size against plain loops."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.scan import scan
+from ledgerlens.operators.scan import quantiles, scan
 
 
 def plain(rows):
@@ -43,3 +44,32 @@ def test_scan(spark, partitions):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 0.5, 0.9, 0.9995, 1.0])
+def test_quantiles(spark, share):
+    rng = random.Random(int(share * 100))
+    groups = {"one": [5.0], "two": [1.0, 2.0], "same": [3.0] * 9000, "ties": [float(rng.randint(0, 3)) for _ in range(6001)],
+              "many": [rng.gauss(0, 1) for _ in range(12_000)], None: [0.5, None, 1.5, None], "none": [None]}
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    found = {r["g"]: (r["n"], r["value"]) for r in quantiles(frame, ["g"], F.col("v"), share).collect()}
+    want = {}
+    for g, values in groups.items():
+        kept = sorted(v for v in values if v is not None)
+        if kept:
+            at = (len(kept) - 1) * share
+            a, b = kept[math.floor(at)], kept[math.ceil(at)]
+            want[g] = len(kept), pytest.approx(a + (b - a) * (at - math.floor(at)), abs=1e-12)
+    assert found == want
+    whole = sorted(v for _, v in rows if v is not None)
+    at = (len(whole) - 1) * share
+    a, b = whole[math.floor(at)], whole[math.ceil(at)]
+    assert quantiles(frame, [], F.col("v"), share).first()["value"] == pytest.approx(a + (b - a) * (at - math.floor(at)), abs=1e-12)
+
+
+def test_quantiles_gather_no_group(spark):
+    frame = spark.range(100).selectExpr("id % 3 AS g", "CAST(id AS double) AS v")
+    plan = quantiles(frame, ["g"], F.col("v"), 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert " percentile(" not in plan and "collect_list" not in plan
