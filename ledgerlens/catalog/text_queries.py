@@ -65,29 +65,48 @@ def n03(t: Tables) -> DataFrame:
 
 
 @query("n03_suggestions", """
-WITH d AS (SELECT DISTINCT p_name AS v FROM part), a AS (SELECT DISTINCT p_type || ' goods' AS t FROM part)
+WITH d AS (SELECT DISTINCT p_name AS v FROM part),
+ a AS (SELECT DISTINCT p_type || ' goods' AS t FROM part UNION SELECT DISTINCT 'zz ' || left(p_name, length(p_name) - 2) FROM part WHERE p_size > 45)
 SELECT lower(t) AS asked, v AS suggestion, round((1 - levenshtein(lower(t), v) / greatest(length(t), length(v))) * 100, 6) AS score,
-  CAST(row_number() OVER (PARTITION BY t ORDER BY levenshtein(lower(t), v) / greatest(length(t), length(v)), v) AS INTEGER) AS position
-FROM a, d WHERE list_has_any(list_transform(range(1, length(t) + 3), lambda i: substr('  ' || lower(t) || '  ', i, 3)),
-  list_transform(range(1, length(v) + 3), lambda i: substr('  ' || v || '  ', i, 3))) QUALIFY position <= 3""")
+  CAST(row_number() OVER (PARTITION BY lower(t) ORDER BY levenshtein(lower(t), v) / greatest(length(t), length(v)), v) AS INTEGER) AS position
+FROM a, d QUALIFY position <= 3""")
 def n03_suggest(t: Tables) -> DataFrame:
-    missing = t.part.select(X.collapsed_key(F.concat("p_type", F.lit(" goods"))).alias("asked")).distinct()
+    # two words that resemble no name, and names with letters too many and too few
+    missing = t.part.select(X.collapsed_key(F.concat("p_type", F.lit(" goods"))).alias("asked")).union(t.part.filter("p_size > 45").select(
+        X.collapsed_key(F.concat(F.lit("zz "), F.expr("substring(p_name, 1, length(p_name) - 2)"))).alias("asked")))
     return R.suggestions(missing, t.part, "p_name").withColumn("score", F.round("score", 6))
 
 
 @query("n04_roster_resolution", """
-WITH q AS (SELECT DISTINCT lower(p_name) AS asked, lower(p_name) AS nm, NULL AS pl FROM part
-   UNION SELECT DISTINCT lower(p_name) || ' of ' || lower(p_brand), lower(p_name), lower(p_brand) FROM part),
+WITH p AS (SELECT p_partkey, lower(p_name) AS nm, lower(p_brand) AS pl FROM part), names AS (SELECT DISTINCT nm FROM p),
+ t AS (SELECT nm AS asked FROM p UNION SELECT nm || ' of ' || pl FROM p UNION SELECT CAST(p_partkey AS VARCHAR) FROM p
+   UNION SELECT 'the ' || nm FROM p UNION SELECT left(nm, length(nm) - 1) || 'xq' FROM p),
+ coded AS (SELECT asked FROM t JOIN p ON asked = CAST(p_partkey AS VARCHAR)),
+ exact AS (SELECT asked, asked AS want, NULL AS pl FROM t WHERE asked IN (SELECT nm FROM names)),
+ named AS (SELECT asked, substr(asked, 5) AS want, NULL AS pl FROM t WHERE asked LIKE 'the %' AND substr(asked, 5) IN (SELECT nm FROM names)
+   AND asked NOT IN (SELECT asked FROM exact)),
+ placed AS (SELECT asked, split_part(asked, ' of ', 1) AS want, substr(asked, length(split_part(asked, ' of ', 1)) + 5) AS pl FROM t
+   WHERE asked LIKE '% of %' AND split_part(asked, ' of ', 1) IN (SELECT nm FROM names)
+   AND asked NOT IN (SELECT asked FROM exact UNION SELECT asked FROM named)),
+ rest AS (SELECT asked FROM t WHERE asked NOT IN (SELECT asked FROM coded UNION SELECT asked FROM exact UNION SELECT asked FROM named UNION SELECT asked FROM placed)),
+ close AS (SELECT asked, nm AS want, NULL AS pl FROM rest, names WHERE (1 - levenshtein(asked, nm) / greatest(length(asked), length(nm))) * 100 >= 85),
+ want AS (SELECT * FROM exact UNION ALL SELECT * FROM named UNION ALL SELECT * FROM placed UNION ALL SELECT * FROM close),
  h AS (SELECT asked, p_partkey, count(*) OVER (PARTITION BY asked) AS n, row_number() OVER (PARTITION BY asked ORDER BY p_partkey) AS rn
-   FROM q JOIN part ON lower(p_name) = nm AND (pl IS NULL OR pl = lower(p_brand)))
-SELECT asked, any_value(n) AS matches, CASE WHEN any_value(n) = 1 THEN max(CAST(p_partkey AS VARCHAR)) END AS bound,
-  CASE WHEN any_value(n) > 1 THEN string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FILTER (rn <= 12) END AS candidates
-FROM h GROUP BY asked UNION ALL SELECT CAST(p_partkey AS VARCHAR), 1, CAST(p_partkey AS VARCHAR), NULL FROM part""")
+   FROM want w JOIN p ON p.nm = w.want AND (w.pl IS NULL OR w.pl = p.pl)),
+ f AS (SELECT asked, any_value(n) AS matches, CASE WHEN any_value(n) = 1 THEN max(CAST(p_partkey AS VARCHAR)) END AS bound,
+  CASE WHEN any_value(n) > 1 THEN string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FILTER (rn <= 12) END AS candidates FROM h GROUP BY asked)
+SELECT asked, coalesce(matches, 0) AS matches, bound, candidates FROM t LEFT JOIN f USING (asked) WHERE asked NOT IN (SELECT asked FROM coded)
+UNION ALL SELECT asked, 1, asked, NULL FROM coded""")
 def n04(t: Tables) -> DataFrame:
-    asked = t.part.select(F.col("p_name").alias("q")).unionByName(
-        t.part.select(F.concat("p_name", F.lit(" of "), "p_brand").alias("q"))).unionByName(
-        t.part.select(F.col("p_partkey").cast("string").alias("q")))
-    return R.resolve_roster(asked, "q", t.part, "p_partkey", "p_name", "p_brand", listed=12)
+    def asked(text) -> DataFrame:
+        return t.part.select(text.alias("q"))
+
+    texts = (
+        asked(F.col("p_name")).unionByName(asked(F.concat("p_name", F.lit(" of "), "p_brand"))).unionByName(asked(F.col("p_partkey").cast("string")))
+        .unionByName(asked(F.concat(F.lit("The "), "p_name")))  # aliases
+        .unionByName(asked(F.concat(F.expr("substring(p_name, 1, length(p_name) - 1)"), F.lit("xq")))))  # misspelt
+    aliases = t.part.select(F.concat(F.lit("the "), "p_name").alias("alias"), F.col("p_name").alias("canonical")).distinct()
+    return R.resolve_roster(texts, "q", t.part, "p_partkey", "p_name", "p_brand", listed=12, aliases=aliases)
 
 
 @query("n05_amount_parsing", """
@@ -187,10 +206,21 @@ def n11(t: Tables) -> DataFrame:
     return _top(t, 3).withColumn("score", F.round("score", 5))
 
 
-@query("n12_confidence_zone", f"""WITH {_VEC}, f AS (SELECT query, max(score) FILTER (position = 1) AS first, max(score) FILTER (position = 2) AS second FROM k GROUP BY query)
-SELECT query, CASE WHEN first < 0.30 THEN 'no_match' WHEN first < 1.1 AND first - second < 0.6 THEN 'ambiguous' ELSE 'proceed' END AS zone FROM f""")
+_ZONED = """q AS (SELECT f.query || s.sign AS query, list_transform(f.v, lambda x: x * s.w) AS v FROM (
+   SELECT 'q' || label AS query, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM embeddings GROUP BY label) f,
+   (VALUES ('+', 1.0), ('-', -1.0)) s(sign, w)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, owner) AS position FROM (
+   SELECT query, label AS owner, max(list_cosine_similarity(v, embedding::DOUBLE[])) AS score FROM q, embeddings GROUP BY 1, 2))"""
+
+
+@query("n12_confidence_zone", f"""WITH {_ZONED}, f AS (SELECT query, max(score) FILTER (position = 1) AS first, max(score) FILTER (position = 2) AS second FROM k GROUP BY query)
+SELECT query, CASE WHEN first < 0.30 THEN 'no_match' WHEN first < 0.50 AND first - second < 0.015 THEN 'ambiguous' ELSE 'proceed' END AS zone FROM f""")
 def n12(t: Tables) -> DataFrame:
-    return R.confidence_zone(_top(t, 2), trust_from=1.1, margin=0.6).select("query", "zone")
+    """Zones of each owner's first vector and of the vector that points the other way, which resembles little."""
+    first = _queries(t).withColumn("vector", F.col("vector").cast("array<double>"))
+    away = first.select(F.concat("query", F.lit("-")).alias("query"), F.transform("vector", lambda x: -x).alias("vector"))
+    both = first.select(F.concat("query", F.lit("+")).alias("query"), "vector").unionByName(away)
+    return R.confidence_zone(R.vector_top_k(t.embeddings, "label", "embedding", both, 2)).select("query", "zone")
 
 
 @query("n13_recall_at_k", f"""WITH {_VEC}, g AS (SELECT query, CAST((CAST(substr(query, 2) AS INTEGER) + 1) % 10 AS VARCHAR) AS gold FROM q),

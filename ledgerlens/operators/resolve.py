@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import collapsed_key
+from ledgerlens.session import cut_lineage
 
 # similarity is 100 * (1 - edits / longer length); this threshold is our own, see the README
 FUZZY_THRESHOLD = 85
@@ -87,24 +88,47 @@ def resolve(texts: DataFrame, column: str, registry: DataFrame, value: str, alia
     return found.unionByName(fuzzy).unionByName(missing)
 
 
-def suggestions(missing: DataFrame, registry: DataFrame, value: str, k: int = SUGGESTIONS) -> DataFrame:
-    """The k most similar registry values for each unresolved text, among those that share a three-letter piece with it.
+#: Similarities at which suggestions are looked for by shared pieces; below the last one pieces would be single letters.
+SUGGESTED_FROM = (70.0,)
+ASKED_BLOCK, VALUE_BLOCK = 256, 2048
 
-    Texts are padded with two blanks on either side, so a shared first or last letter is a shared piece. A value without one
-    is no suggestion, whatever the size of the registry.
-    """
-    values = registry.select(collapsed_key(value).alias("key")).filter("key <> ''").distinct()
 
-    def grams(c: str) -> Column:
-        padded = F.concat(F.lit("  "), F.col(c), F.lit("  "))
-        return F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length(c) + 2), lambda i: F.substring(padded, i, F.lit(3)))))
+def suggestions(missing: DataFrame, registry: DataFrame, value: str, k: int = SUGGESTIONS, steps: tuple[float, ...] = SUGGESTED_FROM,
+                asked_block: int = ASKED_BLOCK, value_block: int = VALUE_BLOCK) -> DataFrame:
+    """The k registry values most similar to each unresolved text, out of all of them.
 
-    pairs = missing.select("asked", grams("asked").alias("g")).join(values.select("key", grams("key").alias("g")), "g").select(
-        "asked", "key").distinct().withColumn("score", similarity(F.col("asked"), F.col("key")))
-    order = Window.partitionBy("asked").orderBy(F.desc("score"), "key")
-    return pairs.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k).select(
-        "asked", F.col("key").alias("suggestion"), "score", "position")
+    With a falling threshold: all pairs of at least that similarity come from shared pieces, and a text that has k of them is
+    done, since any other value is less similar. Texts that resemble nothing are left; those are compared with the whole
+    registry, block with block, and a block keeps its k best.
+    """
+    values = cut_lineage(registry.select(collapsed_key(value).alias("key")).filter("key <> ''").distinct(), "suggested-values")
+    rest = cut_lineage(missing.select("asked").filter("asked <> ''").distinct(), "suggested-texts")
+    first = Window.partitionBy("asked").orderBy(F.desc("score"), "key")
+    found = None
+    for threshold in steps:
+        pairs = edit_pairs(rest.select(F.col("asked").alias("l")), values.select(F.col("key").alias("r")), threshold).select(
+            F.col("l").alias("asked"), F.col("r").alias("key"), "score")
+        ranked = cut_lineage(pairs.withColumn("position", F.row_number().over(first)).filter(F.col("position") <= k), "suggested-pairs")
+        enough = ranked.filter(F.col("position") == k).select("asked")
+        done = ranked.join(enough, "asked", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        rest = rest.join(enough, "asked", "left_anti")
+    rest = cut_lineage(rest, "suggested-rest")
+    asked_blocks, value_blocks = (max(1, -(-df.count() // size)) for df, size in ((rest, asked_block), (values, value_block)))
+
+    def dealt(df: DataFrame, column: str, mine: int, other: int, names: tuple[str, str]) -> DataFrame:
+        """Rows with their own block, once for each block of the other side."""
+        own = F.pmod(F.xxhash64(column), F.lit(mine)).cast("int")
+        return df.select(column, own.alias(names[0]), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
+
+    met = dealt(rest, "asked", asked_blocks, value_blocks, ("a", "v")).join(
+        dealt(values, "key", value_blocks, asked_blocks, ("v", "a")), ["a", "v"])
+    scored = met.select("asked", "v", F.struct((-similarity(F.col("asked"), F.col("key"))).alias("worst"), "key").alias("s"))
+    some = scored.groupBy("asked", "v").agg(F.slice(F.array_sort(F.collect_list("s")), 1, k).alias("best"))  # at most one block each
+    compared = some.select("asked", F.explode("best").alias("s")).select("asked", F.col("s.key").alias("key"), (-F.col("s.worst")).alias("score"))
+    compared = compared.withColumn("position", F.row_number().over(first)).filter(F.col("position") <= k)
+    every = compared if found is None else found.unionByName(compared)
+    return every.select("asked", F.col("key").alias("suggestion"), "score", "position")
 
 
 def resolve_roster(asked: DataFrame, column: str, roster: DataFrame, code: str, name: str, place: str, listed: int,
@@ -114,35 +138,38 @@ def resolve_roster(asked: DataFrame, column: str, roster: DataFrame, code: str,
     Each step takes only what the ones before left. Whoever bears a found name counts; one alone is bound, of several the
     first `listed` codes are named and `matches` says how many there are.
     """
-    texts = asked.select(collapsed_key(column).alias("asked")).filter("asked <> ''").distinct()
-    people = roster.select(
-        F.col(code).cast("string").alias("code"), collapsed_key(name).alias("name"), collapsed_key(place).alias("place"))
-    names = people.select("name").distinct()
-    by_code = texts.join(people.select(F.col("code").alias("asked"), F.col("code").alias("hit")), "asked").select("asked", "hit")
-    rest = texts.join(by_code.select("asked"), "asked", "left_anti")
-    wanted = rest.join(names.select(F.col("name").alias("asked")), "asked").select(
-        "asked", F.col("asked").alias("want_name"), F.lit(None).cast("string").alias("want_place"))
-    steps = [wanted]
-    rest = rest.join(wanted.select("asked"), "asked", "left_anti")
+    # each step is used by the ones after it, so it is written once
+    texts = cut_lineage(asked.select(collapsed_key(column).alias("asked")).filter("asked <> ''").distinct(), "roster-texts")
+    people = cut_lineage(roster.select(
+        F.col(code).cast("string").alias("code"), collapsed_key(name).alias("name"), collapsed_key(place).alias("place")), "roster-people")
+    names = cut_lineage(people.select("name").distinct(), "roster-names")
+    anywhere = F.lit(None).cast("string").alias("want_place")
+    by_code = cut_lineage(texts.join(people.select(F.col("code").alias("asked"), F.col("code").alias("hit")), "asked").select("asked", "hit"), "roster-codes")
+    wanted: DataFrame | None = None
+    rest = texts.join(by_code, "asked", "left_anti")
+
+    def take(step: DataFrame) -> None:
+        """Texts that a step resolves leave the rest."""
+        nonlocal wanted, rest
+        step = cut_lineage(step, "roster-step")
+        wanted = step if wanted is None else wanted.unionByName(step)
+        rest = cut_lineage(rest.join(step.select("asked").distinct(), "asked", "left_anti"), "roster-rest")
+
+    take(rest.join(names.select(F.col("name").alias("asked")), "asked").select("asked", F.col("asked").alias("want_name"), anywhere))
     if aliases is not None:
         known = aliases.select(collapsed_key("alias").alias("asked"), collapsed_key("canonical").alias("want_name")).distinct()
-        steps.append(rest.join(known, "asked").select("asked", "want_name", F.lit(None).cast("string").alias("want_place")))
-        rest = rest.join(steps[-1].select("asked"), "asked", "left_anti")
+        take(rest.join(known, "asked").select("asked", "want_name", anywhere))
     # every " of " is a place to split; those whose head is a name count
     words = F.split("asked", " of ")
     cuts = rest.filter(F.size(words) > 1).select("asked", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(
             F.array_join(F.slice(words, 1, i), " of ").alias("want_name"),
             F.array_join(F.slice(words, i + 1, F.size(words)), " of ").alias("want_place")))).alias("c")).select("asked", "c.*")
-    steps.append(cuts.join(names.select(F.col("name").alias("want_name")), "want_name", "left_semi").select("asked", "want_name", "want_place"))
-    rest = rest.join(steps[-1].select("asked").distinct(), "asked", "left_anti")
+    take(cuts.join(names.select(F.col("name").alias("want_name")), "want_name", "left_semi").select("asked", "want_name", "want_place"))
     close = edit_pairs(rest.select(F.col("asked").alias("l")), names.select(F.col("name").alias("r")), threshold)
-    steps.append(close.select(F.col("l").alias("asked"), F.col("r").alias("want_name"), F.lit(None).cast("string").alias("want_place")))
-    wanted = steps[0]
-    for step in steps[1:]:
-        wanted = wanted.unionByName(step)
-    hits = people.join(wanted, (F.col("name") == F.col("want_name")) & (
-        F.col("want_place").isNull() | (F.col("place") == F.col("want_place"))))
+    take(close.select(F.col("l").alias("asked"), F.col("r").alias("want_name"), anywhere))
+    hits = cut_lineage(people.join(wanted, (F.col("name") == F.col("want_name")) & (
+        F.col("want_place").isNull() | (F.col("place") == F.col("want_place")))).select("asked", "code"), "roster-hits")
     counts = hits.groupBy("asked").agg(F.count("*").alias("n"))
     order = [F.col("code").cast("long"), F.col("code")]
     salted = Window.partitionBy("asked", F.pmod(F.xxhash64("code"), F.lit(64))).orderBy(*order)

@@ -108,11 +108,30 @@ def test_resolution_ladder(spark):
     assert near[0]["suggestion"] == "puri" and len(near) == 2
 
 
-def test_suggestions_share_a_piece(spark):
-    registry = spark.createDataFrame([("Khordha Town",), ("Cuttack City",), ("Puri",)], "name string")
-    asked = spark.createDataFrame([("pury",), ("xyz",), ("cuttack",)], "asked string")
-    got = {(r["asked"], r["suggestion"]) for r in R.suggestions(asked, registry, "name", 1).collect()}
-    assert got == {("pury", "puri"), ("cuttack", "cuttack city")} or got == {("pury", "puri"), ("cuttack", "cuttack city"), ("xyz", "cuttack city")}
+@pytest.mark.parametrize("blocks", [(256, 2048), (3, 7)])
+def test_suggestions_are_the_best_of_all_values(spark, blocks):
+    rng = np.random.default_rng(8)
+    words = sorted({"".join(rng.choice(list("abcdef"), rng.integers(1, 12))) for _ in range(160)})
+    names, texts = words[::2], [*words[1::2], "zzzz", "a", words[0]]
+    registry = spark.createDataFrame([(w,) for w in names] + [(None,)], "name string")
+    asked = spark.createDataFrame([(w,) for w in texts] + [("",), (None,), ("zzzz",)], "asked string")
+    got = {}
+    for r in R.suggestions(asked, registry, "name", 3, asked_block=blocks[0], value_block=blocks[1]).collect():
+        got.setdefault(r["asked"], []).append((r["position"], r["suggestion"], round(r["score"], 9)))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {}
+    for t in set(texts):
+        best = sorted((-(1 - edits(t, v) / max(len(t), len(v))) * 100, v) for v in names)[:3]
+        want[t] = [(k, v, pytest.approx(-score, abs=1e-6)) for k, (score, v) in enumerate(best, 1)]
+    assert {t: sorted(x) for t, x in got.items()} == want
 
 
 def test_roster_never_picks_a_namesake(spark):
