@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -186,53 +188,127 @@ def resolve_roster(asked: DataFrame, column: str, roster: DataFrame, code: str,
 
 
 QUERY_BLOCK = 1024
+#: Most centres of a vector index; their vectors travel to the tasks.
+MOST_CENTRES = 4096
 
 
-def vector_top_k(index: DataFrame, owner: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """The k owners with the best cosine for each query: query, owner, score, vectors, position.
+def unit_rows(vectors) -> np.ndarray:
+    """Vectors as rows of length one; a zero vector stays zero and resembles nothing."""
+    matrix = np.array(list(vectors), dtype=float)
+    norms = np.linalg.norm(matrix, axis=-1, keepdims=True)
+    return matrix / np.where(norms == 0, 1.0, norms)
+
+
+@dataclass
+class VectorIndex:
+    """Vectors stored by the centre they are nearest to, and how far each centre's vectors reach, as an angle."""
+
+    cells: DataFrame  # centre, owner, vector
+    sizes: DataFrame  # owner, vectors
+    centres: np.ndarray
+    radii: np.ndarray  # below zero: no vectors
+
+
+def build_index(index: DataFrame, owner: str, vector: str, most_centres: int = MOST_CENTRES) -> VectorIndex:
+    """Deal vectors to the nearest of about the square root of their number of centres, which are vectors picked by hash."""
+    slim = index.filter(F.col(vector).isNotNull()).select(
+        F.col(owner).cast("string").alias("owner"), F.col(vector).cast("array<double>").alias("vector"))
+    n = slim.count()
+    wanted = max(1, min(most_centres, math.isqrt(n)))
+    picked = slim.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(wanted).collect()  # at most MOST_CENTRES rows
+    centres = unit_rows(r["vector"] for r in picked) if picked else np.empty((0, 1))
 
-    `queries` has columns query and vector and may have any number of rows; they travel to the tasks in blocks of about
-    QUERY_BLOCK. A batch of the index becomes one matrix product and keeps its k best owners: an owner among the k best of
-    all is among the k best of the batch that holds its best vector, so nothing is lost.
+    def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                cosines = unit_rows(pdf["vector"]) @ centres.T
+                at = cosines.argmax(axis=1)
+                yield pd.DataFrame({"centre": at.astype(np.int32), "owner": pdf["owner"], "vector": pdf["vector"],
+                                    "angle": np.arccos(np.clip(cosines[np.arange(len(at)), at], -1, 1))})
+
+    placed = slim.mapInPandas(dealt, "centre int, owner string, vector array<double>, angle double")
+    cells = cut_lineage(placed.repartitionByRange("centre", F.xxhash64("vector")).sortWithinPartitions("centre"), "vector-cells")
+    radii = np.full(len(centres), -1.0)
+    for r in cells.groupBy("centre").agg(F.max("angle").alias("radius")).collect():  # one row for each centre
+        radii[r["centre"]] = r["radius"]
+    return VectorIndex(cells.drop("angle"), slim.groupBy("owner").agg(F.count("*").alias("vectors")), centres, radii)
+
+
+def search(index: VectorIndex, queries: DataFrame, k: int) -> DataFrame:
+    """The k owners with the best cosine for each query, exactly: query, owner, score, vectors, position.
+
+    No vector of a cell is nearer to a query than the query's angle to the centre less the cell's radius. So each query first
+    visits its most promising cells; the k-th score found there bounds what a cell must be able to reach to be visited as
+    well. `queries` (query, vector) may have any number of rows; they travel to the tasks in blocks of about QUERY_BLOCK.
     """
+    spark = index.cells.sparkSession
     asked = queries.select("query", F.col("vector").cast("array<double>").alias("vector"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    slim = index.filter(F.col(vector).isNotNull()).select(F.col(owner).cast("string").alias("owner"), F.col(vector).alias("vector"))
-    schema = "query string, owner string, score double"
-    partial = None
-    for b in range(blocks):
+    found = None
+    for b in range(blocks if len(index.centres) else 0):
         rows = asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
-        if rows:
-            part = slim.mapInPandas(_block_scores([r["query"] for r in rows], [r["vector"] for r in rows], k), schema)
-            partial = part if partial is None else partial.unionByName(part)
-    if partial is None:
-        partial = index.sparkSession.createDataFrame([], schema)
-    best = partial.groupBy("query", "owner").agg(F.max("score").alias("score"))
+        if not rows:
+            continue
+        names, matrix = [r["query"] for r in rows], unit_rows(r["vector"] for r in rows)
+        reach = np.cos(np.maximum(np.arccos(np.clip(matrix @ index.centres.T, -1, 1)) - index.radii, 0))  # query by cell
+        reach[:, index.radii < 0] = -2
+        zero = ~matrix.any(axis=1)
+        reach[np.ix_(zero, index.radii >= 0)] = 0  # a zero vector's cosines are zero
+        first = np.zeros(reach.shape, bool)
+        np.put_along_axis(first, np.argsort(-reach, axis=1, kind="stable")[:, : max(2, 2 * k // 3)], True, axis=1)
+        first &= reach > -2
+        near = _visit(index, names, matrix, first, k)
+        floor = np.full(len(names), -2.0)
+        at = {name: j for j, name in enumerate(names)}
+        for r in near.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).collect():
+            if r["n"] == k:
+                floor[at[r["query"]]] = r["least"]
+        more = ~first & (reach >= floor[:, None] - 1e-8) & (reach > -2)
+        part = near.unionByName(_visit(index, names, matrix, more, k)) if more.any() else near
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "query string, owner string, score double")
+    top = _best_owners(found, k)
+    return top.join(index.sizes, "owner").select("query", "owner", "score", "vectors", "position")
+
+
+def _best_owners(scores: DataFrame, k: int) -> DataFrame:
+    best = scores.groupBy("query", "owner").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "owner")
-    top = best.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
-    sizes = slim.groupBy("owner").agg(F.count("*").alias("vectors"))
-    return top.join(sizes, "owner").select("query", "owner", "score", "vectors", "position")
+    return best.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
 
 
-def _block_scores(names: list[str], vectors: list[list[float]], k: int):
-    matrix = np.array(vectors, dtype=float)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    matrix = matrix / np.where(norms == 0, 1.0, norms)
+def _visit(index: VectorIndex, names: list[str], matrix: np.ndarray, wanted: np.ndarray, k: int) -> DataFrame:
+    """The k best owners of each query among the cells it visits; each task sends k rows a query, once."""
+    cells = np.flatnonzero(wanted.any(axis=0))
+    visits = {int(c): np.flatnonzero(wanted[:, c]) for c in cells}
+    rows = index.cells.filter(F.col("centre").isin([int(c) for c in cells]))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict[str, float]] = [{} for _ in names]
         for pdf in frames:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf["vector"].to_numpy()).astype(float)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            best = pd.DataFrame((x / np.where(n == 0, 1.0, n)) @ matrix.T).groupby(pdf["owner"].to_numpy()).agg("max")
-            owners = best.index.to_numpy()  # sorted, so a stable sort keeps the smaller owner among equals
-            for j, name in enumerate(names):
-                column = best[j].to_numpy()
-                top = np.argsort(-np.round(column, 9), kind="stable")[:k]
-                yield pd.DataFrame({"query": name, "owner": owners[top].astype(str), "score": column[top]})
-
-    return batches
+            for centre, part in pdf.groupby("centre"):
+                asking = visits[centre]
+                best = pd.DataFrame(unit_rows(part["vector"]) @ matrix[asking].T).groupby(part["owner"].to_numpy()).agg("max")
+                owners, values = best.index.to_numpy(), best.to_numpy()  # owners are sorted: a stable sort keeps the smaller of equals
+                order = np.argsort(-np.round(values, 9), axis=0, kind="stable")[:k]
+                for j, q in enumerate(asking):
+                    mine = held[q]
+                    for i in order[:, j]:
+                        mine[owners[i]] = max(values[i, j], mine.get(owners[i], -2.0))
+                    if len(mine) > k:
+                        kept = sorted(mine, key=lambda o: (-round(mine[o], 9), o))[:k]
+                        held[q] = {o: mine[o] for o in kept}
+        out = [(names[q], str(o), float(v)) for q, mine in enumerate(held) for o, v in mine.items()]
+        yield pd.DataFrame(out, columns=["query", "owner", "score"])
+
+    found = rows.mapInPandas(scored, "query string, owner string, score double")
+    return cut_lineage(_best_owners(found, k).drop("position"), "vector-visits")
+
+
+def vector_top_k(index: DataFrame, owner: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
+    """The k owners with the best cosine for each query, from an index built for them; keep the index to search it again."""
+    return search(build_index(index, owner, vector), queries, k)
 
 
 # confidence zones of a ranked list

@@ -162,6 +162,34 @@ def test_vectors_count_owners_once(spark, monkeypatch):
     assert R.vector_top_k(index, "owner", "v", asked.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.05, 2.0])
+def test_pruned_search_equals_full_search(spark, spread):
+    """Clustered vectors, where most cells are left out, and scattered ones, where few can be."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 8))
+    vectors = [(middles[k % 12] + spread * rng.normal(size=8)).tolist() for k in range(700)] + [[0.0] * 8]
+    rows = [(f"o{k % 90:02}", v) for k, v in enumerate(vectors)]
+    index = spark.createDataFrame(rows + rows[:3], "owner string, v array<double>").repartition(5)
+    asked = [(f"q{k}", (middles[k % 12] + 0.1 * rng.normal(size=8)).tolist()) for k in range(30)] + [("zero", [0.0] * 8)]
+    built = R.build_index(index, "owner", "v")
+    visited = []
+    visit = R._visit
+    R._visit = lambda i, names, m, wanted, k: visited.append(wanted) or visit(i, names, m, wanted, k)
+    try:
+        got = R.search(built, spark.createDataFrame(asked, "query string, vector array<double>"), 4).collect()
+    finally:
+        R._visit = visit
+    x, q = R.unit_rows(v for _, v in rows), R.unit_rows(v for _, v in asked)
+    owners = np.array([o for o, _ in rows])
+    for j, (name, _) in enumerate(asked):
+        scores = x @ q[j]
+        best = sorted((-round(float(scores[owners == o].max()), 9), o) for o in set(owners))[:4]
+        mine = sorted((r["position"], r["owner"], round(r["score"], 7)) for r in got if r["query"] == name)
+        assert mine == [(p, o, pytest.approx(-s, abs=1e-6)) for p, (s, o) in enumerate(best, 1)]
+    share = sum(w[:-1].sum() for w in visited) / visited[0][:-1].size
+    assert share <= (0.5 if spread < 1 else 1.0)
+
+
 def test_zones(spark):
     rows = [("x", 1, 0.2), ("y", 1, 0.45), ("y", 2, 0.44), ("z", 1, 0.45), ("z", 2, 0.4), ("w", 1, 0.9), ("w", 2, 0.9)]
     top = spark.createDataFrame(rows, "query string, position int, score double")
