@@ -65,19 +65,50 @@ def majority_map(pairs: DataFrame, source: str, target: str) -> DataFrame:
     return counted.withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn")
 
 
+def _level(first: Column, last: Column) -> Column:
+    """The least power of two above an interval's length less one; buckets of that width hold it in two at most."""
+    return F.when(last <= first, 0).otherwise(F.length(F.bin(last - first)))
+
+
+def _buckets(first: Column, last: Column, level: Column) -> Column:
+    return F.sequence(F.call_function("shiftright", first, level), F.call_function("shiftright", last, level))
+
+
+def overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str]) -> DataFrame:
+    """All pairs of rows whose intervals of whole numbers, ends included, have a number in common.
+
+    A ladder of bucket widths instead of one row for each number: an interval lies in at most two buckets of its own width, and
+    a shorter one in at most two of any wider bucket. The shorter of a pair looks the longer one up at the longer one's width,
+    so both sides meet in an equi-join on (width, bucket), and a pair that shares two buckets is kept in the later one.
+    """
+    a, b = (df.withColumn(f"__{n}", F.struct(F.col(ends[0]).cast("long").alias("first"), F.col(ends[1]).cast("long").alias("last")))
+            .filter(f"__{n}.first <= __{n}.last").withColumn(f"__level_{n}", _level(F.col(f"__{n}.first"), F.col(f"__{n}.last")))
+            for df, ends, n in ((left, left_ends, "a"), (right, right_ends, "b")))
+
+    def met(long: DataFrame, short: DataFrame, x: str, y: str, equal: bool) -> DataFrame:
+        levels = sorted(r[0] for r in long.select(f"__level_{x}").distinct().collect())  # 64 at most
+        stored = long.withColumn("__width", F.col(f"__level_{x}")).withColumn(
+            "__bucket", F.explode(_buckets(F.col(f"__{x}.first"), F.col(f"__{x}.last"), F.col("__width"))))
+        above = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda w: (w >= F.col(f"__level_{y}")) if equal else (w > F.col(f"__level_{y}")))
+        asked = short.withColumn("__width", F.explode(above)).withColumn(
+            "__bucket", F.explode(_buckets(F.col(f"__{y}.first"), F.col(f"__{y}.last"), F.col("__width"))))
+        start = F.greatest(*[F.call_function("shiftright", F.col(f"__{n}.first"), F.col("__width")) for n in (x, y)])
+        both = stored.join(asked, ["__width", "__bucket"]).filter(F.col("__bucket") == start)
+        return both.filter((F.col("__a.first") <= F.col("__b.last")) & (F.col("__b.first") <= F.col("__a.last")))
+
+    columns = [*left.columns, *right.columns]
+    return met(b, a, "b", "a", True).select(columns).unionByName(met(a, b, "a", "b", False).select(columns))
+
+
 def period_matches(periods: DataFrame, events: DataFrame, grace: int = 3) -> DataFrame:
     """Periods that overlap an event window, or start within `grace` months after it.
 
-    Both sides carry `first` and `last` month indexes. Each side is spread to the months it
-    covers, so the match is an equi-join on the month and needs no size assumption.
+    Both sides carry month indexes: `first` and `last`, `event_first` and `event_last`. Windows of any length take two rows.
     """
-    spread = events.select(
-        "*", F.explode(F.sequence(F.col("event_first"), F.col("event_last") + grace)).alias("month_index"))
-    touched = periods.select("*", F.explode(F.sequence("first", "last")).alias("month_index"))
     during = (F.col("first") <= F.col("event_last")) & (F.col("last") >= F.col("event_first"))
     after = (F.col("first") > F.col("event_last")) & (F.col("first") <= F.col("event_last") + grace)
+    late = events.withColumn("__late", F.col("event_last") + grace)
     return (
-        touched.join(spread, "month_index").filter(during | after)
-        .withColumn("relation", F.when(during, "inside").otherwise("in the months just after"))
-        .drop("month_index").distinct()
+        overlaps(periods, late, ("first", "last"), ("event_first", "__late")).drop("__late").filter(during | after)
+        .withColumn("relation", F.when(during, "inside").otherwise("in the months just after")).distinct()
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import columns as C
 from ledgerlens.functions import text as X
 from ledgerlens.operators import resolve as R
-from ledgerlens.operators.joins import period_matches
+from ledgerlens.operators.joins import overlaps, period_matches
 
 
 def apply(spark, values, expr):
@@ -85,6 +85,23 @@ def test_event_windows_with_grace(spark):
     assert got == {99: "inside", 103: "inside", 104: "in the months just after", 106: "in the months just after"}
 
 
+def test_overlaps_of_short_and_long_intervals(spark):
+    rng = np.random.default_rng(6)
+
+    def rows(n, longest):
+        starts = rng.integers(-300, 300, n)
+        return [(int(k), int(a), int(a + rng.choice([0, 0, 1, 3, 17, longest]) - (k % 37 == 5))) for k, a in enumerate(starts)]
+
+    left, right = rows(150, 400) + [(900, None, 3), (901, -10**9, 10**9)], rows(120, 90) + [(901, 5, None)]
+    a = spark.createDataFrame(left, "i long, first long, last long")
+    b = spark.createDataFrame(right, "j long, f int, l int")
+    got = [(r["i"], r["j"]) for r in overlaps(a, b, ("first", "last"), ("f", "l")).collect()]
+    whole = lambda x: x[1] is not None and x[2] is not None and x[1] <= x[2]
+    want = [(x[0], y[0]) for x in left for y in right if whole(x) and whole(y) and x[1] <= y[2] and y[1] <= x[2]]
+    assert sorted(got) == sorted(want)
+    assert overlaps(a.limit(0), b, ("first", "last"), ("f", "l")).count() == 0
+
+
 def test_similar_pairs_are_complete(spark):
     rng = np.random.default_rng(4)
     letters = list("abcd")
