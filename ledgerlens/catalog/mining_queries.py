@@ -31,9 +31,9 @@ _VIEWS = {
 
 
 def mining(t: Tables, view: str = "orders", depth: int = 1) -> Mining:
-    """One run per session, folder, view and depth; its stages are files later queries read."""
+    """One run per session, state of the folder, view and depth; its stages are files later queries read."""
     recipe, config, _ = _VIEWS[view]
-    key = (t.spark.sparkContext.applicationId, t.folder, view, depth)
+    key = (*t.state, view, depth)
     if key not in _RUNS:
         _RUNS[key] = Mining(recipe(t), config(depth))
     return _RUNS[key]

@@ -207,15 +207,14 @@ def r12(t: Tables) -> DataFrame:
     return R.coverage({"orders": (t.orders, "o_custkey"), "events": (t.events, "user_id")})
 
 
-_POOLS: dict[tuple[str, str], DataFrame] = {}
+_POOLS: dict[tuple, DataFrame] = {}
 
 
 def pool(t: Tables) -> DataFrame:
-    """Ranked findings of all views with their global scores, in source terms; written once per session."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _POOLS:
-        _POOLS[key] = cut_lineage(_pool(t), "pool")
-    return _POOLS[key]
+    """Ranked findings of all views with their global scores, in source terms; written once per session and state of the folder."""
+    if t.state not in _POOLS:
+        _POOLS[t.state] = cut_lineage(_pool(t), "pool")
+    return _POOLS[t.state]
 
 
 def _pool(t: Tables) -> DataFrame:
