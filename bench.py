@@ -53,7 +53,7 @@ def main() -> None:
     timed("session_warm_up", lambda: drain(t.lineitem.groupBy("l_returnflag").count()))
     run = timed("mine_orders_depth1", lambda: mine(order_view(t), order_config(1)))
     with_rate("mine_orders_depth1", run)
-    timed("rank_orders", lambda: drain(ranking.merge_prefilter_rank(run.findings, run.member_digests, 1)))
+    timed("rank_orders", lambda: drain(ranking.merge_prefilter_rank(run.findings, run.own_digests, 1)))
     with_rate("mine_lines_depth2", timed("mine_lines_depth2", lambda: mine(line_view(t), line_config(2))))
 
     def shapes():

@@ -28,7 +28,7 @@ def nation_orders(t: Tables) -> DataFrame:
 
 def nation_frame(t: Tables, limit: int | None = None) -> R.ResultFrame:
     rows = nation_orders(t)
-    shown = rows if limit is None else R.top_n(R.ResultFrame(rows, ROLES), "price", limit, tie=["n_name"])
+    shown = rows if limit is None else rows.orderBy(F.desc("price"), "n_name").limit(limit)
     base = t.orders.withColumn("one", F.lit(1))
     return R.ResultFrame(shown, ROLES, limit=limit, uncut=rows, base=base,
                          ratios={"mean_price": R.Ratio("o_totalprice", "one")})

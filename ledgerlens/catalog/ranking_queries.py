@@ -106,7 +106,7 @@ def m29(t: Tables) -> DataFrame:
 FROM merged""", "documents", [TWIN, MERGED]))
 def r01(t: Tables) -> DataFrame:
     run = mining(t, "documents")
-    return R.merge_twins(run.findings, run.member_digests, 1).select(
+    return R.merge_twins(run.findings, run.own_digests, 1).select(
         "finding_id", "pattern_type", F.round("score", 6).alias("score"), F.concat_ws(",", "merged_twins").alias("merged_twins"))
 
 
@@ -144,7 +144,7 @@ def r06(t: Tables) -> DataFrame:
 FROM ranked r JOIN merged USING (id)""", "documents", True))
 def r07(t: Tables) -> DataFrame:
     run = mining(t, "documents")
-    return R.merge_prefilter_rank(run.findings, run.member_digests, 1).select(
+    return R.merge_prefilter_rank(run.findings, run.own_digests, 1).select(
         "finding_id", "view_rank", F.round("score", 6).alias("score"))
 
 
@@ -221,7 +221,7 @@ def _pool(t: Tables) -> DataFrame:
     parts = []
     for view in FEED_VIEWS:
         run = mining(t, view)
-        ranked = R.merge_prefilter_rank(run.findings, run.member_digests, 1)
+        ranked = R.merge_prefilter_rank(run.findings, run.own_digests, 1)
         parts.append(ranked.withColumn("sentence", R.sentence()).select(
             "view", "finding_id", "sentence", "strategy", "extending_dimension", "pattern_type", "breakdown", "measure", "filter1_dim",
             "filter1_value", "highlight", "score", "view_rank"))
@@ -359,7 +359,7 @@ UNION ALL SELECT 'exited', id FROM cand WHERE rs < 0.3 AND strategy = 'subspace'
 def r18(t: Tables) -> DataFrame:
     run = mining(t)
     now, before = run.findings.filter(F.round("score", 12) >= 0.3), run.findings.filter("strategy = 'subspace'")
-    return R.finding_diff(now, before, run.member_digests, run.member_digests)
+    return R.finding_diff(now, before, run.own_digests, run.own_digests)
 
 
 @query("r19_sentences", sql(f"SELECT id AS finding_id, {SENTENCE_SQL} AS sentence FROM cand"))

@@ -76,6 +76,11 @@ class Mining:
         """Siblings that hold a finding's own pattern."""
         return siblings.own_members(self.cube, self.findings, self.members)
 
+    @cached_property
+    def own_digests(self) -> DataFrame:
+        """Which siblings hold each finding's own pattern, as digests; what merging and comparing findings needs."""
+        return cut_lineage(siblings.own_digests(self.cube, self.findings, self.members), "own-digests")
+
     @cached_property
     def member_digests(self) -> DataFrame:
         """What each finding's siblings are, as digests."""

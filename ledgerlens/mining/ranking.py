@@ -54,7 +54,7 @@ def _best_first() -> list[Column]:
 def merge_twins(found: DataFrame, digests: DataFrame, depth: int) -> DataFrame:
     """One finding of each OUTSTANDING_1 / ATTRIBUTION pair that says the same; the better score stays.
 
-    `digests` are those of a run's `member_digests`, here and below.
+    `digests` are a run's `own_digests`, here and below.
     """
     twin = F.col("pattern_type").isin(*TWINS)
     filters = [f"filter{i}_{p}" for i in range(1, depth + 1) for p in ("dim", "value")]
@@ -285,8 +285,7 @@ def rank(found: DataFrame, depth: int, k: int = TOP_K, group: Column | None = No
     """
     spark = found.sparkSession
     group = F.lit("") if group is None else group.cast("string")
-    slim = cut_lineage(found.select(
-        "view", group.alias("group"), "finding_id", "score", filter_array(depth).alias("filters"), *SLIM), "rank-rows")
+    slim = found.select("view", group.alias("group"), "finding_id", "score", filter_array(depth).alias("filters"), *SLIM)
     picks: dict[tuple, list[tuple[Row, float]]] = {}
     row = F.struct("filters", *SLIM)
 
@@ -295,10 +294,12 @@ def rank(found: DataFrame, depth: int, k: int = TOP_K, group: Column | None = No
                 for g in groups for n, (r, gain) in enumerate(picks[g], 1)]
 
     def fetch(ended: set) -> dict[tuple, list[Candidate]]:
+        nonlocal slim
         lost, rows = F.lit(0.0), slim
         if picks:
             if len(ended) == len(picks):
                 return {}
+            slim = cut_lineage(slim, "rank-rows")  # one job is mostly enough; from the second on rows are read back
             so_far = inline_table(spark, flat(picks.keys() - ended), PICKED).groupBy("view", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct(
                 "view_rank", F.struct("finding_id", "score", "filters", *SLIM).alias("p")))), lambda x: x["p"]).alias("picks"))
             rows = slim.join(F.broadcast(so_far), ["view", "group"]).filter(  # at most k picks for each view and group

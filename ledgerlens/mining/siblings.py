@@ -312,6 +312,13 @@ def own_members(cube: Cube, found: DataFrame, members: DataFrame) -> DataFrame:
         "finding_id", "member_label", _category(F.col("own")).alias("category"), F.col("own").alias("highlight"))
 
 
+def own_digests(cube: Cube, found: DataFrame, members: DataFrame) -> DataFrame:
+    """finding_id and the digests `common` and `own` of `member_digests`."""
+    said = F.concat_ws("~", "highlight", "member_label")
+    return own_members(cube, found, members).groupBy("finding_id").agg(
+        digest(said, F.col("category") == "COMMON").alias("common"), digest(said).alias("own"))
+
+
 def member_digests(cube: Cube, found: DataFrame, members: DataFrame) -> DataFrame:
     """finding_id and three digests that say which siblings are in which category, without listing a sibling set.
 
@@ -320,9 +327,7 @@ def member_digests(cube: Cube, found: DataFrame, members: DataFrame) -> DataFram
     a sibling set, so it is made once for all its findings.
     """
     group = [*GROUP, *cube.layout.keys]
-    said = F.concat_ws("~", "highlight", "member_label")
-    own = own_members(cube, found, members).groupBy("finding_id").agg(
-        digest(said, F.col("category") == "COMMON").alias("common"), digest(said).alias("own"))
+    own = own_digests(cube, found, members)
     sets = members.select(*group, "member").join(found.select(*group).distinct(), group, "left_semi")
     held = _labelled(cube, sets).groupBy(*group).agg(digest(F.col("member_label")).alias("held"))
     return found.select(*group, "finding_id").join(held, group).select("finding_id", "held").join(own, "finding_id")

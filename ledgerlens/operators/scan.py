@@ -8,16 +8,29 @@ from pyspark.sql import functions as F
 from ledgerlens.session import cut_lineage
 
 
-def scan(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
+#: Up to so many rows, counted, one plain window is enough.
+FEW = 100_000
+
+
+def scan(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column] | None = None, few: int = FEW) -> DataFrame:
     """`rows` with `position` (from 1) and `group_rows`, and for each sum `running_<name>` and `total_<name>` of its group.
 
     Two passes over blocks instead of one window by group: rows are range-partitioned by group and order, a block is what one
     partition holds of a group, the sums of blocks give each block its start, and a window inside the block does the rest. So
-    no task holds more of a group than one range. `order` must tell all rows of a group apart; nulls are a group of their own.
+    no task holds more of a group than one range. Tables of at most `few` rows, counted, take the one window, with the same
+    result. `order` must tell all rows of a group apart; nulls are a group of their own.
     """
     sums = sums or {}
     key = F.struct(*keys).alias("__key") if keys else F.struct(F.lit(1).alias("one")).alias("__key")
-    keyed = rows.select("*", key).repartitionByRange("__key", *order)
+    stored = cut_lineage(rows.select("*", key), "scan-rows")
+    if stored.count() <= few:
+        whole = Window.partitionBy("__key")
+        upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return stored.select(
+            *rows.columns, F.row_number().over(whole.orderBy(*order)).cast("long").alias("position"), F.count("*").over(whole).alias("group_rows"),
+            *[F.sum(c).over(upto).alias(f"running_{n}") for n, c in sums.items()],
+            *[F.sum(c).over(whole).alias(f"total_{n}") for n, c in sums.items()])
+    keyed = stored.repartitionByRange("__key", *order)
     placed = cut_lineage(keyed.withColumn("__block", F.spark_partition_id()), "scan-blocks")
     inside = Window.partitionBy("__key", "__block").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -112,7 +112,7 @@ def test_total_use(run):
 
 
 def test_twins_merge_once(run):
-    merged = R.merge_twins(run.findings, run.member_digests, 2).collect()
+    merged = R.merge_twins(run.findings, run.own_digests, 2).collect()
     lost = run.findings.count() - len(merged)
     assert lost == sum(len(r["merged_twins"]) for r in merged)
     assert lost > 0
@@ -174,7 +174,7 @@ def test_feed(tables):
 
 def test_finding_diff_and_identity(run):
     one, other = run.findings, run.findings.filter("strategy = 'subspace'")
-    changed = R.finding_diff(one, other, run.member_digests, run.member_digests)
+    changed = R.finding_diff(one, other, run.own_digests, run.own_digests)
     assert changed.filter("change = 'exited'").count() == 0
     assert changed.filter("change = 'entered'").count() == one.filter("strategy <> 'subspace'").count()
     keys = R.canonical_keys(run.findings, run.member_digests, 2)

@@ -25,8 +25,8 @@ def plain(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("partitions", ["1", "7"])
-def test_scan(spark, partitions):
+@pytest.mark.parametrize("partitions, few", [("1", 0), ("7", 0), ("7", 100_000)])
+def test_scan(spark, partitions, few):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([1, None]), rng.choice([1.5, 2.5]), k, rng.choice([None, 1, 5, -2]))
             for k in range(900)] + [("alone", 3, 1.0, 5000, None)]
@@ -35,12 +35,12 @@ def test_scan(spark, partitions):
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        found = scan(frame, ["g", "h"], [F.desc("score"), F.col("id")], {"v": F.col("value")})
+        found = scan(frame, ["g", "h"], [F.desc("score"), F.col("id")], {"v": F.col("value")}, few)
         assert found.columns == [*frame.columns, "position", "group_rows", "running_v", "total_v"]
         assert sorted(map(tuple, found.collect()), key=str) == plain(rows)
-        whole = scan(frame, [], [F.col("id")]).select("id", "position", "group_rows").collect()
+        whole = scan(frame, [], [F.col("id")], few=few).select("id", "position", "group_rows").collect()
         assert sorted(r["position"] for r in whole) == list(range(1, 902)) and {r["group_rows"] for r in whole} == {901}
-        assert scan(frame.limit(0), ["g"], [F.col("id")]).count() == 0
+        assert scan(frame.limit(0), ["g"], [F.col("id")], few=few).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
