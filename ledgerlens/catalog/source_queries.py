@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.catalog.mining_queries import mining, sql as mining_sql
 from ledgerlens.catalog.registry import query
 from ledgerlens.operators import aggregates as A
+from ledgerlens.operators import checked as C
 from ledgerlens.operators import quality as D
 from ledgerlens.plans import views as V
 from ledgerlens.session import scratch_path
@@ -210,6 +211,30 @@ def d08(t: Tables) -> DataFrame:
     return D.view_check(cube, ["l_suppkey", "y"], 100, 10000)
 
 
+@query("d08_checks_with_the_write", """
+WITH v AS (SELECT o.*, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS priority FROM orders o),
+ n AS (SELECT count(*) AS n, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) / 365.0 AS years,
+         count(*) FILTER (priority IS NULL) / count(*) AS share, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS odd FROM v)
+SELECT 'rows' AS check_name, '' AS subject, CAST(n AS DOUBLE) AS found, n BETWEEN 1 AND 1000000000 AS passed FROM n
+UNION ALL SELECT 'null_share', 'priority', round(share, 6), share <= 0.05 FROM n
+UNION ALL SELECT 'unexpected', 'o_orderstatus', odd, odd = 0 FROM n
+UNION ALL SELECT 'span_years', 'o_orderdate', round(years, 6), years BETWEEN 5 AND 8 FROM n
+UNION ALL SELECT 'repeated_keys', 'o_orderkey', count(*), count(*) = 0 FROM (SELECT 1 FROM v GROUP BY o_orderkey HAVING count(*) > 1)
+UNION ALL SELECT 'repeated_keys', 'o_custkey,o_orderdate', count(*), count(*) = 0
+  FROM (SELECT 1 FROM v GROUP BY o_custkey, o_orderdate HAVING count(*) > 1)
+UNION ALL SELECT 'duplicates', 'o_custkey', count(*) - count(DISTINCT o_custkey), count(*) = count(DISTINCT o_custkey) FROM v
+UNION ALL SELECT 'orphans', 'o_custkey', count(*), count(*) = 0 FROM v WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'orphans', 'o_orderkey', count(*), count(*) = 0 FROM v WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def d08_written(t: Tables) -> DataFrame:
+    view = t.orders.withColumn("priority", F.when(F.col("o_orderstatus") == "P", None).otherwise(F.col("o_orderpriority")))
+    checks = C.ViewChecks(
+        rows=(1, 1_000_000_000), null_share={"priority": 0.05}, domains={"o_orderstatus": ["F", "O"]}, spans={"o_orderdate": (5, 8)},
+        grains=(("o_orderkey",), ("o_custkey", "o_orderdate")), unique=("o_custkey",),
+        parents={"o_custkey": (t.customer, "c_custkey"), "o_orderkey": (t.lineitem, "l_orderkey")})
+    _, report = C.write_checked(view, scratch_path(t.spark, "checked-orders"), checks)
+    return report.withColumn("found", F.round("found", 6))
+
+
 @query("d09_table_parity", """
 WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
    CASE WHEN o_orderkey % 50 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 1000 <> 7)
@@ -226,6 +251,18 @@ def d09(t: Tables) -> DataFrame:
     return D.table_parity(left, right, ["o_orderkey"])
 
 
+@query("d09_equal_tables", "SELECT count(*) AS left_rows, 0 AS rows_to_join FROM lineitem")
+def d09_equal(t: Tables) -> DataFrame:
+    """A table and its copy in another order: digests agree, so no row is left to join."""
+    columns = ["l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    left = t.lineitem.select("l_orderkey", *columns)
+    a, b = D.differing_rows(left, left.repartition("l_partkey"), ["l_orderkey"], columns)
+    counted = a.select(F.lit(0).alias("all_rows"), F.lit(1).alias("open")).unionByName(
+        b.select(F.lit(0).alias("all_rows"), F.lit(1).alias("open"))).unionByName(
+        left.groupBy().agg(F.count("*").alias("all_rows")).withColumn("open", F.lit(0)))
+    return counted.agg(F.sum("all_rows").alias("left_rows"), F.sum("open").alias("rows_to_join"))
+
+
 @query("d10_column_pair_parity", """
 WITH s AS (SELECT l_orderkey, sum(l_extendedprice) AS spent FROM lineitem GROUP BY 1)
 SELECT 'o_totalprice~spent' AS pair, count(*) FILTER (spent IS NULL OR abs(o_totalprice - spent) > 0.005) AS mismatches

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.mining.siblings import VARIES, conciseness
+from ledgerlens.operators.quality import differing_rows
 from ledgerlens.operators.scan import scan
 from ledgerlens.session import cut_lineage, inline_table
 
@@ -536,11 +537,11 @@ def set_identity(hashes: DataFrame) -> DataFrame:
 
 
 def finding_diff(now: DataFrame, before: DataFrame, now_digests: DataFrame, before_digests: DataFrame) -> DataFrame:
-    """Findings only in one of two runs, by what they say and not by their score."""
+    """Findings only in one of two runs, by what they say and not by their score; runs that agree move digests only."""
     def signed(found: DataFrame, digests: DataFrame) -> DataFrame:
         return found.join(digests, "finding_id").select("finding_id", F.concat_ws("~", "finding_id", "common").alias("signature"))
 
-    a, b = signed(now, now_digests), signed(before, before_digests)
+    a, b = differing_rows(signed(now, now_digests), signed(before, before_digests), ["signature"], ["finding_id"])
     return a.join(b, "signature", "left_anti").select(F.lit("entered").alias("change"), "finding_id").unionByName(
         b.join(a, "signature", "left_anti").select(F.lit("exited").alias("change"), "finding_id"))
 

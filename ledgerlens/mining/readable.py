@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import accumulate
+from math import prod
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.mining.cube import Cube, domain_side
@@ -89,31 +92,82 @@ def name_groups(cube: Cube, groups: DataFrame) -> DataFrame:
     )
 
 
-def subspaces(cube: Cube) -> DataFrame:
-    """Every slice up to the configured depth, present in the data or not."""
+def set_sizes(cube: Cube) -> list[int]:
+    """Slices of each filter set: the product of its domains."""
+    return [prod(cube.layout.sizes[d] for d in filters) for filters in cube.layout.filter_sets]
+
+
+def _branch(at: Column, starts: list[int], low: int, high: int) -> Column:
+    """The last of `starts[low:high]` that is not after `at`, by halving."""
+    if high - low == 1:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(at < starts[middle], _branch(at, starts, low, middle)).otherwise(_branch(at, starts, middle, high))
+
+
+def unranked(cube: Cube, others: list[int] | None = None) -> DataFrame:
+    """fset, c1, c2 .. (0 where unused) and `other` of every slice, computed from its number.
+
+    Slices of a filter set are counted off in mixed radix over the codes of its dimensions, sets follow each other, and
+    `others[fset]` numbers one more digit. So the set is a range of known length, dealt out evenly, and no domain is joined
+    with a domain.
+    """
     layout, spark = cube.layout, cube.cells.sparkSession
-    rows = []
-    for i, filters in enumerate(layout.filter_sets):
-        ids = [layout.dim_id(d) for d in filters] + [-1, -1]
-        names = [*filters, "", ""]
-        rows.append((i, ids[0], names[0], ids[1], names[1]))
-    out = F.broadcast(inline_table(spark, rows, "fset int, d1 int, filter1_dim string, d2 int, filter2_dim string"))
+    others = others or [1] * len(layout.filter_sets)
+    sizes = [n * k for n, k in zip(set_sizes(cube), others)]
+    full = [i for i, n in enumerate(sizes) if n]
+    if not full:
+        full, sizes = [0], [0] * len(sizes)
+    ends = list(accumulate(sizes[i] for i in full))
+    starts = [0, *ends[:-1]]
+    depth = max(2, cube.config.max_subspace_depth)
+    digits = [[others[i], *[layout.sizes[d] for d in layout.filter_sets[i]], *[1] * depth][: depth + 1] for i in full]
+
+    def of_set(values: list[int]) -> Column:
+        return F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("at"))
+
+    out = spark.range(ends[-1]).withColumn("at", _branch(F.col("id"), starts, 0, len(full))).withColumn("rest", F.col("id") - of_set(starts))
+    for j in range(depth + 1):
+        radix = of_set([d[j] for d in digits])
+        used = of_set([1 if j == 0 or j <= len(layout.filter_sets[i]) else 0 for i in full])
+        digit = F.pmod("rest", radix)
+        out = out.withColumn("other" if j == 0 else f"c{j}", (digit if j == 0 else F.when(used > 0, digit + 1).otherwise(0)).cast("int"))
+        out = out.withColumn("rest", F.call_function("div", F.col("rest"), radix))
+    return out.withColumn("fset", of_set(full).cast("int")).drop("id", "at", "rest")
+
+
+def _labelled(cube: Cube, slices: DataFrame) -> DataFrame:
+    """Dimension names and labels of unranked slices; a code meets one row of its domain."""
+    layout, spark = cube.layout, cube.cells.sparkSession
+    rows = [(i, *[x for j in (0, 1) for x in ((layout.dim_id(f[j]), f[j]) if j < len(f) else (-1, ""))]) for i, f in enumerate(layout.filter_sets)]
+    out = slices.join(F.broadcast(inline_table(spark, rows, "fset int, d1 int, filter1_dim string, d2 int, filter2_dim string")), "fset")
     for j in (1, 2):
-        side = cube.domain.select(F.col("dim_id").alias(f"d{j}"), F.col("label").alias(f"filter{j}_value"))
-        out = out.join(side, f"d{j}", "left").withColumn(
-            f"filter{j}_value", F.coalesce(f"filter{j}_value", F.lit("")))
-    return out.select(*FILTERS)
+        side = domain_side(cube).select(F.col("dim_id").alias(f"d{j}"), F.col("code").alias(f"c{j}"), F.col("label").alias(f"filter{j}_value"))
+        out = out.join(side, [f"d{j}", f"c{j}"], "left").withColumn(f"filter{j}_value", F.coalesce(f"filter{j}_value", F.lit("")))
+    return out
+
+
+def subspaces(cube: Cube) -> DataFrame:
+    """Every slice up to the configured depth, present in the data or not."""
+    return _labelled(cube, unranked(cube)).select(*FILTERS)
+
+
+def scopes_of_sets(cube: Cube) -> list[list[tuple[str, str]]]:
+    """(breakdown, measure) pairs that the slices of each filter set may be asked for."""
+    config = cube.config
+    return [[(b, config.measures[i].name) for b in config.all_dims if b not in filters for i in config.measures_for(b)]
+            for filters in cube.layout.filter_sets]
+
+
+def scope_count(cube: Cube) -> int:
+    return sum(n * len(s) for n, s in zip(set_sizes(cube), scopes_of_sets(cube)))
 
 
 def scope_list(cube: Cube) -> DataFrame:
     """Every (slice, breakdown, measure) that may be queried."""
-    config = cube.config
-    rows = [
-        (*[*(f for f in layout_filters), "", ""][:2], b, config.measures[i].name)
-        for layout_filters in cube.layout.filter_sets
-        for b in config.all_dims if b not in layout_filters
-        for i in config.measures_for(b)
-    ]
-    scopes = inline_table(
-        cube.cells.sparkSession, rows, "filter1_dim string, filter2_dim string, breakdown string, measure string")
-    return subspaces(cube).join(F.broadcast(scopes), ["filter1_dim", "filter2_dim"])
+    scopes = scopes_of_sets(cube)
+    rows = [(i, k, *pair) for i, pairs in enumerate(scopes) for k, pair in enumerate(pairs)]
+    names = inline_table(cube.cells.sparkSession, rows, "fset int, other int, breakdown string, measure string")
+    # one row for each set, breakdown and measure of the configuration
+    numbered = unranked(cube, [len(s) for s in scopes]).join(F.broadcast(names), ["fset", "other"])
+    return _labelled(cube, numbered).select(*FILTERS, "breakdown", "measure")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import cut_lineage
+
 
 def row_count_check(df: DataFrame, expected: int, tolerance_pct: float) -> DataFrame:
     off = F.abs(F.col("actual") - expected) / F.lit(float(expected)) * 100
@@ -74,14 +76,74 @@ def view_check(df: DataFrame, grain: list[str], low: int, high: int) -> DataFram
 
 
 def differs(a: Column, b: Column, rtol: float = 1e-9, atol: float = 1e-6) -> Column:
-    """Null equals null; numbers compare with tolerance."""
+    """Null equals null and NaN equals NaN; numbers compare with tolerance."""
     both = F.abs(a - b) > atol + rtol * F.abs(b)
-    return F.coalesce(both, F.lit(True)) & ~(a.isNull() & b.isNull())
+    return F.coalesce(both, F.lit(True)) & ~a.eqNullSafe(b)
+
+
+#: Leaves of a digest tree and the nodes above them.
+LEAVES, NODES = 1 << 16, 1 << 8
+
+
+def _leaf(grain: list[str]) -> Column:
+    """Leaf of a row by its grain; -1 if part of the grain is null, because such a row meets no other."""
+    missing = F.greatest(*[F.col(c).isNull() for c in grain]) if len(grain) > 1 else F.col(grain[0]).isNull()
+    return F.when(missing, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*grain), F.lit(LEAVES)).cast("int"))
+
+
+def leaf_digests(df: DataFrame, grain: list[str], columns: list[str]) -> DataFrame:
+    """leaf, node, n, high, low, mixed: row hashes of a table summed up by leaf, combined on the map side.
+
+    At most LEAVES + 1 rows whatever the table holds, so they can be stored beside it. A null is hashed as its own mark,
+    because Spark's hash passes over nulls.
+    """
+    parts = [x for c in (*grain, *columns) for x in (F.col(c), F.col(c).isNull())]
+    hashed = df.select(_leaf(grain).alias("leaf"), F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *parts).alias("g"))
+    return hashed.groupBy("leaf").agg(
+        F.count("*").alias("n"), F.sum(F.shiftright("h", 32)).alias("high"),
+        F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"), F.bit_xor("g").alias("mixed"),
+    ).withColumn("node", F.pmod("leaf", F.lit(NODES)).cast("int"))
+
+
+def differing_leaves(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Leaves whose digests differ, from the nodes down; leaf -1 always differs."""
+    marks = ["n", "high", "low", "mixed"]
+
+    def unequal(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+        sides = a.select(key, F.struct(*marks).alias("a")).join(b.select(key, F.struct(*marks).alias("b")), key, "full")
+        return sides.filter(~F.col("a").eqNullSafe(F.col("b"))).select(key)
+
+    def nodes(leaves: DataFrame) -> DataFrame:
+        return leaves.groupBy("node").agg(
+            *[F.sum(c).alias(c) for c in marks[:3]], F.bit_xor(F.xxhash64("leaf", "n", "mixed")).alias("mixed"))
+
+    open_nodes = F.broadcast(unequal(nodes(left), nodes(right), "node"))  # at most NODES rows
+    below = unequal(left.join(open_nodes, "node", "left_semi"), right.join(open_nodes, "node", "left_semi"), "leaf")
+    nulls = left.select("leaf").unionByName(right.select("leaf")).filter("leaf < 0")
+    return below.unionByName(nulls).distinct()
+
+
+def differing_rows(left: DataFrame, right: DataFrame, grain: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of both tables in leaves that differ; the rest is equal, up to a collision of 128-bit digests."""
+    # at most LEAVES + 1 rows: small enough to send to all tasks, and written once because both sides use it
+    leaves = F.broadcast(cut_lineage(
+        differing_leaves(leaf_digests(left, grain, columns), leaf_digests(right, grain, columns)), "differing-leaves"))
+
+    def inside(df: DataFrame) -> DataFrame:
+        return df.withColumn("__leaf", _leaf(grain)).join(leaves.withColumnRenamed("leaf", "__leaf"), "__leaf", "left_semi").drop("__leaf")
+
+    return inside(left), inside(right)
 
 
 def table_parity(left: DataFrame, right: DataFrame, grain: list[str]) -> DataFrame:
-    """Mismatches per column between two tables joined on their grain, and rows on one side only."""
+    """Mismatches per column between two tables joined on their grain, and rows on one side only.
+
+    Digests of both tables are compared first and only rows of leaves that differ are shuffled and joined, so the parity of
+    equal tables moves digests only. The grain is to be unique in both tables (`view_check`); a row with a null in it is on
+    one side only.
+    """
     values = [c for c in left.columns if c in right.columns and c not in grain]
+    left, right = differing_rows(left.select(*grain, *values), right.select(*grain, *values), grain, values)
     a = left.select(*grain, *[F.col(c).alias(f"a_{c}") for c in values], F.lit(1).alias("in_a"))
     b = right.select(*grain, *[F.col(c).alias(f"b_{c}") for c in values], F.lit(1).alias("in_b"))
     joined = a.join(b, grain, "full")
