@@ -75,6 +75,14 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 5
             yield part, part.column(column).to_pylist()
 
 
+def whole_ids(df: DataFrame, column: str) -> Column:
+    """The id column as long; other kinds of ids are refused, since a cast would make them null."""
+    kind = dict(df.dtypes)[column]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} is {kind}; ids here are whole numbers")
+    return F.col(f"`{column}`").cast("long")
+
+
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, right_rows: int, limit: int = 100_000) -> DataFrame:
     """Join that broadcasts `right` only when its counted rows are within `limit`, else shuffles."""
     return left.join(F.broadcast(right) if right_rows <= limit else right, on, how)

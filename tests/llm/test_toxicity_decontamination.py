@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -127,3 +128,46 @@ def test_leaks_do_not_depend_on_blocks(spark, block_items):
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(frame, bench, block_items=block_items).collect()}
     assert len(want) > 20 and got == pytest.approx(want)
+
+
+def test_items_share_phrases_and_few_are_looked_at(spark):
+    """Twenty thousand items with a common phrase: each document is held against the items it may contain, and no others."""
+    rng = random.Random(11)
+    phrase = "choose the one correct answer to the question below"
+    cache = Cache(word_hash)
+    texts = [f"{phrase} " + " ".join(f"w{rng.randrange(5_000)}" for _ in range(rng.randrange(12, 30))) for _ in range(20_000)]
+    block = decontaminate.Items(list(range(20_000)), [decontaminate.word_hashes(t.encode(), cache) for t in texts], 5, 20, 0.8)
+    looked = found = 0
+    for k in range(0, 20_000, 400):
+        words = (f"some text before {phrase} " + texts[k] + f" and after {phrase}").split()
+        words[rng.randrange(20, len(words) - 12)] = "edited"
+        h = decontaminate.word_hashes(" ".join(words).encode(), cache)
+        looked += len(block.chosen(decontaminate.gram_hashes(h, 5), 5))
+        window = h[3 + 9 : 3 + 9 + len(block.words[k])]  # behind "some text before" and the phrase
+        alike = block.alike(Counter(decontaminate.gram_hashes(window, 5).tolist()), block.bags[k])
+        assert (k in block.leaks(h)) == (alike >= 0.8)
+        found += alike >= 0.8
+    assert looked <= 100 and found > 15  # of 50 x 20,000 pairs
+
+
+def test_choice_by_rarest_shingles_loses_nothing(spark):
+    rng = random.Random(12)
+    cache = Cache(word_hash)
+    hashes = lambda words: decontaminate.word_hashes(" ".join(words).encode(), cache)
+    items = [[f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 40))] for _ in range(60)]
+    block = decontaminate.Items(list(range(60)), [hashes(w) for w in items], 3, 20, 0.8)
+    for _ in range(300):
+        i = rng.randrange(60)
+        words = list(items[i])
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(12)}"
+        n = block.sizes[i]
+        grams = decontaminate.gram_hashes(hashes(words), n)
+        if block.alike(Counter(grams.tolist()), block.bags[i]) >= 0.8:
+            assert i in block.chosen(grams, n)
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    with pytest.raises(TypeError):
+        decontaminate.leaks(spark.createDataFrame([("x", "a b")], "doc_id string, text string"), bench)
