@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import cut_lineage
-
 
 def row_count_check(df: DataFrame, expected: int, tolerance_pct: float) -> DataFrame:
     off = F.abs(F.col("actual") - expected) / F.lit(float(expected)) * 100
@@ -81,8 +79,8 @@ def differs(a: Column, b: Column, rtol: float = 1e-9, atol: float = 1e-6) -> Col
     return F.coalesce(both, F.lit(True)) & ~a.eqNullSafe(b)
 
 
-#: Leaves of a digest tree and the nodes above them.
-LEAVES, NODES = 1 << 16, 1 << 8
+#: Row hashes of a table are summed up by so many leaves.
+LEAVES = 1 << 16
 
 
 def _leaf(grain: list[str]) -> Column:
@@ -91,43 +89,28 @@ def _leaf(grain: list[str]) -> Column:
     return F.when(missing, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*grain), F.lit(LEAVES)).cast("int"))
 
 
-def leaf_digests(df: DataFrame, grain: list[str], columns: list[str]) -> DataFrame:
-    """leaf, node, n, high, low, mixed: row hashes of a table summed up by leaf, combined on the map side.
+def differing_leaves(left: DataFrame, right: DataFrame, grain: list[str], columns: list[str]) -> DataFrame:
+    """Leaves in which the rows of two tables differ, and leaf -1; at most LEAVES + 1 rows.
 
-    At most LEAVES + 1 rows whatever the table holds, so they can be stored beside it. A null is hashed as its own mark,
-    because Spark's hash passes over nulls.
+    Hashes of one side are added and those of the other taken off, by leaf and combined on the map side: equal leaves come to
+    zero. One small shuffle whatever the tables hold. A null is hashed as its own mark, because Spark's hash passes over nulls.
     """
     parts = [x for c in (*grain, *columns) for x in (F.col(c), F.col(c).isNull())]
-    hashed = df.select(_leaf(grain).alias("leaf"), F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *parts).alias("g"))
-    return hashed.groupBy("leaf").agg(
-        F.count("*").alias("n"), F.sum(F.shiftright("h", 32)).alias("high"),
-        F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("low"), F.bit_xor("g").alias("mixed"),
-    ).withColumn("node", F.pmod("leaf", F.lit(NODES)).cast("int"))
-
-
-def differing_leaves(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Leaves whose digests differ, from the nodes down; leaf -1 always differs."""
-    marks = ["n", "high", "low", "mixed"]
-
-    def unequal(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-        sides = a.select(key, F.struct(*marks).alias("a")).join(b.select(key, F.struct(*marks).alias("b")), key, "full")
-        return sides.filter(~F.col("a").eqNullSafe(F.col("b"))).select(key)
 
-    def nodes(leaves: DataFrame) -> DataFrame:
-        return leaves.groupBy("node").agg(
-            *[F.sum(c).alias(c) for c in marks[:3]], F.bit_xor(F.xxhash64("leaf", "n", "mixed")).alias("mixed"))
+    def hashed(df: DataFrame, sign: int) -> DataFrame:
+        h = df.select(_leaf(grain).alias("leaf"), F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *parts).alias("g"))
+        return h.select("leaf", F.lit(sign).alias("n"), (F.shiftright("h", 32) * sign).alias("high"),
+                        (F.col("h").bitwiseAND(0xFFFFFFFF) * sign).alias("low"), "g")
 
-    open_nodes = F.broadcast(unequal(nodes(left), nodes(right), "node"))  # at most NODES rows
-    below = unequal(left.join(open_nodes, "node", "left_semi"), right.join(open_nodes, "node", "left_semi"), "leaf")
-    nulls = left.select("leaf").unionByName(right.select("leaf")).filter("leaf < 0")
-    return below.unionByName(nulls).distinct()
+    sums = hashed(left, 1).unionAll(hashed(right, -1)).groupBy("leaf").agg(
+        F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low"), F.bit_xor("g").alias("mixed"))
+    return sums.filter("leaf < 0 OR n <> 0 OR high <> 0 OR low <> 0 OR mixed <> 0").select("leaf")
 
 
 def differing_rows(left: DataFrame, right: DataFrame, grain: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows of both tables in leaves that differ; the rest is equal, up to a collision of 128-bit digests."""
-    # at most LEAVES + 1 rows: small enough to send to all tasks, and written once because both sides use it
-    leaves = F.broadcast(cut_lineage(
-        differing_leaves(leaf_digests(left, grain, columns), leaf_digests(right, grain, columns)), "differing-leaves"))
+    # at most LEAVES + 1 rows: small enough to send to all tasks; both sides use one broadcast
+    leaves = F.broadcast(differing_leaves(left, right, grain, columns))
 
     def inside(df: DataFrame) -> DataFrame:
         return df.withColumn("__leaf", _leaf(grain)).join(leaves.withColumnRenamed("leaf", "__leaf"), "__leaf", "left_semi").drop("__leaf")
