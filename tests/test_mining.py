@@ -1,11 +1,14 @@
 """Mining end to end against brute force on tiny views, and its invariants."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.mining import cube as C
+from ledgerlens.mining import ranking as R
 from ledgerlens.mining.config import Measure, ViewConfig
 from ledgerlens.mining.mine import Mining, top_store
 from ledgerlens.mining.siblings import entropy_bound
@@ -184,3 +187,22 @@ def test_small_and_unseeded_sets_stay_out(spark):
     few = {r["finding_id"] for r in Mining(df, config(2, min_impact=0.45)).findings.select("finding_id").collect()}
     many = {r["finding_id"] for r in Mining(df, config(2, min_impact=0.0)).findings.select("finding_id").collect()}
     assert few < many
+
+
+def test_identity_covers_every_sibling(spark):
+    """The digest of odd siblings is that of the listed ones, those without a pattern or without rows included."""
+    run = Mining(to_spark(spark, tiny()), config(2))
+    odd = {}
+    for r in run.finding_members.collect():
+        rows = odd.setdefault(r["finding_id"], [])
+        if r["category"] != "COMMON":
+            rows.append("~".join((r["member_label"], r["category"], r["highlight"] or "")))
+
+    def digest(rows):
+        hashes = [hashlib.sha256(x.encode()).hexdigest() for x in rows]
+        return ":".join([str(len(rows)), *[str(sum(int(h[15 * i: 15 * i + 15], 16) for h in hashes)) for i in range(4)]])
+
+    keys = {r["finding_id"]: r["canonical_key"] for r in R.canonical_keys(run.findings, run.member_digests, 2).collect()}
+    assert keys.keys() == odd.keys() and any("~NO_PATTERN~" in x for rows in odd.values() for x in rows)
+    for k, rows in odd.items():
+        assert keys[k].split("||")[-1] == digest(rows)
