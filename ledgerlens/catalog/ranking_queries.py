@@ -14,6 +14,7 @@ from ledgerlens.mining import enrich as E
 from ledgerlens.mining import ranking as R
 from ledgerlens.mining.siblings import entropy_bound
 from ledgerlens.operators.aggregates import content_hash
+from ledgerlens.operators.joins import with_bounds
 from ledgerlens.session import cut_lineage
 from ledgerlens.tables import Tables
 
@@ -497,7 +498,7 @@ def e09(t: Tables) -> DataFrame:
     from ledgerlens.functions import columns as C
 
     labels = F.array(C.month_key("o_orderdate"), C.quarter_key("o_orderdate"), C.year_label(F.year("o_orderdate")))
-    return t.orders.select(F.explode(labels).alias("label")).distinct().withColumn("b", C.period_bounds("label")).select(
+    return with_bounds(t.orders.select(F.explode(labels).alias("label"))).select(
         "label", "b.first", "b.last")
 
 

@@ -313,8 +313,7 @@ WITH p AS (SELECT DISTINCT year(o_orderdate) || '-Q' || quarter(o_orderdate) AS
 SELECT label, event, CASE WHEN first <= el AND first + 2 >= ef THEN 'inside' ELSE 'in the months just after' END AS relation
 FROM p, e WHERE (first <= el AND first + 2 >= ef) OR (first > el AND first <= el + 3)""")
 def j10(t: Tables) -> DataFrame:
-    periods = t.orders.select(C.quarter_key("o_orderdate").alias("label")).distinct().withColumn(
-        "p", C.period_bounds("label")).select("label", "p.first", "p.last")
+    periods = J.with_bounds(t.orders.select(C.quarter_key("o_orderdate").alias("label"))).select("label", "b.first", "b.last")
     start = F.lit(1995 * 12) + F.col("n_nationkey") * 3
     events = t.nation.select(
         F.col("n_nationkey").cast("string").alias("event"), start.alias("event_first"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.columns import period_bounds
+from ledgerlens.session import cut_lineage
+
 BROADCAST_ROWS = 500_000
 
 
@@ -100,6 +103,14 @@ def overlaps(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], righ
     return met(b, a, "b", "a", True).select(columns).unionByName(met(a, b, "a", "b", False).select(columns))
 
 
+def with_bounds(labels: DataFrame) -> DataFrame:
+    """Distinct rows of `labels` with `b`, the bounds of the period `label` names; null where it names none.
+
+    Distinct rows are written first: else a later filter on the bounds moves below the distinct and parses every row.
+    """
+    return cut_lineage(labels.distinct(), "period-labels").withColumn("b", period_bounds("label"))
+
+
 def period_matches(periods: DataFrame, events: DataFrame, grace: int = 3) -> DataFrame:
     """Periods that overlap an event window, or start within `grace` months after it.
 

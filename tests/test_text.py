@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import columns as C
 from ledgerlens.functions import text as X
 from ledgerlens.operators import resolve as R
-from ledgerlens.operators.joins import overlaps, period_matches
+from ledgerlens.operators.joins import overlaps, period_matches, with_bounds
 
 
 def apply(spark, values, expr):
@@ -85,6 +85,15 @@ def test_event_windows_with_grace(spark):
     assert got == {99: "inside", 103: "inside", 104: "in the months just after", 106: "in the months just after"}
 
 
+def test_labels_are_parsed_once_each(spark):
+    """A filter on the bounds stays above the distinct, so parsing does not grow with the rows that carry a label."""
+    rows = spark.range(1000).select(F.concat(F.lit(2000) + F.col("id") % 5, F.lit("-Q1")).alias("label"))
+    periods = with_bounds(rows).select("label", "b.first", "b.last").filter("first <= last")
+    assert sorted(map(tuple, periods.collect())) == [(f"{y}-Q1", y * 12, y * 12 + 2) for y in range(2000, 2005)]
+    plan = periods._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "Aggregate" not in plan
+
+
 def test_overlaps_of_short_and_long_intervals(spark):
     rng = np.random.default_rng(6)
 
