@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    return simhash.one_of_each_group(docs, shingle_words=5, similarity=0.8)
+    """The first document of each group of near-duplicates: SimHash links first, then an exact search for the rest."""
+    return simhash.one_of_each_group(docs, shingle_words=5, similarity=0.8, radius=4)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import LOWER_ASCII, WORD_BYTES, gram_hashes, signed, texts, word_hash, Cache
+from ledgerlens.llm.common import LOWER_ASCII, WORD_BYTES, gram_hashes, mix, signed, texts, word_hash, Cache
 from ledgerlens.llm.components import components
 from ledgerlens.session import cut_lineage
 
@@ -251,23 +251,81 @@ def meetings(narrow: DataFrame, shingle_words: int, similarity: float) -> DataFr
     common = top["shingle"].to_numpy().view(np.uint64)
     by_value = np.argsort(common)
     run = _prefixes(shingle_words, similarity, common[by_value], top["n"].to_numpy()[by_value])
-    every = cut_lineage(narrow.mapInArrow(run, "key long, node long, size int, place int"), "near-prefixes")
-    shared = every.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    met = cut_lineage(every.join(shared.select("key", "n"), "key").distinct(), "near-meetings")
+    every = narrow.mapInArrow(run, "key long, node long, size int, place int").repartition("key")
+    # one exchange by key serves the removal of repeats and the question which keys have several nodes
+    once = every.groupBy("key", "node").agg(F.min("size").alias("size"), F.min("place").alias("place"))
+    by = W.partitionBy("key")
+    counted = once.withColumns({"low": F.min("node").over(by), "high": F.max("node").over(by), "n": F.count(F.lit(1)).over(by)})
+    met = cut_lineage(counted.where("low <> high").drop("low", "high"), "near-meetings")
     weights = met.groupBy("node").agg((-F.sum("n")).alias("weight"))
     return met.drop("n").join(weights, "node")
 
 
-def similar_groups(met: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _word_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and a fingerprint over the distinct words of a text, which changes less under an edit than one over shingles."""
+    cache = Cache(word_hash)
+    for part, values in texts(batches):
+        held = []
+        for value in values:
+            words = set(WORD_BYTES.findall((value or b"").translate(LOWER_ASCII)))
+            held.append(mix(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)).view(np.uint64)))
+        cache.trim()
+        yield pa.record_batch([part.column(0), pa.array(majority(held).view(np.int64), pa.int64())], ["node", "fp"])
+
+
+def first_links(close: DataFrame, radius: int) -> DataFrame:
+    """Links between each node and the first one it meets on a variant of a half, where both are within the radius."""
+    by = W.partitionBy("key").orderBy("node")
+    met = half_keys(close, radius).select(F.col("node").alias("a"), "fp", F.first("node").over(by).alias("b"), F.first("fp").over(by).alias("first_fp"))
+    within = F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= radius
+    return met.where((F.col("a") != F.col("b")) & within).select("a", "b").distinct()
+
+
+def chain_links(close: DataFrame, radius: int) -> DataFrame:
+    """Links between neighbours on a variant that are not in one `group` yet; a link inside a group would change nothing."""
+    variants = close.select("node", "group", _flips(F.col("fp"), masks(64, radius // 2)).alias("variant"))
+    by = W.partitionBy("variant").orderBy("node")
+    met = variants.select(F.col("node").alias("a"), "group", F.lag("node").over(by).alias("b"), F.lag("group").over(by).alias("other"))
+    return met.where("group <> other").select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose `sets` (node, shingles) are at least `similarity` alike."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+
+
+def ball_pairs(narrow: DataFrame, sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links a, b between nodes (node, text) of `narrow` that SimHash brings together and whose `sets` are alike.
+
+    Fingerprints over words are looked up in balls as in `near_duplicates`; equal ones are one point, and their texts are
+    compared with its first. A point is compared with the first it meets on a half, then on a full variant with the one
+    before it where the two are in different groups.
+    """
+    marks = cut_lineage(narrow.mapInArrow(_word_marks, "node long, fp long").distinct(), "near-marks")
+    points = marks.groupBy("fp").agg(F.min("node").alias("node"))
+    close = close_nodes(points.select("node", "fp"), radius, "near-points")
+    stars = marks.join(points.withColumnRenamed("node", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    firsts = cut_lineage(stars.union(first_links(close, radius)), "near-first-pairs")
+    alike = cut_lineage(verified(firsts, sets, similarity), "near-first-links")
+    groups = components(alike, "near-first-groups")
+    labelled = close.join(groups, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("group"))
+    chained = cut_lineage(chain_links(labelled, radius), "near-chain-pairs")
+    return alike.union(cut_lineage(verified(chained, sets, similarity), "near-chain-links"))
+
+
+def similar_groups(met: DataFrame, sets: DataFrame, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """node, component of the nodes linked by pairs whose `sets` (node, shingles) are at least `similarity` alike.
 
     A few nodes of each key, those with most meetings first, are compared with all others on the key that are in another
     group, then leave it; keys that have one group left are done. Links join groups before the next round, which takes
     more nodes of a key at once. It ends when no key is left: then each meeting of two groups has been measured.
+    `known` are links a, b of such pairs that are found already; their groups are there before the first round.
     """
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    links, groups, at_once = None, None, 1
+    links, groups, at_once = known, None, 1
+    if known is not None:
+        groups = cut_lineage(components(known, "near-components"), "near-groups")
     while True:
         if groups is None:
             grouped = met.withColumn("group", F.col("node"))
@@ -287,8 +345,7 @@ def similar_groups(met: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         later = F.struct("weight", "node") > F.struct("hub_weight", "hub_node")
         pairs = cut_lineage(open_.join(hub, "key").where((F.col("group") != F.col("hub_group")) & later & able).select(
             F.col("node").alias("a"), F.col("hub_node").alias("b")).distinct(), "near-pairs")
-        alike = pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity)
-        found = cut_lineage(alike.select("a", "b"), "near-links")
+        found = cut_lineage(verified(pairs, sets, similarity), "near-links")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             groups = cut_lineage(components(links, "near-components"), "near-groups")
@@ -298,13 +355,14 @@ def similar_groups(met: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return groups if groups is not None else met.select("node", F.col("node").alias("component")).limit(0)
 
 
-def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8,
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, radius: int = 4,
                       id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without near-duplicates: of each group the row with the smallest id stays (a missing id comes last).
 
     Equal texts are one node. Two nodes are linked when their sets of `shingle_words`-word shingles have a Jaccard
-    similarity of at least `similarity`, and a group is a component of all such links: `meetings` loses no pair, and
-    `similar_groups` leaves none out but those inside a group. Null texts count as empty; all columns of `docs` are kept
+    similarity of at least `similarity`, and a group is a component of all such links. SimHash finds links first
+    (`ball_pairs`); what lies beyond its radius is found exactly: `meetings` loses no pair, and `similar_groups` measures
+    each that is not inside a group by then. Null texts count as empty; all columns of `docs` are kept
     as they are.
     """
     key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
@@ -315,7 +373,7 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 5, similarity: float
     chosen = narrow.join(met.select("node").distinct(), "node")
     one = chosen.groupBy("node").agg(F.first("text").alias("text"))
     sets = cut_lineage(one.mapInArrow(_shingle_sets(shingle_words), "node long, shingles array<long>"), "near-shingles")
-    joined = similar_groups(met, sets, similarity)
+    joined = similar_groups(met, sets, similarity, ball_pairs(narrow, sets, similarity, radius))
 
     counted = docs.select(key.alias("key"), F.col(id_col).alias("id")).groupBy("key", "id").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "n")).alias("best"))

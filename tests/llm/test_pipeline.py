@@ -8,6 +8,8 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import simhash
+
 FOLDER = "/root/testdata/sf0.001"
 
 
@@ -132,3 +134,28 @@ def test_no_pair_above_the_similarity_is_left(spark):
     bands = [sum(low <= v < low + 0.05 for v in near.values()) for low in (0.8, 0.85, 0.9, 0.95)]
     assert min(bands) >= 20
     assert near_kept(spark, texts) - {6000, 6001} == want - {6000, 6001}
+
+
+def test_simhash_brings_near_copies_together(spark):
+    """Links of the SimHash step alone: all alike enough, and most of the light edits among them."""
+    rng = random.Random(14)
+    texts = {}
+    for k in range(150):
+        base = [f"t{rng.randrange(90000)}" for _ in range(300)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(edited(rng, base, 2))
+    texts |= {1000: " ".join(reversed(texts[0].split())), 1001: texts[2].upper()}
+    narrow = spark.createDataFrame(sorted(texts.items()), "node long, text string").select("node", F.col("text").cast("binary").alias("text"))
+    sets = narrow.mapInArrow(simhash._shingle_sets(5), "node long, shingles array<long>")
+    found = {(max(r.a, r.b), min(r.a, r.b)) for r in simhash.ball_pairs(narrow, sets, 0.8, 4).collect()}
+    _, near = kept_by_brute_force(texts)
+    want = {pair for pair, value in near.items() if value >= 0.8}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_stage_uses_simhash(spark, monkeypatch):
+    """The near-dedup stage asks for SimHash links; a chain it cannot see whole is completed by the exact step."""
+    seen, plain = [], simhash.ball_pairs
+    monkeypatch.setattr(simhash, "ball_pairs", lambda *args: seen.append(args) or plain(*args))
+    words = [f"w{k}" for k in range(60)]
+    texts = {1: " ".join(words), 2: " ".join(words[:59] + ["x"]), 3: " ".join(f"y{k}" for k in range(30))}
+    assert near_kept(spark, texts) == {1, 3} and len(seen) == 1
