@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import LOWER_ASCII, WORD_BYTES, gram_hashes, mix, signed, texts, word_hash, Cache
+from ledgerlens.llm.common import LOWER_ASCII, WORD_BYTES, gram_hashes, mix, signed, sized_join, texts, word_hash, Cache
 from ledgerlens.llm.components import components
 from ledgerlens.session import cut_lineage
 
@@ -36,6 +36,8 @@ SEED = 42
 HELD_HASHES = 1_000_000
 #: Shingles whose counts the driver holds to put frequent ones last.
 COMMON_SHINGLES = 1 << 18
+#: Pairs that a later round may make for each meeting of the first one.
+PER_MEETING = 4
 #: Slack of bounds that only choose candidates, against the rounding of doubles.
 ROUNDING = 1e-6
 _LANES = np.uint64(0x0101010101010101)
@@ -290,9 +292,14 @@ def chain_links(close: DataFrame, radius: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose `sets` (node, shingles) are at least `similarity` alike."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    """The written `pairs` a, b whose `sets` (node, shingles) are at least `similarity` alike; only sets of their nodes move."""
+    rows = pairs.count()
+    if not rows:
+        return pairs
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = sized_join(sets, ends, "node", "left_semi", 2 * rows)
+    left = needed.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = needed.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").where(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
 
 
@@ -320,10 +327,12 @@ def similar_groups(met: DataFrame, sets: DataFrame, similarity: float, known: Da
 
     A few nodes of each key, those with most meetings first, are compared with all others on the key that are in another
     group, then leave it; keys that have one group left are done. Links join groups before the next round, which takes
-    more nodes of a key at once. It ends when no key is left: then each meeting of two groups has been measured.
+    four times as many nodes of a key at once, or more while that makes at most PER_MEETING pairs for each meeting of the
+    first round. It ends when no key is left: then each meeting of two groups has been measured.
     `known` are links a, b of such pairs that are found already; their groups are there before the first round.
     """
-    links, groups, at_once = known, None, 1
+    links, groups, at_once, most = known, None, 1, None
+    wider = [4**k for k in range(1, 15)]
     if known is not None:
         groups = cut_lineage(components(known, "near-components"), "near-groups")
     while True:
@@ -331,10 +340,17 @@ def similar_groups(met: DataFrame, sets: DataFrame, similarity: float, known: Da
             grouped = met.withColumn("group", F.col("node"))
         else:
             grouped = met.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-        several = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-        open_ = cut_lineage(grouped.join(several.select("key"), "key", "left_semi"), "near-open")
-        if open_.isEmpty():
+        several = grouped.groupBy("key").agg(
+            F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+        open_ = cut_lineage(grouped.join(several.select("key", "n"), "key"), "near-open")
+        rows, largest, *made = open_.agg(
+            F.count(F.lit(1)), F.max("n"), *[F.sum(F.least("n", F.lit(k))) for k in wider]).first()
+        if not rows:
             break
+        if most is None:
+            most = PER_MEETING * rows
+        else:
+            at_once = max([at_once, *[k for k, n in zip(wider, made) if n <= most]])
         rank = F.row_number().over(W.partitionBy("key").orderBy("weight", "node"))
         hubs = cut_lineage(open_.withColumn("rank", rank).where(F.col("rank") <= at_once).drop("rank"), "near-hubs")
         hub = hubs.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("node", "size", "place", "weight", "group")])
@@ -349,8 +365,10 @@ def similar_groups(met: DataFrame, sets: DataFrame, similarity: float, known: Da
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             groups = cut_lineage(components(links, "near-components"), "near-groups")
+        if largest <= at_once:
+            break
         last = hubs.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("last"))
-        met = open_.drop("group").join(last, "key").where(F.struct("weight", "node") > F.col("last")).drop("last")
+        met = open_.drop("group", "n").join(last, "key").where(F.struct("weight", "node") > F.col("last")).drop("last")
         at_once *= 4
     return groups if groups is not None else met.select("node", F.col("node").alias("component")).limit(0)
 

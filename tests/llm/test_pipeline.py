@@ -159,3 +159,47 @@ def test_stage_uses_simhash(spark, monkeypatch):
     words = [f"w{k}" for k in range(60)]
     texts = {1: " ".join(words), 2: " ".join(words[:59] + ["x"]), 3: " ".join(f"y{k}" for k in range(30))}
     assert near_kept(spark, texts) == {1, 3} and len(seen) == 1
+
+
+def rows_shuffled(frame):
+    """Rows that the exchanges of a collected frame have written."""
+    plan, found = frame._jdf.queryExecution().executedPlan(), 0
+    todo = [plan.executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        elif node.nodeName() == "Exchange":
+            found += node.metrics().apply("shuffleRecordsWritten").value()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+def test_only_sets_of_pairs_are_moved(spark):
+    """Pairs are measured without a shuffle of the sets of all other nodes."""
+    rows = [(k, [100 * (k // 2) + j for j in range(9 + k % 2)]) for k in range(4000)]
+    sets = spark.createDataFrame(rows, "node long, shingles array<long>")
+    pairs = spark.createDataFrame([(1, 0), (2, 1), (3, 2)], "a long, b long")
+    found = simhash.verified(pairs, sets, 0.8)
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (3, 2)]
+    assert rows_shuffled(found) < 100
+    assert simhash.verified(pairs.limit(0), sets, 0.8).count() == 0
+
+
+def test_few_rounds_for_a_crowded_key(spark, monkeypatch):
+    """Nodes that share one key and are all different are measured in a few rounds, each pair once."""
+    rounds, plain = [], simhash.cut_lineage
+    monkeypatch.setattr(simhash, "cut_lineage", lambda df, name: rounds.append(name) or plain(df, name))
+    nodes = range(300)
+    met = spark.createDataFrame([(7, k, 10, 0, -300) for k in range(20)] + [(100 + k // 2, k, 10, 0, -300) for k in nodes],
+                                "key long, node long, size int, place int, weight long")
+    sets = spark.createDataFrame([(k, [1000 * (k // 3) + j for j in range(10)]) for k in nodes], "node long, shingles array<long>")
+    got = {r.node: r.component for r in simhash.similar_groups(met, sets, 0.8).collect()}
+    parent = {}
+    for k in nodes:
+        for other in range(k):
+            if k // 3 == other // 3 and (max(k, other) < 20 or k // 2 == other // 2):
+                parent[k] = min(parent.get(k, k), parent.get(other, other))
+                parent.setdefault(other, other)
+    assert got == parent
+    assert rounds.count("near-open") == 2
