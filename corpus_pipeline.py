@@ -7,6 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.llm import decontaminate, packing, pii, queries, simhash, toxicity
 from ledgerlens.session import cut_lineage
 
+#: Documents handed to Python at a time. The JVM and the worker each hold a batch, texts included, once or more.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(stage):
+    """The stage with the session set to BATCH_ROWS, since its result is computed after it returns; a smaller setting stays."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        if not 0 < rows <= BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples do not mark as toxic."""
@@ -35,11 +49,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash_dedup", drop_near_copies),
-    ("decontamination", drop_benchmark_leaks),
-    ("pii", mask_personal_data),
-    ("packing", pack_sequences),
+    ("toxicity", in_small_batches(drop_toxic)),
+    ("simhash_dedup", in_small_batches(drop_near_copies)),
+    ("decontamination", in_small_batches(drop_benchmark_leaks)),
+    ("pii", in_small_batches(mask_personal_data)),
+    ("packing", in_small_batches(pack_sequences)),
 ]
 
 #: Learned models, hashing and packing have no SQL form; tests hold the stages against brute force.

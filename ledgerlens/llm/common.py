@@ -17,7 +17,7 @@ WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 #: Entries a worker keeps in a word cache before it starts a new one.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,18 +26,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 class Cache(dict):
-    """word -> make(word), remembered; `trim` drops all when it has grown beyond CACHE_WORDS."""
+    """word -> make(word), remembered; `trim` drops all when it has grown beyond `most` entries."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = CACHE_WORDS):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, word):
         value = self[word] = self.make(word)
         return value
 
     def trim(self) -> None:
-        if len(self) > CACHE_WORDS:
+        if len(self) > self.most:
             self.clear()
 
 
@@ -75,6 +75,12 @@ def texts(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 5
             yield part, part.column(column).to_pylist()
 
 
+def array_texts(parts: Iterator[pa.Array], rows: int = 512) -> Iterator[Iterator[list]]:
+    """Each array as a series of lists of at most `rows` Python values."""
+    for part in parts:
+        yield (part.slice(k, rows).to_pylist() for k in range(0, len(part), rows))
+
+
 def whole_ids(df: DataFrame, column: str) -> Column:
     """The id column as long; other kinds of ids are refused, since a cast would make them null."""
     kind = dict(df.dtypes)[column]

@@ -29,12 +29,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import LOWER_ASCII, WORD_BYTES, Cache, gram_hashes, texts, whole_ids, word_hash
+from ledgerlens.llm.common import LOWER_ASCII, WORD_BYTES, Cache, array_texts, gram_hashes, texts, whole_ids, word_hash
 from ledgerlens.session import cut_lineage
 
 TABLE_BITS = 20
@@ -216,12 +215,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle_words: int = 5, similar
 
 
 def _contaminated(shared):
-    @F.pandas_udf("boolean")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, cache = shared.value, Cache(word_hash)
-        for part in parts:
-            yield pd.Series([bool(own.leaks(word_hashes(t, cache))) for t in part], dtype=bool)
-            cache.trim()
+        for part in array_texts(parts):
+            out = []
+            for values in part:
+                out += [bool(own.leaks(word_hashes(t, cache))) for t in values]
+                cache.trim()
+            yield pa.array(out, pa.bool_())
 
     return run
 

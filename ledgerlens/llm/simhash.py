@@ -188,9 +188,11 @@ def _shingle_sets(n: int):
 def _repeats(n: int):
     """shingle and count, for the shingles that come in several of the texts held at once."""
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        many = counts > 1
-        return pa.record_batch([pa.array(values[many].view(np.int64)), pa.array(counts[many])], ["shingle", "n"])
+        flat = np.concatenate(held)
+        held.clear()  # one copy at a time
+        flat.sort()
+        values, more = np.unique(flat[1:][flat[1:] == flat[:-1]], return_counts=True)
+        return pa.record_batch([pa.array(values.view(np.int64)), pa.array(more + 1)], ["shingle", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, size = Cache(word_hash), [], 0
@@ -200,7 +202,7 @@ def _repeats(n: int):
                 size += len(held[-1])
                 if size > HELD_HASHES:
                     yield counted(held)
-                    held, size = [], 0
+                    size = 0
             cache.trim()
         if held:
             yield counted(held)

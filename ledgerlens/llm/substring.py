@@ -34,6 +34,8 @@ from ledgerlens.session import cut_lineage
 
 GRAM = 8
 SHARD_SEGMENTS = 256
+#: Words a worker keeps with their hashes; this operator goes over each word twice.
+KNOWN_WORDS = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -76,7 +78,7 @@ def _hashes(text: bytes | None, cache: Cache) -> np.ndarray:
 
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(word_hash)
+        cache = Cache(word_hash, KNOWN_WORDS)
         for part, values in texts(batches, rows=256):
             found = [anchors(_hashes(v, cache), window) for v in values]
             cache.trim()
@@ -200,7 +202,7 @@ def _shard_rows(window: int):
 def _window_rows(window: int):
     """Two hashes of each window of a segment, with its place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(word_hash)
+        cache = Cache(word_hash, KNOWN_WORDS)
         for part, values in texts(batches, "words", rows=256):
             pieces = []
             for text in values:

@@ -21,20 +21,22 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import InitVar, dataclass, field
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Cache, texts
+from ledgerlens.llm.common import Cache, array_texts, texts
 from ledgerlens.session import cut_lineage
 
 TOKEN = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 BLOCK = 64
+#: Features a worker counts before it hands the counts on.
+HELD_FEATURES = 50_000
 SCORE = "score double, evidence array<long>"
 
 
@@ -52,7 +54,7 @@ class Index:
 
     ids: np.ndarray
     toxic: np.ndarray
-    rows: list[dict[int, float]]
+    rows: InitVar[list[dict[int, float]]]  #: kept as postings only, since each worker holds an index
     k: int
     #: postings of all terms one after the other, ordered by example within a term
     at: np.ndarray = field(init=False)
@@ -62,12 +64,12 @@ class Index:
     begin: np.ndarray = field(init=False)
     highest: np.ndarray = field(init=False)
 
-    def __post_init__(self):
-        flat = sorted((term, at, weight) for at, row in enumerate(self.rows) for term, weight in row.items())
+    def __post_init__(self, rows):
+        flat = sorted((term, at, weight) for at, row in enumerate(rows) for term, weight in row.items())
         self.row_of = {t: k for k, t in enumerate(dict.fromkeys(f[0] for f in flat))}
         term = np.array([self.row_of[f[0]] for f in flat], np.int64)
         self.at, self.weight = np.array([f[1] for f in flat], np.int64), np.array([f[2] for f in flat])
-        blocks = -(-len(self.rows) // BLOCK)
+        blocks = -(-len(self.ids) // BLOCK)
         cell = term * blocks + self.at // BLOCK
         self.begin = np.searchsorted(cell, np.arange(len(self.row_of) * blocks + 1))
         highest = np.zeros(len(self.row_of) * blocks)
@@ -81,7 +83,7 @@ class Index:
         ends = np.cumsum(size)
         places = np.arange(ends[-1]) + np.repeat(start - ends + size, size)
         each = np.repeat(np.repeat(weights, len(blocks)), size)
-        return np.bincount(self.at[places], weights=each * self.weight[places], minlength=len(self.rows))
+        return np.bincount(self.at[places], weights=each * self.weight[places], minlength=len(self.ids))
 
     def best(self, query: dict[int, float], leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples and of those that tie with the last, nearest first."""
@@ -92,7 +94,7 @@ class Index:
         bound = weights @ self.highest[terms]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        cos, done, step, kth = np.zeros(len(self.rows)), 0, 4, 0.0
+        cos, done, step, kth = np.zeros(len(self.ids)), 0, 4, 0.0
         while done < len(order) and bound[order[done]] >= kth - 1e-9:
             cos += self._scored(terms, weights, order[done : done + step])
             done, step = done + step, step * 2
@@ -162,17 +164,33 @@ def monotone_fit(raw: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each feature the numbers of toxic and clean examples in this partition that have it."""
+    """Of each feature the numbers of toxic and clean examples that have it, in parts of this partition."""
+    def counted(seen: dict[str, list[int]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(seen), pa.string()), pa.array([n[0] for n in seen.values()], pa.int64()),
+                                pa.array([n[1] for n in seen.values()], pa.int64())], ["feature", "n1", "n0"])
+
     seen: dict[str, list[int]] = {}
     for part, values in texts(batches):
         for text, toxic in zip(values, part.column("toxic").to_pylist()):
             for feature in {f for w in set(tokens(text)) for f in word_features(w)}:
                 seen.setdefault(feature, [0, 0])[0 if toxic else 1] += 1
-    names = list(seen)
-    for k in range(0, len(names), 50_000):
-        part = names[k : k + 50_000]
-        yield pa.record_batch([pa.array(part), pa.array([seen[x][0] for x in part], pa.int64()),
-                               pa.array([seen[x][1] for x in part], pa.int64())], ["feature", "n1", "n0"])
+            if len(seen) > HELD_FEATURES:
+                yield counted(seen)
+                seen.clear()
+    if seen:
+        yield counted(seen)
+
+
+def _example_terms(terms: dict[str, int]):
+    """Each example with the features it has and their counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(terms)
+        for part, values in texts(batches):
+            found = [counts(text) for text in values]
+            yield pa.record_batch([part.column("example"), part.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.int32())),
+                                   pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["example", "toxic", "terms", "n"])
+
+    return run
 
 
 class Counts:
@@ -247,11 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 12
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
 
     model = Model(terms, idf, None, rate, np.empty(0), np.empty(0))
-    counts = Counts(terms)
-    vectors = examples.select("example", "toxic", "text").mapInPandas(
-        lambda parts: (pd.DataFrame({"example": p.example, "toxic": p.toxic, "terms": [list(c) for c in cs], "n": [list(c.values()) for c in cs]})
-                       for p in parts for cs in [[counts(t) for t in p.text]]),
-        "example long, toxic boolean, terms array<int>, n array<int>").orderBy("example", "toxic").collect()  # the sample
+    vectors = examples.select(F.col("example").cast("long"), "toxic", "text").mapInArrow(
+        _example_terms(terms), "example long, toxic boolean, terms array<int>, n array<int>").orderBy("example", "toxic").collect()  # the sample
     with_terms = [(r.example, r.toxic, model.vector(dict(zip(r.terms, r.n)))) for r in vectors if r.terms]
     without = [r.toxic for r in vectors if not r.terms]
     model.prior = (sum(without) + rate) / (len(without) + 1)
@@ -268,13 +283,13 @@ def scorer(docs: DataFrame, model: Model):
     """A function of a text column that gives struct(score, evidence)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(f"struct<{SCORE.replace(' double', ':double').replace(' array', ':array')}>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(f"struct<{SCORE.replace(' double', ':double').replace(' array', ':array')}>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         counts, known = Counts(own.terms), {}
-        for part in parts:
+        for part in array_texts(parts):
             out = []
-            for text in part:
+            for text in chain.from_iterable(part):
                 c = counts(text)
                 key = tuple(sorted(c.items()))
                 if key not in known:
@@ -282,7 +297,8 @@ def scorer(docs: DataFrame, model: Model):
                         known.clear()
                     known[key] = own.score(c)
                 out.append(known[key])
-            yield pd.DataFrame({"score": [x[0] for x in out], "evidence": [x[1] for x in out]})
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))],
+                                             ["score", "evidence"])
 
     return run
 

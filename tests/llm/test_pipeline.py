@@ -6,6 +6,8 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import simhash
@@ -203,3 +205,42 @@ def test_few_rounds_for_a_crowded_key(spark, monkeypatch):
                 parent.setdefault(other, other)
     assert got == parent
     assert rounds.count("near-open") == 2
+
+
+def test_stages_hand_texts_over_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches)
+    docs = spark.range(0, 5_000, 1, 1).selectExpr("id as doc_id", "'a few words' as text")
+    before = spark.conf.get(key)
+    try:
+        for setting, most in (("10000", 1_000), ("0", 1_000), ("200", 200)):
+            spark.conf.set(key, setting)
+            stage = corpus_pipeline.STAGES[3][1](spark, docs, FOLDER)
+            found = stage.select("text").mapInArrow(sizes, "n long").collect()
+            assert sum(r.n for r in found) == 5_000 and max(r.n for r in found) <= most
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_repeated_shingles_are_counted_by_parts(monkeypatch):
+    import tracemalloc
+
+    words = [b"w%d" % (k * 37 % 5_003) for k in range(400_000)]
+    texts = [b" ".join(words[k : k + 2_000]) for k in range(0, 400_000, 2_000)]
+    batch = pa.record_batch([pa.array(texts, pa.binary())], ["text"])
+    got = {}
+    for p in simhash._repeats(5)(iter([batch])):
+        got.update(zip(p.column(0).to_pylist(), p.column(1).to_pylist()))
+    cache = simhash.Cache(simhash.word_hash)
+    values, counts = np.unique(np.concatenate([simhash._set_of(t, 5, cache) for t in texts]).view(np.int64), return_counts=True)
+    assert got == {int(v): int(c) for v, c in zip(values, counts) if c > 1}
+
+    monkeypatch.setattr(simhash, "_set_of", lambda value, n, cache: np.arange(len(value) * 1_000, dtype=np.uint64) + np.uint64(int(value)))
+    batch = pa.record_batch([pa.array([b"%0400d" % (k * 400_000) for k in range(3)], pa.binary())], ["text"])
+    tracemalloc.start()
+    try:
+        assert sum(p.num_rows for p in simhash._repeats(5)(iter([batch]))) == 0
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3.2 * 8 * 1_200_000  # the held sets, one copy of them in order and little more

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,32 @@ def test_ids_that_are_no_numbers_are_refused(spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     with pytest.raises(TypeError):
         decontaminate.leaks(spark.createDataFrame([("x", "a b")], "doc_id string, text string"), bench)
+
+
+def test_index_leaves_its_input_behind():
+    rows = [{t: 0.1 for t in range(k % 50, k % 50 + 20)} for k in range(2_000)]
+    index = toxicity.Index(np.arange(2_000), np.zeros(2_000), rows, 10)
+    assert len(pickle.dumps(index)) < 1.2 * sum(x.nbytes for x in (index.ids, index.toxic, index.at, index.weight, index.begin, index.highest))
+
+
+def test_features_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD_FEATURES", 1_000, raising=False)
+    texts = [" ".join(f"w{(k * 7 + j) % 9_000}" for j in range(300)) for k in range(200)]
+    batch = pa.record_batch([pa.array(texts), pa.array([k % 3 == 0 for k in range(200)])], ["text", "toxic"])
+    parts = list(toxicity._feature_counts(iter([batch])))
+    assert max(p.num_rows for p in parts) < 2_500 and len(parts) > 1
+    got, want = Counter(), Counter()
+    for p in parts:
+        for feature, n1, n0 in zip(*[p.column(k).to_pylist() for k in range(3)]):
+            got.update({(feature, True): n1, (feature, False): n0})
+    for k, text in enumerate(texts):
+        want.update((f, k % 3 == 0) for f in {f for w in set(toxicity.tokens(text)) for f in toxicity.word_features(w)})
+    assert +got == want
+
+
+def test_word_cache_is_small():
+    cache = Cache(word_hash)
+    for k in range(150_000):
+        cache[b"%d" % k]
+        cache.trim()
+    assert len(cache) <= 100_000
