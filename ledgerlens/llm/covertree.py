@@ -6,8 +6,14 @@ radii and eps allow, so exactly the pairs within the threshold are left at the b
 
 The tree has two storeys. The upper one is built from a sample of at most `most_leaves` centres; every vector is put under the
 nearest leaf of its label, the leaves' covering radii are taken over all vectors, and the dual traversal of this tree gives
-the leaf pairs, and for each vector the leaves, that may hold partners. Leaves are dealt out in blocks of about `block_rows`
-vectors, however large they are. The lower storey is a cover tree in each block; a task traverses the trees of two blocks.
+the leaf pairs, and for each vector the leaves, that may hold partners. Leaves are cut into blocks of about `block_rows`
+vectors, however large they are; the lower storey is a cover tree in each block. A vector under centre c has no partner under
+centre d unless it lies within eps of the plane halfway between c and d, so two blocks are traversed with the vectors in that
+strip alone.
+
+Blocks of neighbouring leaves make a tile of at most TILE_VALUES components. A task holds the trees of one tile, and the blocks
+of about half of the other tiles pass through it one by one, so it holds a tile and a block however many vectors there are,
+and a vector travels once for each tile it may meet, not for each block. Rows are dealt out and pairs measured in pieces.
 
 Equal vectors of a label are one node with a count. A task reports how many vectors each node is linked to, and a spanning
 forest of the links instead of all pairs, so a group of near copies costs its size, not its square.
@@ -15,7 +21,7 @@ forest of the links instead of all pairs, so a group of near copies costs its si
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a
 null label or id; they report no links and themselves as component. Vectors of different length never link. Repeated rows
 are vectors of their own; rows that share an id link like others and share the component. An empty table gives an empty
-result. Only the id, vector and label columns are read.
+result. Only the id, vector and label columns are read, a few times over.
 """
 
 from __future__ import annotations
@@ -24,19 +30,42 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
+from ledgerlens.llm.common import sized_join
 from ledgerlens.llm.components import components
 from ledgerlens.session import cut_lineage
 
-SLACK = 1e-9
-NODE = "node long, label long, weight long, vector array<double>"
+#: Above the rounding of a distance near 0, which is the root of that of a product.
+SLACK = 1e-7
+#: Components of the vectors in a tile: what a task holds.
+TILE_VALUES = 1 << 24
+#: Tiles of a label that has vectors enough for as many tasks, and blocks in the smallest of them.
+TILES, TILE_BLOCKS = 4, 4
+#: Numbers in a matrix of distances that is made at a time.
+PIECE = 1 << 20
+#: Rows handed on at a time.
+ROWS = 4096
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
+    d = a @ b.T
+    d *= -2
+    d += 2
+    np.maximum(d, 0, out=d)
+    return np.sqrt(d, out=d)
+
+
+def products(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows i of a with the rows j of b, as doubles."""
+    out, step = np.empty(len(i)), max(1, PIECE // max(1, a.shape[1]))
+    for k in range(0, len(i), step):
+        x, y = a[i[k : k + step]].astype(np.float64, copy=False), b[j[k : k + step]].astype(np.float64, copy=False)
+        out[k : k + step] = np.einsum("ij,ij->i", x, y)
+    return out
 
 
 class CoverTree:
@@ -44,12 +73,14 @@ class CoverTree:
 
     `levels` lists for each level the centres' points, their covering radii and the place of their parent one level up.
     Each centre of a level is a centre of all lower levels; a centre covers its children within the level's radius.
+    With `norms` the points are divided by them whenever they are asked for.
     """
 
-    def __init__(self, points: np.ndarray, eps: float):
-        self.points = points
+    def __init__(self, points: np.ndarray, eps: float, norms: np.ndarray | None = None):
+        self.points, self.norms = points, norms
         n = len(points)
-        apart = distances(points, points)
+        unit = self.at(np.arange(n))
+        apart = distances(unit, unit)
         np.fill_diagonal(apart, 0)
         nets, radius, centres, near = [np.zeros(1, np.int64)], 1.0, [0], apart[0]
         while radius > eps / 4 and len(centres) < n:
@@ -79,6 +110,10 @@ class CoverTree:
             covers.append(cover)
         self.levels = list(zip(nets, covers[::-1], parents))
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        points = self.points[places]
+        return points if self.norms is None else points.astype(np.float64) / self.norms[places][:, None]
+
     def level(self, k: int):
         """Level k; below the last one it stays the points themselves."""
         if k < len(self.levels):
@@ -86,192 +121,428 @@ class CoverTree:
         last = self.levels[-1]
         return last[0], last[1], np.arange(len(last[0]))
 
+    def above(self, wanted: np.ndarray) -> list[np.ndarray]:
+        """For each level whether a centre has a wanted point below it."""
+        out = [wanted]
+        for (net, _, _), (_, _, up) in zip(self.levels[-2::-1], self.levels[:0:-1]):
+            has = np.zeros(len(net), bool)
+            has[up[out[-1]]] = True
+            out.append(has)
+        return out[::-1]
+
+    def owners(self) -> list[np.ndarray]:
+        """For each level the place of the centre above each point."""
+        out = [np.arange(len(self.points))]
+        for _, _, up in self.levels[:0:-1]:
+            out.append(up[out[-1]])
+        return out[::-1]
+
+
+def descend(a: CoverTree, b: CoverTree, eps: float, wanted_a: np.ndarray | None = None,
+            wanted_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in either tree and which pairs of them may be within eps (with slack), by descending both level by level.
+
+    Only wanted points count, if told. A place without a pair is left out from its level on.
+    """
+    rows, cols, alive = np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones((1, 1), bool)
+    in_a = None if wanted_a is None else a.above(wanted_a)
+    in_b = None if wanted_b is None else b.above(wanted_b)
+
+    def below(tree, k, up, had, within):
+        """Places on level k below those of the level above, and which of these each is below."""
+        old = np.full(len(tree.level(k - 1)[0]), -1)
+        old[had] = np.arange(len(had))
+        old = old[up]
+        if within is not None:
+            old[~within[min(k, len(within) - 1)]] = -1
+        here = np.flatnonzero(old >= 0)
+        return here, old[here]
 
-def close_pairs(a: CoverTree, b: CoverTree, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the point pairs within eps (with slack), by descending both trees level by level."""
-    alive = np.ones((1, 1), bool)
     for k in range(max(len(a.levels), len(b.levels))):
         (ca, ra, ua), (cb, rb, ub) = a.level(k), b.level(k)
         if k:
-            alive = alive[np.ix_(ua, ub)]
-        rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+            (rows, p), (cols, q) = below(a, k, ua, rows, in_a), below(b, k, ub, cols, in_b)
+            whole = alive.all()
+            alive = np.ones((len(rows), len(cols)), bool) if whole else alive[np.ix_(p, q)]
+        x, y, reach = a.at(ca[rows]), b.at(cb[cols]), rb[cols] + eps + SLACK
+        if np.count_nonzero(alive) * 8 < alive.size:  # few pairs are left: measure those alone
+            i, j = np.nonzero(alive)
+            alive[i, j] = np.sqrt(np.maximum(2 - 2 * products(x, i, y, j), 0)) <= ra[rows][i] + reach[j]
+        else:
+            step = max(1, PIECE // max(1, len(cols)))
+            for s in range(0, len(rows), step):
+                far = distances(x[s : s + step], y)
+                far -= ra[rows[s : s + step]][:, None]
+                alive[s : s + step] &= far <= reach
+        some, other = alive.any(axis=1), alive.any(axis=0)
+        if not (some.all() and other.all()):
+            rows, cols, alive = rows[some], cols[other], alive[np.ix_(some, other)]
         if not len(rows):
-            return rows, rows
-        i, j = np.nonzero(alive)
-        if len(i) * 8 < len(rows) * len(cols):  # few pairs are left: measure those alone
-            far = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", a.points[ca[i]], b.points[cb[j]]), 0))
-            here = np.zeros_like(alive)
-            here[i, j] = far <= ra[i] + rb[j] + eps + SLACK
-            alive = here
-            continue
-        far = distances(a.points[ca[rows]], b.points[cb[cols]])
-        here = np.zeros_like(alive)
-        here[np.ix_(rows, cols)] = alive[np.ix_(rows, cols)] & (far <= ra[rows][:, None] + rb[cols][None, :] + eps + SLACK)
-        alive = here
-    return np.nonzero(alive)
-
-
-def leaf_pairs(centres: np.ndarray, radii: np.ndarray, eps: float) -> list[np.ndarray]:
-    """For each leaf of one label the leaves whose vectors may be within eps of its own, by the upper storey's dual traversal."""
-    tree = CoverTree(centres, eps)
-    for k, (net, cover, parents) in enumerate(tree.levels):  # radii over all vectors below, not over the centres only
-        owner = np.arange(len(centres))
-        for _, _, up in tree.levels[:k:-1]:
-            owner = up[owner]
-        full = np.zeros(len(net))
-        np.maximum.at(full, owner, np.sqrt(np.maximum(2 - 2 * (centres * centres[net[owner]]).sum(axis=1), 0)) + radii)
-        tree.levels[k] = (net, full, parents)
-    left, right = close_pairs(tree, tree, eps)
-    return [right[left == i] for i in range(len(centres))]
-
-
-class Upper:
-    """The upper storey: leaves with their labels, centres, radii, numbers of blocks and partner leaves."""
-
-    def __init__(self, sample: list):
-        leaves: dict[tuple[int, int], list[int]] = {}
-        for i, (label, centre) in enumerate(sample):
-            leaves.setdefault((label, len(centre)), []).append(i)
-        self.by_label = {k: np.array(v) for k, v in leaves.items()}
-        self.centres = [centre for _, centre in sample]
-        self.radius, self.blocks, self.partners = np.zeros(len(sample)), np.zeros(len(sample), np.int64), {}
-
-    def stack(self, leaves) -> np.ndarray:
-        return np.array([self.centres[i] for i in leaves])
-
-    def close(self, stats: list, eps: float, block_rows: int) -> None:
-        for r in stats:
-            self.radius[r.leaf], self.blocks[r.leaf] = r.radius, -(-r.n // block_rows)
-        for key, leaves in self.by_label.items():
-            for i, near in zip(leaves, leaf_pairs(self.stack(leaves), self.radius[leaves], eps)):
-                self.partners[int(i)] = leaves[near]
-
-
-def _unit(vectors) -> np.ndarray:
-    v = np.array(vectors, dtype=np.float64)
+            break
+    return rows, cols, alive
+
+
+def close_pairs(a: CoverTree, b: CoverTree, eps: float, wanted_a: np.ndarray | None = None,
+                wanted_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the point pairs within eps (with slack)."""
+    rows, cols, alive = descend(a, b, eps, wanted_a, wanted_b)
+    i, j = np.nonzero(alive)
+    return rows[i], cols[j]
+
+
+class Leaves:
+    """The upper storey of one label and length: centres, radii, partner leaves, and the tile of each block."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+
+    def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        leaf, far, step = np.zeros(len(unit), np.int64), np.zeros(len(unit)), max(1, PIECE // len(self.centres))
+        for k in range(0, len(unit), step):
+            d = distances(unit[k : k + step], self.centres)
+            leaf[k : k + step], far[k : k + step] = d.argmin(axis=1), d.min(axis=1)
+        return leaf, far
+
+    def close(self, sizes: np.ndarray, radii: np.ndarray, eps: float, block_rows: int) -> None:
+        """Partners by the upper storey's dual traversal; blocks in the order of the tree, cut into tiles of like size."""
+        m, self.radii = len(self.centres), radii
+        tree = CoverTree(self.centres, eps)
+        owners = tree.owners()
+        for k, ((net, _, parents), owner) in enumerate(zip(tree.levels, owners)):  # radii over all vectors below, not over the centres only
+            full = np.zeros(len(net))
+            np.maximum.at(full, owner, np.sqrt(np.maximum(2 - 2 * products(self.centres, np.arange(m), self.centres, net[owner]), 0)) + radii)
+            tree.levels[k] = (net, full, parents)
+        rows, cols, alive = descend(tree, tree, eps)
+        self.partners = np.zeros((m, m), bool)
+        self.partners[np.ix_(rows, cols)] = alive
+        self.blocks = np.maximum(1, -(-sizes // block_rows))
+        order = np.lexsort(owners[::-1])
+        last = np.cumsum(self.blocks[order])
+        self.start = np.zeros(m, np.int64)
+        self.start[order] = last - self.blocks[order]
+        ahead = np.cumsum(np.repeat(sizes[order] / self.blocks[order], self.blocks[order]))
+        self.tiles = tiles(int(sizes.sum()), self.centres.shape[1], block_rows)
+        self.tile = np.minimum(self.tiles - 1, (ahead - ahead[0]) * self.tiles // max(1, ahead[-1])).astype(np.int64)
+        self.holds = np.zeros((m, self.tiles), np.float32)  # leaf, tile: whether it has a block there
+        for leaf in range(m):
+            self.holds[leaf, self.tile[self.start[leaf] : self.start[leaf] + self.blocks[leaf]]] = 1
+
+    def reach(self, unit: np.ndarray, leaf: np.ndarray, far: np.ndarray, eps: float) -> np.ndarray:
+        """vector, tile: whether a vector may have a partner in the tile."""
+        out, step = np.zeros((len(unit), self.tiles), bool), max(1, PIECE // len(self.centres))
+        for k in range(0, len(unit), step):
+            here = leaf[k : k + step]
+            d = distances(unit[k : k + step], self.centres)
+            near = self.partners[here] & (d <= self.radii + (eps + SLACK))
+            near &= in_strip(d, far[k : k + step, None], distances(self.centres[here], self.centres), eps)
+            near[np.arange(len(here)), here] = True
+            out[k : k + step] = near.astype(np.float32) @ self.holds > 0
+        return out
+
+
+def in_strip(to_other: np.ndarray, to_own: np.ndarray, between, eps: float) -> np.ndarray:
+    """Whether a vector is within eps of those nearer to the other centre: twice its distance to the plane halfway, times `between`, is the difference of squares."""
+    return to_other * to_other - to_own * to_own <= 2 * eps * between + SLACK
+
+
+def tiles(n: int, width: int, block_rows: int) -> int:
+    """Number of tiles for n vectors."""
+    return max(1, -(-n * width // TILE_VALUES), min(TILES, n // (block_rows * TILE_BLOCKS)))
+
+
+def holders(tile: np.ndarray, count: int) -> np.ndarray:
+    """tile, other: whether the other tile's task is the one in which the two meet; each pair meets in one, all tasks have about as many."""
+    other = np.arange(count)
+    back = (tile[:, None] - other) % count
+    return (back > 0) & ((2 * back < count) | (2 * back == count) & (other < tile[:, None]))
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    v = vectors.astype(np.float64)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _by_label(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """(label, length) and the places of its rows."""
+    keys = np.stack([batch.column("label").to_numpy(), batch.column("vector").value_lengths().to_numpy()])
+    order = np.lexsort(keys)
+    cuts = np.flatnonzero((keys[:, order[1:]] != keys[:, order[:-1]]).any(axis=0)) + 1
+    for rows in np.split(order, cuts) if len(order) else []:
+        yield tuple(keys[:, rows[0]].tolist()), rows
+
+
 def _assigned(shared):
     """leaf and distance of each node: the nearest leaf of its label; -1 where the sample has none."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper = shared.value
-        for pdf in parts:
-            leaf, far = np.full(len(pdf), -1, np.int64), np.zeros(len(pdf))
-            for key, rows in pdf.groupby([pdf.label, pdf.vector.map(len)]).indices.items():
-                leaves = upper.by_label.get((int(key[0]), int(key[1])))
-                if leaves is not None:
-                    d = distances(_unit(pdf.vector.iloc[rows].tolist()), upper.stack(leaves))
-                    leaf[rows], far[rows] = leaves[d.argmin(axis=1)], d.min(axis=1)
-            yield pdf.assign(leaf=leaf, far=far)[["node", "label", "weight", "vector", "leaf", "far"]]
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                leaf, far = np.full(batch.num_rows, -1, np.int64), np.zeros(batch.num_rows)
+                for key, rows in _by_label(batch):
+                    if key in upper:
+                        leaf[rows], far[rows] = upper[key].nearest(_unit(_matrix(batch.column("vector").take(pa.array(rows)))))
+                yield pa.record_batch([*batch.columns, pa.array(leaf), pa.array(far)], [*batch.schema.names, "leaf", "far"])
 
     return run
 
 
 def _dealt(shared, eps: float):
-    """A row for each block pair in which a node meets others: key of the pair, side, node."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each tile whose task a node goes to: the tile, whether it passes through, the node's block, the node."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper = shared.value
-        for pdf in parts:
-            out = []
-            for row, (node, label, leaf, block, blocks, width) in enumerate(zip(pdf.node, pdf.label, pdf.leaf, pdf.block, pdf.blocks, pdf.vector.map(len))):
-                if leaf < 0:
-                    others = [(leaf, b) for b in range(blocks)]
-                else:
-                    near = upper.partners[leaf]
-                    reach = distances(_unit([pdf.vector.iloc[row]]), upper.stack(near))[0] <= upper.radius[near] + eps + SLACK
-                    others = [(j, b) for j in near[reach | (near == leaf)].tolist() for b in range(upper.blocks[j])]
-                own = (leaf, block)
-                for other in others:
-                    a, b = min(own, other), max(own, other)
-                    out.append((f"{label}/{width}/{a[0]}.{a[1]}/{b[0]}.{b[1]}", own == b and a != b, row))
-            rows = [o[2] for o in out]
-            yield pd.DataFrame({"pair": [o[0] for o in out], "right": [o[1] for o in out], "node": pdf.node.to_numpy()[rows],
-                                "weight": pdf.weight.to_numpy()[rows], "vector": pdf.vector.iloc[rows].to_numpy()})
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                leaf, far = batch.column("leaf").to_numpy(), batch.column("far").to_numpy()
+                spread = batch.column("spread").to_numpy()
+                block, places, targets, passes = np.zeros(len(leaf), np.int64), [], [], []
+                for key, rows in _by_label(batch):
+                    if leaf[rows[0]] >= 0:
+                        leaves = upper[key]
+                        block[rows] = spread[rows] % leaves.blocks[leaf[rows]]
+                        tile, count = leaves.tile[leaves.start[leaf[rows]] + block[rows]], leaves.tiles
+                    else:  # no leaf: blocks and tiles by number
+                        blocks, count = batch.column("blocks")[int(rows[0])].as_py(), batch.column("tiles")[int(rows[0])].as_py()
+                        block[rows] = spread[rows] % blocks
+                        tile = block[rows] * count // blocks
+                    places.append(rows)
+                    targets.append(tile)
+                    passes.append(np.zeros(len(rows), bool))
+                    if count > 1:
+                        to = holders(tile, count)
+                        if leaf[rows[0]] >= 0:
+                            to &= leaves.reach(_unit(_matrix(batch.column("vector").take(pa.array(rows)))), leaf[rows], far[rows], eps)
+                        x, y = np.nonzero(to)
+                        places.append(rows[x])
+                        targets.append(y)
+                        passes.append(np.ones(len(x), bool))
+                places, targets, passes = (np.concatenate(x) for x in (places, targets, passes))
+                for s in range(0, len(places), ROWS):
+                    here = places[s : s + ROWS]
+                    some = batch.select(["label", "leaf", "far", "node", "weight", "vector"]).take(pa.array(here))
+                    yield pa.record_batch([pa.array(targets[s : s + ROWS]), pa.array(passes[s : s + ROWS]), pa.array(block[here]), *some.columns],
+                                          ["tile", "passing", "block", *some.schema.names])
 
     return run
 
 
-def _compared(threshold: float, eps: float):
-    """Of one block pair: the nodes' numbers of linked vectors and a spanning forest of the links."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        left, right = pdf[~pdf.right], pdf[pdf.right]
-        first, second = pdf.pair.iloc[0].split("/")[2:]
-        same = first == second
-        if not same and (not len(left) or not len(right)):
-            return pd.DataFrame({"node": [], "root": [], "links": []}, dtype="int64")
-        raw_a = np.array(left.vector.tolist(), dtype=np.float64)
-        raw_b = raw_a if same else np.array(right.vector.tolist(), dtype=np.float64)
-        na, nb = np.linalg.norm(raw_a, axis=1), np.linalg.norm(raw_b, axis=1)
-        ta = CoverTree(raw_a / na[:, None], eps)
-        tb = ta if same else CoverTree(raw_b / nb[:, None], eps)
-        i, j = close_pairs(ta, tb, eps)
-        cos = np.einsum("ij,ij->i", raw_a[i], raw_b[j]) / (na[i] * nb[j])
-        ok = (cos >= threshold) & ((i != j) if same else True)
-        i, j = i[ok], j[ok]
-        a_nodes, b_nodes = left.node.to_numpy(), (left if same else right).node.to_numpy()
-        a_weight, b_weight = left.weight.to_numpy(), (left if same else right).weight.to_numpy()
-        links: dict[int, int] = {}
-        for nodes, counts in ((a_nodes, np.bincount(i, weights=b_weight[j], minlength=len(a_nodes))),
-                              (b_nodes, np.bincount(j, weights=a_weight[i], minlength=len(b_nodes)))):
-            for k in np.flatnonzero(counts):
-                links[int(nodes[k])] = int(counts[k])
-            if same:
-                break
-        root: dict[int, int] = {}
-
-        def top(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for x, y in zip(a_nodes[i].tolist(), b_nodes[j].tolist()):
-            root.setdefault(x, x)
-            root.setdefault(y, y)
-            x, y = top(x), top(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        return pd.DataFrame({"node": list(links), "root": [top(x) for x in links], "links": list(links.values())}, dtype="int64")
+class Block:
+    """Nodes of one block and their cover tree; `first` is the place of the first one in its tile."""
+
+    def __init__(self, leaf: int, parts: list[pa.RecordBatch], eps: float, first: int):
+        self.leaf, self.first = leaf, first
+        self.node, self.weight, self.far = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("node", "weight", "far"))
+        self.raw = np.concatenate([_matrix(p.column("vector")) for p in parts])
+        self.norms = np.linalg.norm(self.raw.astype(np.float64), axis=1)
+        self.tree = CoverTree(self.raw, eps, self.norms)
+
+
+def linked(a: Block, b: Block, leaves: Leaves | None, threshold: float, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked pairs of two blocks; with a itself, both ways."""
+    wanted_a = wanted_b = None
+    if leaves is not None and a.leaf != b.leaf:
+        if not leaves.partners[a.leaf, b.leaf]:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        one, two = leaves.centres[a.leaf : a.leaf + 1], leaves.centres[b.leaf : b.leaf + 1]
+        between = distances(one, two)[0, 0]
+        to_two, to_one = (distances(x.tree.at(np.arange(len(x.node))), c)[:, 0] for x, c in ((a, two), (b, one)))
+        wanted_a, wanted_b = in_strip(to_two, a.far, between, eps), in_strip(to_one, b.far, between, eps)
+        if not wanted_a.any() or not wanted_b.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = close_pairs(a.tree, b.tree, eps, wanted_a, wanted_b)
+    ok = products(a.raw, i, b.raw, j) / (a.norms[i] * b.norms[j]) >= threshold
+    if a is b:
+        ok &= i != j
+    return i[ok], j[ok]
+
+
+def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    top = parent[x]
+    while True:
+        up = parent[top]
+        if (up == top).all():
+            return top
+        parent[x] = top = up
+
+
+def unite(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the sets of x[k] and y[k] for all k; the smallest place is the root."""
+    while len(x):
+        x, y = _roots(parent, x), _roots(parent, y)
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+
+
+class Tile:
+    """The blocks a task holds, their nodes' numbers of links and their sets so far."""
+
+    def __init__(self, leaves: Leaves | None, threshold: float, eps: float):
+        self.leaves, self.threshold, self.eps = leaves, threshold, eps
+        self.blocks, self.links, self.parent = [], None, None
+
+    def add(self, leaf: int, parts: list[pa.RecordBatch]) -> None:
+        first = self.blocks[-1].first + len(self.blocks[-1].node) if self.blocks else 0
+        self.blocks.append(Block(leaf, parts, self.eps, first))
+
+    def meet(self) -> None:
+        """Link the blocks with each other."""
+        n = sum(len(x.node) for x in self.blocks)
+        self.links, self.parent = np.zeros(n, np.int64), np.arange(n)
+        for k, a in enumerate(self.blocks):
+            for b in self.blocks[k:]:
+                i, j = linked(a, b, self.leaves, self.threshold, self.eps)
+                self.count(a, i, b.weight[j])
+                if a is not b:
+                    self.count(b, j, a.weight[i])
+                unite(self.parent, a.first + i, b.first + j)
+
+    def count(self, block: Block, places: np.ndarray, weights: np.ndarray) -> None:
+        if len(places):
+            self.links[block.first : block.first + len(block.node)] += np.bincount(places, weights, len(block.node)).astype(np.int64)
+
+    def passed(self, leaf: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """node, root, links of the nodes in a block that passes: its links with the held ones, one of which is the root."""
+        if self.links is None:
+            self.meet()
+        b = Block(leaf, parts, self.eps, 0)
+        links, met, ids = np.zeros(len(b.node), np.int64), np.full(len(b.node), -1), np.zeros(len(b.node), np.int64)
+        for a in self.blocks:
+            i, j = linked(a, b, self.leaves, self.threshold, self.eps)
+            if not len(i):
+                continue
+            self.count(a, i, b.weight[j])
+            links += np.bincount(j, a.weight[i], len(b.node)).astype(np.int64)
+            new = met[j] < 0
+            met[j[new]], ids[j[new]] = a.first + i[new], a.node[i[new]]  # of several the last, for both alike
+            unite(self.parent, a.first + i, met[j])
+        some = met >= 0
+        return found(b.node[some], ids[some], links[some])
+
+    def held(self) -> Iterator[pa.RecordBatch]:
+        """The same of the held nodes, once all others have passed."""
+        if self.links is None:
+            self.meet()
+        if not self.blocks:
+            return
+        node = np.concatenate([x.node for x in self.blocks])
+        some = np.flatnonzero(self.links)
+        roots = _roots(self.parent, some) if len(some) else some
+        for k in range(0, len(some), ROWS):
+            yield found(node[some[k : k + ROWS]], node[roots[k : k + ROWS]], self.links[some[k : k + ROWS]])
+
+
+def found(node: np.ndarray, root: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(node, pa.int64()), pa.array(root, pa.int64()), pa.array(links, pa.int64())], ["node", "root", "links"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Key (label, length, tile, passing, leaf, block) and rows of each block of rows in order."""
+    key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column("label").to_numpy(), batch.column("vector").value_lengths().to_numpy(), batch.column("tile").to_numpy(),
+                         batch.column("passing").to_numpy(zero_copy_only=False), batch.column("leaf").to_numpy(), batch.column("block").to_numpy()])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+            this = tuple(keys[:, lo].tolist())
+            if this != key and parts:
+                yield key, parts
+                parts = []
+            key = this
+            parts.append(batch.slice(lo, hi - lo))
+    if parts:
+        yield key, parts
+
+
+def _compared(shared, threshold: float, eps: float):
+    """Of the tiles in order, held blocks before passing ones: the nodes' numbers of linked vectors and a spanning forest of the links."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, at = None, None
+        for (label, width, number, passing, leaf, _), parts in _runs(batches):
+            if at != (label, width, number):
+                if tile is not None:
+                    yield from tile.held()
+                tile, at = Tile(shared.value[label, width] if leaf >= 0 else None, threshold, eps), (label, width, number)
+            if not passing:
+                tile.add(leaf, parts)
+                continue
+            out = tile.passed(leaf, parts)
+            if out.num_rows:
+                yield out
+        if tile is not None:
+            yield from tile.held()
 
     return run
 
 
+def _sampled(picked: DataFrame) -> dict[tuple[int, int], Leaves]:
+    """The upper storey from the picked nodes."""
+    rows = picked.toArrow().combine_chunks()
+    rows = rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], rows.schema)
+    node = rows.column("node").to_numpy()
+    out = {}
+    for key, places in _by_label(rows):
+        places = places[np.argsort(node[places], kind="stable")]
+        out[key] = Leaves(_unit(_matrix(rows.column("vector").take(pa.array(places)))))
+    return out
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block_rows: int = 1024, most_leaves: int = 4096,
                     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     eps = math.sqrt(2 - 2 * threshold)
-    v = F.col(vector_col).cast("array<double>")
+    single = isinstance(vectors.schema[vector_col].dataType, ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
+    kind = "float" if single else "double"  # single components stay so where they are stored; all sums are of doubles
+    v = F.col(vector_col).cast(f"array<{kind}>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     # + 0.0 makes the two zeros one value
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"),
-                          F.when(usable, F.transform(v, lambda x: x + 0.0)).alias("vector"))
+                          F.when(usable, F.transform(v, lambda x: (x + 0.0).cast(kind))).alias("vector"))
     rows = rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")))
-    rows = cut_lineage(rows, "embedding-rows")
-    nodes = cut_lineage(rows.where("node is not null").groupBy("node", "label", "vector").agg(
-        F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("first_id")), "embedding-nodes")
-    total = nodes.count()
+    known = rows.where("node is not null")
+    total = known.select("node").distinct().count()
     share = min(1.0, min(most_leaves, -(-total // block_rows)) / max(1, total))
-    picked = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("node", "label", "vector")
-    sample = sorted(picked.collect(), key=lambda r: (r.label, r.node))  # about most_leaves vectors
-    upper = Upper([(r.label, _unit([r.vector])[0]) for r in sample])
+    picked = known.where(F.pmod(F.xxhash64("node"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select("node", "label", "vector")
+    upper = _sampled(picked.groupBy("node", "label", "vector").agg(F.count(F.lit(1)).alias("n")).drop("n"))  # about most_leaves vectors
     first = spark.sparkContext.broadcast(upper)
-    placed = nodes.select("node", "label", "weight", "vector").mapInPandas(_assigned(first), f"{NODE}, leaf long, far double")
-    placed = cut_lineage(placed, "embedding-placed")
-    stats = placed.groupBy("label", "leaf", F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
-    upper.close(stats.where("leaf >= 0").collect(), eps, block_rows)  # a row for each leaf
+    nodes = known.groupBy("node", "label", "vector").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("first_id"))
+    stored = f"node long, label long, vector array<{kind}>, weight long, first_id long, leaf long, far double"
+    placed = cut_lineage(nodes.mapInArrow(_assigned(first), stored), "embedding-placed")
+    stats = placed.groupBy("label", F.size("vector").alias("width"), "leaf").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+    stats = cut_lineage(stats, "embedding-leaves")
+    sizes = {key: (np.zeros(len(x.centres), np.int64), np.zeros(len(x.centres))) for key, x in upper.items()}
+    for r in stats.where("leaf >= 0").collect():  # a row for each leaf
+        sizes[r.label, r.width][0][r.leaf], sizes[r.label, r.width][1][r.leaf] = r.n, r.radius
+    for key, leaves in upper.items():
+        leaves.close(*sizes[key], eps, block_rows)
+    first.unpersist()
     second = spark.sparkContext.broadcast(upper)
-    blocks = stats.select(F.col("label").alias("l"), F.col("leaf").alias("f"), F.col("width").alias("w"),
-                          F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"))
-    dealt = placed.join(blocks, (F.col("label") == F.col("l")) & (F.col("leaf") == F.col("f")) & (F.size("vector") == F.col("w"))).withColumn(
-        "block", F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("blocks"))).select("node", "label", "weight", "vector", "leaf", "block", "blocks")
-    met = dealt.mapInPandas(_dealt(second, eps), "pair string, right boolean, node long, weight long, vector array<double>")
-    found = cut_lineage(met.groupBy("pair").applyInPandas(_compared(threshold, eps), "node long, root long, links long"), "embedding-found")
+    bare = stats.where("leaf < 0").select(
+        F.col("label").alias("l"), F.col("width").alias("w"), F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("width") / TILE_VALUES), F.least(F.lit(TILES), F.floor(F.col("n") / (block_rows * TILE_BLOCKS)))).cast("long").alias("tiles"))
+    bare_rows, bare_tiles = bare.agg(F.count(F.lit(1)), F.coalesce(F.sum("tiles"), F.lit(0))).first()
+    spread = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.lit(1 << 40)).alias("spread")
+    dealt = sized_join(placed, bare, (F.col("label") == F.col("l")) & (F.size("vector") == F.col("w")), "left", bare_rows).select(
+        "node", "label", "weight", "vector", "leaf", "far", spread, "blocks", "tiles")
+    key = ["label", "width", "tile"]
+    met = dealt.mapInArrow(_dealt(second, eps), "tile long, passing boolean, block long, label long, leaf long, far double, node long, weight long, "
+                           f"vector array<{kind}>").withColumn("width", F.size("vector"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(bare_tiles + sum(x.tiles for x in upper.values()), total // block_rows, 2_000))
+    met = met.repartition(parts, *key).sortWithinPartitions(*key, "passing", "leaf", "block")
+    found = cut_lineage(met.drop("width").mapInArrow(_compared(second, threshold, eps), "node long, root long, links long"), "embedding-found")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select("node", "root"), "embedding-components")
-    grouped = cut_lineage(nodes.select("node", "weight", "first_id").join(links, "node", "left").join(joined, "node", "left").select(
+    grouped = cut_lineage(placed.select("node", "weight", "first_id").join(links, "node", "left").join(joined, "node", "left").select(
         "node", "first_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component")),
         "embedding-groups")
     smallest = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import covertree, queries
@@ -69,3 +71,74 @@ def test_traversal_finds_all_close_pairs():
     got = set(zip(*[x.tolist() for x in covertree.close_pairs(a, b, 0.2)]))
     want = set(zip(*[x.tolist() for x in np.nonzero(covertree.distances(points[:200], points[200:]) <= 0.2)]))
     assert got == want
+
+
+class Sent:
+    """Stands for a broadcast value."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def batch(label, vectors, **columns):
+    n, width = vectors.shape
+    vector = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), width).cast(pa.list_(pa.float64()))
+    given = {"label": np.full(n, label), "node": np.arange(n), "weight": np.ones(n, np.int64)} | columns
+    return pa.record_batch([*(pa.array(x) for x in given.values()), vector], [*given, "vector"])
+
+
+@pytest.mark.parametrize("leaves,values", [(1, 400), (40, 300), (40, 3000), (200, 300)])
+def test_many_tiles(spark, monkeypatch, leaves, values):
+    monkeypatch.setattr(covertree, "TILE_VALUES", values)
+    rng = np.random.default_rng(5)
+    rows = []
+    for label, groups in ((1, 90), (2, 12), (3, 30)):
+        for _ in range(groups):
+            base = rng.normal(size=10)
+            rows += [((base + rng.normal(size=10) * 0.1 * (k > 0)).tolist(), label) for k in range(rng.integers(1, 6))]
+    rows += [((np.ones(10) + rng.normal(size=10) * 0.04).tolist(), 2) for _ in range(120)]  # one large group, over several tiles
+    rows += [([3.0, 1.0], 1), ([6.0, 2.0], 1), ([1.0, 3.0], 1)]
+    rows = [(i, [float(np.float32(x)) for x in v], label) for i, (v, label) in enumerate(rows)]
+    want = expected(rows)
+    for kind in ("double", "float"):
+        frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(3)
+        got = covertree.near_duplicates(frame, block_rows=8, most_leaves=leaves).collect()
+        assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=str) == want
+
+
+def test_vectors_travel_by_tile_in_pieces():
+    rng, eps = np.random.default_rng(7), math.sqrt(0.04)
+    points = rng.normal(size=(4500, 16))
+    points = rng.permutation(covertree._unit(np.concatenate([points, points + rng.normal(size=points.shape) * 0.03])))
+    leaves = covertree.Leaves(points[:60])
+    leaf, far = leaves.nearest(points)
+    leaves.close(np.bincount(leaf, minlength=60), np.array([far[leaf == k].max() for k in range(60)]), eps, 64)
+    assert leaves.tiles == covertree.TILES < len(leaves.blocks)
+    none = pa.array([None] * len(points), pa.int64())
+    rows = batch(1, points, leaf=leaf, far=far, spread=rng.integers(0, 1 << 40, len(points)), blocks=none, tiles=none)
+    out = list(covertree._dealt(Sent({(1, 16): leaves}), eps)(iter([rows])))
+    assert max(x.num_rows for x in out) <= covertree.ROWS
+    out = pa.Table.from_batches(out).to_pandas()
+    assert sorted(out.node[~out.passing]) == list(range(len(points)))  # each is held once
+    assert len(out) <= len(points) * (1 + covertree.TILES // 2)
+    assert not out.duplicated(["tile", "node"]).any()
+    at = {n: set(t) for n, t in out.groupby("node").tile}
+    held = out[~out.passing].set_index("node").tile
+    for x, y in zip(*np.nonzero(np.triu(covertree.distances(points, points) <= eps, 1))):
+        if held[x] != held[y]:
+            assert (held[y] in at[x]) != (held[x] in at[y])  # each pair within eps meets once
+
+
+def test_near_copies_are_compared_in_little_memory():
+    rng, eps = np.random.default_rng(8), math.sqrt(0.04)
+    points = rng.normal(size=64) + rng.normal(size=(2048, 64)) * 0.02
+    more = dict(tile=np.zeros(2048, np.int64), passing=np.arange(2048) >= 1024, leaf=np.full(2048, -1), block=np.arange(2048) // 1024, far=np.zeros(2048))
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(covertree._compared(Sent({}), 0.98, eps)(iter([batch(1, points, **more)]))).to_pandas()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(out.node) == list(range(2048)) and out.links.sum() == 1023 * 1024 + 2 * 1024 * 1024  # a passing block's own links are counted where it is held
+    assert out.root.isin(range(1024)).all()
+    assert peak < 200e6  # all pairs' vectors at once would be over 1 GB
