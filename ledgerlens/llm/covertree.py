@@ -7,9 +7,9 @@ radii and eps allow, so exactly the pairs within the threshold are left at the b
 The tree has two storeys. The upper one is built from a sample of at most `most_leaves` centres; every vector is put under the
 nearest leaf of its label, the leaves' covering radii are taken over all vectors, and the dual traversal of this tree gives
 the leaf pairs, and for each vector the leaves, that may hold partners. Leaves are cut into blocks of about `block_rows`
-vectors, however large they are; the lower storey is a cover tree in each block. A vector under centre c has no partner under
-centre d unless it lies within eps of the plane halfway between c and d, so two blocks are traversed with the vectors in that
-strip alone.
+vectors, however large they are; the lower storey is a cover tree in each block. Vectors under two centres are within eps only
+if their ways to the plane halfway between the centres make eps together, so of two leaves only the strips along that plane
+meet: small ones are measured at once, others by traversing the trees with the vectors of the strips.
 
 Blocks of neighbouring leaves make a tile of at most TILE_VALUES components. A task holds the trees of one tile, and the blocks
 of about half of the other tiles pass through it one by one, so it holds a tile and a block however many vectors there are,
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ TILE_VALUES = 1 << 24
 TILES, TILE_BLOCKS = 4, 4
 #: Numbers in a matrix of distances that is made at a time.
 PIECE = 1 << 20
+#: Pairs of vectors between two leaves that are measured without their trees.
+STRIP = 1 << 18
 #: Rows handed on at a time.
 ROWS = 4096
 
@@ -336,26 +339,24 @@ class Block:
     """Nodes of one block and their cover tree; `first` is the place of the first one in its tile."""
 
     def __init__(self, leaf: int, parts: list[pa.RecordBatch], eps: float, first: int):
-        self.leaf, self.first = leaf, first
+        self.leaf, self.first, self.eps = leaf, first, eps
         self.node, self.weight, self.far = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("node", "weight", "far"))
         self.raw = np.concatenate([_matrix(p.column("vector")) for p in parts])
         self.norms = np.linalg.norm(self.raw.astype(np.float64), axis=1)
-        self.tree = CoverTree(self.raw, eps, self.norms)
-
-
-def linked(a: Block, b: Block, leaves: Leaves | None, threshold: float, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the linked pairs of two blocks; with a itself, both ways."""
-    wanted_a = wanted_b = None
-    if leaves is not None and a.leaf != b.leaf:
-        if not leaves.partners[a.leaf, b.leaf]:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        one, two = leaves.centres[a.leaf : a.leaf + 1], leaves.centres[b.leaf : b.leaf + 1]
-        between = distances(one, two)[0, 0]
-        to_two, to_one = (distances(x.tree.at(np.arange(len(x.node))), c)[:, 0] for x, c in ((a, two), (b, one)))
-        wanted_a, wanted_b = in_strip(to_two, a.far, between, eps), in_strip(to_one, b.far, between, eps)
-        if not wanted_a.any() or not wanted_b.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = close_pairs(a.tree, b.tree, eps, wanted_a, wanted_b)
+
+    def __len__(self):
+        return len(self.node)
+
+    @cached_property
+    def tree(self) -> CoverTree:
+        return CoverTree(self.raw, self.eps, self.norms)
+
+    def unit(self, places=slice(None)) -> np.ndarray:
+        return self.raw[places].astype(np.float64) / self.norms[places][:, None]
+
+
+def linked(a: Block, b: Block, threshold: float, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the place pairs that are linked."""
     ok = products(a.raw, i, b.raw, j) / (a.norms[i] * b.norms[j]) >= threshold
     if a is b:
         ok &= i != j
@@ -381,44 +382,107 @@ def unite(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 
 
 class Tile:
-    """The blocks a task holds, their nodes' numbers of links and their sets so far."""
+    """The blocks a task holds, leaf by leaf, their nodes' numbers of links and their sets so far."""
 
     def __init__(self, leaves: Leaves | None, threshold: float, eps: float):
         self.leaves, self.threshold, self.eps = leaves, threshold, eps
-        self.blocks, self.links, self.parent = [], None, None
+        self.blocks, self.links, self.parent, self.seen = [], None, None, (-1, None, None)
 
     def add(self, leaf: int, parts: list[pa.RecordBatch]) -> None:
-        first = self.blocks[-1].first + len(self.blocks[-1].node) if self.blocks else 0
+        first = self.blocks[-1].first + len(self.blocks[-1]) if self.blocks else 0
         self.blocks.append(Block(leaf, parts, self.eps, first))
 
     def meet(self) -> None:
-        """Link the blocks with each other."""
-        n = sum(len(x.node) for x in self.blocks)
+        """Put the blocks together and link them with each other."""
+        n = sum(len(x) for x in self.blocks)
         self.links, self.parent = np.zeros(n, np.int64), np.arange(n)
-        for k, a in enumerate(self.blocks):
-            for b in self.blocks[k:]:
-                i, j = linked(a, b, self.leaves, self.threshold, self.eps)
-                self.count(a, i, b.weight[j])
-                if a is not b:
-                    self.count(b, j, a.weight[i])
-                unite(self.parent, a.first + i, b.first + j)
+        if not self.blocks:
+            return
+        leaf = np.array([x.leaf for x in self.blocks])
+        self.runs = np.concatenate([[0], np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, [len(leaf)]])  # first block of each leaf
+        self.leaf = leaf[self.runs[:-1]]
+        self.starts = np.array([self.blocks[k].first for k in self.runs[:-1]])
+        self.raw, self.norms, self.far = (np.concatenate([getattr(x, c) for x in self.blocks]) for c in ("raw", "norms", "far"))
+        if not (self.norms.min() > 1e-30 and self.norms.max() < 1e30):  # single precision does not hold such products
+            self.raw = self.raw.astype(np.float64)
+        for x in self.blocks:
+            x.raw = self.raw[x.first : x.first + len(x)]
+        for run, (lo, hi) in enumerate(zip(self.runs, self.runs[1:])):
+            for k in range(lo, hi):
+                b = self.blocks[k]
+                for a, i, j in self.pairs(b, run + 1, k):
+                    self.count(a, i, b.weight[j])
+                    if a is not b:
+                        self.count(b, j, a.weight[i])
+                    unite(self.parent, a.first + i, b.first + j)
+
+    def beside(self, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of all held nodes by how much the squared distance to the centre exceeds that to their own, and the least of each leaf."""
+        if self.seen[0] != leaf:
+            more = self.raw @ self.leaves.centres[leaf].astype(self.raw.dtype) / self.norms
+            more *= -2
+            more += 2 - self.far * self.far
+            self.seen = leaf, more, np.fmin.reduceat(more, self.starts)
+        return self.seen[1:]
+
+    def pairs(self, b: Block, from_run: int = 0, from_block: int = 0) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
+        """A held block and the places of its nodes and of those of b that are linked, from a leaf and, in b's own, from a block on.
+
+        Vectors x and y under the centres c and d are within eps only if |x - d|^2 - |x - c|^2 and |y - c|^2 - |y - d|^2 together
+        are at most 2 eps |c - d|, since their sum is 2 (x - y)(c - d).
+        """
+        for run in np.flatnonzero(self.leaf == b.leaf):
+            for a in self.blocks[max(from_block, self.runs[run]) : self.runs[run + 1]]:
+                yield a, *linked(a, b, self.threshold, *close_pairs(a.tree, b.tree, self.eps))
+        if self.leaves is None or from_run >= len(self.leaf):
+            return
+        ours, least = self.beside(b.leaf)
+        unit, centres = b.unit(), self.leaves.centres[self.leaf[from_run:]]
+        theirs = distances(unit, centres)
+        theirs *= theirs
+        theirs -= (b.far * b.far)[:, None]
+        slack = SLACK + 4 * self.raw.shape[1] * np.finfo(self.raw.dtype).eps
+        room = 2 * self.eps * distances(self.leaves.centres[b.leaf : b.leaf + 1], centres)[0] + slack
+        left = room - np.fmin.reduce(theirs, axis=0)  # for the held nodes of each leaf
+        short, least_product = unit.astype(self.raw.dtype), 1 - (self.eps + SLACK) ** 2 / 2 - slack
+        open_ = self.leaves.partners[b.leaf, self.leaf[from_run:]] & (self.leaf[from_run:] != b.leaf) & ~(least[from_run:] > left)
+        for run in np.flatnonzero(open_):
+            lo, hi = self.runs[from_run + run], self.runs[from_run + run + 1]
+            start, end = self.starts[from_run + run], self.blocks[hi - 1].first + len(self.blocks[hi - 1])
+            here = ours[start:end]
+            rows = np.flatnonzero(~(here > left[run]))
+            cols = np.flatnonzero(~(theirs[:, run] > room[run] - np.fmin.reduce(here[rows]))) if len(rows) else rows
+            if len(rows) * len(cols) > STRIP:  # many: by the trees
+                wanted_a, wanted_b = np.zeros(end - start, bool), np.zeros(len(b), bool)
+                wanted_a[rows], wanted_b[cols] = True, True
+                for a in self.blocks[lo:hi]:
+                    wanted = wanted_a[a.first - start :][: len(a)]
+                    if wanted.any():
+                        yield a, *linked(a, b, self.threshold, *close_pairs(a.tree, b.tree, self.eps, wanted, wanted_b))
+            elif len(rows) and len(cols):
+                rows += start
+                near = self.raw[rows] @ short[cols].T >= (least_product * self.norms[rows]).astype(self.raw.dtype)[:, None]
+                if near.any():
+                    i, j = np.nonzero(near)
+                    i, j = rows[i], cols[j]
+                    for a in self.blocks[lo:hi]:
+                        mine = (i >= a.first) & (i < a.first + len(a))
+                        if mine.any():
+                            yield a, *linked(a, b, self.threshold, i[mine] - a.first, j[mine])
 
     def count(self, block: Block, places: np.ndarray, weights: np.ndarray) -> None:
         if len(places):
-            self.links[block.first : block.first + len(block.node)] += np.bincount(places, weights, len(block.node)).astype(np.int64)
+            self.links[block.first : block.first + len(block)] += np.bincount(places, weights, len(block)).astype(np.int64)
 
     def passed(self, leaf: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         """node, root, links of the nodes in a block that passes: its links with the held ones, one of which is the root."""
         if self.links is None:
             self.meet()
         b = Block(leaf, parts, self.eps, 0)
-        links, met, ids = np.zeros(len(b.node), np.int64), np.full(len(b.node), -1), np.zeros(len(b.node), np.int64)
-        for a in self.blocks:
-            i, j = linked(a, b, self.leaves, self.threshold, self.eps)
-            if not len(i):
-                continue
+        links, met, ids = np.zeros(len(b), np.int64), np.full(len(b), -1), np.zeros(len(b), np.int64)
+        for a, i, j in self.pairs(b) if self.blocks else ():
             self.count(a, i, b.weight[j])
-            links += np.bincount(j, a.weight[i], len(b.node)).astype(np.int64)
+            links += np.bincount(j, a.weight[i], len(b)).astype(np.int64)
             new = met[j] < 0
             met[j[new]], ids[j[new]] = a.first + i[new], a.node[i[new]]  # of several the last, for both alike
             unite(self.parent, a.first + i, met[j])
@@ -503,11 +567,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block_rows: int
     single = isinstance(vectors.schema[vector_col].dataType, ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, FloatType)
     kind = "float" if single else "double"  # single components stay so where they are stored; all sums are of doubles
     v = F.col(vector_col).cast(f"array<{kind}>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
+    least, most, zero, beyond = F.array_min(v), F.array_max(v), F.lit(0.0).cast(kind), F.lit(float("inf")).cast(kind)
+    # NaN is the largest value; array_contains is null where a null could be what it looks for
+    finite = (most < beyond) & (least > -beyond) & ~F.array_contains(v, beyond)
+    usable = F.coalesce(finite & ((least != 0) | (most != 0)), F.lit(False)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     # + 0.0 makes the two zeros one value
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"),
-                          F.when(usable, F.transform(v, lambda x: (x + 0.0).cast(kind))).alias("vector"))
+    plain = F.when(F.array_contains(v, zero), F.transform(v, lambda x: (x + 0.0).cast(kind))).otherwise(v)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.when(usable, plain).alias("vector"))
     rows = rows.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")))
     known = rows.where("node is not null")
     total = known.select("node").distinct().count()

@@ -82,7 +82,8 @@ class Sent:
 
 def batch(label, vectors, **columns):
     n, width = vectors.shape
-    vector = pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), width).cast(pa.list_(pa.float64()))
+    values = pa.array(vectors.ravel())
+    vector = pa.FixedSizeListArray.from_arrays(values, width).cast(pa.list_(values.type))
     given = {"label": np.full(n, label), "node": np.arange(n), "weight": np.ones(n, np.int64)} | columns
     return pa.record_batch([*(pa.array(x) for x in given.values()), vector], [*given, "vector"])
 
@@ -129,6 +130,30 @@ def test_vectors_travel_by_tile_in_pieces():
             assert (held[y] in at[x]) != (held[x] in at[y])  # each pair within eps meets once
 
 
+@pytest.mark.parametrize("kind", ["float32", "float64"])
+@pytest.mark.parametrize("strip", [0, 1 << 18])
+def test_blocks_of_different_leaves(monkeypatch, kind, strip):
+    """Whether strips are measured at once or by the trees, all links are found; short and long vectors alike."""
+    monkeypatch.setattr(covertree, "STRIP", strip)
+    rng, eps = np.random.default_rng(9), math.sqrt(0.04)
+    points = rng.normal(size=(700, 12))
+    points = np.concatenate([points, points + rng.normal(size=points.shape) * 0.06, points[:1] + rng.normal(size=(300, 12)) * 0.1])
+    points = (rng.permutation(points) * rng.choice([1, 1e-25, 1e25], size=(1700, 1))).astype(kind)
+    unit = covertree._unit(points)
+    cosines = unit @ unit.T
+    leaves = covertree.Leaves(unit[:50])
+    leaf, far = leaves.nearest(unit)
+    leaves.close(np.bincount(leaf, minlength=50), np.array([far[leaf == k].max() for k in range(50)]), eps, 16)
+    none = pa.array([None] * len(points), pa.int64())
+    rows = batch(1, points, leaf=leaf, far=far, spread=rng.integers(0, 1 << 40, len(points)), blocks=none, tiles=none)
+    dealt = pa.Table.from_batches(covertree._dealt(Sent({(1, 12): leaves}), eps)(iter([rows])))
+    dealt = dealt.sort_by([(c, "ascending") for c in ("tile", "passing", "leaf", "block")])
+    out = pa.Table.from_batches(covertree._compared(Sent({(1, 12): leaves}), 0.98, eps)(iter(dealt.to_batches(max_chunksize=100)))).to_pandas()
+    got = out.groupby("node").links.sum().reindex(range(len(points)), fill_value=0)
+    assert leaves.tiles > 1 and got.tolist() == ((cosines >= 0.98).sum(axis=1) - 1).tolist()
+    assert set(out.root) <= set(out.node)
+
+
 def test_near_copies_are_compared_in_little_memory():
     rng, eps = np.random.default_rng(8), math.sqrt(0.04)
     points = rng.normal(size=64) + rng.normal(size=(2048, 64)) * 0.02
