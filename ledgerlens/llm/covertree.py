@@ -49,7 +49,9 @@ TILES, TILE_BLOCKS = 4, 4
 #: Numbers in a matrix of distances that is made at a time.
 PIECE = 1 << 20
 #: Pairs of vectors between two leaves that are measured without their trees.
-STRIP = 1 << 18
+STRIP = 1 << 20
+#: Above so many the wider strip is cut up, each part to meet a strip of its own.
+SPLIT = 1 << 16
 #: Rows handed on at a time.
 ROWS = 4096
 
@@ -415,6 +417,8 @@ class Tile:
                     if a is not b:
                         self.count(b, j, a.weight[i])
                     unite(self.parent, a.first + i, b.first + j)
+            for b in self.blocks[lo:hi]:
+                b.__dict__.pop("tree", None)  # seldom asked for again
 
     def beside(self, leaf: int) -> tuple[np.ndarray, np.ndarray]:
         """Of all held nodes by how much the squared distance to the centre exceeds that to their own, and the least of each leaf."""
@@ -460,11 +464,16 @@ class Tile:
                     if wanted.any():
                         yield a, *linked(a, b, self.threshold, *close_pairs(a.tree, b.tree, self.eps, wanted, wanted_b))
             elif len(rows) and len(cols):
-                rows += start
-                near = self.raw[rows] @ short[cols].T >= (least_product * self.norms[rows]).astype(self.raw.dtype)[:, None]
-                if near.any():
+                cut = np.array_split(rows[np.argsort(here[rows])], min(4, len(rows))) if len(rows) * len(cols) > SPLIT else [rows]
+                for part in cut:
+                    if part is not rows:
+                        cols = np.flatnonzero(~(theirs[:, run] > room[run] - here[part[0]]))
+                    part = part + start
+                    near = self.raw[part] @ short[cols].T >= (least_product * self.norms[part]).astype(self.raw.dtype)[:, None]
+                    if not near.any():
+                        continue
                     i, j = np.nonzero(near)
-                    i, j = rows[i], cols[j]
+                    i, j = part[i], cols[j]
                     for a in self.blocks[lo:hi]:
                         mine = (i >= a.first) & (i < a.first + len(a))
                         if mine.any():

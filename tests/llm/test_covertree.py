@@ -131,10 +131,11 @@ def test_vectors_travel_by_tile_in_pieces():
 
 
 @pytest.mark.parametrize("kind", ["float32", "float64"])
-@pytest.mark.parametrize("strip", [0, 1 << 18])
-def test_blocks_of_different_leaves(monkeypatch, kind, strip):
+@pytest.mark.parametrize("strip,split", [(0, 0), (1 << 20, 1 << 16), (1 << 20, 16)])
+def test_blocks_of_different_leaves(monkeypatch, kind, strip, split):
     """Whether strips are measured at once or by the trees, all links are found; short and long vectors alike."""
     monkeypatch.setattr(covertree, "STRIP", strip)
+    monkeypatch.setattr(covertree, "SPLIT", split)
     rng, eps = np.random.default_rng(9), math.sqrt(0.04)
     points = rng.normal(size=(700, 12))
     points = np.concatenate([points, points + rng.normal(size=points.shape) * 0.06, points[:1] + rng.normal(size=(300, 12)) * 0.1])
